@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets
+from . import exact_dedup, grammar_ids, packing, secrets, substring_dedup
 from .common import load
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(load(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sequences(load(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_ids.decode_shards(grammar_ids.encode_shards(load(spark, sf_dir, "documents")))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_ids": op6_token_ids,
     "op9_secret_scans": op9_secret_scans,
 }
 
