@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grammar_ids, packing, secrets, substring_dedup
+from . import exact_dedup, grammar_ids, jaccard_join, packing, secrets, substring_dedup
 from .common import load
 
 
@@ -26,6 +26,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.decode_shards(grammar_ids.encode_shards(load(spark, sf_dir, "documents")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(load(spark, sf_dir, "documents"))
 
@@ -35,7 +39,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_ids": op6_token_ids,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
+}

@@ -163,3 +163,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     answer = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_least, ANSWER).repartition(blocks, "block")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     return rows.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(lambda a, b: _strip(a, b, window, texts), schema)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM g),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM k) WHERE least < doc_id),
+x AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS j FROM f),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+r AS (SELECT v.doc_id, count(x.j) AS n_removed, string_agg(v.word, ' ' ORDER BY v.j) FILTER (x.j IS NULL) AS kept FROM v LEFT JOIN x ON x.doc_id = v.doc_id AND x.j = v.j GROUP BY 1)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
