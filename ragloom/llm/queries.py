@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grammar_ids, jaccard_join, packing, secrets, substring_dedup
+from . import exact_dedup, grammar_ids, jaccard_join, packing, secrets, spotsigs, substring_dedup
 from .common import load
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(load(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbour_report(load(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(load(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_ids": op6_token_ids,
