@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grammar_ids, jaccard_join, kneser_ney, packing, secrets, spotsigs, substring_dedup
+from . import exact_dedup, grammar_ids, jaccard_join, kneser_ney, packing, secrets, spotsigs, substring_dedup, toxicity, unigram
 from .common import load
 
 
@@ -34,6 +34,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.decode_shards(grammar_ids.encode_shards(load(spark, sf_dir, "documents")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -49,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_ids": op6_token_ids,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
