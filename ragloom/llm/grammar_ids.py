@@ -44,47 +44,51 @@ def compress(ids: np.ndarray, end: int, vocabulary: int, rounds: int = ROUNDS, f
     """The sequence with frequent pairs replaced, and the rules: rule r expands symbol vocabulary + r to its pair."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    base = vocabulary
+    base, wide = vocabulary, vocabulary >= 65536
+    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)  # symbols below 65536 leave a pair in 32 bits
+    odd, down, low = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1), kind((64 if wide else 32) - _BITS), kind((1 << shift) - 1)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        spot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+        symbols = seq.astype(kind, copy=False)
+        code = (symbols[:-1] << kind(shift)) | symbols[1:]
+        spot = (code * odd) >> down
         common = np.bincount(spot, minlength=1 << _BITS) >= frequent
-        some = code[common[spot]]
-        pairs, counts = np.unique(some, return_counts=True)
-        keep = (counts >= frequent) & (pairs >> np.uint64(32) != end) & (pairs & np.uint64(0xFFFFFFFF) != end)
-        order = np.argsort(-counts[keep], kind="stable")
-        pairs = pairs[keep][order]
-        room = max(0, 65536 - base) if base < 65536 else len(pairs)
+        some = np.sort(code[common[spot]])
+        new = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
+        counts, pairs = np.diff(new), some[new[:-1]]
+        keep = (counts >= frequent) & (pairs >> kind(shift) != end) & (pairs & low != end)
+        pairs = pairs[keep][np.argsort(-counts[keep], kind="stable")]
+        room = len(pairs) if wide else 65536 - base
         lefts, rights, chosen = set(), set(), []
-        for pair, left, right in zip(pairs.tolist(), (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+        for pair, left, right in zip(pairs.tolist(), (pairs >> kind(shift)).tolist(), (pairs & low).tolist(), strict=True):
             if left == right or left in rights or right in lefts:
                 continue
+            if len(chosen) >= room:
+                break
             lefts.add(left)
             rights.add(right)
             chosen.append(pair)
-            if len(chosen) >= room:
-                break
         if not chosen:
             break
-        picked = np.array(chosen, np.uint64)
-        at = ((picked * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+        picked = np.array(chosen, kind)
+        at = (picked * odd) >> down
         _, first = np.unique(at, return_index=True)  # two pairs that share a slot: the more frequent one
         first.sort()
         picked, at = picked[first], at[first]
-        slot = np.zeros(1 << _BITS, np.int32)
+        slot = np.zeros(1 << _BITS, np.uint16 if len(at) < 65535 else np.uint32)
         slot[at] = np.arange(1, len(at) + 1)
         mine = slot[spot]
-        hit = mine > 0
-        hit[hit] = picked[mine[hit] - 1] == code[hit]
-        where = np.flatnonzero(hit)
-        seq[where] = (base + mine[where] - 1).astype(np.uint32)
+        where = np.flatnonzero(mine)
+        which = mine[where].astype(np.int64) - 1
+        right = picked[which] == code[where]
+        where, which = where[right], which[right]
+        seq[where] = (base + which).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
         before = len(seq)
         seq = seq[stay]
-        rules.append(np.stack([(picked >> np.uint64(32)).astype(np.uint32), (picked & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        rules.append(np.stack([picked >> kind(shift), picked & low], 1).astype(np.uint32))
         base += len(picked)
         if len(seq) > 0.985 * before:
             break
