@@ -163,9 +163,11 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with only the smallest doc_id of each component; rows without doc_id stay, repeated rows become one."""
-    keep = jaccard_components(docs, percent=percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = stored(jaccard_components(docs, percent=percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")), "kept")
+    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    if not found.groupBy("_keep").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
