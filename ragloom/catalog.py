@@ -1,4 +1,4 @@
-"""Registry of the engine's queries and of their SQL twins."""
+"""The engine's queries and their SQL twins, gathered from the plan modules."""
 
 from __future__ import annotations
 
@@ -6,19 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ragloom import registry
+from ragloom.plans import relational  # noqa: F401  (registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").count()
+    return registry.QUERIES["join3_agg2_reference_audit"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(registry.SQL)
