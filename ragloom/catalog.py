@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom import registry
-from ragloom.plans import relational, texts  # noqa: F401  (they register their queries)
+from ragloom.plans import relational, search, streams, texts  # noqa: F401  (they register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
