@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this Python worker keeps between tasks: owner and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _kept[owner] = drop
+
+
+def enter(owner: str | None = None) -> None:
+    """Called where a worker begins an operator's work: other operators' caches in this worker go."""
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 #: Compressed input bytes that one block (one task's documents) should hold.
 BLOCK_BYTES = 4 << 20
 
