@@ -56,8 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``: file bytes for a scan. Only block counts and sketch widths follow from it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of ``df`` (file bytes for a scan); without one, half the bytes of its texts.
+
+    Only block counts and sketch widths follow from it.
+    """
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < 1 << 55:
+        return found
+    return (df.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0) // 2
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import enter
 from .words import text_bytes
 
 BASE = ("assign", "access", "hex")
@@ -115,6 +116,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    enter()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
@@ -160,6 +162,7 @@ def redact_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     k = names.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         for batch in batches:
             data, offsets = text_bytes(batch.column(k))
             hit = candidates(data, offsets)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_blocks, block_count, input_bytes
+from .common import as_blocks, block_count, enter, input_bytes
 from .sketches import SKETCH, Repeated, merged, partition_sketch, width_bits
 from .words import Words, text_bytes
 
@@ -36,6 +36,7 @@ _NONE = -(2**63)
 
 
 def _block(table: pa.Table) -> tuple[Words, np.ndarray]:
+    enter()
     data, offsets = text_bytes(table["text"])
     ids = table["doc_id"].combine_chunks().fill_null(_NONE).to_numpy(zero_copy_only=False).astype(np.int64)
     return Words(data, offsets), ids

@@ -8,17 +8,26 @@ library's model; every other chunk goes through the library's full encoder. Both
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
+from .common import enter, keeps
 
 #: Cached chunks a worker keeps; beyond it the cache starts anew.
-CACHED = 800_000
+CACHED = 500_000
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 #: The tokenizer file's pattern, over lower-cased printable ASCII and Latin-1 letters.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _byte_level() -> dict[int, str]:
     """The usual printable stand-ins of byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,7 +43,7 @@ class _Pieces(dict):
         if len(self) >= CACHED:
             self.clear()
         mapped = piece if piece.isascii() else "".join(map(self.byte.__getitem__, piece.encode()))
-        got = self[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        got = self[piece] = packed([t.id for t in self.model.tokenize(mapped)])
         return got
 
 
@@ -54,7 +63,7 @@ class Encoder(dict):
         if PLAIN(text) and "<|" not in text:
             got = b"".join(map(self.pieces.__getitem__, PIECES(text.lower())))
         else:
-            got = np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            got = packed(self.full.encode(text, add_special_tokens=False).ids)
         self[chunk] = got
         return got
 
@@ -64,7 +73,15 @@ class Encoder(dict):
 
 
 @cache
-def encoder(name: str) -> Encoder:
+def _loaded(name: str) -> Encoder:
     import public_tokenizers
 
     return Encoder(public_tokenizers.path(name) if "/" not in name else name)
+
+
+def encoder(name: str) -> Encoder:
+    """This worker's encoder; its caches last until another operator begins here."""
+    enter("tokens")
+    found = _loaded(name)
+    keeps("tokens", lambda: (found.clear(), found.pieces.clear()))
+    return found

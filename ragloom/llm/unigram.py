@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import enter, keeps
 from .words import text_bytes
 
 MODEL = "piece_bpe_32k.model"
@@ -31,7 +32,7 @@ UNKNOWN = 0
 #: A character without a piece costs this much more than the least likely piece.
 PENALTY = 10.0
 #: Cached chunks a worker keeps; beyond it the cache starts anew.
-CACHED = 800_000
+CACHED = 600_000
 #: Chunks longer than this many bytes are solved one by one.
 LONG = 48
 _CHUNKS = re.compile(rb" +[^ ]*").findall
@@ -228,7 +229,9 @@ def rank_scores(n: int, first: int) -> np.ndarray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    enter("unigram")
     unigram = load_pieces(model)
+    keeps("unigram", unigram.clear)
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         raw = data.tobytes()
