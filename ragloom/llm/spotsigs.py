@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, stored
+from .common import block_count, enter, stored
 from .words import Words, mix, text_bytes
 
 #: Common words of English, French, German and Spanish.
@@ -114,6 +114,7 @@ def _rows(keys, counts, take) -> tuple[np.ndarray, np.ndarray]:
 
 def _neighbours(table: pa.Table) -> pa.Table:
     """One block: its documents in order, the last of them followed by the block's guest."""
+    enter()
     texts = table["text"].to_pylist()
     ids, guest = table["doc_id"].to_pylist(), table["guest"].to_pylist()
     order = sorted(range(len(texts)), key=lambda i: (guest[i], ids[i] is not None, ids[i] or 0, texts[i]))
@@ -147,6 +148,7 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = block_count(docs)
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / blocks for i in range(1, blocks)], 0.25 / blocks))) if blocks > 1 else []
+    cuts = cuts or [0.0]
     split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
     bucket = lambda df: split.transform(df.withColumn("_x", F.coalesce(F.col("doc_id").cast("double"), F.lit(float(-(2**63)))))).withColumn("block", F.col("_b").cast("int")).drop("_x", "_b")
     ids = bucket(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
@@ -182,13 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     sets = stored(signature_sets(docs).filter("n > 0 and doc_id is not null"), "signatures")
     classes = stored(sets.groupBy("tokens").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")), "signature-classes")
-    from .jaccard_join import prefixes, verified
+    from .jaccard_join import _meets, prefixes, verified
 
     part = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    posted = prefixes(classes, percent, 1).select("token", "cid", "n", part.alias("part"))
-    low = posted.select("token", F.col("cid").alias("u"), F.col("n").alias("un"), F.col("part"))
-    high = posted.select("token", F.col("cid").alias("v"), F.col("n").alias("vn"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("part").alias("own"))
-    bound = (F.col("un") * 100 >= F.col("vn") * percent) & (F.col("vn") * 100 >= F.col("un") * percent)
-    met = low.join(high, ["token", "part"]).filter(bound & F.when(F.col("own") == F.col("part"), F.col("u") < F.col("v")).otherwise(F.lit(True)))
-    pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    posted = prefixes(classes, percent, 1).select("token", "cid", "n", "pos", "k", part.alias("part"))
+    low = posted.select("token", "part", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "pos", "k")))
+    high = posted.select("token", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("part").alias("own"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "n", "pos", "k")))
+    once = F.when(F.col("own") == F.col("part"), F.col("a_cid") < F.col("b_cid")).otherwise(F.lit(True))
+    met = low.join(high, ["token", "part"]).filter(once & _meets("a_", "b_", percent))
+    pairs = met.select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
     return verified(pairs, classes, percent)
