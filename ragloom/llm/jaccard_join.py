@@ -7,7 +7,8 @@
 2. Among these, shingles are ordered by document frequency. With t = ceil(T * n), two linked sets share at least k
    shingles among their first n - t + k ones. Each document picks its own k: it lengthens its prefix while the
    estimated candidates (the sum of the prefix's frequencies, divided by k) get cheap enough to pay for it; a pair must
-   share min(k_a, k_b) shingles of the prefixes for that k before it is verified.
+   share min(k_a, k_b) shingles of the prefixes for that k, cut to the overlap that its two sizes need, before it is
+   verified.
 3. Groups of near copies are first linked by stars: each prefix shingle pairs its documents with one pivot, and only
    verified links count. Then every pair of documents that share prefix shingles and lie in different components so far
    is counted against the multi-match bound and verified. A pair inside one component adds nothing to reachability, so
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_blocks, block_count, input_bytes, stored
+from .common import as_blocks, block_count, enter, input_bytes, stored
 from .components import components
 from .sketches import SKETCH, Repeated, merged, partition_sketch, width_bits
 from .words import Words, text_bytes
@@ -39,10 +40,13 @@ PERCENT = 80
 LEVELS = 4
 VERIFY = 30
 STARS = 2
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 16
 
 
 def _shingles(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct shingle hashes and their document rows, in document order."""
+    enter()
     data, offsets = text_bytes(table["text"])
     words = Words(data, offsets, lower=True)
     h, at = words.windows(k)
@@ -61,34 +65,36 @@ def _shingles(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     return h[keep], doc[keep], table.num_rows
 
 
-def _sets(docs: pa.Table, found: pa.Table, k: int, bits: int, percent: int) -> pa.Table:
+def _sets(docs: pa.Table, found: pa.Table, k: int, width: int, percent: int) -> pa.Table:
     if not docs.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "class": pa.array([], pa.binary()), "tokens": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "class": pa.array([], pa.binary()), "tokens": pa.array([], pa.list_(pa.int64())), "bits": pa.array([], pa.list_(pa.int64()))})
     h, doc, rows = _shingles(docs, k)
     n = np.bincount(doc, minlength=rows)
-    hits = np.bincount(doc[Repeated(found, bits)(h)], minlength=rows) if found.num_rows else np.zeros(rows, np.int64)
+    hits = np.bincount(doc[Repeated(found, width)(h)], minlength=rows) if found.num_rows else np.zeros(rows, np.int64)
     keep = (100 * hits >= percent * n) & (n > 0)
     first = np.concatenate([[0], np.cumsum(n)])
-    names, tokens = [None] * rows, [None] * rows
+    names, tokens, bits = [None] * rows, [None] * rows, [None] * rows
     for i in np.flatnonzero(keep).tolist():
         own = np.sort(h[first[i] : first[i + 1]])
         names[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
         tokens[i] = own.view(np.int64)
-    return pa.table({"doc_id": docs["doc_id"], "n": pa.array(n, pa.int64()), "class": pa.array(names, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        parity = np.bincount((own >> np.uint64(20)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+        bits[i] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+    return pa.table({"doc_id": docs["doc_id"], "n": pa.array(n, pa.int64()), "class": pa.array(names, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n and, for documents that may have a partner, class and tokens; stored in the shared folder."""
+    """doc_id, n and, for documents that may have a partner, class, tokens and bits (a parity bitmap); stored in the shared folder."""
     blocks, bits = block_count(docs), width_bits(input_bytes(docs))
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
     sketch = rows.groupBy("block").applyInArrow(lambda t: partition_sketch(t["block"][0].as_py(), _shingles(t, k)[0], bits), SKETCH)
     found = merged(sketch, max(8, blocks // 2)).repartition(blocks, "block")
-    sets = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _sets(a, b, k, bits, percent), "doc_id long, n long, class binary, tokens array<long>")
+    sets = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _sets(a, b, k, bits, percent), "doc_id long, n long, class binary, tokens array<long>, bits array<long>")
     return stored(sets, "sets")
 
 
 def prefixes(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
-    """token, cid, n, level (the least k whose prefix holds the token), k (the document's own)."""
+    """token, cid, n, pos (the token's place in the set's order, from 1), k (the document's own)."""
     each = classes.select("cid", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = each.join(shared, "token").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
@@ -100,8 +106,7 @@ def prefixes(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS) -
     cost: Column = F.array_min(F.array(*(F.struct((posts(k) * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("k")) for k in range(1, levels + 1))))["k"]
     chosen = base.withColumn("k", F.least(F.when(F.size("list") > 0, cost).otherwise(1), F.greatest(F.col("t"), F.lit(1))).cast("int"))
     rows = chosen.select("cid", "n", "t", "alone", "k", F.posexplode(F.slice("list", F.lit(1), size(F.col("k")))).alias("i", "x"))
-    level = F.greatest(F.lit(1), F.col("alone") + F.col("i") + 1 - F.col("n") + F.col("t")).cast("int")
-    return rows.select(F.col("x.token").alias("token"), "cid", "n", level.alias("level"), "k")
+    return rows.select(F.col("x.token").alias("token"), "cid", "n", (F.col("alone") + F.col("i") + 1).alias("pos"), "k")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -112,9 +117,18 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
     return both.select("u", "v", met.alias("met"), (F.size("u_tokens") + F.size("v_tokens") - met).alias("all")).filter(f"100 * met >= {percent} * all").select("u", "v")
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Set sizes that allow the threshold."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _meets(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the threshold, and a token that lies in both sets' prefixes for the overlap these two sizes need."""
+    n, m, k = F.col(f"{a}n"), F.col(f"{b}n"), F.least(f"{a}k", f"{b}k")
+    need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.col(f"{a}pos") <= n - need + k) & (F.col(f"{b}pos") <= m - need + k)
+
+
+def _near_bits(a: str, b: str, percent: int) -> Column:
+    """The symmetric difference is at least the number of bits in which the parity bitmaps differ."""
+    differ = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(BITMAP)), F.lit(0))
+    total = F.col(f"{a}n") + F.col(f"{b}n")
+    return differ <= total - 2 * F.floor((percent * total + 99 + percent) / (100 + percent))
 
 
 def class_links(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS, stars: int = STARS) -> DataFrame | None:
@@ -124,19 +138,17 @@ def class_links(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS
     for turn in range(stars + 1):
         own = postings if roots is None else postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
         own = own.withColumn("root", F.col("cid") if roots is None else F.coalesce("root", "cid"))
+        named = lambda df, side, *more: df.select("token", *(F.col(c).alias(f"{side}{c}") for c in ("cid", "n", "pos", "k", "root", *more)))
         order = F.col("cid") if not turn else F.xxhash64("cid", F.lit(turn))
-        pivots = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cid", "n", "root")).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = pivots.filter("low < high")
+        pivots = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cid", "n", "pos", "k", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         if turn < stars:
-            met = own.join(mixed.select("token", F.col("pivot.cid").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.root").alias("pr")), "token")
-            pairs = met.filter((F.col("root") != F.col("pr")) & _close("n", "pn", percent)).select(F.least("p", "cid").alias("u"), F.greatest("p", "cid").alias("v")).distinct()
+            met = named(own, "a_").join(named(pivots.select("token", "p.*"), "b_"), "token").filter((F.col("a_root") != F.col("b_root")) & _meets("a_", "b_", percent))
+            pairs = met.select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
         else:
-            rows = own.join(mixed.select("token"), "token", "left_semi")
-            a = rows.select("token", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "level", "k", "root")))
-            b = rows.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cid", "n", "level", "k", "root")))
-            k = F.least("a_k", "b_k")
-            met = a.join(b, (a["token"] == b["token"]) & (F.col("a_root") < F.col("b_root")) & _close("a_n", "b_n", percent) & (F.col("a_level") <= k) & (F.col("b_level") <= k))
-            pairs = met.groupBy(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first(k).alias("k")).filter("shared >= k").select("u", "v")
+            rows = own.join(pivots.select("token"), "token", "left_semi").join(classes.select("cid", "bits"), "cid")
+            a, b = named(rows, "a_", "bits"), named(rows, "b_", "bits")
+            met = a.join(b, (a["token"] == b["token"]) & (F.col("a_root") < F.col("b_root")) & _meets("a_", "b_", percent) & _near_bits("a_", "b_", percent))
+            pairs = met.groupBy(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("a_k", "b_k")).alias("k")).filter("shared >= k").select("u", "v")
         new = stored(verified(pairs, classes, percent), "links")
         if new.isEmpty():
             continue
@@ -149,8 +161,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     """Per document: doc_id, n_shingles, component_id."""
     sets = shingle_sets(docs, k, percent)
     some = sets.filter(F.col("class").isNotNull())
-    classes = stored(some.groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = class_links(classes.select("cid", "n", "tokens"), percent, levels)
+    classes = stored(some.groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    roots = class_links(classes.select("cid", "n", "tokens", "bits"), percent, levels)
     named = classes.select("class", "cid", "label")
     if roots is not None:
         rooted = named.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
