@@ -19,6 +19,11 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
 
 
+def hundredth_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, so the query set grows with the table."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
+
+
 VQ = f"q AS (SELECT vec_id AS query_id, embedding AS qvec, label AS qlabel FROM embeddings WHERE vec_id < {N_QUERIES})"
 SIM = "list_dot_product(qvec::DOUBLE[], embedding::DOUBLE[]) / ((sqrt(list_dot_product(qvec::DOUBLE[], qvec::DOUBLE[])) + 1e-8) * (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8))"
 VHITS = f"{VQ}, v AS (SELECT query_id, vec_id, {SIM} AS score FROM q, embeddings), vh AS (SELECT query_id, vec_id, score FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) <= 40)"
@@ -31,7 +36,7 @@ def ret1_srt3_vector_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ret2_clustered_search(spark: SparkSession, sf: str) -> DataFrame:
-    return R.clustered_search(vector_queries(spark, sf), table(spark, sf, "embeddings"), k=10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return R.clustered_search(hundredth_vectors(spark, sf), table(spark, sf, "embeddings"), k=10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +45,11 @@ def text_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").filter(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
+def hundredth_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole texts of the benchmark items whose id is divisible by 100."""
+    return table(spark, sf, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
 def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("user_id"), F.col("text").alias("content"))
 
@@ -54,8 +64,8 @@ bm AS (SELECT query_id, chunk_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) *
 th AS (SELECT query_id, chunk_id, score FROM bm WHERE met >= least(need, nt) AND score >= 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 40)"""
 
 
-def text_hits(spark: SparkSession, sf: str) -> DataFrame:
-    hits = R.bm25(text_queries(spark, sf), R.postings(whole_documents(spark, sf)), k=10**6, tenant=False)
+def text_hits(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
+    hits = R.bm25(text_queries(spark, sf) if asked is None else asked, R.postings(whole_documents(spark, sf)), k=10**6, tenant=False)
     return R.top_k(hits.withColumn("s9", F.round("score", 9)), 40, "query_id", [F.desc("s9"), F.asc("chunk_id")]).select("query_id", "chunk_id", F.col("s9").alias("score"))
 
 
@@ -96,10 +106,10 @@ def ret6_failover_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ret8_ret9_ret10_ret11_ret13_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole path: two searches, fusion to 40, local rerank to 10, hydration, context."""
-    q = vector_queries(spark, sf)
+    q = hundredth_vectors(spark, sf)
     vectors = table(spark, sf, "embeddings")
     v = R.vector_search(q, vectors).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
-    best = R.rerank_local(R.fuse(v, text_hits(spark, sf)), q, vectors)
+    best = R.rerank_local(R.fuse(v, text_hits(spark, sf, hundredth_texts(spark, sf))), q, vectors)
     text = whole_documents(spark, sf).select("chunk_id", "content").withColumn("parent_content", F.lit(None).cast("string"))
     packed = R.pack_context(best.join(text, "chunk_id"))
     return packed.select("query_id", "n_used", F.md5("context").alias("context_md5"))
@@ -154,9 +164,9 @@ def eva4_agg7_macro(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def eva5_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Twelve parameter pairs in one job: fused scores for all, then metrics per pair."""
-    q, e = vector_queries(spark, sf), table(spark, sf, "embeddings")
+    q, e = hundredth_vectors(spark, sf), table(spark, sf, "embeddings")
     v = R.vector_search(q, e).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"), "score")
-    lists = R.ranked(v).withColumn("engine", F.lit("v")).unionByName(R.ranked(text_hits(spark, sf)).withColumn("engine", F.lit("t")))
+    lists = R.ranked(v).withColumn("engine", F.lit("v")).unionByName(R.ranked(text_hits(spark, sf, hundredth_texts(spark, sf))).withColumn("engine", F.lit("t")))
     grid = spark.createDataFrame([(k, w) for k in (10, 30, 60, 100) for w in (0.3, 0.5, 0.7)], "k int, vw double")
     part = F.when(F.col("engine") == "v", F.col("vw")).otherwise(1 - F.col("vw")) / (F.col("k") + F.col("rank0") + 1)
     fused = lists.join(F.broadcast(grid)).groupBy("k", "vw", "query_id", "chunk_id").agg(F.sum(part).alias("score"))
