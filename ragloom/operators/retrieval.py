@@ -172,8 +172,11 @@ def lost_data(queries: DataFrame, results: DataFrame, chunks: DataFrame) -> Data
     return queries.join(results.select("query_id").distinct(), "query_id", "left_anti").join(chunks.select("user_id").distinct(), "user_id", "left_semi").select("query_id", "user_id")
 
 
-def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 16, probes: int = 4, k: int = 40, seed: int = 7) -> DataFrame:
-    """Approximate vector search: k-means cells over the vectors; a query looks into its nearest ``probes`` cells."""
+def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, probes: int = 44, k: int = 40, seed: int = 7) -> DataFrame:
+    """Approximate vector search: k-means cells over the vectors; a query looks into its nearest ``probes`` cells.
+
+    Queries go in blocks as in ``vector_search``: a task multiplies each cell's vectors with the queries that probe it.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -181,10 +184,36 @@ def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 16, pr
     model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     centers = np.array(model.clusterCenters())
     centers /= np.linalg.norm(centers, axis=1, keepdims=True) + 1e-12
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centers))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    order = F.slice(F.reverse(F.array_sort(F.transform(table, lambda c, i: F.struct(dot(F.col("qvec"), c).alias("s"), i.alias("cell"))))), 1, probes)
-    asked = queries.select("query_id", "qvec", F.explode(order).alias("near")).select("query_id", "qvec", F.col("near.cell").alias("cell"))
     placed = model.transform(points).select("vec_id", "embedding", F.col("prediction").alias("cell"))
-    norm = F.sqrt(dot(F.col("qvec"), F.col("qvec"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    return top_k(placed.join(asked, "cell").select("query_id", "vec_id", (dot(F.col("qvec"), F.col("embedding")) / (norm + 1e-8)).alias("score")), k, "query_id", [F.desc("score"), F.asc("vec_id")])
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
+
+    def search(block: list) -> DataFrame:
+        ids = np.array([r.query_id for r in block])
+        mat = np.array([r.qvec for r in block], float)
+        mat /= np.linalg.norm(mat, axis=1, keepdims=True) + 1e-8
+        near = np.zeros((len(ids), len(centers)), bool)
+        np.put_along_axis(near, np.argsort(-(mat @ centers.T), axis=1, kind="stable")[:, :probes], True, 1)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for cell, rows in pdf.groupby("cell"):
+                    asking = np.flatnonzero(near[:, cell])
+                    if not len(asking):
+                        continue
+                    v = np.stack(rows["embedding"].to_numpy()).astype(float)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
+                    sims = mat[asking] @ v.T
+                    vid = rows["vec_id"].to_numpy()
+                    top = np.lexsort((np.broadcast_to(vid, sims.shape), -sims), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[asking], top.shape[1]), "vec_id": vid[top].ravel(), "score": np.take_along_axis(sims, top, 1).ravel()})
+
+        return placed.mapInPandas(best, schema)
+
+    hits, block = vectors.sparkSession.createDataFrame([], schema), []
+    for row in queries.select("query_id", "qvec").orderBy("query_id").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            hits, block = hits.unionByName(search(block)), []
+    if block:
+        hits = hits.unionByName(search(block))
+    return top_k(hits, k, "query_id", [F.desc("score"), F.asc("vec_id")])

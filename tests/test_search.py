@@ -18,3 +18,14 @@ def test_query_sets(spark):
     whole = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect() if r.item_id % 100 == 0}
     assert {r.query_id: r.text for r in search.hundredth_texts(spark, SF).collect()} == whole
     assert max(len(t.split()) for t in whole.values()) > 5
+
+
+def test_clustered_recall(spark):
+    """recall@10 of the registered query against the exact search, at three sizes of table."""
+    for sf in (SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        got = {(r.query_id, r.vec_id) for r in search.ret2_clustered_search(spark, sf).collect()}
+        want = {(r.query_id, r.vec_id) for r in R.vector_search(search.hundredth_vectors(spark, sf), table(spark, sf, "embeddings"), k=10).collect()}
+        assert want and len(got) == len(want)
+        recall = len(got & want) / len(want)
+        print(sf, "recall@10", recall)
+        assert recall >= 0.9
