@@ -3,14 +3,15 @@
 Two words are compared by the gap-weighted subsequence kernel: every choice of three characters, in order and within
 ``SPAN`` places, counts with ``DECAY`` to the power of the places it covers; the kernel is normalised. Inserted or
 dropped characters leave most such triples in place. Landmark words are chosen by pivoted Cholesky; a linear SVM
-(squared hinge) is fitted on the Nystroem features of words taken from labelled sentences: words far more frequent in
-sentences of toxic documents against words of clean ones. Since the kernel has explicit features, the fitted machine
+(squared hinge) is fitted on the Nystroem features of words taken from labelled documents: words far more frequent in
+toxic documents against words of clean ones. The kernel runs on single words, not on sentences or phrases. Since the kernel has explicit features, the fitted machine
 folds into one weight per triple, which scores any word exactly as the landmarks would. A document's score is a
 logistic function of its best words' margins, fitted on the training documents.
 
 The machine is fitted in one task from at most ``TRAIN`` toxic and ``TRAIN`` clean labelled documents (all there are
 below that), chosen by hash of doc_id among rows that the caller allows. Scoring reads whole texts of all documents in
-one pass without a shuffle; each distinct word is scored once per worker.
+one pass without a shuffle; each distinct word is scored once per worker. Words end at Unicode white space; one of more
+than ``WHOLE`` bytes is scored in overlapping pieces, of which the best counts, so no byte of a text is left out.
 
 Defined cases: null or empty text has the score of a text without words; without both kinds of labels every score is
 0; repeated rows give repeated rows; a null doc_id is never learnt from and is not held out; an empty table gives an
@@ -41,8 +42,12 @@ DECAY = 0.6
 SPAN = 5
 CACHED = 1_000_000
 BITS = 6
+#: A longer word (bytes) is cut into pieces of PIECE bytes that begin every STEP bytes.
+WHOLE, PIECE, STEP = 64, 24, 12
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _DROP = bytes(c for c in range(128) if not chr(c).isalpha())
+#: White space outside what bytes.split() knows: 0x1C to 0x1F and, in UTF-8, U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+_WIDE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SPACED = re.compile(rb"(?:(?<=\s)|\A)(?:[^\s]\s){3,}[^\s](?=\s|\Z)")
 
 
@@ -58,11 +63,18 @@ _ALPHABET = _alphabet()
 _SHAPES = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """The word, or overlapping pieces of a long one; any run of PIECE - STEP bytes lies whole in one of them."""
+    if len(word) <= WHOLE:
+        return [word]
+    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE + STEP, STEP)]
+
+
 def forms(word: bytes) -> list[bytes]:
-    """A word without signs at its edges and, if signs or digits are left inside, without these."""
+    """A word without signs at its edges and, if signs or digits are left inside, without these; long ones in pieces."""
     bare = word.strip(_EDGE)
     letters = bare.translate(None, _DROP)
-    return [bare[:64]] if letters == bare else [bare[:64], letters[:64]]
+    return pieces(bare) if letters == bare else pieces(bare) + pieces(letters)
 
 
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +126,8 @@ class Machine:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             shapes = [forms(w) for w in part]
-            margin = self.margins([f for fs in shapes for f in fs])
+            flat = [f for fs in shapes for f in fs]
+            margin = np.concatenate([self.margins(flat[i : i + 20_000]) for i in range(0, len(flat), 20_000)])
             first = np.concatenate([[0], np.cumsum([len(fs) for fs in shapes])])
             known.update(zip(part, np.maximum.reduceat(margin, first[:-1]).tolist(), strict=True))
 
@@ -137,9 +150,9 @@ class Machine:
 
 def bag(text: bytes) -> set[bytes]:
     """A text's distinct lower-cased words; letters set apart by spaces also as one word."""
-    low = text.lower()
+    low = _WIDE.sub(b" ", text.lower())
     words = set(low.split())
-    if sum(len(w) == 1 for w in words) > 3:
+    if any(len(w) == 1 for w in words):
         words.update(re.sub(rb"\s", b"", m) for m in _SPACED.findall(low))
     return words
 

@@ -378,6 +378,27 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.0] * 3
 
 
+def test_toxicity_reads_whole_words():
+    rng = random.Random(8)
+    clean = ["".join(rng.choices(["an", "the", "or", "in", "ble", "sh", "ed"], k=rng.randint(2, 4))).encode() for _ in range(400)]
+    bags = [set(rng.choices(clean, k=30)) | ({b"zogmuk", b"plixtar"} if i % 4 == 0 else set()) for i in range(400)]
+    machine = toxicity.fit(bags, np.arange(400) % 4 == 0)
+
+    def best(text: str) -> float:
+        return machine.features([toxicity.bag(text.encode())])[0, 0]
+
+    assert best("zogmuk") > 0 > best("thean")
+    assert best("这是一个没有空格的句子" * 4 + "zogmuk" + "后面还有很多文字" * 4) > best("这是一个没有空格的句子" * 4 + "后面还有很多文字" * 4)
+    assert best("an/" * 40 + "zogmuk") > best("an/" * 42)  # after byte 64
+    for space in "\u00a0\u2003\u3000\u2028\x85\x1f":
+        assert toxicity.bag(f"thean{space}zogmuk".encode()) == {b"thean", b"zogmuk"}
+    assert b"aaaa" in toxicity.bag(b"an a a a a or") and b"abab" in toxicity.bag(b"or a b a b")
+    for n in range(200):
+        word = bytes(rng.randrange(97, 123) for _ in range(n))
+        cut = toxicity.pieces(word)
+        assert all(any(word[i : i + 12] in x for x in cut) for i in range(max(1, n - 11)))
+
+
 def test_kernel_explicit_features():
     def kernel(a, b):
         def features(w):
