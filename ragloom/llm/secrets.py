@@ -4,7 +4,7 @@ Base kinds are matched by pattern: ``assign`` (a secret-like name with a value),
 ``hex`` (long digests). Weak parts alone mean nothing: a name-like identifier, a mixed-character token, a URL. They
 are linked by an interval join inside their scopes: each weak token's scope is the interval ``reach`` code points to
 either side, cut at blank lines, and it is reported (``weak_secret``) only if an identifier (``access`` or
-``weak_id``) lies in it; that identifier (if weak) and the endpoints in the scope are reported with it.
+``weak_id``) overlaps it; that identifier (if weak) and the endpoints in the scope are reported with it.
 
 A batch is scanned as one byte buffer: literal searches and a strided test for hex runs choose the documents that
 need their patterns run, so text without any candidate costs a few linear passes. Documents are never split or cut.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 WEAK_ID = re.compile(rb"""(?<![A-Za-z0-9])(?:client|account|access|user|tenant|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""", re.I)
 WEAK_ID_NAMES = tuple(a + b + c for a in (b"client", b"account", b"access", b"user", b"tenant", b"key") for b in (b"", b"_", b"-") for c in (b"id", b"name"))
-WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(rb"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x00-\x20"'<>]+""")
 #: Code points to either side of a weak token in which its complement must lie.
 REACH = 300
@@ -60,6 +61,19 @@ def _mixed(token: bytes) -> bool:
     return sum(k is not None for k in kinds) >= 3 and max(token.count(c) for c in set(token)) * 4 <= len(token)
 
 
+def _scope(leads: np.ndarray | None, s: int, e: int, reach: int) -> tuple[int, int]:
+    """Byte offsets ``reach`` code points before s and after e; ``leads`` are the code points' first bytes, None if all are ASCII."""
+    if leads is None:
+        return s - reach, e + reach
+    a, b = np.searchsorted(leads, (s, e))
+    return int(leads[max(a - reach, 0)]), int(leads[b + reach]) if b + reach < len(leads) else int(leads[-1]) + 4
+
+
+def _overlapping(spans: list, at: list[int], to: list[int], lo: int, hi: int) -> list:
+    """Spans that share a byte with lo to hi; ``at`` are their starts in order, ``to`` the greatest end up to each."""
+    return [x for x in spans[bisect_right(to, lo) : bisect_left(at, hi)] if x[1] > lo]
+
+
 def _linked(raw: bytes, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
     """Interval join of weak tokens' scopes with identifiers and endpoints."""
     ids = [(s, e, None) for k, s, e in base if k == 1] + [(m.start(), m.end(), (3, m.start(), m.end())) for m in WEAK_ID.finditer(raw)]
@@ -68,6 +82,8 @@ def _linked(raw: bytes, base: list[tuple[int, int, int]], reach: int) -> list[tu
     ids.sort(key=lambda x: x[:2])
     ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(raw)]
     id_at, end_at = [x[0] for x in ids], [x[0] for x in ends]
+    id_to, end_to = (list(accumulate((x[1] for x in xs), max)) for xs in (ids, ends))
+    leads = None if raw.isascii() else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     taken = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, _ in ids] + ends)
     taken_at = [s for s, _ in taken]
     longest = max((e - s for s, e in taken), default=0)
@@ -78,13 +94,14 @@ def _linked(raw: bytes, base: list[tuple[int, int, int]], reach: int) -> list[tu
         if any(taken[i][1] > s for i in range(bisect_left(taken_at, s - longest), bisect_left(taken_at, e))) or not _mixed(m[0]):
             continue
         g = bisect_right(gaps, s)
-        lo = max(s - reach, gaps[g - 1] if g else 0)
-        hi = min(e + reach, gaps[g] if g < len(gaps) else len(raw))
-        near = ids[bisect_left(id_at, lo) : bisect_left(id_at, hi)]
+        lo, hi = _scope(leads, s, e, reach)
+        lo = max(lo, gaps[g - 1] if g else 0)
+        hi = min(hi, gaps[g] if g < len(gaps) else len(raw))
+        near = _overlapping(ids, id_at, id_to, lo, hi)
         if near:
             out.add((4, s, e))
             out.update(x[2] for x in near if x[2])
-            out.update((5, *x) for x in ends[bisect_left(end_at, lo) : bisect_left(end_at, hi)])
+            out.update((5, *x) for x in _overlapping(ends, end_at, end_to, lo, hi))
     return sorted(out)
 
 
