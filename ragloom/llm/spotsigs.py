@@ -176,6 +176,17 @@ def signature_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n long, tokens array<long>")
 
 
+def memberships(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id for every row: the representative (smallest doc_id) of its signature set, to go with ``near_duplicates``.
+
+    Rows with equal sets, texts without words among them, are one class. A null doc_id is kept; a class of such rows alone
+    has a null class_id.
+    """
+    sets = stored(signature_sets(docs), "signature-members")
+    classes = sets.groupBy("tokens").agg(F.min("doc_id").alias("class_id"))
+    return sets.join(classes, "tokens").select("doc_id", "class_id")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """u, v: pairs of representatives (smallest doc_id of each distinct set) whose sets reach the similarity, once each.
 

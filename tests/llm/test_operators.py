@@ -224,6 +224,20 @@ def test_signature_join(spark, texts):
     assert sorted(tuple(r) for r in spotsigs.near_duplicates(make(spark, rows)).collect()) == want
 
 
+def test_signature_memberships(spark, texts):
+    rows = [*(x for x in texts if x[0] not in (10, 301)), (9001, texts[0][1]), (9002, texts[0][1]), (None, texts[0][1]), (9003, ""), (9004, None)]
+    docs = make(spark, rows)
+    sets: dict = {}
+    for r in spotsigs.signature_sets(docs).collect():
+        sets.setdefault(frozenset(r.tokens), []).append(r.doc_id)
+    want = [(d, min((x for x in v if x is not None), default=None)) for v in sets.values() for d in v]
+    got = [tuple(r) for r in spotsigs.memberships(docs).collect()]
+    key = lambda x: tuple((i is not None, i or 0) for i in x)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == len(rows)
+    reps = {c for _, c in got}
+    assert {x for r in spotsigs.near_duplicates(docs).collect() for x in r} <= reps
+
+
 def model_kneser_ney(train, text):
     """Plain dictionaries, for one language."""
     from collections import Counter, defaultdict
