@@ -32,7 +32,6 @@ from .words import text_bytes
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 #: Occurrences from which a rule is worth its entry.
 FREQUENT = 12
 MAGIC = b"RPG1"
@@ -40,21 +39,25 @@ HEAD = struct.Struct("<4sIIIII")
 _BITS = 21
 
 
-def compress(ids: np.ndarray, end: int, vocabulary: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with frequent pairs replaced, and the rules: rule r expands symbol vocabulary + r to its pair."""
+def compress(ids: np.ndarray, end: int, vocabulary: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence with frequent pairs replaced until none is left, and the rules: rule r expands symbol vocabulary + r to its pair."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    base, wide = vocabulary, vocabulary >= 65536
-    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)  # symbols below 65536 leave a pair in 32 bits
-    odd, down, low = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1), kind((64 if wide else 32) - _BITS), kind((1 << shift) - 1)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    base = vocabulary
+    while len(seq) > 1:
+        wide = base >= 65536
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)  # symbols below 65536 leave a pair in 32 bits
+        odd, down, low = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1), kind((64 if wide else 32) - _BITS), kind((1 << shift) - 1)
         symbols = seq.astype(kind, copy=False)
         code = (symbols[:-1] << kind(shift)) | symbols[1:]
         spot = (code * odd) >> down
-        common = np.bincount(spot, minlength=1 << _BITS) >= frequent
-        some = np.sort(code[common[spot]])
+        apart = np.ones(len(code), bool)  # in a run of one symbol, every other pair
+        same = np.flatnonzero(symbols[:-1] == symbols[1:])
+        if len(same):
+            begin = np.concatenate([[True], same[1:] != same[:-1] + 1])
+            apart[same] = (same - same[begin][np.cumsum(begin) - 1]) % 2 == 0
+        common = np.bincount(spot[apart], minlength=1 << _BITS) >= frequent
+        some = np.sort(code[common[spot] & apart])
         new = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
         counts, pairs = np.diff(new), some[new[:-1]]
         keep = (counts >= frequent) & (pairs >> kind(shift) != end) & (pairs & low != end)
@@ -62,7 +65,7 @@ def compress(ids: np.ndarray, end: int, vocabulary: int, rounds: int = ROUNDS, f
         room = len(pairs) if wide else 65536 - base
         lefts, rights, chosen = set(), set(), []
         for pair, left, right in zip(pairs.tolist(), (pairs >> kind(shift)).tolist(), (pairs & low).tolist(), strict=True):
-            if left == right or left in rights or right in lefts:
+            if left in rights or right in lefts:
                 continue
             if len(chosen) >= room:
                 break
@@ -81,17 +84,14 @@ def compress(ids: np.ndarray, end: int, vocabulary: int, rounds: int = ROUNDS, f
         mine = slot[spot]
         where = np.flatnonzero(mine)
         which = mine[where].astype(np.int64) - 1
-        right = picked[which] == code[where]
+        right = (picked[which] == code[where]) & apart[where]
         where, which = where[right], which[right]
         seq[where] = (base + which).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
-        before = len(seq)
         seq = seq[stay]
         rules.append(np.stack([picked >> kind(shift), picked & low], 1).astype(np.uint32))
         base += len(picked)
-        if len(seq) > 0.985 * before:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 

@@ -183,6 +183,21 @@ def test_grammar_round_trip(vocabulary):
         assert shard.ids(start, n).tolist() == ids[start : start + n].tolist()
 
 
+@pytest.mark.parametrize("vocabulary", [300, 65_530, 70_000])
+def test_grammar_leaves_no_frequent_pair(vocabulary):
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([np.tile(rng.integers(2, 290, 200), 40), rng.integers(2, 40, 5000), [1], np.full(500, 7), np.tile([9, 9, 8], 30), [1, 1]]).astype("<u4")
+    seq, rules = grammar_ids.compress(ids, 1, vocabulary)
+    shard = grammar_ids.Shard(grammar_ids.write_shard([1, 2, 3], ids.tobytes(), 1, vocabulary))
+    assert shard.all() == ids.tobytes() and shard.sizes.max() >= 100
+    counts: dict = {}
+    at: dict = {}
+    for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+        if 1 not in pair and at.get(pair) != i - 1:
+            counts[pair], at[pair] = counts.get(pair, 0) + 1, i
+    assert max(counts.values(), default=0) < grammar_ids.FREQUENT
+
+
 def test_token_shards(spark, texts):
     rows = [x for x in texts if x[0] not in (10, 301)]
     enc = tokens.encoder(packing.TOKENIZER)
