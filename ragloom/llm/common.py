@@ -1,11 +1,15 @@
-"""What the operators of this subpackage share: shared-folder tables, block counts, crc32."""
+"""What the operators of this subpackage share: shared-folder tables, block counts, worker caches."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: What this Python worker keeps between tasks: owner and how to drop it.
 _kept: dict[str, Callable[[], None]] = {}
+_last: list[str | None] = [None]
 
 
 def keeps(owner: str, drop: Callable[[], None]) -> None:
@@ -21,11 +26,21 @@ def keeps(owner: str, drop: Callable[[], None]) -> None:
 
 
 def enter(owner: str | None = None) -> None:
-    """Called where a worker begins an operator's work: other operators' caches in this worker go."""
-    for name in [n for n in _kept if n != owner]:
+    """Called where a worker begins an operator's work: other operators' caches in this worker go, and freed memory with them."""
+    gone = [n for n in _kept if n != owner]
+    for name in gone:
         _kept.pop(name)()
+    if gone or owner != _last[0]:
+        _last[0] = owner
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Compressed input bytes that one block (one task's documents) should hold.
@@ -36,6 +51,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken, whatever the case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("ragloom.scratch.dir", None)
@@ -47,12 +70,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables in the shared folder by the DataFrame that reads them, and all that are there.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_there: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends there and survives lost executors."""
+    """``df`` written as a table in the shared folder and read back: lineage ends there and survives lost executors.
+
+    The table goes when ``discard`` or the end of a ``scratch`` block says so, at the latest with the driver's Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _there[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _there.pop(path, None)
+    if spark is not None:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            _remove(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside are removed at the end: for a caller who has written the operators' results by then."""
+    before = set(_there)
+    try:
+        yield
+    finally:
+        for path in [p for p in _there if p not in before]:
+            _remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_there):
+        with suppress(Exception):  # the session may have ended
+            _remove(path)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -67,7 +134,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(8, min(1 << 20, -(-input_bytes(df) // block_bytes)))
+    return max(8, -(-input_bytes(df) // block_bytes))
 
 
 def as_blocks(df: DataFrame, blocks: int, key: Column) -> DataFrame:

@@ -1,10 +1,16 @@
 """Sharded count-min sketches over blocks of documents.
 
 A full-width sketch per task would grow with the corpus, so every block sends, for each sketch row, only the cells it
-touched, as delta-coded sorted lists cut at shard borders. One group per shard adds up the blocks' lists in a dense
-array of its own slice of the row (a cell counts at most two per block) and sends each block the cells whose merged
-count is two or more. Counts are never too small, so no repeated item is missed; a cell shared by two different items
-only makes a candidate too many. Width grows with the input; no task holds more than one slice, nothing is broadcast.
+touched, as delta-coded sorted lists cut at the borders of ``1 << RANGE_BITS`` ranges. Merging has two levels, so that
+messages grow with the input and not with its square:
+
+1. One group per range and ``GROUP`` blocks joins these blocks' lists and deals the joined list to the range's shards.
+2. One group per shard adds the joined lists up in a dense array of its own slice of the row (a count stops at two)
+   and sends each first-level group the cells whose merged count is two or more.
+3. The first-level group sends each of its blocks those of the block's own cells.
+
+Counts are never too small, so no repeated item is missed; a cell shared by two different items only makes a candidate
+too many. Width grows with the input; no task holds more than one slice or ``GROUP`` lists, nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -17,66 +23,147 @@ from pyspark.sql import DataFrame
 from .words import mix
 
 ROWS = 2
-#: Cells of one shard.
+RANGE_BITS = 6
+GROUP = 128
+#: log2 of the cells of one shard, at most.
 SLICE_BITS = 24
-SKETCH = "shard int, block int, cells binary"
+LISTS = "range int, grp int, block int, cells binary, twice binary"
+JOINED = "shard long, range int, grp int, cells binary, twice binary"
+FOUND = "range int, grp int, shard long, cells binary"
+SKETCH = "range int, block int, cells binary"
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    """Rows as an Arrow table of a schema of ints, longs and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table({name: pa.array(col, kinds[kind]) for (name, kind), col in zip(fields, cols, strict=True)})
 
 
 def width_bits(input_bytes: int) -> int:
     """log2 of the cells in a row: about eight for each word of text (compressed input holds a word in about 4 bytes)."""
-    return max(SLICE_BITS + 3, min(44, (max(1, input_bytes) * 2 - 1).bit_length()))
+    return max(27, (max(1, input_bytes) * 2 - 1).bit_length())
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (h if not row else mix(h, 100 + row)) >> np.uint64(64 - bits)
 
 
-def pack_cells(sorted_cells: np.ndarray) -> bytes:
-    """Delta-coded, low and high bytes apart, compressed."""
-    gaps = np.diff(sorted_cells, prepend=np.uint64(0)).astype(np.uint32)
-    planes = gaps.view(np.uint8).reshape(-1, 4)
-    return len(gaps).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+def pack(numbers: np.ndarray) -> bytes:
+    """Sorted unsigned numbers: delta-coded, byte planes apart, compressed."""
+    return pack_planes(np.diff(numbers.astype(np.uint64, copy=False), prepend=np.uint64(0)))
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack_planes(raw), dtype=np.uint64)
+
+
+def pack_planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, as many low byte planes as the largest needs."""
+    n = len(numbers)
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if n else 1
+    planes = np.ascontiguousarray(numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return n.to_bytes(4, "little") + bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
 
+def unpack_planes(raw: bytes) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[5:], max_output_size=max(1, width * n)), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
 
-def unpack_cells(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:], max_output_size=max(1, 4 * n)), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.int64)
+
+def flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def range_cuts(sorted_numbers: np.ndarray, bits: int, parts_bits: int) -> list[int]:
+    """Where each of ``1 << parts_bits`` equal ranges of ``bits``-bit numbers begins, and the end."""
+    borders = np.arange(1 << parts_bits, dtype=np.uint64) << np.uint64(bits - parts_bits)
+    return [*np.searchsorted(sorted_numbers, borders).tolist(), len(sorted_numbers)]
+
+
+def fine_bits(bits: int) -> int:
+    """log2 of the shards of one range."""
+    return max(0, bits - RANGE_BITS - SLICE_BITS)
 
 
 def partition_sketch(block: int, h: np.ndarray, bits: int) -> pa.Table:
-    """A block's rows (shard, block, cells). ``h`` has an item once for each document that holds it."""
-    shards, out = 1 << (bits - SLICE_BITS), []
+    """A block's lists; an item that stands in ``h`` twice counts as repeated."""
+    out = []
     for row in range(ROWS):
         c = np.sort(cells(h, row, bits))
-        third = np.ones(len(c), bool)
-        third[2:] = c[2:] != c[:-2]  # a count above two says no more than two
-        c = c[third]
-        cuts = np.searchsorted(c, np.arange(shards + 1, dtype=np.uint64) << np.uint64(SLICE_BITS))
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                out.append((row * shards + s, pack_cells(c[cuts[s] : cuts[s + 1]] - (np.uint64(s) << np.uint64(SLICE_BITS)))))
-    return pa.table({"shard": pa.array([x for x, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "cells": pa.array([x for _, x in out], pa.binary())})
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    count = np.zeros(1 << SLICE_BITS, np.uint8)
-    lists = [unpack_cells(x.as_py()) for x in table["cells"]]
-    for c in lists:
-        again = c[1:][c[1:] == c[:-1]]
-        once = c if not len(again) else np.unique(c)
-        count[once] = np.minimum(count[once] + 1, 3)
-        count[again] = np.minimum(count[again] + 1, 3)
+        new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        c, twice = c[new], np.diff(new, append=len(c)) > 1
+        cuts = range_cuts(c, bits, RANGE_BITS)
+        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                low = np.uint64(r << (bits - RANGE_BITS))
+                out.append(((row << RANGE_BITS) + r, block // GROUP, block, pack(c[a:b] - low), np.packbits(twice[a:b]).tobytes()))
+    return table_of(LISTS, out)
+
+
+def _join(table: pa.Table, bits: int) -> pa.Table:
+    """A first-level group's cells, each once, dealt to the shards of its range."""
+    lists = [unpack(x.as_py()) for x in table["cells"]]
+    again = [c[flags(x.as_py(), len(c))] for c, x in zip(lists, table["twice"], strict=True)]
+    c = np.sort(np.concatenate(lists))
+    new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    c, twice = c[new], np.diff(new, append=len(c)) > 1
+    twice[np.searchsorted(c, np.concatenate(again))] = True
+    fine, width = fine_bits(bits), bits - RANGE_BITS
+    cuts = range_cuts(c, width, fine)
+    r, grp, out = table["range"][0].as_py(), table["grp"][0].as_py(), []
+    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            out.append(((r << fine) + s, r, grp, pack(c[a:b] - np.uint64(s << (width - fine))), np.packbits(twice[a:b]).tobytes()))
+    return table_of(JOINED, out)
+
+
+def _add(table: pa.Table, bits: int) -> pa.Table:
+    """A shard's cells whose merged count is two or more, for each first-level group that has them."""
+    count = np.zeros(1 << (bits - RANGE_BITS - fine_bits(bits)), np.uint8)
+    lists = [unpack(x.as_py()).astype(np.int64) for x in table["cells"]]
+    for c, x in zip(lists, table["twice"], strict=True):
+        count[c] = np.minimum(count[c] + 1 + flags(x.as_py(), len(c)), 2)
+    rows = zip(table["range"].to_pylist(), table["grp"].to_pylist(), table["shard"].to_pylist(), lists, strict=True)
+    return table_of(FOUND, [(r, g, s, pack(c[count[c] >= 2])) for r, g, s, c in rows])
+
+
+def _tell(lists: pa.Table, found: pa.Table, bits: int) -> pa.Table:
+    """Each block's own cells among a first-level group's repeated ones."""
     out = []
-    for c in lists:
-        c = np.unique(c)
-        out.append(pack_cells(c[count[c] >= 2].astype(np.uint64)))
-    return table.set_column(2, "cells", pa.array(out, pa.binary()))
-
-
-def merged(sketch: DataFrame, shards_hint: int) -> DataFrame:
-    """shard, block and the block's cells whose merged count is two or more."""
-    return sketch.repartition(shards_hint, "shard").groupBy("shard").applyInArrow(_merge, SKETCH)
+    if lists.num_rows and found.num_rows:
+        fine = fine_bits(bits)
+        width, mask = bits - RANGE_BITS - fine, (1 << fine) - 1
+        parts = sorted(zip(found["shard"].to_pylist(), (x.as_py() for x in found["cells"]), strict=True))
+        known = np.concatenate([unpack(raw) + np.uint64((s & mask) << width) for s, raw in parts])
+        r = lists["range"][0].as_py()
+        for block, raw in zip(lists["block"].to_pylist(), lists["cells"], strict=True):
+            c = unpack(raw.as_py())
+            at = np.searchsorted(known, c)
+            hit = at < len(known)
+            hit[hit] = known[at[hit]] == c[hit]
+            if hit.any():
+                out.append((r, block, pack(c[hit])))
+    return table_of(SKETCH, out)
+
+
+def level_parts(blocks: int) -> int:
+    """Partitions of the first level: no more than it has groups."""
+    return max(8, min(blocks, (ROWS << RANGE_BITS) * -(-blocks // GROUP)))
+
+
+def merged(lists: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """range, block and the block's cells whose merged count is two or more."""
+    parts = level_parts(blocks)
+    lists = lists.repartition(parts, "range", "grp")
+    joined = lists.groupBy("range", "grp").applyInArrow(lambda t: _join(t, bits), JOINED)
+    found = joined.repartition(max(8, blocks // 4), "shard").groupBy("shard").applyInArrow(lambda t: _add(t, bits), FOUND)
+    found = found.repartition(parts, "range", "grp").groupBy("range", "grp")
+    return lists.groupBy("range", "grp").cogroup(found).applyInArrow(lambda a, b: _tell(a, b, bits), SKETCH)
 
 
 #: Bits of the table a block looks its own cells up in; a clash only makes a candidate too many.
@@ -87,11 +174,11 @@ class Repeated:
     """Which of a block's items may be repeated."""
 
     def __init__(self, table: pa.Table, bits: int):
-        shards = 1 << (bits - SLICE_BITS)
         self.bits, self.seen = bits, np.zeros((ROWS, 1 << _LOOK_BITS), bool)
-        for s, raw in zip(table["shard"].to_pylist(), table["cells"], strict=True):
-            c = unpack_cells(raw.as_py()) + ((s % shards) << SLICE_BITS)
-            self.seen[s // shards, c & ((1 << _LOOK_BITS) - 1)] = True
+        for r, raw in zip(table["range"].to_pylist(), table["cells"], strict=True):
+            row, low = r >> RANGE_BITS, (r & ((1 << RANGE_BITS) - 1)) << (bits - RANGE_BITS)
+            c = unpack(raw.as_py()) + np.uint64(low)
+            self.seen[row, (c & np.uint64((1 << _LOOK_BITS) - 1)).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         low = np.uint64((1 << _LOOK_BITS) - 1)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_count, enter, stored
+from .jaccard_join import _meets, prefix_lists, prefixes, verified
 from .words import Words, mix, text_bytes
 
 #: Common words of English, French, German and Spanish.
@@ -37,6 +38,11 @@ COMMON = (
 CHAIN = 2
 #: Words after an anchor, from which on (or before a text's first anchor) every word opens a spot.
 GAP = 8
+#: Bits of a signature; the rest of 64 number a batch's rows.
+SIGNATURE = 40
+_SHIFT = np.uint64(SIGNATURE)
+_REST = np.uint64(64 - SIGNATURE)
+_LOW = np.uint64((1 << SIGNATURE) - 1)
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -50,7 +56,7 @@ _ANCHORS = _hashes(COMMON)
 
 
 def signatures(column) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct 32-bit signatures as one array of row << 32 | signature, sorted, and their number per row."""
+    """All texts' distinct signatures as one array of row << SIGNATURE | signature, sorted, and their number per row."""
     data, offsets = text_bytes(column)
     w = Words(data, offsets, lower=True, breaks=_BREAKS)
     rows = len(offsets) - 1
@@ -62,15 +68,15 @@ def signatures(column) -> tuple[np.ndarray, np.ndarray]:
     last = np.maximum.accumulate(np.where(anchor, place, -1)) if len(anchor) else place
     lone = ~anchor & ((last < w.first[:-1][row]) | (place - last > GAP))
     keys = np.concatenate([_chains(w.hash, row, np.flatnonzero(anchor), content, CHAIN), _chains(w.hash, row, np.flatnonzero(lone), content, 1)])
-    bare = np.flatnonzero((np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=rows) == 0) & (w.counts > 0))
+    bare = np.flatnonzero((np.bincount((keys >> _SHIFT).astype(np.int64), minlength=rows) == 0) & (w.counts > 0))
     if len(bare):
-        keys = np.concatenate([keys, (bare.astype(np.uint64) << np.uint64(32)) | (w.whole(bare) >> np.uint64(32))])
+        keys = np.concatenate([keys, (bare.astype(np.uint64) << _SHIFT) | (w.whole(bare) >> _REST)])
     keys = np.unique(keys)
-    return keys, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=rows)
+    return keys, np.bincount((keys >> _SHIFT).astype(np.int64), minlength=rows)
 
 
 def _chains(h, row, spots, content, length: int) -> np.ndarray:
-    """row << 32 | signature of each spot whose chain of content words lies in its own row."""
+    """row << SIGNATURE | signature of each spot whose chain of content words lies in its own row."""
     at = np.searchsorted(content, spots, "right")
     ok = at + length <= len(content)
     spots, at = spots[ok], at[ok]
@@ -81,7 +87,7 @@ def _chains(h, row, spots, content, length: int) -> np.ndarray:
     sig = h[spots] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(length):
         sig = mix(sig + h[content[at + k]], length + 8 * k)
-    return (row[spots].astype(np.uint64) << np.uint64(32)) | (sig >> np.uint64(32))
+    return (row[spots].astype(np.uint64) << _SHIFT) | (sig >> _REST)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> np.ndarray:
@@ -89,18 +95,19 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     na, nb = a[1], b[1]
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     live = small >= least * large
-    keep = [x[live[(x >> np.uint64(32)).astype(np.int64)]] for x in (a[0], b[0])] if least > 0 else [a[0], b[0]]
+    keep = [x[live[(x >> _SHIFT).astype(np.int64)]] for x in (a[0], b[0])] if least > 0 else [a[0], b[0]]
     both = np.intersect1d(*keep, assume_unique=True)
-    met = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(na))
+    met = np.bincount((both >> _SHIFT).astype(np.int64), minlength=len(na))
     return np.where(large == 0, 1.0, met / np.maximum(1, na + nb - met))
 
 
 def fingerprints(keys: np.ndarray, counts: np.ndarray) -> list[str]:
-    """The sets as text: base64 of the sorted little-endian 32-bit signatures."""
-    raw, at, out = (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), 0, []
+    """The sets as text: base64 of the sorted little-endian signatures, five bytes each."""
+    width = SIGNATURE // 8
+    raw, at, out = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), 0, []
     for n in counts.tolist():
-        out.append(base64.b64encode(raw[at : at + 4 * n]).decode())
-        at += 4 * n
+        out.append(base64.b64encode(raw[at : at + width * n]).decode())
+        at += width * n
     return out
 
 
@@ -109,7 +116,7 @@ def _rows(keys, counts, take) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(counts)])
     n = counts[take]
     spread = np.repeat(first[take] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return (np.repeat(np.arange(len(take), dtype=np.uint64), n) << np.uint64(32)) | (keys[spread] & np.uint64(0xFFFFFFFF)), n
+    return (np.repeat(np.arange(len(take), dtype=np.uint64), n) << _SHIFT) | (keys[spread] & _LOW), n
 
 
 def _neighbours(table: pa.Table) -> pa.Table:
@@ -165,12 +172,12 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
 
 
 def signature_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n and tokens (sorted 32-bit signatures as longs)."""
+    """doc_id, n and tokens (sorted signatures as longs)."""
 
     def read(batches):
         for batch in batches:
             keys, counts = signatures(batch.column(1))
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array((keys & _LOW).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), tokens], ["doc_id", "n", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n long, tokens array<long>")
@@ -193,15 +200,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Sets are partitioned by length so that two similar ones fall into the same or adjacent partitions; each set's rarest
     signatures (its prefix) are posted to its own partition and looked up in it and the one above.
     """
-    sets = stored(signature_sets(docs).filter("n > 0 and doc_id is not null"), "signatures")
+    sets = signature_sets(docs).filter("n > 0 and doc_id is not null")
     classes = stored(sets.groupBy("tokens").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")), "signature-classes")
-    from .jaccard_join import _meets, prefixes, verified
-
+    sides = stored(classes.join(prefix_lists(classes, percent, 1).drop("n"), "cid"), "signature-sides")
     part = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    posted = prefixes(classes, percent, 1).select("token", "cid", "n", "pos", "k", part.alias("part"))
-    low = posted.select("token", "part", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "pos", "k")))
-    high = posted.select("token", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("part").alias("own"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "n", "pos", "k")))
+    posted = prefixes(sides, percent).withColumn("part", part)
+    low = posted.select("token", "part", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "pos")))
+    high = posted.select("token", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("part").alias("own"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "n", "pos")))
     once = F.when(F.col("own") == F.col("part"), F.col("a_cid") < F.col("b_cid")).otherwise(F.lit(True))
     met = low.join(high, ["token", "part"]).filter(once & _meets("a_", "b_", percent))
     pairs = met.select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
-    return verified(pairs, classes, percent)
+    return verified(pairs, sides, percent)

@@ -1,13 +1,14 @@
 """Substring deduplication: repeated windows of words, found behind a count-min prefilter.
 
-1. Each block of documents sketches the windows that start in it (each window once per document); the partition
-   sketches are merged shard by shard, and every block learns which of its cells may be repeated (``sketches``).
-2. Only windows whose estimate is two or more are grouped exactly, by 128-bit hashes: a block sends each distinct
-   window with the smallest doc_id it has there, sorted into shards; each shard finds the smallest of all blocks.
+1. Each block of documents sketches the windows that start in it; the partition sketches are merged range by range, and
+   every block learns which of its cells may be repeated (``sketches``).
+2. Only windows whose estimate is two or more are grouped exactly, by 96 bits of two independent hashes: a block sends
+   each distinct one with the smallest doc_id it has there. Groups of blocks are joined first, then shards; what comes
+   back is one bit for each window sent: whether a document with a smaller id has it elsewhere.
 3. A block marks every word covered by a window that starts in a document with a smaller doc_id and writes the rest.
 
 Texts are shuffled to their blocks once; the three steps read that same exchange. Hot windows travel once per block,
-not once per document. Nothing is broadcast or collected.
+not once per document. Nothing is broadcast or collected; rows of every exchange grow with the input.
 
 Defined cases: null text and texts of fewer words than a window keep all words; repeated rows (same doc_id) do not
 remove each other; a null doc_id counts as smaller than every other; an empty table gives an empty result; other
@@ -21,17 +22,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_blocks, block_count, enter, input_bytes
-from .sketches import SKETCH, Repeated, merged, partition_sketch, width_bits
+from .sketches import GROUP, LISTS, RANGE_BITS, Repeated, flags, level_parts, merged, pack, pack_planes, partition_sketch, range_cuts, table_of, unpack, unpack_planes, width_bits
 from .words import Words, text_bytes
 
 WINDOW = 13
-#: Shards of the exact grouping for each block that sends to them.
-GROUPED = "shard int, block int, h1 binary, h2 binary, least binary, many binary"
-ANSWER = "block int, h1 binary, h2 binary, least binary"
+SENT = "range int, grp int, block int, h1 binary, h2 binary, least binary"
+JOINED = "shard long, range int, grp int, h1 binary, h2 binary, least binary"
+SMALLER = "range int, grp int, shard long, n int, bits binary"
+TOLD = "range int, block int, bits binary"
 _NONE = -(2**63)
 
 
@@ -42,104 +45,132 @@ def _block(table: pa.Table) -> tuple[Words, np.ndarray]:
     return Words(data, offsets), ids
 
 
-def _with_docs(words: Words, window: int, which: int = 0):
-    h, at = words.windows(window, which)
-    return h, at, np.searchsorted(words.first, at, "right") - 1
-
-
-def _once(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Each pair of window and doc_id once: the windows."""
-    order = np.argsort(h ^ (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-    a, b = h[order], ids[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first]
+def _sketch(table: pa.Table, window: int, bits: int) -> pa.Table:
+    words, _ = _block(table)
+    return partition_sketch(table["block"][0].as_py(), words.windows(window)[0], bits)
 
 
-def _sketch(table: pa.Table, window: int, bits: int) -> pa.Table:
-    words, ids = _block(table)
-    h, _, doc = _with_docs(words, window)
-    return partition_sketch(table["block"][0].as_py(), _once(h, ids[doc]), bits)
-
-
-def _send(docs: pa.Table, found: pa.Table, window: int, bits: int, shards: int) -> pa.Table:
-    empty = pa.table({k: pa.array([], t) for k, t in (("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("least", pa.binary()), ("many", pa.binary()))})
-    if not docs.num_rows or not found.num_rows:
-        return empty
-    words, ids = _block(docs)
-    h1, at, doc = _with_docs(words, window)
-    keep = np.flatnonzero(Repeated(found, bits)(h1))
-    h1, own = h1[keep], ids[doc[keep]]
-    h2 = words.windows(window, 1)[0][keep]
-    order = np.lexsort((own, h2, h1))
-    h1, h2, own = h1[order], h2[order], own[order]
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(h1)) - 1
-    many = own[last] != own[first] if len(first) else np.zeros(0, bool)
-    h1, h2, least = h1[first], h2[first], own[first]
-    cuts = np.searchsorted(h1, [(s << 64) // shards for s in range(1, shards)]) if shards > 1 else np.zeros(0, np.int64)
-    cuts = np.concatenate([[0], cuts, [len(h1)]]).astype(np.int64)
-    block, rows = docs["block"][0].as_py(), [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-    blob = lambda x: pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in rows], pa.binary())
-    return pa.table({"shard": pa.array(rows, pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "h1": blob(h1), "h2": blob(h2), "least": blob(least), "many": blob(many.astype(np.uint8))})
-
-
-def _joined(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
-
-
-def _least(table: pa.Table) -> pa.Table:
-    """Every block's windows of which a document with a smaller doc_id, here or elsewhere, also has one."""
-    sizes = np.array([len(x.as_py()) for x in table["many"]])
-    h1, h2, own, many = _joined(table["h1"], np.uint64), _joined(table["h2"], np.uint64), _joined(table["least"], np.int64), _joined(table["many"], np.uint8)
-    order = np.lexsort((own, h2, h1))
+def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows by h1, then h2, and where in it each distinct one begins."""
+    order = np.argsort(h1)
     a, b = h1[order], h2[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = np.empty_like(own)
-    least[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    tell = (least < own) | (many > 0)
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    parts = [np.flatnonzero(tell[cuts[i] : cuts[i + 1]]) + cuts[i] for i in range(len(sizes))]
-    keep = [i for i, p in enumerate(parts) if len(p)]
-    blob = lambda x: pa.array([x[parts[i]].tobytes() for i in keep], pa.binary())
-    return pa.table({"block": table["block"].combine_chunks().take(pa.array(keep, pa.int64())).cast(pa.int32()), "h1": blob(h1), "h2": blob(h2), "least": blob(least)})
-
-
-def _covered(words: Words, ids: np.ndarray, answer: pa.Table, window: int) -> np.ndarray:
-    """Which words lie in a window that a smaller doc_id also has."""
-    cover = np.zeros(len(words.hash) + 1, np.int32)
-    if answer.num_rows:
-        g1, g2, least = _joined(answer["h1"], np.uint64), _joined(answer["h2"], np.uint64), _joined(answer["least"], np.int64)
-        order = np.lexsort((g2, g1))
-        g1, g2, least = g1[order], g2[order], least[order]
-        h1, at, doc = _with_docs(words, window)
-        low = np.uint64((1 << 23) - 1)
-        seen = np.zeros(1 << 23, bool)
-        seen[(g1 & low).astype(np.int64)] = True
-        keep = np.flatnonzero(seen[(h1 & low).astype(np.int64)])
-        h1, at, own = h1[keep], at[keep], ids[doc[keep]]
-        h2 = words.windows(window, 1)[0][keep]
-        place = np.searchsorted(g1, h1)
-        marked = np.zeros(len(h1), bool)
-        live = np.flatnonzero(place < len(g1))
-        while len(live):  # more than once round only where two windows share their first hash
-            live = live[g1[place[live]] == h1[live]]
-            marked[live] |= (g2[place[live]] == h2[live]) & (least[place[live]] < own[live])
-            live = live[g2[place[live]] != h2[live]]
-            place[live] += 1
-            live = live[place[live] < len(g1)]
-        np.add.at(cover, at[marked], 1)
-        np.add.at(cover, at[marked] + window, -1)
-    return np.cumsum(cover)[:-1] > 0
-
-
-def _strip(docs: pa.Table, answer: pa.Table, window: int, texts: bool) -> pa.Table:
-    words, ids = _block(docs)
-    gone = _covered(words, ids, answer, window)
-    counts = words.counts
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # different windows that share their first hash
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(h1) else np.zeros(0, np.int64)
+
+
+class _Candidates:
+    """A block's windows that may be repeated: their starts, documents' ids and, for each distinct one, hashes and least id."""
+
+    def __init__(self, docs: pa.Table, found: pa.Table, window: int, bits: int):
+        self.words, ids = _block(docs)
+        h1, at = self.words.windows(window)
+        keep = np.flatnonzero(Repeated(found, bits)(h1)) if found.num_rows else np.zeros(0, np.int64)
+        h1, at = h1[keep], at[keep]
+        h2 = (self.words.windows(window, 1)[0][keep] >> np.uint64(32)) if len(keep) else h1
+        order, first = _runs(h1, h2)
+        self.at, self.own = at[order], ids[np.searchsorted(self.words.first, at[order], "right") - 1]
+        self.run = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        self.h1, self.h2 = h1[order][first], h2[order][first]
+        self.least = np.minimum.reduceat(self.own, first) if len(first) else np.zeros(0, np.int64)
+        self.cuts = range_cuts(self.h1, 64, RANGE_BITS)
+
+
+def _blobs(h1, h2, least, low: int) -> tuple[bytes, bytes, bytes]:
+    """Hashes less ``low``, and ids with the sign in their lowest bit."""
+    return pack(h1 - np.uint64(low)), h2.astype("<u4").tobytes(), pack_planes(((least << 1) ^ (least >> 63)).view(np.uint64))
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    x = unpack_planes(raw)
+    return ((x >> np.uint64(1)) ^ (np.uint64(0) - (x & np.uint64(1)))).view(np.int64)
+
+
+def _send(docs: pa.Table, found: pa.Table, window: int, bits: int) -> pa.Table:
+    out = []
+    if docs.num_rows:
+        c = _Candidates(docs, found, window, bits)
+        block = docs["block"][0].as_py()
+        for r, (a, b) in enumerate(zip(c.cuts[:-1], c.cuts[1:], strict=True)):
+            if a < b:
+                out.append((r, block // GROUP, block, *_blobs(c.h1[a:b], c.h2[a:b], c.least[a:b], r << (64 - RANGE_BITS))))
+    return table_of(SENT, out)
+
+
+class _Joined:
+    """Windows of several lists: for each element its list and distinct window, for each of these hashes and least id."""
+
+    def __init__(self, table: pa.Table):
+        parts = [unpack(x.as_py()) for x in table["h1"]]
+        self.sizes = [len(x) for x in parts]
+        h1 = np.concatenate(parts)
+        h2 = np.frombuffer(b"".join(x.as_py() for x in table["h2"]), "<u4").astype(np.uint64)
+        self.own = np.concatenate([_ids(x.as_py()) for x in table["least"]])
+        order, first = _runs(h1, h2)
+        self.run = np.empty(len(order), np.int64)
+        self.run[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        self.h1, self.h2 = h1[order][first], h2[order][first]
+        self.least = np.minimum.reduceat(self.own[order], first)
+
+
+def fine_bits(blocks: int) -> int:
+    """log2 of the shards of one range: a shard gets as many windows as two to four blocks send."""
+    return max(0, (blocks // GROUP).bit_length() - 1)
+
+
+def _join(table: pa.Table, fine: int) -> pa.Table:
+    j = _Joined(table)
+    r, grp, out = table["range"][0].as_py(), table["grp"][0].as_py(), []
+    width = 64 - RANGE_BITS
+    cuts = range_cuts(j.h1, width, fine)
+    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            out.append(((r << fine) + s, r, grp, *_blobs(j.h1[a:b], j.h2[a:b], j.least[a:b], s << (width - fine))))
+    return table_of(JOINED, out)
+
+
+def _smaller(table: pa.Table) -> pa.Table:
+    """For each first-level group one bit per window sent: does another group have it with a smaller doc_id?"""
+    j = _Joined(table)
+    tell, at, out = j.least[j.run] < j.own, 0, []
+    for r, g, s, n in zip(table["range"].to_pylist(), table["grp"].to_pylist(), table["shard"].to_pylist(), j.sizes, strict=True):
+        out.append((r, g, s, n, np.packbits(tell[at : at + n]).tobytes()))
+        at += n
+    return table_of(SMALLER, out)
+
+
+def _tell(sent: pa.Table, smaller: pa.Table) -> pa.Table:
+    """For each block one bit per window sent: does any other block have it with a smaller doc_id?"""
+    out = []
+    if sent.num_rows:
+        j = _Joined(sent)
+        parts = sorted(zip(smaller["shard"].to_pylist(), smaller["n"].to_pylist(), (x.as_py() for x in smaller["bits"]), strict=True))
+        elsewhere = np.concatenate([flags(raw, n) for _, n, raw in parts])
+        tell, at = elsewhere[j.run] | (j.least[j.run] < j.own), 0
+        for r, block, n in zip(sent["range"].to_pylist(), sent["block"].to_pylist(), j.sizes, strict=True):
+            out.append((r, block, np.packbits(tell[at : at + n]).tobytes()))
+            at += n
+    return table_of(TOLD, out)
+
+
+def _strip(docs: pa.Table, other: pa.Table, window: int, bits: int, texts: bool) -> pa.Table:
+    """``other`` holds the block's repeated cells and, as rows without cells, the bits for the windows it sent."""
+    told = pc.is_null(other["cells"])
+    c = _Candidates(docs, other.filter(pc.invert(told)), window, bits)
+    elsewhere = np.zeros(len(c.h1), bool)
+    other = other.filter(told)
+    for r, raw in zip(other["range"].to_pylist(), other["bits"], strict=True):
+        a, b = c.cuts[r], c.cuts[r + 1]
+        elsewhere[a:b] = flags(raw.as_py(), b - a)
+    marked = elsewhere[c.run] | (c.least[c.run] < c.own)
+    words = c.words
+    cover = np.zeros(len(words.start) + 1, np.int32)
+    cover[c.at[marked]] += 1  # a window start stands once among the candidates
+    cover[c.at[marked] + window] -= 1
+    gone = np.cumsum(cover)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[words.first[1:]] - total[words.first[:-1]]
     data, offsets = text_bytes(docs["text"])
@@ -147,7 +178,7 @@ def _strip(docs: pa.Table, answer: pa.Table, window: int, texts: bool) -> pa.Tab
     for i, n in enumerate(removed.tolist()):
         parts = raw[offsets[i] : offsets[i + 1]].split()
         kept.append(b" ".join(compress(parts, (~gone[words.first[i] : words.first[i + 1]]).tolist()) if n else parts))
-    out = {"doc_id": docs["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+    out = {"doc_id": docs["doc_id"], "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
     if texts:
         out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
     return pa.table(out)
@@ -156,14 +187,19 @@ def _strip(docs: pa.Table, answer: pa.Table, window: int, texts: bool) -> pa.Tab
 def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text."""
     blocks, bits = block_count(docs), width_bits(input_bytes(docs))
-    shards = max(8, blocks // 2)
+    parts, fine = level_parts(blocks), fine_bits(blocks)
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
-    sketch = rows.groupBy("block").applyInArrow(lambda t: _sketch(t, window, bits), SKETCH)
-    found = merged(sketch, shards).repartition(blocks, "block")
-    sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, window, bits, shards), GROUPED)
-    answer = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_least, ANSWER).repartition(blocks, "block")
+    sketch = rows.groupBy("block").applyInArrow(lambda t: _sketch(t, window, bits), LISTS)
+    found = merged(sketch, blocks, bits).repartition(blocks, "block")
+    sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, window, bits), SENT).repartition(parts, "range", "grp")
+    joined = sent.groupBy("range", "grp").applyInArrow(lambda t: _join(t, fine), JOINED)
+    smaller = joined.repartition(max(8, blocks // 4), "shard").groupBy("shard").applyInArrow(_smaller, SMALLER)
+    smaller = smaller.repartition(parts, "range", "grp").groupBy("range", "grp")
+    told = sent.groupBy("range", "grp").cogroup(smaller).applyInArrow(_tell, TOLD).repartition(blocks, "block")
+    nothing = F.lit(None).cast("binary")
+    other = found.withColumn("bits", nothing).unionByName(told.withColumn("cells", nothing))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return rows.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(lambda a, b: _strip(a, b, window, texts), schema)
+    return rows.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(lambda a, b: _strip(a, b, window, bits, texts), schema)
 
 
 ORACLE = r"""

@@ -1,39 +1,30 @@
 """Word and window hashes of whole Arrow batches, computed with NumPy over the UTF-8 bytes.
 
-Words are maximal runs of bytes other than space and 0x09-0x0D. A word's hash is a polynomial over random 64-bit
-byte codes, finished by a mixer; a window's hash is a polynomial over its words' hashes. No Python object is made per
-word, and temporaries stay near ``CHUNK`` bytes of text whatever a document's length.
+Words are maximal runs of bytes other than space and 0x09-0x0D. A word's hash takes its bytes eight at a time: the
+state, which begins with the length, is xored with them and put through a bijective mixer. Words of up to eight bytes
+and equal length thus never share a hash, longer ones only by chance; words over ``LONGEST`` bytes take BLAKE2b. A
+second hash from another seed is independent of the first. A window's hash joins its words' hashes two by two through
+the same mixer. No Python object is made per word (but for those over ``LONGEST``).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
+#: Bytes, and words, that one pass takes at a time.
 CHUNK = 1 << 20
-_RNG = np.random.default_rng(20240229)
-_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
+SLICE = 1 << 18
+LONGEST = 512
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = (0xD6E8FEB86659FD93 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (at least)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[base] = (out[0], out[1])
-    return have
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ONE, _LAST = np.uint64(1), np.uint64(63)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -47,6 +38,14 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for a followed by b."""
+    x = a * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x += b
+    return mix(x)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and n + 1 offsets into them; a null counts as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -66,23 +65,20 @@ class Words:
     """Words of a batch: byte spans ``start``/``end``, 64-bit ``hash``, and each document's first word ``first`` (n + 1)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES):
-        codes = _CODES[_LOWER] if lower else _CODES
-        docs = offsets[:-1][np.diff(offsets) > 0]
-        starts, ends, hashes, at = [], [], [], 0
-        while at < len(data):
-            to = min(at + CHUNK, len(data))
-            if to < len(data):
-                to = _cut(data, docs, breaks, at, to)
-            s, e, h = _hashed(data[at:to], docs[np.searchsorted(docs, at) : np.searchsorted(docs, to)] - at, codes, breaks)
-            starts.append(s + at)
-            ends.append(e + at)
-            hashes.append(h)
-            at = to
-        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.start, self.end = _spans(data, offsets, breaks)
         self.first = np.searchsorted(self.start, offsets)
-        self.data = data
+        self._data = _LOWER[data] if lower else data
+        self._hashes: dict[int, np.ndarray] = {}
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """One of two independent hashes of every word."""
+        if which not in self._hashes:
+            self._hashes[which] = _hashed(self._data, self.start, self.end, _SEEDS[which])
+        return self._hashes[which]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.hashes(0)
 
     @property
     def counts(self) -> np.ndarray:
@@ -90,66 +86,80 @@ class Words:
 
     def windows(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each window start, and these starts; none cross documents."""
-        n = len(self.hash) - k + 1
+        words = len(self.start)
+        n = words - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         inside = np.ones(n, bool)
         for back in range(1, k):  # a window may not start in the last k - 1 words of a document
             at = self.first[1:] - back
             inside[at[(at >= self.first[:-1]) & (at < n)]] = False
-        up, down = powers(_STEP[which], len(self.hash) + 1)
-        total = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(mix(self.hash, which + 1) * up[: len(self.hash)], out=total[1:])
-        got = mix((total[k:] - total[:-k]) * down[:n], 7 + which)
-        return got[inside], np.flatnonzero(inside)
+        level, size, out, covered = self.hashes(which), 1, None, 0
+        while True:  # level: of size words; out: of the last `covered` words of a window
+            if k & size:
+                m = words - size - covered + 1
+                out = level if out is None else pair(level[:m], out[size : size + m])
+                covered += size
+            if 2 * size > k:
+                break
+            m = words - 2 * size + 1
+            level, size = pair(level[:m], level[size : size + m]), 2 * size
+        return out[inside], np.flatnonzero(inside)
 
     def whole(self, docs: np.ndarray, which: int = 0) -> np.ndarray:
         """One hash for each of these documents' whole word sequence, unlike any window's hash of the same words."""
-        up, down = powers(_STEP[which], len(self.hash) + 1)
-        total = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(mix(self.hash, which + 1) * up[: len(self.hash)], out=total[1:])
-        a, b = self.first[docs], self.first[docs + 1]
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), 11 + which)
-
-
-def _cut(data, docs, breaks, at, to):
-    """A place in (at, to] where no word is split; beyond ``to`` if one word fills all."""
-    k = np.searchsorted(docs, to, "right") - 1
-    best = int(docs[k]) if k >= 0 and docs[k] > at else at
-    gaps = np.flatnonzero(breaks[data[max(best, at) : to]])
-    if len(gaps):
-        return max(best, at) + int(gaps[-1]) + 1
-    if best > at:
-        return best
-    while to < len(data):
-        step = min(len(data), to + CHUNK)
-        gaps = np.flatnonzero(breaks[data[to:step]])
-        k = np.searchsorted(docs, to, "left")
-        stop = int(docs[k]) if k < len(docs) else len(data)
-        if len(gaps) and to + gaps[0] < stop:
-            return to + int(gaps[0]) + 1
-        if stop <= step:
-            return stop
-        to = step
-    return len(data)
-
-
-def _hashed(data, docs, codes, breaks):
-    word = ~breaks[data]
-    before = np.empty_like(word)
-    before[0] = False
-    before[1:] = word[:-1]
-    before[docs] = False
-    start = np.flatnonzero(word & ~before)
-    after = np.empty_like(word)
-    after[-1] = False
-    after[:-1] = word[1:]
-    after[docs[docs > 0] - 1] = False
-    end = np.flatnonzero(word & ~after) + 1
-    up, down = powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    terms = codes[data]
-    terms *= up[: len(data)]
-    np.cumsum(terms, out=total[1:])
-    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-    return start, end, mix(h)
+        a, n = self.first[docs], self.first[docs + 1] - self.first[docs]
+        ends = np.cumsum(n)
+        place = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+        terms = mix(self.hashes(which)[np.repeat(a, n) + place] ^ mix(place.astype(np.uint64), 5))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        return mix((total[ends] - total[ends - n]) ^ mix(n.astype(np.uint64), 9), 11)
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; a document's end also ends a word."""
+    starts, ends, held = [], [], False
+    for at in range(0, len(data), CHUNK):
+        to = min(at + CHUNK, len(data))
+        word = ~breaks[data[at:to]]
+        before = np.empty_like(word)
+        before[0], before[1:] = held, word[:-1]
+        held = bool(word[-1])
+        cut = np.zeros(len(word), bool)
+        cut[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at] = True
+        starts.append(np.flatnonzero(word & (~before | cut)) + at)
+        ends.append(np.flatnonzero(before & (~word | cut)) + at)
+    if held:
+        ends.append(np.array([len(data)]))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(starts), join(ends)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64) -> np.ndarray:
+    padded = np.zeros((len(data) + 23) // 8 * 8, np.uint8)
+    padded[: len(data)] = data
+    words = padded.view("<u8")
+
+    def lane(at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The next eight bytes from ``at``, of which only ``rest`` count."""
+        k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        out = words[k] >> shift
+        out |= (words[k + 1] << _ONE) << (_LAST - shift)
+        out &= _MASKS[np.minimum(rest, 8)]
+        return out
+
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), SLICE):
+        at = start[lo : lo + SLICE]
+        size = end[lo : lo + SLICE] - at
+        h = mix(mix(size.astype(np.uint64) ^ seed) ^ lane(at, size))
+        done, live = 8, np.flatnonzero((size > 8) & (size <= LONGEST))
+        while len(live):
+            h[live] = mix(h[live] ^ lane(at[live] + done, size[live] - done))
+            done += 8
+            live = live[size[live] > done]
+        for i in np.flatnonzero(size > LONGEST).tolist():
+            raw = data[at[i] : at[i] + size[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=seed.tobytes()).digest(), "little")
+        out[lo : lo + SLICE] = h
+    return out
