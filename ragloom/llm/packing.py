@@ -2,9 +2,12 @@
 
 Each sequence has three limits at once: tokens, segments and loss-bearing tokens. Sequences are filled one at a time
 by the dot-product heuristic: of the examples that fit, the one whose demand vector has the largest weighted dot
-product with what is left in the sequence goes in next. When none fits whole, one is cut to fill the gap exactly, so
-all but a task's last sequence are full (unless the segment or loss limit binds). The last one's tokens are dealt to
-sequences whose lengths are powers of two, which need no padding.
+product with what is left in the sequence goes in next. Examples of equal demand are one kind, and only kinds are
+compared; of a kind with several examples half of those that fit go in at once. When none fits whole, one is cut to
+fill the gap, so a sequence is full unless the segment or loss limit binds first or a task's examples end. The tokens
+of a sequence that is not full are dealt to sequences whose lengths are powers of two, which need no padding.
+
+An example's first tokens are its prompt and bear no loss: a column says how many, else ``PROMPT`` of its tokens.
 
 Packing runs inside each input partition over pools of about ``POOL`` tokens, with no shuffle; leftovers move on to
 the next pool. Sequence ids are the partition number and a count, so a task that runs again gives the same ids.
@@ -30,68 +33,92 @@ from .words import text_bytes
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 4096
 SEGMENTS = 256
+#: Most loss-bearing tokens of a sequence, and the share of an example that is its prompt.
+LOSS = 3328
+PROMPT = 0.25
 POOL = 1 << 19
 END = 2
 
 
 class Packer:
-    """Open examples and the sequences made of them. An example is (key, tokens, prompt): prompt tokens bear no loss."""
+    """Open examples by kind and the sequences made of them. An example is (key, tokens, prompt): prompt tokens bear no loss."""
 
     def __init__(self, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None):
-        self.caps = np.array([length, segments, loss or length], float)
         self.length, self.segments, self.loss = length, segments, loss or length
-        self.open: list[list] = []  # key, start, tokens left, prompt
+        self.caps = np.array([length, segments, self.loss], float)
+        self.kinds: dict[tuple[int, int], list[tuple]] = {}  # (tokens, loss tokens): (key, start, prompt) of each
         self.tokens = 0
         self.done: list[list[tuple]] = []  # sequences of (key, start, length)
 
-    def add(self, key, tokens: int, prompt: int = 0) -> None:
-        self.open.append([key, 0, tokens, prompt])
-        self.tokens += tokens
-
-    def pack(self, last: bool) -> None:
-        """Makes full sequences; without ``last``, stops when what is left can't fill one."""
-        items = [x for x in self.open if x[2]]
-        n = len(items)
-        left = np.array([x[2] for x in items], np.int64)
-        start = np.array([x[1] for x in items], np.int64)
-        prompt = np.array([x[3] for x in items], np.int64)
-        total = int(left.sum())
-        demand = np.array([total, n, self._loss(start, left, prompt).sum()], float) / self.caps
-        weight = demand / max(demand.sum(), 1e-9) / self.caps**2
-        while total >= self.length or (last and total):
-            bins, room = [], [self.length, self.segments, self.loss]
-            while room[0] and room[1] and total:
-                loss = self._loss(start, left, prompt)
-                fits = (left <= room[0]) & (left > 0) & (loss <= room[2])
-                score = weight[0] * room[0] * left + weight[1] * room[1] + weight[2] * room[2] * loss
-                k = int(np.argmax(np.where(fits, score, -1.0)))
-                if fits[k]:
-                    take = int(left[k])
-                else:
-                    k = int(np.argmax(left))
-                    take = self._fill(int(start[k]), int(left[k]), int(prompt[k]), room[0], room[2])
-                    if not take:
-                        break
-                bins.append((items[k][0], int(start[k]), take))
-                room[0] -= take
-                room[1] -= 1
-                room[2] -= max(0, int(start[k]) + take - max(int(start[k]), int(prompt[k])))
-                start[k] += take
-                left[k] -= take
-                total -= take
-            self.done += self._powers(bins) if room[0] and last and not total else [bins]
-        self.open = [[x[0], int(s), int(r), x[3]] for x, s, r in zip(items, start, left, strict=True) if r]
-        self.tokens = total
+    def add(self, key, tokens: int, prompt: int = 0, start: int = 0) -> tuple[int, int]:
+        kind = (tokens, tokens - min(tokens, max(0, prompt - start)))
+        self.kinds.setdefault(kind, []).append((key, start, prompt))
+        if not start:
+            self.tokens += tokens
+        return kind
 
-    @staticmethod
-    def _loss(start, left, prompt):
-        return np.maximum(0, start + left - np.maximum(start, prompt))
+    def open(self) -> set:
+        return {x[0] for kind, some in self.kinds.items() if kind[0] for x in some}
 
-    @staticmethod
-    def _fill(start: int, left: int, prompt: int, tokens: int, loss: int) -> int:
-        """The most of this example that fits."""
-        free = max(0, prompt - start)
-        return min(left, tokens, free + loss)
+    def pack(self, last: bool) -> None:
+        """Makes sequences; without ``last``, stops when what is left can't fill one."""
+        self.kinds = {k: v for k, v in self.kinds.items() if v and k[0]}
+        self._names = list(self.kinds)
+        shape = np.array(self._names, np.int64).reshape(-1, 2)
+        count = np.array([len(v) for v in self.kinds.values()], np.int64)
+        demand = np.array([self.tokens, count.sum(), (shape[:, 1] * count).sum()], float) / self.caps
+        self._weight = demand / max(demand.sum(), 1e-9) / self.caps**2
+        room = len(shape) + 64
+        self._left, self._loss, self._count = (np.zeros(room, np.int64) for _ in range(3))
+        self._left[: len(shape)], self._loss[: len(shape)], self._count[: len(shape)] = shape[:, 0], shape[:, 1], count
+        self._place = {k: i for i, k in enumerate(self._names)}
+        while self.tokens >= self.length or (last and self.tokens):
+            bins = self._sequence()
+            size = sum(x[2] for x in bins)
+            self.tokens -= size
+            self.done += [bins] if size == self.length else self._powers(bins)
+
+    def _sequence(self) -> list[tuple]:
+        bins: list[tuple] = []
+        tokens, segments, loss = self.length, self.segments, self.loss
+        while tokens and segments:
+            n = len(self._names)
+            left, bear, count = self._left[:n], self._loss[:n], self._count[:n]
+            score = (self._weight[0] * tokens) * left + (self._weight[2] * loss) * bear
+            score[(count == 0) | (left > tokens) | (bear > loss)] = -1.0
+            k = int(np.argmax(score)) if n else 0
+            if n and score[k] >= 0:
+                size, own = int(left[k]), int(bear[k])
+                many = min(int(count[k]), tokens // size, segments, loss // own if own else segments)
+                for _ in range(max(1, many // 2)):
+                    key, start, _ = self._take(k)
+                    bins.append((key, start, size))
+                    tokens, segments, loss = tokens - size, segments - 1, loss - own
+                continue
+            part = np.where(count > 0, np.minimum(np.minimum(left, tokens), left - bear + loss), 0)
+            k = int(np.argmax(part)) if n else 0
+            if not n or not part[k]:
+                break
+            size, whole = int(part[k]), int(left[k])
+            key, start, prompt = self._take(k)
+            bins.append((key, start, size))
+            tokens, segments, loss = tokens - size, segments - 1, loss - (size - min(size, max(0, prompt - start)))
+            self._put(self.add(key, whole - size, prompt, start + size))
+        return bins
+
+    def _take(self, k: int) -> tuple:
+        self._count[k] -= 1
+        return self.kinds[self._names[k]].pop()
+
+    def _put(self, kind: tuple[int, int]) -> None:
+        k = self._place.get(kind)
+        if k is None:
+            k = self._place[kind] = len(self._names)
+            self._names.append(kind)
+            if k == len(self._left):
+                self._left, self._loss, self._count = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self._left, self._loss, self._count))
+            self._left[k], self._loss[k] = kind
+        self._count[k] += 1
 
     @staticmethod
     def _powers(bins: list[tuple]) -> list[list[tuple]]:
@@ -110,7 +137,7 @@ class Packer:
         return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, length: int, segments: int, loss: int | None, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, length: int, segments: int, loss: int | None, share: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     enc, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
     packer, held = Packer(length, segments, loss), {}
     context = TaskContext.get()
@@ -130,7 +157,7 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, length:
                 at += size
             sequence += 1
         packer.done = []
-        still = {x[0] for x in packer.open}
+        still = packer.open()
         for key in [k for k in held if k not in still]:
             del held[key]
         if rows:
@@ -138,12 +165,15 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, length:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        raw, docs, prompts = data.tobytes(), batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for i, doc in enumerate(docs):
-            ids = enc.ids(raw[offsets[i] : offsets[i + 1]]) + tail
-            held[serial] = (doc, ids, max(0, prompts[i] or 0))
-            packer.add(serial, len(ids) // 4, max(0, prompts[i] or 0))
+        flat, first = enc.encode(*text_bytes(batch.column(1)))
+        flat = flat.astype("<u4", copy=False)
+        prompts = batch.column(2).to_pylist()
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            ids = flat[first[i] : first[i + 1]].tobytes() + tail
+            size = len(ids) // 4
+            prompt = int(share * size) if prompts[i] is None else min(size, max(0, prompts[i]))
+            held[serial] = (doc, ids, prompt)
+            packer.add(serial, size, prompt)
             serial += 1
             if packer.tokens >= POOL and (out := flush(False)):
                 yield out
@@ -151,15 +181,16 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, length:
         yield out
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, prompt: str | None = None) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = LOSS, prompt: str | None = None, share: float = PROMPT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    ``prompt`` names a column with each example's number of leading tokens that bear no loss (none by default).
+    ``prompt`` names a column with each example's number of leading tokens that bear no loss; without one, or where it
+    is null, these are ``share`` of its tokens.
     """
-    kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
-    source = docs.select("doc_id", "text", (F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")).alias("_prompt"))
+    source = docs.select("doc_id", "text", (F.col(prompt) if prompt else F.lit(None)).cast("long").alias("prompt"))
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return source.mapInArrow(lambda it: _packed(it, tokenizer, end, length, segments, loss, arrow), schema)
+    return source.mapInArrow(lambda it: _packed(it, tokenizer, end, length, segments, loss, share, arrow), schema)
