@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,42 +55,77 @@ def plain_sections(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), strip), lambda x: x != "")
 
 
+SECTION = "struct<content:string,section_type:string,level:int,page_number:int>"
+
+
+def section(content: Column, page: Column | None = None) -> Column:
+    """A section of running text, or a heading if it begins with number signs (their count is its level)."""
+    level = F.length(F.regexp_extract(content, "^(#*)", 1))
+    return F.struct(content.alias("content"), F.when(level > 0, "heading").otherwise("text").alias("section_type"), level.alias("level"), (F.lit(None) if page is None else page).cast("int").alias("page_number")).cast(SECTION)
+
+
+def text_section(content: Column, page: Column | None = None) -> Column:
+    return F.struct(content.alias("content"), F.lit("text").alias("section_type"), F.lit(0).alias("level"), (F.lit(None) if page is None else page).cast("int").alias("page_number")).cast(SECTION)
+
+
 def markdown_sections(text: Column) -> Column:
-    """array of struct(content, section_type, level): blank lines end blocks, a block's lines are joined by a space."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    joined = F.array_join(F.transform(lines, lambda x: F.when(x == "", F.lit("\u0000")).otherwise(x)), " ")
-    blocks = F.filter(F.transform(F.split(joined, "\u0000"), strip), lambda x: x != "")
+    """array of sections: blank lines end blocks, a block's lines are joined by a space."""
+    line = lambda block: F.array_join(F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != ""), " ")
+    return F.transform(F.filter(F.transform(F.split(text, rf"\n{SPACE}*\n"), line), lambda x: x != ""), lambda x: section(x))
 
-    def section(block: Column) -> Column:
-        level = F.length(F.regexp_extract(block, "^(#*)", 1))
-        return F.struct(block.alias("content"), F.when(level > 0, "heading").otherwise("paragraph").alias("section_type"), level.alias("level"))
 
-    return F.transform(blocks, section)
+def leading_title(sections: Column, name: Column, chars: int | None = None) -> Column:
+    """The first section's text if it is a heading, without its number signs; else ``name``."""
+    first = F.get(sections, F.lit(0))
+    title = strip(F.regexp_replace(first["content"], "^[# ]+", "")) if chars is None else F.left(first["content"], F.lit(chars))
+    return F.when(first["section_type"] == "heading", title).otherwise(name)
 
 
 def html_title(html: Column) -> Column:
     title = F.left(strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(500))
-    return F.when(title == "", F.lit("Untitled")).otherwise(title)
+    return F.when(title != "", title).otherwise("Untitled")
 
 
 #: Elements whose text is not content.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript")
+#: Entities that are resolved without Python.
+ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def unescape(text: Column) -> Column:
+    """HTML entities resolved. Rows with other than the common ones take Python's table, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def resolved(rows: pd.Series) -> pd.Series:
+        import html
+
+        return rows.map(html.unescape, na_action="ignore")
+
+    common = text
+    for entity, value in ENTITIES:
+        common = F.replace(common, F.lit(entity), F.lit(value))
+    rare = text.rlike("&(?!(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + ");)[#A-Za-z]")
+    return F.when(rare, resolved(F.when(rare, text))).otherwise(common)
 
 
 def html_text(html: Column) -> Column:
-    """Main text of a page: boilerplate elements dropped, article or main preferred, blocks to lines, common entities resolved."""
-    text = html
-    text = F.regexp_replace(text, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", "")
+    """Main text of a page: boilerplate elements dropped, article or main preferred, blocks to lines, entities resolved."""
+    text = F.regexp_replace(html, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", "")
     main = F.regexp_extract(text, r"(?is)<(?:article|main)[^>]*>(.*?)</(?:article|main)>", 1)
     text = F.when(text.rlike(r"(?is)<(?:article|main)[^>]*>.*?</(?:article|main)>"), main).otherwise(text)
     text = F.regexp_replace(text, r"(?i)<(?:p|div|br|h[1-6]|li|tr)[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", "")
-    for entity, value in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(value))
+    text = unescape(F.regexp_replace(text, r"<[^>]+>", ""))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+def snippet(text: Column, chars: int = 8000, size: int = 8000) -> Column:
+    """At most ``chars`` characters, of these at most ``size`` UTF-8 bytes; a character that is cut goes."""
+    head = F.left(text, F.lit(chars))
+    raw = F.encode(head, "UTF-8")
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, size - back).cast("string")) for back in range(4)]
+    return F.when(F.octet_length(head) <= size, head).otherwise(F.coalesce(*cuts))
+
 
 def sentence_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """array of struct(content, at): sentences packed greedily up to ``size``; ``at`` is the bookkeeping offset."""
@@ -136,6 +174,57 @@ def child_chunks(text: Column, separator: str = r"\n\s*\n", size: int = CHUNK, o
     return F.aggregate(made, start, step, lambda acc: flush(acc, acc["out"]))
 
 
+def heading_groups(sections: Column) -> Column:
+    """array of struct(heading, content): a heading opens a group and is its first member; what leads has no heading."""
+    kind = "struct<out:array<struct<heading:string,parts:array<string>>>,heading:string,parts:array<string>>"
+    start = F.from_json(F.lit('{"out":[],"heading":null,"parts":[]}'), kind)
+
+    def closed(acc: Column) -> Column:
+        return F.when(F.size(acc["parts"]) > 0, F.array_append(acc["out"], F.struct(acc["heading"].alias("heading"), acc["parts"].alias("parts")))).otherwise(acc["out"])
+
+    def step(acc: Column, s: Column) -> Column:
+        opens = (s["section_type"] == "heading") & (s["level"] > 0)
+        new = F.struct(closed(acc).alias("out"), s["content"].alias("heading"), F.array(s["content"]).alias("parts")).cast(kind)
+        more = F.struct(acc["out"].alias("out"), acc["heading"].alias("heading"), F.array_append(acc["parts"], s["content"]).alias("parts")).cast(kind)
+        return F.when(opens, new).otherwise(more)
+
+    return F.transform(F.aggregate(sections, start, step, closed), lambda g: F.struct(g["heading"].alias("heading"), F.array_join(g["parts"], "\n\n").alias("content")))
+
+
+CHUNKED = "struct<content:string,char_start:int,char_end:int,chunk_type:string,parent_index:int,heading:string>"
+
+
+def chunk_sections(sections: Column, separator: str = r"\n\s*\n") -> Column:
+    """array of chunks in order: each group's text as a parent (if long enough), then its child chunks.
+
+    parent_index is the place of the group's parent; where none was emitted it is the first child's own place.
+    """
+    groups = F.filter(heading_groups(sections), lambda g: strip(g["content"]) != "")
+    made = F.transform(groups, lambda g: F.struct(g["heading"].alias("heading"), g["content"].alias("content"), child_chunks(g["content"], separator).alias("kids")))
+    kind = f"struct<out:array<{CHUNKED}>,off:int>"
+    start = F.from_json(F.lit('{"out":[],"off":0}'), kind)
+
+    def step(acc: Column, g: Column) -> Column:
+        off, place = acc["off"], F.size(acc["out"])
+        one = lambda text, at, name: F.struct(text.alias("content"), at.alias("char_start"), (at + F.length(text)).alias("char_end"), F.lit(name).alias("chunk_type"), place.alias("parent_index"), g["heading"].alias("heading")).cast(CHUNKED)
+        lone = F.array(F.struct(g["content"].alias("content"), off.alias("char_start"), (off + F.length(g["content"])).alias("char_end"), F.lit("parent").alias("chunk_type"), F.lit(None).cast("int").alias("parent_index"), g["heading"].alias("heading")).cast(CHUNKED))
+        parent = F.when(F.length(g["content"]) >= LEAST, lone).otherwise(F.slice(lone, F.lit(1), F.lit(0)))
+        kids = F.transform(g["kids"], lambda c: one(c["content"], c["at"] + off, "child"))
+        return F.struct(F.concat(acc["out"], parent, kids).alias("out"), (off + F.length(g["content"]) + 2).cast("int").alias("off")).cast(kind)
+
+    return F.aggregate(made, start, step, lambda acc: acc["out"])
+
+
+def parent_link(place: Column, parent_index: Column) -> Column:
+    """The parent's place; a chunk that would be its own parent has none."""
+    return F.when(parent_index != place, parent_index)
+
+
+def legacy_chunks(text: Column) -> Column:
+    """array of struct(content, char_start, char_end): child chunks of one text, without parents."""
+    return F.transform(child_chunks(text), lambda c: F.struct(c["content"].alias("content"), c["at"].alias("char_start"), (c["at"] + F.length(c["content"])).alias("char_end")))
+
+
 def truncate_at_sentence(text: Column, limit: int) -> Column:
     """Cut to ``limit`` after the last mark of the first kind that occurs past 60 % of it, else hard."""
     head, out = F.left(text, F.lit(limit)), None
@@ -148,20 +237,30 @@ def truncate_at_sentence(text: Column, limit: int) -> Column:
 
 
 def checked_citations(text: Column, most: Column) -> Column:
-    """``[n]`` stays if 1 <= n <= most, else becomes ``[invalid-n]``."""
+    """``[n]`` stays if 1 <= n <= most, else becomes ``[invalid-n]`` (n without leading zeros)."""
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)))
-    bad = F.filter(marks, lambda n: (n.cast("decimal(38,0)") < 1) | (n.cast("decimal(38,0)") > most))
-    return F.aggregate(bad, text, lambda acc, n: F.replace(acc, F.concat(F.lit("["), n, F.lit("]")), F.concat(F.lit("[invalid-"), n, F.lit("]"))))
+    plain = lambda n: F.regexp_replace(n, "^0+(?=.)", "")
+    bad = F.filter(marks, lambda n: F.when(F.length(plain(n)) > 18, True).otherwise(~plain(n).try_cast("long").between(1, most)))
+    return F.aggregate(bad, text, lambda acc, n: F.replace(acc, F.concat(F.lit("["), n, F.lit("]")), F.concat(F.lit("[invalid-"), plain(n), F.lit("]"))))
 
 
-def index_terms(text: Column) -> Column:
-    """Lower-cased letter and digit runs of two or more characters, as the text index stores them."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.length(t) > 1)
+def words(text: Column) -> Column:
+    """Lower-cased letter and digit runs: the default segmenter. Any function from a text column to an array will do."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
 
+def _segmented(text: Column, segment: Callable[[Column], Column]) -> Column:
+    return segment(text) if segment is words else F.filter(F.transform(segment(text), strip), lambda t: F.length(t) > 0)
 
-def query_terms(text: Column) -> Column:
+
+def index_terms(text: Column, segment: Callable[[Column], Column] = words) -> Column:
+    """A text's words of two or more characters, as the text index stores them."""
+    return F.filter(_segmented(text, segment), lambda t: F.length(t) > 1)
+
+
+def query_terms(text: Column, segment: Callable[[Column], Column] = words) -> Column:
     """The same with single characters kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return _segmented(text, segment)
 
 
 def least_matches(words: Column) -> Column:

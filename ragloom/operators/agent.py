@@ -1,56 +1,95 @@
-"""The agent's control rules as columns, and its loop over pluggable clients on the driver."""
+"""The agent's control rules as columns, and its loop over pluggable clients on the driver.
+
+The loop holds one question's state: at most ``MAX_RETRIES`` + 2 tries of at most three steps. Searches are functions
+over the Spark tables; their results are small (top-k) lists.
+"""
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RETRIES = 2
+HYBRID, FULLTEXT = "hybrid_search", "fulltext_search"
+TOOLS = (HYBRID, FULLTEXT)
+TOP_K, MOST_STEPS = 40, 3
 NO_DATA = "No relevant content was found."
+UNSURE = "The sources found do not support a reliable answer."
+TRACE = "intent string, plan_steps int, tools_called array<struct<tool:string,result_count:int>>, reflection_result string, relevance int, groundedness int, consistency int, retry_count int, chunk_count int"
+Search = Callable[[str, dict], list[dict]]
 
 
 def intent(kind: Column, n_sub: Column) -> Column:
     return F.when((kind == "keyword") | ((kind == "semantic") & (n_sub == 1)), "simple").otherwise("complex")
 
 
-def worst(relevance: Column, groundedness: Column, consistency: Column) -> Column:
-    """The lowest score's name; ties favour groundedness, then relevance."""
-    low = F.least(relevance, groundedness, consistency)
-    return F.when(low.isNull(), None).when(groundedness == low, "groundedness").when(relevance == low, "relevance").otherwise("consistency")
-
-
 def adjust(retry: Column, relevance: Column, groundedness: Column, consistency: Column, top_k: Column, vector: Column) -> Column:
-    """struct(top_k, vector_weight, tool, query): the plan of the next try."""
+    """struct(top_k, vector_weight, tool, query): one step of the next try's plan."""
     level = F.least(retry, F.lit(2))
-    make = lambda k, v, tool="hybrid", q="same": F.struct(k.cast("int").alias("top_k"), F.round(v, 6).alias("vector_weight"), F.lit(tool).alias("tool"), (q if isinstance(q, Column) else F.lit(q)).alias("query"))
-    low = worst(relevance, groundedness, consistency)
-    k20 = F.least(top_k + 20, F.lit(80))
+    make = lambda k, v, tool=HYBRID, q="same": F.struct(k.cast("int").alias("top_k"), F.round(v, 6).alias("vector_weight"), F.lit(tool).alias("tool"), (q if isinstance(q, Column) else F.lit(q)).alias("query"))
+    low = F.least(relevance, groundedness, consistency)
     return (
         F.when(retry >= 3, make(F.lit(100), F.lit(0.5), q="original"))
         .when(low.isNull(), make(top_k, vector))
-        .when((low == "groundedness") & (level >= 2), make(k20, vector, "fulltext"))
-        .when(low == "groundedness", make(top_k, F.greatest(vector - 0.2, F.lit(0.3))))
-        .when(low == "relevance", make(F.least(top_k + 20 * (level + 1), F.lit(100)), vector, q=F.when(level >= 2, "original").otherwise("same")))
+        .when((groundedness == low) & (level >= 2), make(F.least(top_k + 20, F.lit(80)), vector, FULLTEXT))
+        .when(groundedness == low, make(top_k, F.greatest(vector - 0.2, F.lit(0.3))))
+        .when(relevance == low, make(F.least(top_k + 20 * (level + 1), F.lit(100)), vector, q=F.when(level >= 2, "original").otherwise("same")))
         .otherwise(make(F.least(top_k + 10, F.lit(80)), F.greatest(vector - 0.1, F.lit(0.3))))
     )
 
 
-def warning(relevance: Column, groundedness: Column, consistency: Column) -> Column:
+def adjusted(plan: list[dict], scores: dict, retry: int, original: str) -> list[dict]:
+    """The same rule over a plan: lists of {tool, args}."""
+    if retry >= 3:
+        return [{"tool": HYBRID, "args": {"query": original, "top_k": 100, "vector_weight": 0.5, "bm25_weight": 0.5}}]
+    if not scores:
+        return plan
+    relevance, grounded, consistency = (scores.get(d, 5) for d in ("relevance", "groundedness", "consistency"))
+    low, level, out = min(relevance, grounded, consistency), min(retry, 2), []
+    for step in plan:
+        tool, args = step["tool"], dict(step["args"])
+        k, weight = args.get("top_k", TOP_K), args.get("vector_weight", 0.7)
+        if grounded == low and level >= 2:
+            tool, args["top_k"] = FULLTEXT, min(k + 20, 80)
+        elif grounded == low:
+            args["vector_weight"] = max(weight - 0.2, 0.3)
+        elif relevance == low:
+            args["top_k"] = min(k + 20 * (level + 1), 100)
+            if level >= 2:
+                args["query"] = original
+        else:
+            args["top_k"], args["vector_weight"] = min(k + 10, 80), max(weight - 0.1, 0.3)
+        if "vector_weight" in args:
+            args["bm25_weight"] = 1.0 - args["vector_weight"]
+        out.append({"tool": tool, "args": args})
+    return out
+
+
+def warning(result: Column, relevance: Column, groundedness: Column, consistency: Column, retry: Column) -> Column:
+    """A graded note on an answer that did not pass, by its lowest dimension (the first of equal ones)."""
     low = F.least(relevance, groundedness, consistency)
-    grade = F.when(low <= 1, "unreliable").when(low <= 2, "weak").when(low <= 3, "fair").otherwise("")
-    return F.when(low.isNull(), "unscored").otherwise(F.when(grade == "", "").otherwise(F.concat(worst(relevance, groundedness, consistency), F.lit(": "), grade)))
+    dim = F.when(relevance == low, "relevance").when(groundedness == low, "groundedness").otherwise("consistency")
+    of = F.concat(low.cast("string"), F.lit("/5"))
+    return (
+        F.when(result == "parse_failed", "check failed")
+        .when(low.isNull(), F.concat(F.lit("not passed after "), retry.cast("string"), F.lit(" retries")))
+        .when(low <= 1, F.concat(F.lit("wrong facts likely: "), dim, F.lit(" "), of))
+        .when(low <= 2, F.concat(F.lit("weak support: "), dim, F.lit(" "), of))
+        .when(low <= 3, F.concat(F.lit("fair: "), of))
+        .otherwise(F.concat(F.lit("good: "), of))
+    )
 
 
 def extract_json(text: str) -> object | None:
     """The text as JSON, else a fenced block, else the first balanced braces or brackets; None if nothing parses."""
     tries = [text]
-    if "```" in text:
-        part = text.split("```")[1]
-        tries.append(part.removeprefix("json"))
+    if text.count("```") > 1:
+        tries.append(text.split("```")[1].removeprefix("json").strip())
     for opening, closing in ("{}", "[]"):
         start = text.find(opening)
         depth = 0
@@ -67,47 +106,121 @@ def extract_json(text: str) -> object | None:
     return None
 
 
+def planned(answer: str | None, query: str) -> list[dict]:
+    """The plan in a model's answer: at most three steps with known tools; one hybrid step if there is none."""
+    got = extract_json(answer) if answer else None
+    steps = got.get("sub_queries") if isinstance(got, dict) else None
+    plan: list[dict] = []
+    for s in (steps or [])[:MOST_STEPS]:
+        args = s.get("args") or {}
+        tool = s.get("tool", HYBRID)
+        plan.append({
+            "id": s.get("id", f"q{len(plan) + 1}"), "tool": tool if tool in TOOLS else HYBRID,
+            "args": {"query": s.get("query", query), "top_k": min(args.get("top_k", TOP_K), 80), **args}, "depends_on": s.get("depends_on", []),
+        })
+    return plan or [{"tool": HYBRID, "args": {"query": query}}]
+
+
+def executed(plan: list[dict], query: str, tools: dict[str, Search]) -> tuple[list[dict], list[dict]]:
+    """(chunks, calls) of a plan's steps in list order; what a step depends on only adds to its query.
+
+    A step without results is tried once more by full text; a chunk counts where it is found first; a failing tool is
+    noted and the next step runs.
+    """
+    done: dict[str, str] = {}
+    chunks: dict[str, dict] = {}
+    calls: list[dict] = []
+    for step in plan:
+        tool, args = step.get("tool", ""), dict(step.get("args", {}))
+        args["top_k"] = min(args.get("top_k", TOP_K), 100)
+        if not (args.get("query") or "").strip():
+            args["query"] = query
+        said = "".join(f"[{d}]: {done[d][:200]}\n" for d in step.get("depends_on", []) if d in done)
+        if said:
+            args["query"] += f" ({said[:100]})"
+        if tool not in tools:
+            continue
+        try:
+            found = tools[tool](args["query"], args)
+            if not found:
+                found = tools[FULLTEXT](args["query"], {"query": args["query"], "top_k": 20})
+                calls.append({"tool": FULLTEXT, "result_count": len(found)})
+            calls.append({"tool": tool, "result_count": len(found)})
+        except Exception as error:  # a tool's failure does not end the plan
+            calls.append({"tool": tool, "result_count": 0, "error": str(error)})
+            continue
+        for c in found:
+            chunks.setdefault(c["chunk_id"], c)
+        done[step.get("id", "")] = "; ".join(c.get("content", "")[:100] for c in found[:3])
+    return list(chunks.values()), calls
+
+
 @dataclass
 class State:
     query: str
+    intent: str = "complex"
     plan: list[dict] = field(default_factory=list)
     chunks: list[dict] = field(default_factory=list)
-    tools: list[str] = field(default_factory=list)
+    tools: list[dict] = field(default_factory=list)
     answer: str = ""
     scores: dict = field(default_factory=dict)
+    result: str = ""
     retries: int = 0
-    ended: str = ""
-
-
-def run(query: str, search: Callable[[str, str, int], list[dict]], answer: Callable[[str, list[dict]], str], judge: Callable[[str, str, list[dict]], dict | None], plan: Callable[[str], list[dict]] | None = None, top_k: int = 10) -> State:
-    """plan, execute, generate, reflect, adjust: at most MAX_RETRIES + 2 tries.
 
-    ``search(tool, query, k)`` is a tool over the Spark tables; a step without results falls back to full text with 20.
+    def trace(self, spark: SparkSession) -> DataFrame:
+        """The row that is kept with the answer."""
+        calls = [(c["tool"], c["result_count"]) for c in self.tools]
+        marks = [self.scores.get(d) for d in ("relevance", "groundedness", "consistency")]
+        return spark.createDataFrame([(self.intent, len(self.plan), calls, self.result, *marks, self.retries, len(self.chunks))], TRACE)
+
+
+def reflected(answer: str, verdict: str | None, retries: int) -> tuple[bool, str, dict, int]:
+    """(try again, result, scores, retries) from a judge's answer."""
+    if not answer:
+        return False, "skip", {}, retries
+    if retries >= MAX_RETRIES + 2:
+        return False, "max_retries_exhausted", {}, retries
+    got = extract_json(verdict) if verdict else None
+    if not isinstance(got, dict):
+        return False, "parse_failed", {}, retries
+    scores = got.get("scores", {})
+    if got.get("pass"):
+        return False, "passed", scores, retries
+    return True, got.get("reason", "low quality"), scores, retries + 1
+
+
+def run(query: str, tools: dict[str, Search], answer: Callable[[str, list[dict]], str], judge: Callable[[str, str, list[dict]], str | None], plan: Callable[[str], str | None] | None = None, kind: str = "complex", seconds: float = 60.0, now: Callable[[], float] = time.monotonic) -> State:
+    """classify, plan, execute, generate, reflect, adjust. A simple question ends at once: the fixed path answers it.
+
+    ``tools`` are searches by name, ``answer`` and ``judge`` the model's clients, ``plan`` its planner. After ``seconds``
+    the state so far is returned with the result ``timed_out``, and the caller takes the fixed path.
     """
-    s = State(query, (plan or (lambda q: [{"id": "1", "tool": "hybrid", "query": q, "depends_on": []}]))(query)[:3])
+    s = State(query, kind)
+    if kind == "simple":
+        return s
+    end = now() + seconds
+    s.plan = planned(plan(query) if plan else None, query)
     while True:
-        seen: dict[str, dict] = {}
-        results: dict[str, list[dict]] = {}
-        for step in s.plan:
-            text = step.get("query") or query
-            for d in step.get("depends_on", []):
-                if results.get(d):
-                    text += " " + results[d][0]["content"][:100]
-            k = min(step.get("top_k", top_k), 100)
-            found = search(step["tool"], text, k) or search("fulltext", text, 20)
-            s.tools.append(step["tool"])
-            results[step["id"]] = found
-            for c in found:
-                seen.setdefault(c["chunk_id"], c)
-        s.chunks = list(seen.values())
+        s.chunks, calls = executed(s.plan, query, tools)
+        s.tools += calls
         s.answer = answer(query, s.chunks) if s.chunks else NO_DATA
-        verdict = judge(query, s.answer, s.chunks)
-        if verdict is None or verdict.get("pass"):
-            s.scores, s.ended = verdict or {}, "passed" if verdict else "unjudged"
+        if now() > end:
+            s.result = "timed_out"
             return s
-        s.scores, s.retries = verdict, s.retries + 1
-        if s.retries > MAX_RETRIES + 1:
-            s.ended = "max_retries_exhausted"
+        again, s.result, s.scores, s.retries = reflected(s.answer, judge(query, s.answer, s.chunks), s.retries)
+        if not again or s.retries > MAX_RETRIES + 1:
+            if s.retries > MAX_RETRIES + 1:
+                s.result, s.answer = "max_retries_exhausted", UNSURE
             return s
-        for step in s.plan:
-            step["top_k"] = min(step.get("top_k", top_k) + 20, 100)
+        s.plan = adjusted(s.plan, s.scores, s.retries, query)
+
+
+def answer_events(spark: SparkSession, conversation: str, citations: list[dict], tokens: list[str], steps: list[dict] | None = None, error: str | None = None) -> DataFrame:
+    """seq, type, data: the events that a client is streamed, in order. ``steps`` are an agent's calls."""
+    rows: list[tuple[str, object]] = [("conversation", {"conversation_id": conversation}), ("status", {"message": "Searching..."})]
+    rows += [("agent_step", {"tool": c["tool"], "result_count": c["result_count"]}) for c in steps or []]
+    if error is None:
+        rows += [("citations", {"data": citations}), *(("token", {"content": t}) for t in tokens), ("done", {"conversation_id": conversation})]
+    else:
+        rows.append(("error", {"message": error}))
+    return spark.createDataFrame([(i, kind, json.dumps({"type": kind, **data}, ensure_ascii=False)) for i, (kind, data) in enumerate(rows)], "seq int, type string, data string")

@@ -9,59 +9,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.functions import queries as Q
 from ragloom.functions.text import index_terms, least_matches, query_terms
+from ragloom.operators.clients import Embedder, Reranker, embed, first_of
 
 #: Queries that one pass over the vectors may hold; larger sets go in blocks of this size.
 QUERY_BLOCK = 4096
 RRF_K = 60
 K1, B = 1.2, 0.75
+CANDIDATES, KEPT = 40, 10
 CONTEXT_CHARS = 8000
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 40, tenant: bool = False) -> DataFrame:
+def _unit(rows) -> np.ndarray:
+    v = np.stack(rows).astype(float)
+    return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+
+
+def _best(sims: np.ndarray, vid: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each row, and what ties with the last of them."""
+    keep = np.isfinite(sims)
+    if sims.shape[1] > k:
+        keep &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+    row, col = np.nonzero(keep)
+    return pd.DataFrame({"query_id": ids[row], "vec_id": vid[col], "score": sims[row, col]})
+
+
+def _in_blocks(queries: DataFrame, schema: str, search) -> DataFrame:
+    """The union of ``search`` over blocks of queries, which reach the driver a block at a time."""
+    out, block = queries.sparkSession.createDataFrame([], schema), []
+    for row in queries.orderBy("query_id").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            out, block = out.unionByName(search(block)), []
+    return out.unionByName(search(block)) if block else out
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, tenant: bool = False) -> DataFrame:
     """query_id, vec_id, score: exact cosine top-k; queries(query_id, qvec[, user_id]), vectors(vec_id, embedding[, user_id]).
 
     A block of queries is one matrix that every task multiplies its batches with, keeping its own best k per query; only
     those meet in the final ranking. With ``tenant`` a query sees vectors of its own user_id only.
     """
-    cols = ["query_id", "qvec"] + ["user_id"] * tenant
-    rows = queries.select(*cols).orderBy("query_id").toLocalIterator()
-    spark, parts, block = vectors.sparkSession, [], []
+    own = ["user_id"] * tenant
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
 
     def search(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block])
-        mat = np.array([r.qvec for r in block], float)
-        mat /= np.linalg.norm(mat, axis=1, keepdims=True) + 1e-8
+        ids, mat = np.array([r.query_id for r in block]), _unit([r.qvec for r in block])
         owner = np.array([r.user_id for r in block], object) if tenant else None
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
-                sims = mat @ v.T
-                if owner is not None:
-                    sims = np.where(owner[:, None] == pdf["user_id"].to_numpy(object)[None, :], sims, -np.inf)
-                vid = pdf["vec_id"].to_numpy()
-                top = np.lexsort((np.broadcast_to(vid, sims.shape), -sims), axis=1)[:, :k]
-                score = np.take_along_axis(sims, top, 1)
-                keep = np.isfinite(score)
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "vec_id": vid[top][keep], "score": score[keep]})
-
-        kind = dict(queries.dtypes)["query_id"]
-        return vectors.select("vec_id", "embedding", *(["user_id"] * tenant)).mapInPandas(best, f"query_id {kind}, vec_id {dict(vectors.dtypes)['vec_id']}, score double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block or not parts:
-        parts.append(search(block) if block else spark.createDataFrame([], "query_id long, vec_id long, score double"))
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
+                if len(pdf):
+                    sims = mat @ _unit(pdf["embedding"].to_numpy()).T
+                    if owner is not None:
+                        sims = np.where(owner[:, None] == pdf["user_id"].to_numpy(object)[None, :], sims, -np.inf)
+                    yield _best(sims, pdf["vec_id"].to_numpy(), ids, k)
+
+        return vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", *own).mapInPandas(best, schema)
+
+    hits = _in_blocks(queries.select("query_id", "qvec", *own), schema, search)
     return top_k(hits, k, "query_id", [F.desc("score"), F.asc("vec_id")])
 
 
@@ -70,39 +77,101 @@ def top_k(hits: DataFrame, k: int, key: str, order: list[Column]) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def _each_word(chunks: DataFrame, text: str) -> DataFrame:
+    """chunk_id, user_id, dl, dl_index, term of every word, and one row with an empty term for every chunk."""
+    words = chunks.select("chunk_id", "user_id", query_terms(F.col(text)).alias("w"))
+    sized = words.select("chunk_id", "user_id", "w", F.size("w").alias("dl"), F.size(F.filter("w", lambda t: F.length(t) > 1)).alias("dl_index"))
+    return sized.select("chunk_id", "user_id", "dl", "dl_index", F.explode(F.array_append("w", F.lit(""))).alias("term"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("chunk_id").groupBy("chunk_id", "user_id", "dl", "dl_index", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """chunk_id, user_id, term, tf, dl (the chunk's number of terms)."""
-    terms = chunks.select("chunk_id", "user_id", index_terms(F.col(text)).alias("terms"))
-    each = terms.select("chunk_id", "user_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return each.groupBy("chunk_id", "user_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, user_id, term, tf, dl (words of the chunk), dl_index (those of two or more characters); a row with an
+    empty term for every chunk. Rows lie partitioned by chunk, as scoring wants them."""
+    return _counted(_each_word(chunks, text))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id[, user_id], need, term, qtf: a query's words; each occurrence is a clause of its own."""
+    own = [c for c in ("user_id",) if c in queries.columns]
+    words = queries.select("query_id", *own, query_terms(F.col("text")).alias("w")).withColumn("need", least_matches(F.size("w")))
+    return words.select("query_id", *own, "need", F.explode("w").alias("term")).groupBy("query_id", *own, "need", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(queries: DataFrame, posting: DataFrame, k: int = 40, least: float | None = 1.0, tenant: bool = True) -> DataFrame:
-    """query_id, chunk_id, score: BM25 with the minimum-match rule; queries(query_id, text[, user_id]).
+def matching_postings(chunks: DataFrame, asked: DataFrame, text: str = "content") -> DataFrame:
+    """``postings`` of the asked terms alone: other words go before anything is shuffled."""
+    wanted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return _counted(_each_word(chunks, text).join(wanted, "term", "left_semi"))
 
-    Statistics are those of the whole index, as one index serves all tenants; a query's distinct terms count once.
+
+def bm25(queries: DataFrame, posting: DataFrame, k: int | None = CANDIDATES, least: float | None = 1.0, tenant: bool = True, digits: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score: two BM25 clauses, over the words of two or more characters and over all words.
+
+    Each counts if it matches the least number of the query's words (``least_matches``); a hit needs one of them.
+    Statistics are those of the whole index, as one index serves all tenants. The tenant term scores nothing.
+    ``digits`` rounds scores before they are ranked. queries(query_id, text[, user_id]).
     """
-    docs = posting.select("chunk_id", "dl").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    words = queries.select("query_id", *(["user_id"] if tenant else []), F.size(query_terms(F.col("text"))).alias("n_words"), F.array_distinct(query_terms(F.col("text"))).alias("terms"))
-    asked = words.select("query_id", *(["user_id"] if tenant else []), least_matches(F.col("n_words")).alias("need"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = asked.join(posting if tenant else posting.drop("user_id"), ["term"] + (["user_id"] if tenant else [])).join(df, "term").join(F.broadcast(docs))
+    asked = asked_terms(queries if tenant else queries.drop("user_id"))
+    marks, rows = posting.filter("term = ''"), posting.filter("term <> ''")
+    stats = marks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_all"), F.avg("dl_index").alias("avg_index"))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = (rows if tenant else rows.drop("user_id")).join(asked.join(df, "term"), ["term", *(["user_id"] if tenant else [])]).join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("met"), F.first("need").alias("need"), F.first("n_terms").alias("n_terms"))
-    scored = scored.filter(F.col("met") >= F.least("need", "n_terms"))
+    part = lambda dl, avg: F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col(dl) / F.col(avg)))
+    long = F.length("term") > 1
+    scored = hits.groupBy("query_id", "chunk_id", "need").agg(
+        F.sum(F.when(long, part("dl_index", "avg_index"))).alias("s_index"), F.sum(F.when(long, F.col("qtf"))).alias("m_index"),
+        F.sum(part("dl", "avg_all")).alias("s_all"), F.sum("qtf").alias("m_all"),
+    )
+    clause = lambda s, m: F.when(F.col(m) >= F.col("need"), F.col(s))
+    index, every = clause("s_index", "m_index"), clause("s_all", "m_all")
+    scored = scored.filter(index.isNotNull() | every.isNotNull()).select("query_id", "chunk_id", (F.coalesce(index, F.lit(0.0)) + F.coalesce(every, F.lit(0.0))).alias("score"))
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
     if least is not None:
         scored = scored.filter(F.col("score") >= least)
-    return top_k(scored.select("query_id", "chunk_id", "score"), k, "query_id", [F.desc("score"), F.asc("chunk_id")])
+    return scored if k is None else top_k(scored, k, "query_id", [F.desc("score"), F.asc("chunk_id")])
 
 
-def cover_rank(queries: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
-    """Fallback text search: every query term must occur; rank by summed term frequency over the chunk's length."""
-    posting = postings(chunks)
-    asked = queries.select("query_id", "user_id", F.array_distinct(index_terms(F.col("text"))).alias("terms"))
-    asked = asked.select("query_id", "user_id", F.size("terms").alias("need"), F.explode("terms").alias("term"))
-    met = asked.join(posting, ["term", "user_id"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need"), (F.sum("tf") / F.first("dl")).alias("score"))
-    return top_k(met.filter("met = need").select("query_id", "chunk_id", "score"), k, "query_id", [F.desc("score"), F.asc("chunk_id")])
+def cover_density(positions: Column, terms: Column, n_terms: Column) -> Column:
+    """Sum over the minimal covers of 0.1 / (1 + positions in the cover that hold no query term).
+
+    ``positions`` (ascending) are the places of query terms in a chunk, ``terms`` which of the query's terms each is.
+    """
+
+    @F.pandas_udf("double")
+    def rank(pos: pd.Series, term: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for p, t, need in zip(pos, term, n, strict=True):
+            last: dict[int, int] = {}
+            total, before = 0.0, -1
+            for end, name in enumerate(t):
+                last[name] = end
+                if len(last) == need and (begin := min(last.values())) > before:
+                    total += 0.1 / (1 + (p[end] - p[begin]) - (end - begin))
+                    before = begin
+            out.append(total)
+        return pd.Series(out, dtype=float)
+
+    return rank(positions, terms, n_terms)
+
+
+def cover_rank(queries: DataFrame, chunks: DataFrame, k: int | None = CANDIDATES, digits: int | None = None) -> DataFrame:
+    """Fallback text search: every word of the query must occur in the chunk's index words; rank by cover density.
+
+    Only the places of asked words leave the scan; a chunk's meet in one row. queries(query_id, user_id, text).
+    """
+    words = queries.select("query_id", "user_id", F.array_distinct(query_terms(F.col("text"))).alias("w"))
+    asked = words.select("query_id", "user_id", F.size("w").alias("need"), F.posexplode("w").alias("name", "term"))
+    placed = chunks.select("chunk_id", "user_id", F.posexplode(index_terms(F.col("content"))).alias("pos", "term"))
+    met = placed.join(asked, ["term", "user_id"]).groupBy("query_id", "chunk_id", "need").agg(F.countDistinct("name").alias("met"), F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("at"))
+    full = met.filter("met = need").select("query_id", "chunk_id", cover_density(F.col("at.pos"), F.col("at.name"), F.col("need")).alias("score"))
+    if digits is not None:
+        full = full.withColumn("score", F.round("score", digits))
+    return full if k is None else top_k(full, k, "query_id", [F.desc("score"), F.asc("chunk_id")])
 
 
 def ranked(hits: DataFrame, tie: str = "chunk_id") -> DataFrame:
@@ -110,48 +179,143 @@ def ranked(hits: DataFrame, tie: str = "chunk_id") -> DataFrame:
     return hits.withColumn("rank0", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))) - 1)
 
 
-def fuse(vector: DataFrame, text: DataFrame, weights: DataFrame | tuple[float, float] = (0.7, 0.3), k: int = RRF_K, keep: int | None = 40) -> DataFrame:
-    """Weighted reciprocal-rank fusion of two hit lists (query_id, chunk_id, score) into one, best first.
+def contributions(vector: DataFrame, text: DataFrame) -> DataFrame:
+    """query_id, chunk_id, engine, rank0, norm: each list's places, and scores by its best one.
 
-    Each list adds weight * score / best score / (k + rank); a best score of 0 counts as 1, a missing score as 1.
+    A best score of 0 counts as 1, a missing score as 1.
     """
     sides = []
     for engine, hits in (("v", vector), ("t", text)):
         best = F.max("score").over(Window.partitionBy("query_id"))
         norm = F.coalesce(F.col("score"), F.lit(1.0)) / F.when(best.isNull() | (best == 0), 1.0).otherwise(best)
-        sides.append(ranked(hits).select("query_id", "chunk_id", F.lit(engine).alias("engine"), "rank0", (norm / (k + F.col("rank0") + 1)).alias("part")))
-    both = sides[0].unionByName(sides[1])
+        sides.append(ranked(hits).select("query_id", "chunk_id", F.lit(engine).alias("engine"), "rank0", norm.alias("norm")))
+    return sides[0].unionByName(sides[1])
+
+
+def fused_order() -> list[Column]:
+    """Best first; ties in the vector list's order, then in the text list's."""
+    return [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), F.asc("chunk_id")]
+
+
+def fuse(vector: DataFrame, text: DataFrame, weights: DataFrame | tuple[float, float] = (0.7, 0.3), k: int = RRF_K, keep: int | None = CANDIDATES) -> DataFrame:
+    """Weighted reciprocal-rank fusion of two hit lists (query_id, chunk_id, score) into one, best first.
+
+    Each list adds weight * score / best score / (k + rank + 1).
+    """
+    both = contributions(vector, text)
     if isinstance(weights, tuple):
         both = both.withColumn("w", F.when(F.col("engine") == "v", F.lit(weights[0])).otherwise(F.lit(weights[1])))
     else:
-        both = both.join(weights, "query_id").withColumn("w", F.when(F.col("engine") == "v", F.col("vector_weight")).otherwise(F.col("text_weight")))
+        both = both.join(weights.select("query_id", "vector_weight", "text_weight"), "query_id").withColumn("w", F.when(F.col("engine") == "v", F.col("vector_weight")).otherwise(F.col("text_weight")))
     place = lambda e: F.min(F.when(F.col("engine") == e, F.col("rank0")))
-    fused = both.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"), place("v").alias("vector_rank"), place("t").alias("text_rank"))
-    order = [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), F.asc("chunk_id")]
-    return top_k(fused, keep, "query_id", order) if keep else fused
+    fused = both.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("norm") / (k + F.col("rank0") + 1)).alias("score"), place("v").alias("vector_rank"), place("t").alias("text_rank"))
+    return top_k(fused, keep, "query_id", fused_order()) if keep else fused
+
+
+def failover_weights(weights: DataFrame, fallback_hits: DataFrame) -> DataFrame:
+    """Weights where the fallback engine answered: a query with hits halves its text weight, the vector gets the rest."""
+    met = fallback_hits.select("query_id").distinct().withColumn("met", F.lit(True))
+    text = F.when(F.col("met"), F.col("text_weight") * 0.5).otherwise(F.col("text_weight"))
+    rows = weights.join(met, "query_id", "left").withColumn("text_weight", text)
+    return rows.withColumn("vector_weight", F.when(F.col("met"), 1 - F.col("text_weight")).otherwise(F.col("vector_weight"))).drop("met")
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, pool: DataFrame) -> DataFrame:
-    """Adds content, page_number and parent_content; hits of missing or foreign chunks are dropped.
+    """Adds document_id, content, page_number and parent_content; hits of missing or foreign chunks are dropped.
 
-    hits(query_id, user_id, chunk_id, score); only the candidates' chunks are joined, content last.
+    hits(query_id, user_id, chunk_id, score, ...); only the candidates' chunks are joined, content last.
     """
     own = hits.join(chunks.select("chunk_id", "user_id", "document_id", "content_hash", "page_number", "parent_chunk_id"), ["chunk_id", "user_id"])
     child = own.join(pool.select("content_hash", "content"), "content_hash")
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), "user_id", F.col("content_hash").alias("parent_hash"))
     text = pool.select(F.col("content_hash").alias("parent_hash"), F.col("content").alias("parent_content"))
-    return child.join(parents.join(text, "parent_hash").drop("parent_hash"), ["parent_chunk_id", "user_id"], "left").select("query_id", "user_id", "chunk_id", "document_id", "score", "content", "page_number", "parent_content")
+    return child.join(parents.join(text, "parent_hash").drop("parent_hash"), ["parent_chunk_id", "user_id"], "left").select(*hits.columns, "document_id", "content", "page_number", "parent_content")
 
 
-def rerank_local(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, keep: int = 10) -> DataFrame:
+def rerank_local(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, keep: int | None = KEPT) -> DataFrame:
     """Scores by cosine with the stored vector; without one the old score stays (rerank_source tells which)."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     both = candidates.join(queries.select("query_id", "qvec"), "query_id").join(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
     norm = F.sqrt(dot(F.col("qvec"), F.col("qvec"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     cosine = dot(F.col("qvec"), F.col("embedding")) / norm
-    known = F.col("embedding").isNotNull() & (norm > 0)
+    known = F.coalesce(norm > 0, F.lit(False))
     out = both.withColumn("rerank_source", F.when(known, "vector").otherwise("fusion")).withColumn("score", F.when(known, cosine).otherwise(F.col("score"))).drop("qvec", "embedding")
-    return top_k(out, keep, "query_id", [F.desc("score"), F.asc("chunk_id")])
+    return out if keep is None else top_k(out, keep, "query_id", [F.desc("score"), F.asc("chunk_id")])
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, client: Reranker | None = None, keep: int = KEPT) -> DataFrame:
+    """The best ``keep`` candidates by a reranking client, else by ``rerank_local``; a lone candidate keeps its score.
+
+    candidates(query_id, chunk_id, score, content), at most ``CANDIDATES`` a query; queries(query_id, text, qvec).
+    """
+    counted = candidates.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    lone = counted.filter("_n = 1").drop("_n").withColumn("rerank_source", F.lit("fusion"))
+    many = counted.filter("_n > 1").drop("_n")
+    if client is None:
+        out = rerank_local(many, queries, vectors, None)
+    else:
+        kind = dict(candidates.dtypes)
+
+        def asked(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("chunk_id")
+            got = first_of(lambda: client.rerank(rows["text"].iloc[0], rows["content"].tolist()))
+            return pd.DataFrame({"query_id": rows["query_id"], "chunk_id": rows["chunk_id"], "client_score": pd.Series([None] * len(rows) if got is None else [float(x) for x in got], index=rows.index, dtype=float)})
+
+        scores = many.select("query_id", "chunk_id", "content").join(queries.select("query_id", "text"), "query_id").groupBy("query_id").applyInPandas(asked, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, client_score double")
+        local = rerank_local(many, queries, vectors, None).join(scores, ["query_id", "chunk_id"])
+        known = F.col("client_score").isNotNull() & ~F.isnan("client_score")
+        out = local.withColumn("rerank_source", F.when(known, "client").otherwise(F.col("rerank_source"))).withColumn("score", F.when(known, F.col("client_score")).otherwise(F.col("score"))).drop("client_score")
+    return top_k(out.unionByName(lone), keep, "query_id", [F.desc("score"), F.asc("chunk_id")])
+
+
+def single_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, posting: DataFrame | None = None, k: int = CANDIDATES, text_engine: bool = True, digits: int | None = None) -> DataFrame:
+    """Fused hits of each query, all of them; queries(query_id, user_id, text, qvec, vector_weight, text_weight).
+
+    ``posting`` is a stored index (``postings``); without one the asked words' are read from chunks(chunk_id, user_id,
+    content). Where the text engine is down (``text_engine`` false), the fallback engine answers, with its own weights.
+    """
+    v = vector_search(queries, vectors, k, tenant=True).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score") if digits is None else F.round("score", digits).alias("score"))
+    weights = queries.select("query_id", "vector_weight", "text_weight")
+    if text_engine:
+        t = bm25(queries, matching_postings(chunks, asked_terms(queries)) if posting is None else posting, k, digits=digits)
+    else:
+        t = cover_rank(queries, chunks, k, digits)
+        weights = failover_weights(weights, t)
+    return fuse(v, t, weights, keep=None)
+
+
+def search(queries: DataFrame, chunks: DataFrame, pool: DataFrame, vectors: DataFrame, chain: dict[str, Embedder] | None = None, dim: int = 64, posting: DataFrame | None = None, client: Reranker | None = None, k: int = CANDIDATES, candidates: int = CANDIDATES, keep: int = KEPT, weights: tuple[float, float] | None = None, text_engine: bool = True, digits: int | None = None) -> DataFrame:
+    """query_id, user_id, chunk_id, document_id, score, content, page_number, parent_content, rerank_source: the whole path.
+
+    queries(query_id, user_id, text[, history][, qvec][, collection_id]); chunks(chunk_id, user_id, document_id,
+    content_hash, page_number, parent_chunk_id, content[, collection_id]). Queries are analysed and decomposed; every
+    sub-query is embedded (a given qvec stands for the rewritten query itself) and searched in its tenant, scores of
+    sub-queries are summed, hits hydrated, cut to ``candidates`` and reranked. With ``weights`` (vector, text) the
+    caller's weights hold and there is neither history nor decomposition. A collection_id narrows the chunks.
+    """
+    history = F.col("history") if "history" in queries.columns and weights is None else None
+    a = queries.withColumn("a", Q.analyse(F.col("text"), history))
+    subs = F.array(F.col("a.rewritten")) if weights is not None else F.col("a.sub_queries")
+    pair = (F.col("a.vector_weight"), F.col("a.text_weight")) if weights is None else tuple(F.lit(float(w)) for w in weights)
+    given = ["qvec"] if "qvec" in queries.columns else []
+    base = a.select("query_id", "user_id", *given, F.col("a.rewritten").alias("rewritten"), pair[0].alias("vector_weight"), pair[1].alias("text_weight"), F.posexplode(subs).alias("part", "sub"))
+    vector = embed(base.select("sub").union(base.select("rewritten")).distinct(), chain or {}, dim, column="sub").select("sub", F.col("embedding").alias("made"))
+    base = base.join(vector, "sub", "left")
+    own = F.when(F.col("sub") == F.col("rewritten"), F.col("qvec")) if given else F.lit(None).cast("array<float>")
+    single = base.select(F.struct("query_id", "part").alias("key"), "user_id", F.col("sub").alias("text"), F.coalesce(own, F.col("made")).alias("qvec"), "vector_weight", "text_weight")
+    # one id per sub-query for the engines; the rows are few and read by every engine, so they are kept
+    single = single.withColumn("query_id", F.concat_ws(":", F.col("key.query_id").cast("string"), F.col("key.part").cast("string"))).persist()
+    fused = single_search(single.drop("key"), chunks.select("chunk_id", "user_id", "content"), vectors, posting, k, text_engine, digits)
+    narrow = ["collection_id"] if "collection_id" in queries.columns else []
+    names = single.select("query_id", F.col("key.query_id").alias("whole"), "user_id")
+    summed = fused.join(names, "query_id").groupBy("whole", "user_id", "chunk_id").agg(F.sum("score").alias("score"), F.min("vector_rank").alias("vector_rank"), F.min("text_rank").alias("text_rank")).withColumnRenamed("whole", "query_id")
+    if narrow:
+        inside = chunks.select("chunk_id", F.col("collection_id").alias("_c"))
+        summed = summed.join(queries.select("query_id", "collection_id"), "query_id").join(inside, "chunk_id").filter(F.col("collection_id").isNull() | (F.col("collection_id") == F.col("_c"))).drop("_c", "collection_id")
+    best = top_k(hydrate(summed, chunks, pool), candidates, "query_id", fused_order()).drop("vector_rank", "text_rank")
+    rewritten = a.select("query_id", *given, F.col("a.rewritten").alias("sub")).join(vector, "sub", "left")
+    asked = rewritten.select("query_id", F.col("sub").alias("text"), (F.coalesce(F.col("qvec"), F.col("made")) if given else F.col("made")).alias("qvec"))
+    return rerank(best, asked, vectors, client, keep)
 
 
 def pack_context(results: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
@@ -172,7 +336,7 @@ def lost_data(queries: DataFrame, results: DataFrame, chunks: DataFrame) -> Data
     return queries.join(results.select("query_id").distinct(), "query_id", "left_anti").join(chunks.select("user_id").distinct(), "user_id", "left_semi").select("query_id", "user_id")
 
 
-def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, probes: int = 44, k: int = 40, seed: int = 7) -> DataFrame:
+def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, probes: int = 44, k: int = CANDIDATES, seed: int = 7) -> DataFrame:
     """Approximate vector search: k-means cells over the vectors; a query looks into its nearest ``probes`` cells.
 
     Queries go in blocks as in ``vector_search``: a task multiplies each cell's vectors with the queries that probe it.
@@ -187,10 +351,8 @@ def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, pr
     placed = model.transform(points).select("vec_id", "embedding", F.col("prediction").alias("cell"))
     schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
 
-    def search(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block])
-        mat = np.array([r.qvec for r in block], float)
-        mat /= np.linalg.norm(mat, axis=1, keepdims=True) + 1e-8
+    def find(block: list) -> DataFrame:
+        ids, mat = np.array([r.query_id for r in block]), _unit([r.qvec for r in block])
         near = np.zeros((len(ids), len(centers)), bool)
         np.put_along_axis(near, np.argsort(-(mat @ centers.T), axis=1, kind="stable")[:, :probes], True, 1)
 
@@ -198,22 +360,9 @@ def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, pr
             for pdf in batches:
                 for cell, rows in pdf.groupby("cell"):
                     asking = np.flatnonzero(near[:, cell])
-                    if not len(asking):
-                        continue
-                    v = np.stack(rows["embedding"].to_numpy()).astype(float)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
-                    sims = mat[asking] @ v.T
-                    vid = rows["vec_id"].to_numpy()
-                    top = np.lexsort((np.broadcast_to(vid, sims.shape), -sims), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids[asking], top.shape[1]), "vec_id": vid[top].ravel(), "score": np.take_along_axis(sims, top, 1).ravel()})
+                    if len(asking):
+                        yield _best(mat[asking] @ _unit(rows["embedding"].to_numpy()).T, rows["vec_id"].to_numpy(), ids[asking], k)
 
         return placed.mapInPandas(best, schema)
 
-    hits, block = vectors.sparkSession.createDataFrame([], schema), []
-    for row in queries.select("query_id", "qvec").orderBy("query_id").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            hits, block = hits.unionByName(search(block)), []
-    if block:
-        hits = hits.unionByName(search(block))
-    return top_k(hits, k, "query_id", [F.desc("score"), F.asc("vec_id")])
+    return top_k(_in_blocks(queries.select("query_id", "qvec"), schema, find), k, "query_id", [F.desc("score"), F.asc("vec_id")])

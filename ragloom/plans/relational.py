@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators import clients
 from ragloom.operators import pool as pools
+from ragloom.operators import retrieval as R
 from ragloom.plans.fixtures import CHUNKS, DOCS, POOL, chunks, documents, pool
 from ragloom.registry import query
 from ragloom.session import table
@@ -18,9 +20,18 @@ def flt1_flt2_tenant_live_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).filter((F.col("user_id") == TENANT) & ~F.col("is_deleted")).select("doc_id", "collection_id", F.left("text", F.lit(50)).alias("title"), "n_chars")
 
 
+def one_or_none(found: DataFrame) -> DataFrame:
+    """The only row of a point lookup; a second one is an error."""
+    two = found.limit(2)
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    checked = F.when(n > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.lit(True)).cast("boolean")
+    return two.withColumn("_one", checked).filter("_one").drop("_one")
+
+
 @query(f"WITH {DOCS} SELECT doc_id, user_id FROM d WHERE doc_id = 7 AND user_id = 'src0' AND NOT is_deleted LIMIT 2")
 def flt3_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).filter("doc_id = 7 and user_id = 'src0' and not is_deleted").select("doc_id", "user_id").limit(2)
+    found = documents(spark, sf).filter("doc_id = 7 and user_id = 'src0' and not is_deleted").select("doc_id", "user_id")
+    return one_or_none(found)
 
 
 TREE = "SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_regionkey * 5 END AS parent_id FROM nation"
@@ -69,6 +80,34 @@ def prj1_prj2_document_response(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("user_id"), F.col("lang").alias("language"), F.col("n_chars").alias("file_size"), F.lit("ready").alias("processing_status"))
 
 
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::VARCHAR AS description, NULL::VARCHAR AS icon, n_regionkey::VARCHAR AS parent_id, 'folder' AS type, n_nationkey AS sort_order FROM nation")
+def prj1_collection_response(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), none.alias("description"), none.alias("icon"), F.col("n_regionkey").cast("string").alias("parent_id"), F.lit("folder").alias("type"), F.col("n_nationkey").alias("sort_order"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS id, r_name AS name, NULL::VARCHAR AS color FROM region")
+def prj1_tag_response(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("color"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, lower(c_name) || '@example.com' AS email, c_name AS display_name, greatest(round(c_acctbal), 0)::BIGINT AS storage_used FROM customer")
+def prj1_user_response(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"), F.col("c_name").alias("display_name"), F.greatest(F.round("c_acctbal"), F.lit(0)).cast("long").alias("storage_used"))
+
+
+@query("SELECT conv_id::VARCHAR AS id, left(arg_min(text, turn) FILTER (role = 'user'), 50) AS title, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def prj1_conversation_response(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.left(F.min_by("text", asked), F.lit(50)).alias("title"), F.count(F.lit(1)).alias("message_count"), F.max("turn").alias("last_turn"))
+    return rows.select(F.col("conv_id").cast("string").alias("id"), "title", "message_count", "last_turn")
+
+
+@query("SELECT conv_id || '-' || turn AS id, role, text AS content, CASE WHEN role = 'assistant' THEN 'model' END AS model_name FROM conversations")
+def prj1_message_response(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", F.col("text").alias("content"), F.when(F.col("role") == "assistant", "model").alias("model_name"))
+
+
 @query("SELECT doc_id, left(text, 50) AS title, left(text, 200) AS snippet, left(text, 500) AS stored FROM documents")
 def prj3_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", *(F.left("text", F.lit(n)).alias(c) for n, c in ((50, "title"), (200, "snippet"), (500, "stored"))))
@@ -81,20 +120,12 @@ def prj4_parent_content(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(parents, "parent_chunk_id", "left").select("chunk_id", F.coalesce(F.nullif("parent_content", F.lit("")), "content").alias("content"))
 
 
-HITS = "h AS (SELECT chunk_id, user_id FROM c WHERE chunk_id LIKE 'ab%')"
-
-
-@query(f"WITH {CHUNKS}, {POOL}, {HITS} SELECT c.chunk_id, c.document_id, p.content FROM h JOIN c USING (chunk_id, user_id) JOIN p USING (content_hash)")
-def join1_hydrate(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {CHUNKS}, {POOL}, r AS (SELECT c.*, p.content AS kept FROM c JOIN p USING (content_hash)) SELECT r.chunk_id, r.document_id, md5(r.kept) AS content_md5, md5(q.kept) AS parent_md5 FROM r LEFT JOIN r q ON q.chunk_id = r.parent_chunk_id AND q.user_id = r.user_id")
+def join1_join2_hydrate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk hydrated: its content from the pool, and its parent's."""
     c = chunks(spark, sf)
-    return c.filter(F.col("chunk_id").startswith("ab")).select("chunk_id", "user_id", "document_id", "content_hash").join(pool(spark, sf), "content_hash").select("chunk_id", "document_id", "content")
-
-
-@query(f"WITH {CHUNKS}, {HITS} SELECT c.chunk_id, q.content AS parent_content FROM h JOIN c USING (chunk_id, user_id) LEFT JOIN c q ON q.chunk_id = c.parent_chunk_id AND q.user_id = c.user_id")
-def join2_parent_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
-    parents = c.filter("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_chunk_id"), "user_id", F.col("content").alias("parent_content"))
-    return c.filter(F.col("chunk_id").startswith("ab")).select("chunk_id", "user_id", "parent_chunk_id").join(parents, ["parent_chunk_id", "user_id"], "left").select("chunk_id", "parent_content")
+    hits = c.select(F.lit(0).alias("query_id"), "user_id", "chunk_id", F.lit(1.0).alias("score"))
+    return R.hydrate(hits, c, pool(spark, sf)).select("chunk_id", "document_id", F.md5("content").alias("content_md5"), F.md5("parent_content").alias("parent_md5"))
 
 
 @query(f"WITH {CHUNKS}, {POOL}, n AS (SELECT content_hash, count(*) AS actual FROM c WHERE document_id % 5 <> 0 GROUP BY 1) SELECT content_hash, ref_count, coalesce(actual, 0) AS actual FROM p LEFT JOIN n USING (content_hash) WHERE ref_count <> coalesce(actual, 0)")
@@ -109,9 +140,9 @@ def join4_vector_repair(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).filter("chunk_type = 'child' and document_id % 7 = 0").join(e, "document_id").select("chunk_id", "document_id")
 
 
-@query(f"WITH {CHUNKS}, {POOL} SELECT c.chunk_index, c.content_hash, p.content FROM c JOIN p USING (content_hash) WHERE c.document_id = 3")
+@query(f"WITH {CHUNKS}, {POOL} SELECT c.document_id, c.chunk_index, c.content_hash, md5(p.content) AS content_md5 FROM c JOIN p USING (content_hash)")
 def join5_clone_source(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).filter("document_id = 3").select("chunk_index", "content_hash").join(pool(spark, sf), "content_hash").select("chunk_index", "content_hash", "content")
+    return chunks(spark, sf).select("document_id", "chunk_index", "content_hash").join(pool(spark, sf), "content_hash").select("document_id", "chunk_index", "content_hash", F.md5("content").alias("content_md5"))
 
 
 @query(f"WITH {CHUNKS}, {POOL} SELECT doc_id AS document_id FROM documents WHERE doc_id NOT IN (SELECT document_id FROM c JOIN p USING (content_hash) WHERE needs_embedding AND chunk_type = 'child')")
@@ -147,13 +178,13 @@ def src10_upload_routes(spark: SparkSession, sf: str) -> DataFrame:
     return u.join(own, ["h", "source"]).join(every, "h").select("doc_id", F.when(F.col("own") < F.col("doc_id"), "reject").when(F.col("every") < F.col("doc_id"), "clone").otherwise("process").alias("route"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(range(len(p)))::INT AS pos, unnest(p) AS sec FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents)),
-k AS (SELECT doc_id, left(text, 400) AS chunk FROM documents) SELECT k.doc_id, coalesce(max(pos) + 1, 0)::BIGINT AS page FROM k LEFT JOIN s ON s.doc_id = k.doc_id AND contains(k.chunk, s.sec) GROUP BY 1""")
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS s, string_split(text, '. ') AS k FROM documents), c AS (SELECT doc_id, s, unnest(range(len(k)))::INT AS i, unnest(k) AS chunk FROM t)
+SELECT doc_id, i, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda j: contains(chunk, s[j]))), 0)::INT AS page FROM c""")
 def join11_page_of_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    """The last section that a chunk contains gives its page; inside one row, so nothing is shuffled."""
-    sections = F.filter(F.split("text", "\n"), lambda x: x != "")
-    pages = F.transform(sections, lambda s, i: F.when(F.contains(F.left("text", F.lit(400)), s), i + 1))
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.array_max(pages), F.lit(0)).cast("long").alias("page"))
+    """For every chunk the last section that it contains gives its page; inside one row, so nothing is shuffled."""
+    rows = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("s"), F.posexplode(F.split("text", "\\. ")).alias("i", "chunk"))
+    pages = F.transform("s", lambda x, j: F.when(F.contains("chunk", x), j + 1))
+    return rows.select("doc_id", "i", F.coalesce(F.array_max(pages), F.lit(0)).cast("int").alias("page"))
 
 
 @query("SELECT d.doc_id, round(list_sum(list_transform(coalesce(e.embedding, list_transform(range(64), lambda i: 0::FLOAT)), lambda x: x::DOUBLE)), 5) AS total FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
@@ -215,27 +246,12 @@ def agg11_history(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("history"))
 
 
-BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0)
-
-
-@query(f"SELECT event_type, b AS le, count(*) FILTER (value <= b) AS n FROM events, (SELECT unnest({list(BOUNDS)}::DOUBLE[]) AS b) GROUP BY 1, 2")
-def agg12_snk9_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "events").groupBy("event_type").agg(F.array(*(F.struct(F.lit(b).alias("le"), F.count_if(F.col("value") <= b).alias("n")) for b in BOUNDS)).alias("x"))
-    return counts.select("event_type", F.inline("x"))
-
-
 @query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
 def win3_last_messages(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return table(spark, sf, "conversations").withColumn("r", rank).filter("r <= 6").select("conv_id", "turn", "text")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
-def win7_snk7_status_changes(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").withColumn("p", before).filter("p is null or p <> event_type").select("user_id", "event_id", "event_type")
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def srt1_page(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").filter("o_custkey % 10 = 1").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_custkey")
@@ -251,6 +267,12 @@ def srt6_batch_pick(spark: SparkSession, sf: str) -> DataFrame:
     return pool(spark, sf).filter("needs_embedding").select("content_hash").orderBy("content_hash").limit(200)
 
 
+@query("SELECT doc_id AS id, ((row_number() OVER (ORDER BY doc_id) - 1) // 1000)::INT AS page FROM documents")
+def srt7_paged_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All ids in pages of 1,000 by order of id: places come from range partitions' sizes, not from one task."""
+    return pools.pages(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", 1000)
+
+
 @query("SELECT doc_id::VARCHAR AS id, 'missing' AS state FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'x' || vec_id, 'orphaned' FROM embeddings WHERE vec_id < 5")
 def set1_index_difference(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
@@ -282,7 +304,7 @@ UP = f"WITH {CHUNKS}, o AS (SELECT content_hash, arg_min(content, (document_id,
 
 @query(f"{UP} GROUP BY 1) SELECT content_hash, md5(content) AS content_md5, ref_count FROM o")
 def dml1_agg8_pool_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Even documents first, then odd ones: the pool equals that of all at once, but content is the first writer's."""
+    """Documents below 300 first, then the others: the pool equals that of all at once, content is the first writer's."""
     c = chunks(spark, sf)
     empty = c.limit(0).select("content_hash", "content", F.lit(0).cast("long").alias("ref_count"))
     first = pools.upsert(empty, c.filter("document_id < 300"))
@@ -291,16 +313,102 @@ def dml1_agg8_pool_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{UP} WHERE document_id % 10 <> 0 GROUP BY 1) SELECT content_hash, ref_count FROM o")
 def dml3_delete_documents(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
+    t = pools.delete(tables(spark, sf), gone(spark, sf))
+    return t.pool.select("content_hash", "ref_count")
+
+
+def gone(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("document_id"))
+
+
+def tables(spark: SparkSession, sf: str) -> pools.Tables:
+    """Documents, chunks, a pool with true counts, and both indexes."""
+    c = chunks(spark, sf).withColumn("cleanup_status", F.lit("done"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.lit(False).alias("is_deleted"), F.col("n_chars").alias("file_size"))
     full = pools.upsert(c.limit(0).select("content_hash", "content", F.lit(0).cast("long").alias("ref_count")), c)
-    left, _ = pools.delete_documents(full, c, c.filter("document_id % 10 = 0").select("document_id").distinct())
-    return left.select("content_hash", "ref_count")
+    index = c.filter("chunk_type = 'child'").select("chunk_id", "user_id", "document_id", "content_hash")
+    return pools.Tables(d, c, full, index, index)
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN document_id % 10 = 0 THEN 'pending' ELSE 'done' END AS cleanup_status, chunk_type = 'child' AND document_id % 10 <> 0 AS in_vectors, chunk_type = 'child' AS in_texts FROM c")
+def dml3_deferred_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """The text index is down: chunks stay, marked pending; the vector index is cleared already."""
+    t = pools.delete(tables(spark, sf), gone(spark, sf), texts_ok=False)
+    mark = lambda df, name: df.select("chunk_id", F.lit(True).alias(name))
+    rows = t.chunks.select("chunk_id", "cleanup_status").join(mark(t.vectors, "v"), "chunk_id", "left").join(mark(t.texts, "t"), "chunk_id", "left")
+    return rows.select("chunk_id", "cleanup_status", F.coalesce("v", F.lit(False)).alias("in_vectors"), F.coalesce("t", F.lit(False)).alias("in_texts"))
+
+
+@query("SELECT source AS user_id, greatest(sum(n_chars) // 2 - coalesce(sum(n_chars) FILTER (doc_id % 10 = 0), 0), 0)::BIGINT AS storage_used, greatest(5 - coalesce(sum(len(string_split(text, chr(10)))) FILTER (doc_id % 10 = 0), 0), 0)::BIGINT AS vector_count FROM documents GROUP BY 1")
+def dml3_agg9_tenant_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that start too low never fall below 0."""
+    t = tables(spark, sf)
+    totals = t.documents.groupBy("user_id").agg(F.expr("sum(file_size) div 2").alias("storage_used"), F.lit(5).alias("vector_count"))
+    out = pools.tenant_totals(totals, t.documents, t.chunks, gone(spark, sf))
+    return out.select("user_id", F.col("storage_used").cast("long").alias("storage_used"), F.col("vector_count").cast("long").alias("vector_count"))
+
+
+@query(f"{UP} WHERE document_id % 10 <> 0 GROUP BY 1) SELECT content_hash, ref_count, (SELECT count(*) FROM c WHERE document_id % 10 <> 0) AS n_chunks FROM o")
+def dml6_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """A deletion that was deferred, tried again with both indexes up."""
+    t = pools.reconcile(pools.delete(tables(spark, sf), gone(spark, sf), vectors_ok=False))
+    return t.pool.select("content_hash", "ref_count").join(F.broadcast(t.chunks.agg(F.count(F.lit(1)).alias("n_chunks"))))
+
 
+@query(f"WITH {CHUNKS}, {POOL} SELECT content_hash, (SELECT count(*) FROM c WHERE c.content_hash = p.content_hash) AS ref_count FROM p")
+def dml7_repair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stale reference counts set right."""
+    return pools.repair_counts(pool(spark, sf), chunks(spark, sf)).select("content_hash", "ref_count")
 
-@query(f"WITH {CHUNKS} SELECT sha256('copy:' || chunk_id) AS chunk_id, CASE WHEN parent_chunk_id IS NOT NULL THEN sha256('copy:' || parent_chunk_id) END AS parent_chunk_id, 'copy' AS document_id, 'src9' AS user_id, content_hash FROM c WHERE document_id = 3")
-def dml4_clone_document(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf).withColumn("document_id", F.col("document_id").cast("string"))
-    return pools.clone(c, "3", "copy", "src9").select("chunk_id", "parent_chunk_id", "document_id", "user_id", "content_hash")
+
+@query(f"""WITH {CHUNKS}, {POOL}, v AS (SELECT content_hash, arg_min(e.embedding, c.document_id) AS embedding FROM c JOIN embeddings e ON e.vec_id = c.document_id GROUP BY 1)
+SELECT c.chunk_id, c.content_hash, round(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE)), 5) AS total, md5(left(p.content, 500)) AS snippet_md5 FROM c JOIN p USING (content_hash) JOIN v USING (content_hash) WHERE chunk_type = 'child' AND document_id % 7 = 0""")
+def dml8_repair_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """What the vector index lacks, made from the pool's vectors."""
+    c = chunks(spark, sf)
+    there = c.filter("chunk_type = 'child' and document_id % 7 <> 0").select("chunk_id")
+    out = pools.missing_rows(c, vector_pool(spark, sf), there)
+    return out.select("chunk_id", "content_hash", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.md5("snippet").alias("snippet_md5"))
+
+
+def vector_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool with vectors: of a hash's documents that have one, the first's."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    v = chunks(spark, sf).select("content_hash", "document_id").join(e, "document_id").groupBy("content_hash").agg(F.min_by("embedding", "document_id").alias("embedding"))
+    return pool(spark, sf).join(v, "content_hash", "left")
+
+
+@query(f"""WITH {CHUNKS}, {POOL}, b AS (SELECT content_hash FROM p WHERE needs_embedding ORDER BY content_hash LIMIT 200), w AS (SELECT DISTINCT document_id FROM c JOIN p USING (content_hash) WHERE needs_embedding AND chunk_type = 'child' AND content_hash NOT IN (SELECT content_hash FROM b))
+SELECT doc_id AS document_id, CASE WHEN w.document_id IS NULL THEN 'ready' ELSE 'pending_embedding' END AS processing_status FROM documents LEFT JOIN w ON w.document_id = doc_id""")
+def dml9_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """The next 200 hashes get vectors; documents that no longer wait for any become ready."""
+    p = pool(spark, sf).withColumn("embedding", F.lit(None).cast("array<float>"))
+    done = clients.embed(pools.batch(p).select("content_hash", F.col("content").alias("text")), {}, 64)
+    docs = documents(spark, sf).select(F.col("doc_id").alias("document_id"), F.lit("pending_embedding").alias("processing_status"))
+    return pools.promote(docs, chunks(spark, sf), pools.backfill(p, done)).select("document_id", "processing_status")
+
+
+@query(f"WITH {CHUNKS} SELECT document_id, chunk_index, chunk_id, parent_chunk_id FROM c")
+def dml2_insert_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk rows from a chunker's output: ids by rule, parents' places mapped to their ids."""
+    made = chunks(spark, sf).select("document_id", "user_id", "chunk_index", F.lit(0).alias("parent_index"))
+    rows = pools.insert_chunks(made, F.sha2(F.concat_ws(":", "document_id", "chunk_index"), 256))
+    return rows.select("document_id", "chunk_index", "chunk_id", "parent_chunk_id")
+
+
+@query(f"""WITH {CHUNKS}, k AS (SELECT *, 'copy-' || document_id AS target FROM c WHERE document_id % 2 = 1)
+SELECT sha256(target || ':' || chunk_id) AS chunk_id, CASE WHEN parent_chunk_id IS NOT NULL THEN sha256(target || ':' || parent_chunk_id) END AS parent_chunk_id, target AS document_id, 'src9' AS user_id, content_hash FROM k""")
+def dml4_clone_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second document cloned for another tenant, parents mapped through the old and new ids."""
+    docs = table(spark, sf, "documents").filter("doc_id % 2 = 1")
+    pairs = docs.select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("copy-"), F.col("doc_id").cast("string")).alias("target"), F.lit("src9").alias("owner"))
+    return pools.clone_all(chunks(spark, sf), pairs).select("chunk_id", "parent_chunk_id", "document_id", "user_id", "content_hash")
+
+
+@query(f"WITH {CHUNKS}, {POOL}, m AS (SELECT content_hash, count(DISTINCT document_id) AS more FROM c WHERE document_id % 2 = 1 GROUP BY 1) SELECT content_hash, ref_count + coalesce(more, 0) AS ref_count FROM p LEFT JOIN m USING (content_hash)")
+def dml4_clone_references(spark: SparkSession, sf: str) -> DataFrame:
+    """One more reference per hash and cloned document."""
+    return pools.retain(pool(spark, sf), chunks(spark, sf).filter("document_id % 2 = 1")).select("content_hash", "ref_count")
 
 
 @query(f"WITH {CHUNKS}, {POOL}, z AS (SELECT content_hash FROM p WHERE content_hash LIKE '0%') SELECT content_hash FROM z WHERE content_hash NOT IN (SELECT content_hash FROM c WHERE document_id % 2 = 0)")
@@ -314,14 +422,49 @@ def dml10_keyed_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     return pools.latest(table(spark, sf, "events"), "user_id", "event_id").select("user_id", F.col("event_type").alias("name"), "value")
 
 
-@query("SELECT conv_id, count(*) FILTER (role = 'user') * 2 AS message_count, max(turn) AS last_turn, left(arg_min(text, turn) FILTER (role = 'user'), 50) AS title FROM conversations GROUP BY 1")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE c_mktsegment END AS segment, c_custkey % 7 = 0 AS is_deleted FROM customer")
+def dml10_partial_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the fields that are set change; deleted rows are marked."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit(False).alias("is_deleted"))
+    changes = c.filter("id % 3 = 0 or id % 5 = 0").select("id", F.when(F.col("id") % 3 == 0, "renamed").alias("name"), F.when(F.col("id") % 5 == 0, "none").alias("segment"))
+    return pools.soft_delete(pools.update(c, changes, "id"), "id", c.filter("id % 7 = 0"))
+
+
+@query("SELECT s_nationkey AS owner, s_name AS name, 'refused' AS state FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_nationkey, s_name, 'kept' FROM supplier")
+def dml10_unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that an owner has already are refused."""
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("owner"), F.col("s_name").alias("name"))
+    old = table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("owner"), F.col("s_name").alias("name"))
+    kept, refused = pools.insert_unique(old, rows, ["owner", "name"])
+    return kept.withColumn("state", F.lit("kept")).unionByName(refused.withColumn("state", F.lit("refused")))
+
+
+@query("""WITH u AS (SELECT conv_id, count(*) FILTER (role = 'user') * 2 AS message_count, max(turn) AS last_turn, left(arg_min(text, turn) FILTER (role = 'user'), 50) AS asked, left(arg_min(text, turn) FILTER (role = 'assistant'), 50) AS answered FROM conversations GROUP BY 1)
+SELECT conv_id, message_count, last_turn, CASE WHEN conv_id % 3 = 0 THEN 'given' WHEN conv_id % 2 = 0 THEN asked ELSE answered END AS title FROM u""")
 def dml11_conversation_touch(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.col("role") == "user"
-    return table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(asked) * 2).alias("message_count"), F.max("turn").alias("last_turn"), F.left(F.min_by(F.when(asked, F.col("text")), F.when(asked, F.col("turn"))), F.lit(50)).alias("title"))
+    """A title comes from the first question on the fixed path and from the first answer on the agent's, if none was given."""
+    of = lambda role, value: F.when(F.col("role") == role, F.col(value))
+    first = lambda role: F.left(F.min_by(of(role, "text"), of(role, "turn")), F.lit(50))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(F.col("role") == "user") * 2).alias("message_count"), F.max("turn").alias("last_turn"), first("user").alias("asked"), first("assistant").alias("answered"))
+    given = F.when(F.col("conv_id") % 3 == 0, "given")
+    return rows.select("conv_id", "message_count", "last_turn", F.coalesce(given, F.when(F.col("conv_id") % 2 == 0, F.col("asked")).otherwise(F.col("answered"))).alias("title"))
+
+
+STATES = ["pending", "parsing", "chunking", "embedding", "pending_embedding", "cloning", "ready", "failed"]
+KNOWN = "('pending', 'parsing'), ('pending', 'cloning'), ('parsing', 'chunking'), ('parsing', 'failed'), ('chunking', 'embedding'), ('chunking', 'pending_embedding'), ('chunking', 'failed'), ('embedding', 'ready'), ('embedding', 'failed'), ('pending_embedding', 'ready'), ('cloning', 'ready'), ('cloning', 'failed')"
+
+
+@query(f"SELECT doc_id, b, a, (b, a) IN ({KNOWN}) AS allowed FROM (SELECT doc_id, ({STATES})[doc_id % 8 + 1] AS b, ({STATES})[(doc_id // 8) % 8 + 1] AS a FROM documents)")
+def dml12_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of states, and whether a document may go from one to the other."""
+    name = lambda n: F.array(*map(F.lit, STATES))[(n % 8).cast("int")]
+    rows = table(spark, sf, "documents").select("doc_id", name(F.col("doc_id")).alias("b"), name(F.floor(F.col("doc_id") / 8)).alias("a"))
+    return rows.withColumn("allowed", pools.allowed(F.col("b"), F.col("a")))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'failed' WHEN e.vec_id IS NULL THEN 'pending_embedding' ELSE 'ready' END AS processing_status FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
-def dml12_document_states(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v"))
-    state = F.when(F.length("text") == 0, "failed").when(F.col("v").isNull(), "pending_embedding").otherwise("ready")
-    return table(spark, sf, "documents").join(e, "doc_id", "left").select("doc_id", state.alias("processing_status"))
+@query(f"""WITH s AS (SELECT doc_id, ({STATES})[doc_id % 8 + 1] AS state, length(text) > 20 AS ok, doc_id % 3 <> 0 AS children, doc_id % 5 <> 0 AS api FROM documents)
+SELECT doc_id, CASE state WHEN 'ready' THEN 'ready' WHEN 'failed' THEN 'failed' WHEN 'pending_embedding' THEN CASE WHEN api THEN 'ready' ELSE 'pending_embedding' END ELSE CASE WHEN NOT ok THEN 'failed' ELSE
+ CASE state WHEN 'pending' THEN 'parsing' WHEN 'parsing' THEN 'chunking' WHEN 'chunking' THEN CASE WHEN api AND children THEN 'embedding' ELSE 'pending_embedding' END ELSE 'ready' END END END AS processing_status FROM s""")
+def dml12_next_states(spark: SparkSession, sf: str) -> DataFrame:
+    state = F.array(*map(F.lit, STATES))[(F.col("doc_id") % 8).cast("int")]
+    return table(spark, sf, "documents").select("doc_id", pools.next_state(state, F.length("text") > 20, F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 != 0).alias("processing_status"))

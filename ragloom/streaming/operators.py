@@ -1,32 +1,45 @@
-"""Keyed state: rate limits, locks, status changes, alerts, incremental ingestion; as batch folds and as streams."""
+"""Keyed state: rate limits, locks, caches, status changes, alerts, token streams, incremental ingestion; in batch and as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:
-    """event_id, allowed: fixed windows per user that open at the first hit; hits beyond the limit count but are denied."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    kind = "struct<out:array<struct<event_id:bigint,allowed:boolean>>,opened:bigint,n:bigint>"
-    start = F.from_json(F.lit('{"out":[],"opened":-9223372036854775807,"n":0}'), kind)
-
-    def step(acc, e):
-        new = (acc["opened"] < -9e18) | (e["us"] >= acc["opened"] + seconds * 1_000_000)
-        opened = F.when(new, e["us"]).otherwise(acc["opened"])
-        n = F.when(new, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-        return F.struct(F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), (n <= limit).alias("allowed"))).alias("out"), opened.alias("opened"), n.alias("n")).cast(kind)
+    """user_id, event_id, allowed: fixed windows per user that open at the first hit; hits beyond the limit count but are denied.
 
-    lists = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(us.alias("us"), "event_id"))).alias("e"))
-    return lists.select("user_id", F.inline(F.aggregate("e", start, step, lambda acc: acc["out"])))
+    Users' events pass through their task in order of time, sorted on disk if need be; the state is one open window.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = seconds * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, opened, n = None, 0, 0
+        for rows in batches:
+            times, users = rows["us"].to_numpy(), rows["user_id"].to_numpy()
+            rank, at = np.empty(len(rows), np.int64), 0
+            while at < len(rows):
+                if user is None or users[at] != user or times[at] >= opened + span:
+                    user, opened, n = users[at], times[at], 0
+                same = at + int(np.searchsorted(users[at:] != user, True)) if users[-1] != user else len(rows)
+                end = at + int(np.searchsorted(times[at:same], opened + span))
+                rank[at:end] = np.arange(n + 1, n + 1 + end - at)
+                n, at = n + end - at, end
+            yield pd.DataFrame({"user_id": users, "event_id": rows["event_id"], "allowed": rank <= limit})
+
+    ordered = events.select("user_id", "event_id", us.alias("us")).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    return ordered.mapInPandas(run, f"user_id {dict(events.dtypes)['user_id']}, event_id {dict(events.dtypes)['event_id']}, allowed boolean")
 
 
 def rate_limit_stream(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:
     """The same as a stream: state per user is the open window and its count."""
-    import pandas as pd
 
     def run(key, batches, state):
         opened, n = state.get if state.exists else (-1, 0)
@@ -44,30 +57,113 @@ def rate_limit_stream(events: DataFrame, limit: int = 100, seconds: int = 3600)
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "opened long, n long", "append", "NoTimeout")
 
 
-def processing_lock(events: DataFrame, key: str = "user_id", ttl: str = "300 seconds", late: str = "10 minutes") -> DataFrame:
-    """First writer of a key within the time to live (stream)."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
+def processing_lock(events: DataFrame, key: str = "user_id", seconds: int = 300) -> DataFrame:
+    """event_id, key, got: whether each request gets the lock of its key, which its holder keeps for ``seconds``.
+
+    A lock's time is a fixed window that opens with the request that gets it, so it is ``rate_limit`` with a limit of one.
+    """
+    got = rate_limit(events.select(F.col(key).alias("user_id"), "event_id", "ts"), 1, seconds)
+    return got.select(F.col("user_id").alias(key), "event_id", F.col("allowed").alias("got"))
+
+
+def processing_lock_stream(events: DataFrame, key: str = "user_id", seconds: int = 300) -> DataFrame:
+    """First writers of a key within the time to live, by watermark."""
+    return events.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+
+
+class JobLock:
+    """One job at a time, by a marker file that only one writer can create: for backfills started by several drivers."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.place = jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def acquire(self) -> bool:
+        try:
+            self.fs.create(self.place, False).close()
+            return True
+        except Exception as error:
+            if "AlreadyExists" not in str(error) and "already exists" not in str(error):
+                raise
+            return False
+
+    def release(self) -> None:
+        self.fs.delete(self.place, False)
+
+
+def status_changes(rows: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+    """Rows whose status differs from the key's row before: what a watcher is sent."""
+    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(status))).drop("_before")
+
 
+def status_changes_stream(rows: DataFrame, key: str, status: str, order: str, ends: tuple[str, ...] = ("ready", "failed"), polls: int = 60) -> DataFrame:
+    """key, status of each change as a stream; a key is silent after an end state or ``polls`` rows."""
+    kind = dict(rows.dtypes)
 
-def alerts(events: DataFrame, minutes: int = 5, share: float = 0.05) -> DataFrame:
-    """Windows whose error share is above the limit, or whose 95th percentile value is above 2."""
+    def run(name, batches, state):
+        last, seen = state.get if state.exists else (None, 0)
+        out = []
+        for value in pd.concat(list(batches)).sort_values(order)[status]:
+            if last in ends or seen >= polls:
+                break
+            seen += 1
+            if value != last:
+                out.append((name[0], value))
+                last = value
+        state.update((last, seen))
+        yield pd.DataFrame(out, columns=[key, status])
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {status} {kind[status]}", f"last {kind[status]}, seen long", "append", "NoTimeout")
+
+
+def alerts(events: DataFrame, minutes: int = 5, share: float = 0.05, slow: float = 2.0, late: str | None = None) -> DataFrame:
+    """start_s, n, errors, p95, error_alert, slow_alert for windows of ``minutes``: too many errors, a slow 95th percentile.
+
+    events(ts, event_type, value); with ``late`` a watermark closes windows of a stream.
+    """
+    events = events.withWatermark("ts", late) if late else events
     w = events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile("value", F.lit(0.95)).alias("p95"))
-    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "n", "errors", (F.col("errors") > share * F.col("n")).alias("alert"))
+    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "n", "errors", "p95", (F.col("errors") > share * F.col("n")).alias("error_alert"), (F.col("p95") > slow).alias("slow_alert"))
+
+
+def hourly_alerts(events: DataFrame, kinds: dict[str, int], late: str | None = None) -> DataFrame:
+    """start_s, event_type, n, alert: events of each kind in an hour against its limit (degradations 50, retries 100)."""
+    events = events.withWatermark("ts", late) if late else events
+    w = events.filter(F.col("event_type").isin(*kinds)).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.create_map(*(x for k, n in kinds.items() for x in (F.lit(k), F.lit(n))))
+    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "event_type", "n", (F.col("n") > limit[F.col("event_type")]).alias("alert"))
+
+
+def failing_streaks(checks: DataFrame, key: str, order: list[str], ok: Column, least: int = 3) -> DataFrame:
+    """key, and the row where ``least`` checks in a row have failed: the moment to switch to the fallback."""
+    w = Window.partitionBy(key).orderBy(*order)
+    runs = checks.withColumn("_run", F.sum(F.when(ok, 1).otherwise(0)).over(w)).withColumn("_ok", ok)
+    place = F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order))
+    return runs.filter(~F.col("_ok")).withColumn("_place", place).filter(F.col("_place") == least).drop("_run", "_ok", "_place")
 
 
 def token_stream(lines: DataFrame) -> DataFrame:
     """answer_id, answer: content deltas of server-sent lines up to the sentinel; bad JSON is skipped. lines(answer_id, i, line)."""
     body = F.expr("substring(line, 7)")
-    done = lines.filter(F.trim(body) == "[DONE]").groupBy("answer_id").agg(F.min("i").alias("end"))
-    live = lines.join(done, "answer_id", "left").filter(F.col("line").startswith("data: ") & (F.col("end").isNull() | (F.col("i") < F.col("end"))))
+    sent = F.col("line").startswith("data: ")
+    done = lines.filter(sent & (F.trim(body) == "[DONE]")).groupBy("answer_id").agg(F.min("i").alias("end"))
+    live = lines.join(done, "answer_id", "left").filter(sent & (F.col("end").isNull() | (F.col("i") < F.col("end"))))
     delta = F.get_json_object(body, "$.choices[0].delta.content")
     rows = live.select("answer_id", "i", delta.alias("d")).filter(F.col("d").isNotNull())
     return rows.groupBy("answer_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "").alias("answer"))
 
 
-def embedding_cache(texts: DataFrame, cache: DataFrame, now: object, days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(hits with their vectors, distinct misses) by md5 of the text; entries older than the time to live don't count."""
-    live = cache.filter(F.col("stored_at") > F.lit(now) - F.make_interval(days=F.lit(days))).select("key", "embedding")
+def live_entries(cache: DataFrame, now: Column, seconds: int = 7 * 86400) -> DataFrame:
+    """key, embedding of the cache rows (key, embedding, stored_at) within their time to live; the latest of each key."""
+    live = cache.filter(F.col("stored_at") > now - F.make_interval(secs=F.lit(seconds)))
+    return live.groupBy("key").agg(F.max_by("embedding", "stored_at").alias("embedding"))
+
+
+def embedding_cache(texts: DataFrame, cache: DataFrame, now: Column, seconds: int = 7 * 86400) -> tuple[DataFrame, DataFrame]:
+    """(hits with their vectors, distinct misses) by md5 of the text."""
+    live = live_entries(cache, now, seconds)
     keyed = texts.withColumn("key", F.md5("text"))
     return keyed.join(live, "key"), keyed.join(live, "key", "left_anti").dropDuplicates(["key"])
 
@@ -75,3 +171,27 @@ def embedding_cache(texts: DataFrame, cache: DataFrame, now: object, days: int =
 def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts incremental ingestion: every micro-batch goes to ``apply`` (an upsert), exactly once per batch id."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class UpsertSink:
+    """``apply`` for ``ingest``: each batch makes a new version of a table; a batch that comes again is left out."""
+
+    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
+        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
+
+    def current(self) -> tuple[int, DataFrame | None]:
+        """(last batch id, its table)."""
+        try:
+            last = self.spark.read.json(f"{self.path}/done").agg(F.max(F.struct("batch", "name")).alias("m")).first().m
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return -1, None
+        return last.batch, self.spark.read.parquet(f"{self.path}/{last.name}")
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        last, table = self.current()
+        if batch > last:
+            name = f"v{batch}-{uuid.uuid4().hex}"
+            self.merge(table, rows).write.parquet(f"{self.path}/{name}")
+            self.spark.createDataFrame([(batch, name)], "batch long, name string").coalesce(1).write.mode("append").json(f"{self.path}/done")
