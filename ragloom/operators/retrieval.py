@@ -294,7 +294,8 @@ def search(queries: DataFrame, chunks: DataFrame, pool: DataFrame, vectors: Data
     caller's weights hold and there is neither history nor decomposition. A collection_id narrows the chunks.
     """
     history = F.col("history") if "history" in queries.columns and weights is None else None
-    a = queries.withColumn("a", Q.analyse(F.col("text"), history))
+    # the analysis is a large expression over few rows: kept, so that later plans do not repeat it
+    a = queries.withColumn("a", Q.analyse(F.col("text"), history)).persist()
     subs = F.array(F.col("a.rewritten")) if weights is not None else F.col("a.sub_queries")
     pair = (F.col("a.vector_weight"), F.col("a.text_weight")) if weights is None else tuple(F.lit(float(w)) for w in weights)
     given = ["qvec"] if "qvec" in queries.columns else []

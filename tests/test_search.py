@@ -13,8 +13,8 @@ def test_query_sets(spark):
     ids = {r.vec_id for r in table(spark, SF, "embeddings").select("vec_id").collect()}
     want = {i for i in ids if i % 100 == 0}
     assert {r.query_id for r in search.ret2_clustered_search(spark, SF).collect()} == want
-    found = {r.query_id for r in search.ret8_ret9_ret10_ret11_ret13_search(spark, SF).collect()}
-    assert len(found) > 1 and found <= want  # a query without a text that fits the context has no row
+    found = {r.query_id for r in search.ret8_ret9_ret10_ret11_srt5_search(spark, SF).collect()}
+    assert found and found <= want
     whole = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect() if r.item_id % 100 == 0}
     assert {r.query_id: r.text for r in search.hundredth_texts(spark, SF).collect()} == whole
     assert max(len(t.split()) for t in whole.values()) > 5
