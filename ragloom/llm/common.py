@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -104,14 +105,30 @@ def discard(*tables: DataFrame) -> None:
             _remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing holds any more go now, not when the driver happens to collect its garbage.
+
+    Python's references reach the JVM with the next call, and Spark's cleaner works on its own: hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Tables stored inside are removed at the end: for a caller who has written the operators' results by then."""
-    before = set(_there)
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are removed at the end, but those given to what it yields."""
+    before, kept = set(_there), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_paths.get(df))
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        for path in [p for p in _there if p not in before]:
+        for path in [p for p in _there if p not in before and p not in kept]:
             _remove(path)
 
 

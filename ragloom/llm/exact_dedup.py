@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most digests that are broadcast.
@@ -66,15 +66,16 @@ def exact_dedup(docs: DataFrame, heavy: int = HEAVY, capacity: int = CAPACITY, r
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay as they were."""
     rows = digests(docs)
-    verdict = stored(exact_dedup(docs, rows=rows).select("doc_id", F.col("text_sha256").alias("_digest"), "kept"), "verdict")
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_gone")).distinct()
-    keyed = docs.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    both = verdict.groupBy("doc_id", "_digest").agg(F.max("kept").alias("k"), F.min("kept").alias("m"))
+    verdict = stored(exact_dedup(docs, rows=rows).select("doc_id", "text_sha256", "kept"), "verdict")
+    own, one, two = (fresh(name, docs.columns) for name in ("digest", "id", "other"))
+    keyed = docs.withColumn(own, F.sha2(normalised(F.col("text")), 256))
+    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(one), F.col("text_sha256").alias(two)).distinct()
+    both = verdict.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("k"), F.min("kept").alias("m"))
     if both.filter(F.col("k") & ~F.col("m")).isEmpty():
-        out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_digest"] == gone["_gone"]), "left_anti")
+        out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[one]) & (keyed[own] == gone[two]), "left_anti")
     else:  # rows repeat a kept doc_id and text: one of each stays
-        stay = both.filter("k").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_stay"))
-        out = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_digest"] == stay["_stay"]), "left_semi").dropDuplicates(["doc_id", "_digest"])
+        stay = both.filter("k").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(two))
+        out = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay[one]) & (keyed[own] == stay[two]), "left_semi").dropDuplicates(["doc_id", own])
     return out.select(*docs.columns)
 
 

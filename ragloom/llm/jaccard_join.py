@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_blocks, block_count, discard, enter, fresh, input_bytes, stored
+from .common import as_blocks, block_count, discard, enter, fresh, input_bytes, release, stored
 from .components import components
 from .sketches import LISTS, Repeated, merged, partition_sketch, width_bits
 from .words import Words, text_bytes
@@ -170,6 +170,7 @@ def class_links(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS
     """cid, root of the classes that have links; None if no class can have one."""
     lists = prefix_lists(classes, percent, levels)
     sides = stored(classes.join(lists.drop("n"), "cid"), "sides")
+    release(sides.sparkSession)
     roots = None
     for turn in range(stars + 1):
         own = sides.select("cid", "n", "alone", "prefix", *(["bits"] if turn == stars else []))
@@ -201,6 +202,7 @@ def class_links(classes: DataFrame, percent: int = PERCENT, levels: int = LEVELS
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     sets = shingle_sets(docs, k, percent)
+    release(docs.sparkSession)  # the texts' exchange
     some = sets.filter(F.col("class").isNotNull())
     classes = stored(some.groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = class_links(classes.select("cid", "n", "tokens", "bits"), percent, levels)

@@ -9,7 +9,8 @@ folds into one weight per triple, which scores any word exactly as the landmarks
 logistic function of its best words' margins, fitted on the training documents.
 
 The machine is fitted in one task from at most ``TRAIN`` toxic and ``TRAIN`` clean labelled documents (all there are
-below that), chosen by hash of doc_id among rows that the caller allows. Scoring reads whole texts of all documents in
+below that), chosen by hash of doc_id among rows that the caller allows. The words that it is fitted on are bounded, too, by documented
+parameters (``SUPPORT`` to ``HARD``); they come from that sample alone. Scoring reads whole texts of all documents in
 one pass without a shuffle; each distinct word is scored once per worker. Words end at Unicode white space; one of more
 than ``WHOLE`` bytes is scored in overlapping pieces, of which the best counts, so no byte of a text is left out.
 
@@ -36,6 +37,14 @@ from .words import text_bytes
 
 TRAIN = 3000
 LANDMARKS = 224
+#: A word is taken for an insult if at least so many toxic documents hold it (by their number), if it has so many letters,
+#: and if its share of toxic documents is so many times its share of clean ones, chance allowed for.
+SUPPORT, SUPPORT_SHARE, LETTERS, ODDS = 3, 400, 3, 5
+#: Words that the machine is fitted on, at most: insults; the commonest clean words; other clean words, by hash; and in a
+#: second fit the clean words that look most like insults.
+INSULTS, COMMON, OTHERS, HARD = 3000, 1500, 8000, 3000
+#: Words that landmarks are chosen from, at most: insults and common clean words.
+PIVOT_INSULTS, PIVOT_COMMON = 1200, 400
 #: Ridge of the word machine.
 RIDGE = 0.02
 DECAY = 0.6
@@ -188,19 +197,19 @@ def _fit_words(bags: list[set[bytes]], toxic: np.ndarray, landmarks: int = LANDM
     bad, good = Counter(), Counter()
     for b, t in zip(bags, toxic.tolist(), strict=True):
         (bad if t else good).update({f for w in b for f in forms(w) if f})
-    least = 3 if n_bad < 100 else max(4, n_bad // 400)
+    least = SUPPORT if n_bad < 100 else max(SUPPORT + 1, n_bad // SUPPORT_SHARE)
     low = lambda n: n - 1.5 * n**0.5  # noqa: E731  what chance leaves of a count
-    odds = {w: (low(n) / n_bad) / ((good[w] + 1.5 * good[w] ** 0.5 + 0.5) / (n_good + 1)) for w, n in bad.items() if n >= least and len(w) > 2}
-    pos = sorted((w for w, r in odds.items() if r >= 5), key=lambda w: (-bad[w], w))[:3000]
+    odds = {w: (low(n) / n_bad) / ((good[w] + 1.5 * good[w] ** 0.5 + 0.5) / (n_good + 1)) for w, n in bad.items() if n >= least and len(w) >= LETTERS}
+    pos = sorted((w for w, r in odds.items() if r >= ODDS), key=lambda w: (-bad[w], w))[:INSULTS]
     if not pos:
         return none
     chosen = set(pos)
-    often = [w for w, _ in good.most_common(1500) if w not in chosen]
-    rest = sorted((w for w in good if w not in chosen), key=zlib.crc32)[:8_000]
+    often = [w for w, _ in good.most_common(COMMON) if w not in chosen]
+    rest = sorted((w for w in good if w not in chosen), key=zlib.crc32)[:OTHERS]
     neg = list(dict.fromkeys(often + rest))
     words = pos + neg
     pivots = pos[: landmarks // 4]
-    pivots += [w for w in choose_landmarks(pos[:1200] + often[:400], landmarks) if w not in set(pivots)][: landmarks - len(pivots)]
+    pivots += [w for w in choose_landmarks(pos[:PIVOT_INSULTS] + often[:PIVOT_COMMON], landmarks) if w not in set(pivots)][: landmarks - len(pivots)]
     lw, lc, lv = triples(pivots)
     used, place = np.unique(lc, return_inverse=True)
     dense = np.zeros((len(used) + 1, len(pivots)))
@@ -236,7 +245,7 @@ def _fit_words(bags: list[set[bytes]], toxic: np.ndarray, landmarks: int = LANDM
         if not turn:  # once more, with the clean words that look most like insults
             other = [f for f in good if f not in chosen]
             margin = machine.margins(other)
-            hard = [other[i] for i in np.argsort(-margin)[:3000]]
+            hard = [other[i] for i in np.argsort(-margin)[:HARD]]
             words = pos + list(dict.fromkeys(neg + hard))
     return machine
 
