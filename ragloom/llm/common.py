@@ -154,6 +154,12 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(8, -(-input_bytes(df) // block_bytes))
 
 
+def to_blocks(df: DataFrame, blocks: int) -> DataFrame:
+    """``df`` hash-partitioned on its block number. Where there are many blocks, a task gets four, one after the other:
+    fewer tasks, shuffle segments and files."""
+    return df.repartition(max(min(blocks, 32), blocks // 4), "block")
+
+
 def as_blocks(df: DataFrame, blocks: int, key: Column) -> DataFrame:
-    """``df`` hash-partitioned on a block number derived from ``key``; later grouping by ``block`` needs no new shuffle."""
-    return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    """``df`` with a block number derived from ``key``, partitioned by it; later grouping by ``block`` needs no new shuffle."""
+    return to_blocks(df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks)

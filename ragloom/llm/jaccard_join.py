@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_blocks, block_count, discard, enter, fresh, input_bytes, release, stored
+from .common import as_blocks, block_count, discard, enter, fresh, input_bytes, release, stored, to_blocks
 from .components import components
 from .sketches import LISTS, Repeated, merged, partition_sketch, width_bits
 from .words import Words, text_bytes
@@ -100,7 +100,7 @@ def shingle_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     blocks, bits = block_count(docs), width_bits(input_bytes(docs))
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
     sketch = rows.groupBy("block").applyInArrow(lambda t: partition_sketch(t["block"][0].as_py(), _occurrences(t, k)[0], bits), LISTS)
-    found = merged(sketch, blocks, bits).repartition(blocks, "block")
+    found = to_blocks(merged(sketch, blocks, bits), blocks)
     sets = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _sets(a, b, k, bits, percent), "doc_id long, n long, class binary, tokens array<long>, bits array<long>")
     return stored(sets, "sets")
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_blocks, block_count, enter, input_bytes
+from .common import as_blocks, block_count, enter, input_bytes, to_blocks
 from .sketches import GROUP, LISTS, RANGE_BITS, Repeated, flags, level_parts, merged, pack, pack_planes, partition_sketch, range_cuts, table_of, unpack, unpack_planes, width_bits
 from .words import Words, text_bytes
 
@@ -190,12 +190,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     parts, fine = level_parts(blocks), fine_bits(blocks)
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
     sketch = rows.groupBy("block").applyInArrow(lambda t: _sketch(t, window, bits), LISTS)
-    found = merged(sketch, blocks, bits).repartition(blocks, "block")
+    found = to_blocks(merged(sketch, blocks, bits), blocks)
     sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, window, bits), SENT).repartition(parts, "range", "grp")
     joined = sent.groupBy("range", "grp").applyInArrow(lambda t: _join(t, fine), JOINED)
     smaller = joined.repartition(max(8, blocks // 4), "shard").groupBy("shard").applyInArrow(_smaller, SMALLER)
     smaller = smaller.repartition(parts, "range", "grp").groupBy("range", "grp")
-    told = sent.groupBy("range", "grp").cogroup(smaller).applyInArrow(_tell, TOLD).repartition(blocks, "block")
+    told = to_blocks(sent.groupBy("range", "grp").cogroup(smaller).applyInArrow(_tell, TOLD), blocks)
     nothing = F.lit(None).cast("binary")
     other = found.withColumn("bits", nothing).unionByName(told.withColumn("cells", nothing))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
