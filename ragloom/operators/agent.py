@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_RETRIES = 2
@@ -215,6 +215,12 @@ def run(query: str, tools: dict[str, Search], answer: Callable[[str, list[dict]]
         s.plan = adjusted(s.plan, s.scores, s.retries, query)
 
 
+def event_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, seq, type, data: many answers' events, numbered in order; an append sink (``foreachBatch``) sends them on."""
+    seq = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return rows.select(key, seq.cast("int").alias("seq"), "type", "data")
+
+
 def answer_events(spark: SparkSession, conversation: str, citations: list[dict], tokens: list[str], steps: list[dict] | None = None, error: str | None = None) -> DataFrame:
     """seq, type, data: the events that a client is streamed, in order. ``steps`` are an agent's calls."""
     rows: list[tuple[str, object]] = [("conversation", {"conversation_id": conversation}), ("status", {"message": "Searching..."})]

@@ -13,7 +13,8 @@ from ragloom.operators import agent, metrics
 from ragloom.operators import retrieval as R
 from ragloom.plans.fixtures import WS
 from ragloom.registry import query
-from ragloom.session import table
+from ragloom.session import scratch_path, table
+from ragloom.sinks.stores import TextTable, VectorTable
 
 
 def hundredth_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,6 +82,18 @@ def ret2_clustered_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.clustered_search(hundredth_vectors(spark, sf), table(spark, sf, "embeddings"), k=10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {OWNED}, qq AS (SELECT vec_id AS query_id, user_id, embedding AS qvec FROM ov WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, {SIM} AS score FROM qq JOIN ov USING (user_id) WHERE vec_id % 10 <> 3) SELECT query_id, vec_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id::VARCHAR) <= 40")
+def snk1_snk2_snk5_vector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored vector index, partitioned by tenant: created, filled, rid of some documents, searched."""
+    own = owned_vectors(spark, sf)
+    store = VectorTable(spark, scratch_path(spark, "vectors"))
+    store.create()
+    store.insert(own.select(F.col("vec_id").cast("string").alias("chunk_id"), "user_id", F.col("vec_id").cast("string").alias("document_id"), F.lit("").alias("content_hash"), "embedding", F.lit("").alias("snippet")))
+    store.delete_documents(own.filter("vec_id % 10 = 3").select(F.col("vec_id").cast("string").alias("document_id")))
+    q = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "user_id")
+    return store.search(q).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 RUNS = r"'[\p{L}\p{N}]+'"
 
 
@@ -116,6 +129,19 @@ def ret3_ret4_srt4_flt10_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return text_hits(spark, sf).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {bm_sql(TEXTS, False).replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 3)', 1).replace('ORDER BY score DESC, chunk_id', 'ORDER BY score DESC, chunk_id::VARCHAR')} SELECT query_id, chunk_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM th")
+def snk3_snk4_snk5_snk12_text_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored text index: created, filled in two steps, some chunks written again, rid of some documents, searched."""
+    docs = whole_documents(spark, sf)
+    store = TextTable(spark, scratch_path(spark, "postings"))
+    store.create()
+    store.insert(docs.filter("chunk_id % 2 = 0"))
+    store.backfill(docs)
+    store.insert(docs.filter("chunk_id % 50 = 0"))
+    store.delete_documents(docs.filter("document_id % 10 = 3").select("document_id"))
+    return store.search(hundredth_texts(spark, sf), tenant=False, digits=9).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def cover_sql(asked: str, tenant: bool) -> str:
     """Fallback hits ``cv`` of the queries ``asked``."""
     own, use = ("user_id, ", "(term, user_id)") if tenant else ("", "(term)")
@@ -391,6 +417,13 @@ def qry11_qry12_set5_model_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", F.md5(Q.history_lines(h)).alias("lines_md5"), F.coalesce(Q.valid_rewrite(q, new, h), F.lit(False)).alias("valid"))
 
 
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS seq, CASE role WHEN 'user' THEN 'status' WHEN 'assistant' THEN 'token' ELSE 'error' END AS type, text AS data FROM conversations")
+def snk6_answer_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation as the events that a client is streamed."""
+    kind = F.when(F.col("role") == "user", "status").when(F.col("role") == "assistant", "token").otherwise("error")
+    return agent.event_rows(table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("type"), F.col("text").alias("data")), "conv_id", "turn")
+
+
 GRID = "(SELECT a::INT AS retry, r::INT AS relevance, g::INT AS groundedness, c::INT AS consistency FROM range(5) x(a), range(1, 6) y(r), range(1, 6) z(g), range(1, 6) w(c))"
 
 

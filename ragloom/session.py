@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Applied only by ``build``; a cluster's own settings win when a session exists.
@@ -26,3 +31,25 @@ def build(app: str = "ragloom", master: str | None = None, **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; ``sf_dir`` may be any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one in local mode).
+
+    What was written there goes with the driver's Python.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("ragloom.scratch.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ragloom-")
+        spark.conf.set("ragloom.scratch.dir", base)
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with suppress(Exception):  # the session may have ended
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+    atexit.register(remove)
+    return path
