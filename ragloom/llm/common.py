@@ -155,9 +155,9 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def to_blocks(df: DataFrame, blocks: int) -> DataFrame:
-    """``df`` hash-partitioned on its block number. Where there are many blocks, a task gets four, one after the other:
-    fewer tasks, shuffle segments and files."""
-    return df.repartition(max(min(blocks, 32), blocks // 4), "block")
+    """``df`` hash-partitioned on its block number. A task gets about four blocks, one after the other: fewer tasks, shuffle
+    segments and files."""
+    return df.repartition(max(8, -(-blocks // 4)), "block")
 
 
 def as_blocks(df: DataFrame, blocks: int, key: Column) -> DataFrame:
