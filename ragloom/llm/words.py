@@ -10,6 +10,7 @@ the same mixer. No Python object is made per word (but for those over ``LONGEST`
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +164,24 @@ def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint6
             h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=seed.tobytes()).digest(), "little")
         out[lo : lo + SLICE] = h
     return out
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts hold at most ``limit`` bytes together; a longer text is a run of its own."""
+    ends = text_bytes(batch.column(column))[1][1:]
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
+def repeats(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal items (document and both hashes) are neighbours, and which of them equal the one before."""
+    order = np.argsort(h1 ^ mix(doc.astype(np.uint64), 3), kind="stable")
+    same = lambda x: x[order][1:] == x[order][:-1]
+    again = same(h1 ^ mix(doc.astype(np.uint64), 3))
+    if (again & ~(same(doc) & same(h1) & same(h2))).any():  # different items that share a key
+        order = np.lexsort((h2, h1, doc))
+    again = same(doc) & same(h1) & same(h2)
+    return order, np.concatenate([[False], again]) if len(order) else np.zeros(0, bool)
