@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grammar_ids, jaccard_join, kneser_ney, lexical_search, packing, quality_rules, secrets, spotsigs, substring_dedup, toxicity, unigram
+from . import collocations, exact_dedup, grammar_ids, jaccard_join, kneser_ney, lexical_search, packing, quality_rules, secrets, spotsigs, substring_dedup, toxicity, unigram
 from .common import load
 
 
@@ -50,6 +50,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(lexical_search.build_index(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -77,5 +82,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_lexical_search": lexical_search.ORACLE,
 }
