@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,30 +13,120 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:
+#: Windows' lengths that one time range of ``rate_limit`` spans.
+SPANS = 16
+
+
+def _groups(batches: Iterator[pd.DataFrame], span: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole groups (``idx`` begins at 1 in each): rows, each row's first row of its group, one past its last, and the first
+    row at least ``span`` later (the group's end if there is none)."""
+    held: list[pd.DataFrame] = []
+
+    def ready(rows: pd.DataFrame):
+        first = np.flatnonzero(rows["idx"].to_numpy() == 1)
+        sizes = np.diff(first, append=len(rows))
+        begin, end = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
+        us = rows["us"].to_numpy()
+        # times on one axis, on which groups lie further apart than a span
+        length = us[first + sizes - 1] - us[first] + 2 * span
+        axis = us - us[begin] + np.repeat(np.cumsum(length) - length, sizes)
+        return rows, begin, end, np.minimum(np.searchsorted(axis, axis + span), end)
+
+    for rows in batches:
+        borders = np.flatnonzero(rows["idx"].to_numpy() == 1)
+        if len(borders) and (held or borders[-1]):
+            yield ready(pd.concat([*held, rows.iloc[: borders[-1]]], ignore_index=True))
+            held, rows = [], rows.iloc[borders[-1] :]
+        held.append(rows)
+    if held:
+        yield ready(pd.concat(held, ignore_index=True))
+
+
+def _jumps(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """A time range as a function: if a window opens at ``us``, the range's last one opens at ``out`` (its row ``out_idx`` of ``n``).
+
+    An earlier range's window ends less than a span after this range's begin, so only the first rows up to there, and
+    the one after, can be the first to open one; of neighbours with the same outcome the last stands for all."""
+    for rows, begin, end, after in _groups(batches, span):
+        us, lead = rows["us"].to_numpy(), rows["lead"].to_numpy()
+        starts = np.flatnonzero((us < lead + span) | (np.arange(len(us)) == begin) | (np.append(0, us[:-1]) < np.append(0, lead[:-1]) + span))
+        last = starts.copy()
+        live = np.arange(len(starts))
+        while len(live):
+            to = after[last[live]]
+            live, to = live[to < end[last[live]]], to[to < end[last[live]]]
+            last[live] = to
+        keep = np.append((last[1:] != last[:-1]) | (begin[starts[1:]] != begin[starts[:-1]]), True)
+        starts, last = starts[keep], last[keep]
+        yield pd.DataFrame({"user_id": rows["user_id"].iloc[starts], "rng": rows["rng"].iloc[starts], "us": us[starts], "out": us[last], "out_idx": last - begin[last] + 1, "n": (end - begin)[starts]})
+
+
+def _composed(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """The open window with which a user comes into each time range: when it opened, and its rows so far."""
+    opened, before, jumps = None, 0, []
+
+    def leave() -> None:
+        nonlocal opened, before, jumps
+        if jumps:
+            n = jumps[0][3]
+            k = 0 if opened is None else bisect_left(jumps, opened + span, key=lambda j: j[0])
+            opened, before = (opened, before + n) if k == len(jumps) else (jumps[k][1], n - jumps[k][2] + 1)
+            jumps = []
+
+    for rows in batches:
+        out, at = [], None
+        for i, (idx, rng, *jump) in enumerate(zip(*(rows[c] for c in ("idx", "rng", "us", "out", "out_idx", "n")), strict=True)):
+            if idx == 1:
+                opened, before, jumps = None, 0, []
+            if not jumps or rng != at:
+                leave()
+                if opened is not None:
+                    out.append((i, rng, opened, before))
+            at = rng
+            jumps.append(jump)
+        k = [x[0] for x in out]
+        yield pd.DataFrame({"user_id": rows["user_id"].iloc[k], "rng": [x[1] for x in out], "us": np.array([x[2] for x in out], np.int64), "before": np.array([x[3] for x in out], np.int64)})
+
+
+def _ranked(batches: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd.DataFrame]:
+    """Each event's place in its window. A group's first row is the window that is open at its begin, if there is one."""
+    for rows, begin, end, after in _groups(batches, span):
+        before = rows["before"].to_numpy()
+        opener = np.zeros(len(rows), bool)
+        front = np.unique(begin)
+        while len(front):
+            opener[front] = True
+            front = after[front][after[front] < end[front]]
+        at = np.flatnonzero(opener)
+        place = np.arange(len(rows)) - np.repeat(at, np.diff(at, append=len(rows)))
+        entry = before[begin] >= 0
+        place += np.where(entry & (np.repeat(at, np.diff(at, append=len(rows))) == begin), before[begin], 1)
+        real = before < 0
+        yield pd.DataFrame({"user_id": rows["user_id"][real], "event_id": rows["event_id"][real], "allowed": place[real] <= limit})
+
+
+def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 3600, spans: int = SPANS) -> DataFrame:
     """user_id, event_id, allowed: fixed windows per user that open at the first hit; hits beyond the limit count but are denied.
 
-    Users' events pass through their task in order of time, sorted on disk if need be; the state is one open window.
+    A two-level scan over time ranges of ``spans`` windows' lengths, so that a user's events spread over tasks. Each range
+    is first made a jump function (from the event that opens the first window to the one that opens the last); functions
+    are composed user by user, which tells each range the window that is open at its begin; then ranges count for
+    themselves. Null users are one user; an event without a time counts as of 1970.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
     span = seconds * 1_000_000
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, opened, n = None, 0, 0
-        for rows in batches:
-            times, users = rows["us"].to_numpy(), rows["user_id"].to_numpy()
-            rank, at = np.empty(len(rows), np.int64), 0
-            while at < len(rows):
-                if user is None or users[at] != user or times[at] >= opened + span:
-                    user, opened, n = users[at], times[at], 0
-                same = at + int(np.searchsorted(users[at:] != user, True)) if users[-1] != user else len(rows)
-                end = at + int(np.searchsorted(times[at:same], opened + span))
-                rank[at:end] = np.arange(n + 1, n + 1 + end - at)
-                n, at = n + end - at, end
-            yield pd.DataFrame({"user_id": users, "event_id": rows["event_id"], "allowed": rank <= limit})
-
-    ordered = events.select("user_id", "event_id", us.alias("us")).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
-    return ordered.mapInPandas(run, f"user_id {dict(events.dtypes)['user_id']}, event_id {dict(events.dtypes)['event_id']}, allowed boolean")
+    us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))
+    kind, event = (dict(events.dtypes)[c] for c in ("user_id", "event_id"))
+    width = F.lit(span * spans)
+    rows = events.select("user_id", "event_id", us.alias("us")).withColumn("before", F.lit(-1).cast("long"))
+    rows = rows.withColumn("rng", F.expr(f"us div {span * spans} - if(us % {span * spans} < 0, 1, 0)"))
+    by = Window.partitionBy("user_id", "rng")
+    lead = rows.select("user_id", "event_id", "us", "rng", (F.col("rng") * width).alias("lead")).withColumn("idx", F.row_number().over(by.orderBy("us", "event_id")))
+    jumps = lead.mapInPandas(lambda it: _jumps(it, span), f"user_id {kind}, rng long, us long, out long, out_idx long, n long")
+    jumps = jumps.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("rng", "us")))
+    entries = jumps.mapInPandas(lambda it: _composed(it, span), f"user_id {kind}, rng long, us long, before long")
+    both = rows.unionByName(entries.withColumn("event_id", F.lit(None).cast(event)))
+    placed = both.withColumn("idx", F.row_number().over(by.orderBy(F.desc(F.col("before") >= 0), "us", "event_id")))
+    return placed.mapInPandas(lambda it: _ranked(it, span, limit), f"user_id {kind}, event_id {event}, allowed boolean")
 
 
 def rate_limit_stream(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plug-ins, stores, keyed state as streams and the agent's loop."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,18 +112,40 @@ def test_last_result(spark, tmp_path):
     assert means.first().recall_at_5 == 0.5 and details.count() == 1
 
 
-def test_rate_limit_hot_user(spark):
-    """One user with most events, against a plain loop; the stream gives the same."""
-    rows = [(i, 1 if i % 10 else 2, i * 7 % 5000) for i in range(3000)]
-    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+def plain_windows(rows, limit, span):
+    """allowed by event; rows(event, user, second), a missing second is 1970."""
     want, state = {}, {}
-    for i, u, s in sorted(rows, key=lambda r: (r[2], r[0])):
+    for i, u, s in sorted(rows, key=lambda r: (r[2] or 0, r[0])):
         opened, n = state.get(u, (None, 0))
-        if opened is None or s >= opened + 600:
-            opened, n = s, 0
+        if opened is None or (s or 0) >= opened + span:
+            opened, n = s or 0, 0
         state[u] = (opened, n + 1)
-        want[i] = n + 1 <= 50
-    assert {r.event_id: r.allowed for r in S.rate_limit(events, 50, 600).collect()} == want
+        want[i] = n + 1 <= limit
+    return want
+
+
+@pytest.mark.parametrize(("users", "seconds", "limit", "span", "spans"), [([1, 2, None], 5000, 50, 600, 2), ([None], 100_000, 3, 600, 1), ([None, 1], 3000, 1, 7, 3), ([7, 8, 9, None], 10**6, 2, 3600, 16)])
+def test_rate_limit(spark, users, seconds, limit, span, spans):
+    """Against a plain loop, with null users first, last and alone, times before 1970 and missing ones, ranges of few windows."""
+    rng = random.Random(span)
+    rows = [(i, rng.choice(users), rng.randrange(-seconds // 3, seconds) if rng.random() > 0.01 else None) for i in range(2000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    assert {r.event_id: r.allowed for r in S.rate_limit(events, limit, span, spans).collect()} == plain_windows(rows, limit, span)
+    assert S.rate_limit(events.limit(0)).collect() == []
+
+
+def test_rate_limit_spreads_a_hot_user(spark):
+    """One user with a million events: the plain loop's result, from many tasks."""
+    n = 10**6
+    events = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds(F.col("id") * 7919 % 3_000_003).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a million rows would fit one task
+    try:
+        got = S.rate_limit(events, 100, 600).select("event_id", "allowed", F.spark_partition_id().alias("part")).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = plain_windows([(i, 1, i * 7919 % 3_000_003) for i in range(n)], 100, 600)
+    assert len(got) == n and all(want[i] == a for i, a in zip(got["event_id"], got["allowed"], strict=True))
+    assert got.groupby("part").size().max() < n / 2 and 0 < got["allowed"].sum() < n
 
 
 def test_streams(spark, tmp_path):
