@@ -63,7 +63,7 @@ def _jumps(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]
 
 def _composed(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
     """The open window with which a user comes into each time range: when it opened, and its rows so far."""
-    opened, before, jumps = None, 0, []
+    opened, before, jumps, at = None, 0, [], None
 
     def leave() -> None:
         nonlocal opened, before, jumps
@@ -74,7 +74,7 @@ def _composed(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFra
             jumps = []
 
     for rows in batches:
-        out, at = [], None
+        out = []
         for i, (idx, rng, *jump) in enumerate(zip(*(rows[c] for c in ("idx", "rng", "us", "out", "out_idx", "n")), strict=True)):
             if idx == 1:
                 opened, before, jumps = None, 0, []
