@@ -424,19 +424,41 @@ def snk6_answer_events(spark: SparkSession, sf: str) -> DataFrame:
     return agent.event_rows(table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("type"), F.col("text").alias("data")), "conv_id", "turn")
 
 
-GRID = "(SELECT a::INT AS retry, r::INT AS relevance, g::INT AS groundedness, c::INT AS consistency FROM range(5) x(a), range(1, 6) y(r), range(1, 6) z(g), range(1, 6) w(c))"
+#: A try of each conversation: its number and three scores follow from the id, so that all rules and ties occur.
+JUDGED = "jd AS (SELECT conv_id, (conv_id % 5)::INT AS retry, (1 + conv_id % 5)::INT AS relevance, (1 + conv_id // 3 % 5)::INT AS groundedness, (1 + conv_id // 7 % 5)::INT AS consistency, arg_min(text, turn) AS original FROM conversations GROUP BY 1)"
 
 
-@query(f"""WITH s AS (SELECT *, least(relevance, groundedness, consistency) AS low, least(retry, 2) AS level FROM {GRID}),
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("run_id")
+    first = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.min_by("text", "turn").alias("original"))
+    score = lambda of: (1 + F.floor(n / of) % 5).cast("int")
+    return first.select("run_id", (n % 5).cast("int").alias("retry"), score(1).alias("relevance"), score(3).alias("groundedness"), score(7).alias("consistency"), "original")
+
+
+@query(f"""WITH {JUDGED}, s AS (SELECT *, least(relevance, groundedness, consistency) AS low, least(retry, 2) AS level FROM jd),
 w AS (SELECT *, CASE WHEN groundedness = low THEN 'g' WHEN relevance = low THEN 'r' ELSE 'c' END AS d FROM s)
-SELECT retry, relevance, groundedness, consistency, (CASE WHEN retry >= 3 THEN 100 WHEN d = 'g' THEN CASE WHEN level >= 2 THEN 60 ELSE 40 END WHEN d = 'r' THEN least(40 + 20 * (level + 1), 100) ELSE 50 END)::INT AS top_k,
-(CASE WHEN retry >= 3 THEN 0.5 WHEN d = 'g' AND level < 2 THEN 0.5 WHEN d = 'c' THEN 0.6 ELSE 0.7 END)::DOUBLE AS vector_weight, CASE WHEN retry < 3 AND d = 'g' AND level >= 2 THEN 'fulltext_search' ELSE 'hybrid_search' END AS tool,
-CASE WHEN retry >= 3 OR (d = 'r' AND level >= 2) THEN 'original' ELSE 'same' END AS query FROM w""")
+SELECT conv_id AS run_id, turn::INT AS step, (CASE WHEN d = 'g' THEN CASE WHEN level >= 2 THEN 60 ELSE 40 END WHEN d = 'r' THEN least(40 + 20 * (level + 1), 100) ELSE 50 END)::INT AS top_k,
+(CASE WHEN d = 'g' AND level < 2 THEN 0.5 WHEN d = 'c' THEN 0.6 ELSE 0.7 END)::DOUBLE AS vector_weight, CASE WHEN d = 'g' AND level >= 2 THEN 'fulltext_search' ELSE 'hybrid_search' END AS tool,
+CASE WHEN d = 'r' AND level >= 2 THEN original ELSE text END AS query FROM w JOIN conversations USING (conv_id) WHERE retry < 3
+UNION ALL SELECT conv_id, 0, 100, 0.5, 'hybrid_search', original FROM w WHERE retry >= 3""")
 def agt7_agg10_adjust(spark: SparkSession, sf: str) -> DataFrame:
-    r = lambda a, b, n: spark.range(a, b).select(F.col("id").cast("int").alias(n))
-    grid = r(0, 5, "retry").crossJoin(r(1, 6, "relevance")).crossJoin(r(1, 6, "groundedness")).crossJoin(r(1, 6, "consistency"))
-    plan = agent.adjust(F.col("retry"), F.col("relevance"), F.col("groundedness"), F.col("consistency"), F.lit(40), F.lit(0.7))
-    return grid.withColumn("p", plan).select("retry", "relevance", "groundedness", "consistency", "p.*")
+    """Each conversation's turns as the steps of a plan that did not pass."""
+    c = table(spark, sf, "conversations")
+    steps = c.select(F.col("conv_id").alias("run_id"), F.col("turn").cast("int").alias("step"), F.lit("q").alias("id"), F.lit(agent.HYBRID).alias("tool"), F.col("text").alias("query"), F.lit(40).alias("top_k"), F.lit(0.7).alias("vector_weight"), F.array().cast("array<string>").alias("depends_on"))
+    return agent.adjust(steps, judged(spark, sf)).select("run_id", "step", "top_k", "vector_weight", "tool", "query")
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, first(text) OVER (PARTITION BY conv_id ORDER BY turn) AS whole FROM conversations)
+SELECT conv_id AS run_id, (i - 1)::INT AS step, 't' || turn AS id, CASE WHEN turn % 3 = 1 THEN 'fulltext_search' ELSE 'hybrid_search' END AS tool, CASE WHEN trim(text) = '' THEN whole ELSE trim(text) END AS query, least(30 + 30 * turn, 100)::INT AS top_k FROM c WHERE conv_id % 3 <> 2 AND i <= 3
+UNION ALL SELECT conv_id, 0, 'q1', 'hybrid_search', whole, 40 FROM c WHERE conv_id % 3 = 2 AND i = 1""")
+def agt3_agt13_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans as a model might write them of each conversation's turns: bare, in a fence amid prose, or broken."""
+    step = F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.element_at(F.array(F.lit(agent.HYBRID), F.lit(agent.FULLTEXT), F.lit("magic")), (F.col("turn") % 3 + 1).cast("int")).alias("tool"), F.col("text").alias("query"), F.struct((30 + 30 * F.col("turn")).alias("top_k")).alias("args"))
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.sort_array(F.collect_list(F.struct("turn", step.alias("s")))).alias("t"), F.min_by("text", "turn").alias("query"))
+    plan = F.to_json(F.struct(F.transform("t", lambda x: x["s"]).alias("sub_queries")))
+    kind = F.col("run_id") % 3
+    answer = F.when(kind == 0, plan).when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), plan, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("{broken "), F.left(plan, F.lit(20))))
+    return agent.plan_steps(turns.select("run_id", "query", answer.alias("answer"))).select("run_id", "step", "id", "tool", "query", "top_k")
 
 
 @query(f"WITH {ANALYSED} SELECT id, kind, CASE WHEN kind = 'keyword' OR kind = 'semantic' THEN 'simple' ELSE 'complex' END AS intent FROM k")
@@ -447,12 +469,13 @@ def agt2_intent(spark: SparkSession, sf: str) -> DataFrame:
 DIMENSION = "CASE WHEN relevance = least(relevance, groundedness, consistency) THEN 'relevance' WHEN groundedness = least(relevance, groundedness, consistency) THEN 'groundedness' ELSE 'consistency' END"
 
 
-@query(f"""WITH s AS (SELECT *, least(relevance, groundedness, consistency) AS low, {DIMENSION} AS dim, CASE WHEN retry = 0 THEN 'parse_failed' WHEN retry = 1 THEN 'no_scores' ELSE 'skip' END AS result FROM {GRID})
-SELECT retry, relevance, groundedness, consistency, CASE WHEN result = 'parse_failed' THEN 'check failed' WHEN result = 'no_scores' THEN 'not passed after ' || retry || ' retries' WHEN low <= 1 THEN 'wrong facts likely: ' || dim || ' ' || low || '/5'
- WHEN low <= 2 THEN 'weak support: ' || dim || ' ' || low || '/5' WHEN low <= 3 THEN 'fair: ' || low || '/5' ELSE 'good: ' || low || '/5' END AS warning FROM s""")
+@query(f"""WITH {JUDGED}, s AS (SELECT *, least(relevance, groundedness, consistency) AS low, {DIMENSION} AS dim FROM jd)
+SELECT conv_id AS run_id, CASE WHEN retry = 0 THEN '⚠️ 回答质量校验遇到异常，建议核实关键信息或换一种方式提问。' WHEN retry = 1 THEN '⚠️ 回答质量校验未通过（已重试 ' || retry || ' 次），请谨慎参考。'
+ WHEN low <= 1 THEN '⚠️ 回答中可能存在事实性错误（' || dim || ' 评分 ' || low || '/5），建议直接查阅原始文档确认。' WHEN low <= 2 THEN '⚠️ 部分回答内容缺乏文档依据（' || dim || ' 评分 ' || low || '/5），建议对关键结论进行二次确认。'
+ WHEN low <= 3 THEN '💡 回答质量中等（最低维度 ' || low || '/5），部分信息可能不够准确。' ELSE '回答质量尚可，但仍有提升空间（最低维度 ' || low || '/5）。' END AS warning FROM s""")
 def agt9_warning(spark: SparkSession, sf: str) -> DataFrame:
-    r = lambda a, b, n: spark.range(a, b).select(F.col("id").cast("int").alias(n))
-    grid = r(0, 5, "retry").crossJoin(r(1, 6, "relevance")).crossJoin(r(1, 6, "groundedness")).crossJoin(r(1, 6, "consistency"))
-    result = F.when(F.col("retry") == 0, "parse_failed").when(F.col("retry") == 1, "no_scores").otherwise("skip")
-    score = lambda c: F.when(result != "no_scores", F.col(c))
-    return grid.withColumn("warning", agent.warning(result, score("relevance"), score("groundedness"), score("consistency"), F.col("retry")))
+    """Notes on each conversation's answer; the first try's check failed, the second has no scores."""
+    dims = ("relevance", "groundedness", "consistency")
+    rows = judged(spark, sf)
+    low = F.when(F.col("retry") != 1, agent.lowest(*dims))
+    return rows.select("run_id", agent.warning(F.when(F.col("retry") == 0, "parse_failed").otherwise("low quality"), low, F.least(*dims), F.col("retry")).alias("warning"))

@@ -175,44 +175,65 @@ def test_streams(spark, tmp_path):
     assert lock.acquire()
 
 
-def test_agent_rules():
-    plan = [{"tool": agent.HYBRID, "args": {"query": "q"}}]
-    assert agent.adjusted(plan, {"relevance": 2, "groundedness": 2}, 1, "o")[0]["args"] == {"query": "q", "vector_weight": pytest.approx(0.5), "bm25_weight": pytest.approx(0.5)}
-    assert agent.adjusted(plan, {"relevance": 4, "groundedness": 2}, 2, "o")[0]["tool"] == agent.FULLTEXT
-    assert agent.adjusted(plan, {"relevance": 1, "groundedness": 2}, 2, "o")[0]["args"] == {"query": "o", "top_k": 100}
-    assert agent.adjusted(plan, {"consistency": 1}, 1, "o")[0]["args"]["top_k"] == 50
-    assert agent.adjusted(plan, {}, 1, "o") == plan and agent.adjusted(plan, {}, 3, "o")[0]["args"]["top_k"] == 100
-    got = agent.planned('```json\n{"sub_queries": [{"query": "a", "tool": "magic"}, {"id": "z", "args": {"top_k": 200}, "depends_on": ["q1"]}, {}, {}]}\n```', "whole")
-    assert [s["tool"] for s in got] == [agent.HYBRID] * 3 and got[1]["args"] == {"query": "whole", "top_k": 200} and got[0]["id"] == "q1"
-    assert agent.planned("no plan", "whole") == [{"tool": agent.HYBRID, "args": {"query": "whole"}}]
-    assert agent.extract_json('x ```json\n{"a": 1}``` y') == {"a": 1} and agent.extract_json('say {"a": {"b": [1]}} end') == {"a": {"b": [1]}} and agent.extract_json("none") is None
-
-
-def test_agent_loop(spark):
-    asked = []
-
-    def hybrid(query, args):
-        asked.append((query, args["top_k"]))
-        return [] if query.startswith("empty") else [{"chunk_id": query[:1], "content": "c" * 150}]
-
-    def fulltext(query, args):
-        return [{"chunk_id": "f", "content": "full"}]
-
-    tools = {agent.HYBRID: hybrid, agent.FULLTEXT: fulltext}
-    bad = json.dumps({"pass": False, "scores": {"relevance": 1, "groundedness": 4, "consistency": 4}})
-    s = agent.run("question", tools, lambda q, c: "a", lambda *a: bad)
-    assert (s.result, s.retries, s.answer) == ("max_retries_exhausted", 4, agent.UNSURE)
-    assert [k for _, k in asked] == [40, 80, 100, 100]  # two steps up, then the original question with 100
-    good = json.dumps({"pass": True, "scores": {"relevance": 5, "groundedness": 5, "consistency": 5}})
+def test_agent_json():
+    assert agent.extract_json('x ```json\n{"a": 1}``` y') == '{"a": 1}' and agent.extract_json('say {"a": {"b": [1]}} end') == '{"a": {"b": [1]}}' and agent.extract_json("none") is None
+
+
+def test_agent_plans(spark):
+    answers = [(1, "whole", '```json\n{"sub_queries": [{"query": "a", "tool": "magic"}, {"id": "z", "args": {"top_k": 200}, "depends_on": ["q1"]}, {}, {}]}\n```'), (2, "all of it", "no plan"), (3, "none", None)]
+    got = {(r.run_id, r.step): (r.id, r.tool, r.query, r.top_k, r.depends_on) for r in agent.plan_steps(spark.createDataFrame(answers, "run_id int, query string, answer string")).collect()}
+    assert got == {(1, 0): ("q1", agent.HYBRID, "a", 40, []), (1, 1): ("z", agent.HYBRID, "whole", 100, ["q1"]), (1, 2): ("q3", agent.HYBRID, "whole", 40, []), (2, 0): ("q1", agent.HYBRID, "all of it", 40, []), (3, 0): ("q1", agent.HYBRID, "none", 40, [])}
+
+
+class Says:
+    def __init__(self, answer):
+        self.answer = answer
+
+    def complete(self, prompt):
+        return self.answer(prompt)
+
+
+def test_agent_runs(spark):
+    """Four questions in one table: one passes, one never does, one finds nothing, one is simple."""
+
+    def hits(found):
+        def search(asked):
+            rows = asked.filter("query not like 'empty%' and query not like 'nothing%'").withColumn("x", F.explode(found))
+            return rows.select("ask_id", F.lit(1).alias("rank"), F.concat("x", F.left("query", F.lit(1))).alias("chunk_id"), F.concat(F.lit("c"), F.repeat(F.col("x"), 150), "user_id", F.lit(" k="), F.col("top_k").cast("string")).alias("content"))
+
+        return search
+
+    def fulltext(asked):
+        return asked.filter("query not like 'nothing%'").select("ask_id", F.lit(1).alias("rank"), F.lit("f").alias("chunk_id"), F.concat(F.lit("full "), F.col("top_k").cast("string")).alias("content"))
+
+    tools = {agent.HYBRID: hits(F.array(F.lit("h"), F.lit("i"))), agent.FULLTEXT: fulltext}
     plan = json.dumps({"sub_queries": [{"id": "a", "query": "x one"}, {"id": "b", "query": "empty", "depends_on": ["a"]}, {"id": "c", "query": "x two"}]})
-    s = agent.run("question", tools, lambda q, c: "answer", lambda *a: good, lambda q: plan)
-    assert s.result == "passed" and [c["chunk_id"] for c in s.chunks] == ["x", "f"] and len(s.tools) == 4
-    trace = s.trace(spark).first()
-    assert (trace.plan_steps, trace.chunk_count, trace.retry_count, trace.relevance) == (3, 2, 0, 5)
-    assert agent.run("q", {agent.HYBRID: lambda *a: [], agent.FULLTEXT: lambda *a: []}, None, lambda *a: "broken").answer == agent.NO_DATA
-    assert agent.run("q", tools, None, None, kind="simple").chunks == []
-    clock = iter(range(0, 1000, 50))
-    assert agent.run("q", tools, lambda q, c: "a", lambda *a: bad, now=lambda: next(clock), seconds=60).result == "timed_out"
-    events = agent.answer_events(spark, "k", [{"chunk_id": "x", "score": 1.0, "snippet": "s"}], ["to", "ken"], s.tools).orderBy("seq").collect()
-    assert [e.type for e in events] == ["conversation", "status", *["agent_step"] * 4, "citations", "token", "token", "done"]
-    assert agent.answer_events(spark, "k", [], [], error="down").filter("type = 'error'").count() == 1
+    seen = json.dumps({"pass": True, "scores": {"relevance": 5, "groundedness": 5, "consistency": 5}})
+    low = json.dumps({"pass": False, "reason": "off", "scores": {"relevance": 1, "groundedness": 4, "consistency": 4}})
+    questions = spark.createDataFrame([(1, "u", None, "good question", "complex"), (2, "v", None, "bad question", "complex"), (3, "v", None, "nothing here", "complex"), (4, "v", None, "easy", "simple")], "run_id int, user_id string, collection_id string, query string, intent string")
+    got = {r.run_id: r for r in agent.run(questions, tools, Says(lambda p: plan if p.startswith("good") else None), Says(lambda p: "answer to " + p[-6:]), Says(lambda p: seen if p.startswith("good") else low if p.startswith("bad") else "broken")).collect()}
+    assert (got[1].result, got[1].plan_steps, got[1].chunk_count, got[1].retry, got[1].relevance) == ("passed", 3, 3, 0, 5)
+    assert [(c.tool, c.result_count) for c in got[1].tools_called] == [(agent.HYBRID, 2), (agent.FULLTEXT, 1), (agent.HYBRID, 0), (agent.HYBRID, 2)]
+    assert (got[2].result, got[2].retry, got[2].answer, len(got[2].tools_called)) == ("max_retries_exhausted", 4, agent.NO_DATA, 4)
+    assert (got[3].result, got[3].answer, got[3].chunk_count, got[3].retry) == ("parse_failed", agent.NO_DATA, 0, 0)
+    assert got[4].intent == "simple" and got[4].result is None
+
+
+def test_agent_retries_widen(spark):
+    steps = agent.plan_steps(spark.createDataFrame([(1, "q", None)], "run_id int, query string, answer string"))
+    verdict = lambda retry, r, g, c: spark.createDataFrame([(1, retry, r, g, c, "first")], "run_id int, retry int, relevance int, groundedness int, consistency int, original string")
+    step = lambda *v: agent.adjust(steps, verdict(*v)).first()
+    assert step(1, 2, 2, None).vector_weight == 0.5 and step(2, 4, 2, 4).tool == agent.FULLTEXT and step(2, 4, 2, 4).top_k == 60
+    assert (step(2, 1, 2, 2).query, step(2, 1, 2, 2).top_k) == ("first", 100) and step(1, 1, 2, 2).top_k == 80
+    assert (step(1, 3, 3, 1).top_k, step(1, 3, 3, 1).vector_weight) == (50, 0.6)
+    assert (step(1, None, None, None).top_k, step(3, None, None, None).top_k, step(3, 1, 1, 1).vector_weight) == (40, 100, 0.5)
+
+
+def test_agent_events(spark):
+    traces = spark.createDataFrame([(1, "text", None, [("hybrid_search", 2)]), (2, None, "down", [])], "run_id int, answer string, error string, tools_called array<struct<tool:string,result_count:long>>")
+    cited = spark.createDataFrame([(1, 2, "y", 0.5, "t"), (1, 1, "x", 1.0, "s")], "run_id int, place int, chunk_id string, score double, snippet string")
+    got = agent.answer_events(traces, cited).orderBy("run_id", "seq").collect()
+    assert [e.type for e in got if e.run_id == 1] == ["conversation", "status", "agent_step", "citations", "token", "done"]
+    assert [e.type for e in got if e.run_id == 2] == ["conversation", "status", "error"]
+    assert [x["chunk_id"] for x in json.loads(got[3].data)["data"]] == ["x", "y"] and json.loads(got[2].data) == {"type": "agent_step", "tool": "hybrid_search", "result_count": 2}
+    assert agent.answer_events(traces.drop("tools_called"), cited).count() == 8
