@@ -85,9 +85,9 @@ def str6_snk7_win7_status_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BOUNDS = {
-    0: ("agent_seconds", [0.5, 1, 2, 5, 10, 30]), 1: ("embedding_api_seconds", [0.1, 0.3, 0.5, 1, 3, 5]), 2: ("intent_seconds", [0.01, 0.05, 0.1, 0.3, 1]), 3: ("llm_seconds", [1, 3, 5, 10, 30, 60]),
-    4: ("ocr_api_seconds", [0.5, 1, 2, 5, 10]), 5: ("reflection_score", [1, 2, 3, 4, 5]), 6: ("rerank_api_seconds", [0.1, 0.3, 0.5, 1, 2]), 7: ("rerank_seconds", [0.1, 0.3, 0.5, 1, 2, 5]),
-    8: ("results", [1, 3, 5, 10, 20]), 9: ("retrieval_seconds", [0.5, 1, 2, 5, 10, 30]), 10: ("tool_seconds", [0.1, 0.3, 0.5, 1, 2, 5]),
+    0: ("agent_execution_duration_seconds", [0.5, 1, 2, 5, 10, 30]), 1: ("embedding_api_duration_seconds", [0.1, 0.3, 0.5, 1, 3, 5]), 2: ("intent_classify_duration_seconds", [0.01, 0.05, 0.1, 0.3, 1]), 3: ("rag_llm_duration_seconds", [1, 3, 5, 10, 30, 60]),
+    4: ("ocr_api_duration_seconds", [0.5, 1, 2, 5, 10]), 5: ("agent_reflection_scores", [1, 2, 3, 4, 5]), 6: ("rerank_api_duration_seconds", [0.1, 0.3, 0.5, 1, 2]), 7: ("rag_rerank_duration_seconds", [0.1, 0.3, 0.5, 1, 2, 5]),
+    8: ("rag_results_count", [1, 3, 5, 10, 20]), 9: ("rag_retrieval_duration_seconds", [0.5, 1, 2, 5, 10, 30]), 10: ("agent_tool_call_duration_seconds", [0.1, 0.3, 0.5, 1, 2, 5]),
 }
 METRICS = "(VALUES " + ", ".join(f"({i}, '{name}', {b}::DOUBLE[])" for i, (name, b) in BOUNDS.items()) + ") m(i, metric, bounds)"
 
@@ -101,10 +101,10 @@ def agg12_snk9_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return M.histograms(rows, "dimension")
 
 
-@query("""SELECT CASE event_type WHEN 'error' THEN 'api_errors' WHEN 'click' THEN 'agent_api_calls' ELSE 'agent_retries' END AS metric,
+@query("""SELECT CASE event_type WHEN 'error' THEN 'api_error_total' WHEN 'click' THEN 'agent_api_calls_total' ELSE 'agent_retry_total' END AS metric,
 CASE event_type WHEN 'error' THEN '{"service":"s' || user_id % 3 || '"}' WHEN 'click' THEN '{"service":"s' || user_id % 3 || '","node":"n' || user_id % 2 || '"}' ELSE '{}' END AS labels, count(*) AS total FROM events GROUP BY 1, 2""")
 def snk9_counters(spark: SparkSession, sf: str) -> DataFrame:
-    metric = F.when(F.col("event_type") == "error", "api_errors").when(F.col("event_type") == "click", "agent_api_calls").otherwise("agent_retries")
+    metric = F.when(F.col("event_type") == "error", "api_error_total").when(F.col("event_type") == "click", "agent_api_calls_total").otherwise("agent_retry_total")
     label = lambda name, n: (F.lit(name), F.concat(F.lit(name[0]), (F.col("user_id") % n).cast("string")))
     rows = table(spark, sf, "events").select(metric.alias("metric"), F.lit(1).alias("by"), F.create_map(*label("service", 3), *label("node", 2)).alias("labels"))
     return M.counters(rows)

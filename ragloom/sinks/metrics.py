@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of each histogram's buckets.
 HISTOGRAMS = {
-    "retrieval_seconds": (0.5, 1, 2, 5, 10, 30),
-    "results": (1, 3, 5, 10, 20),
-    "rerank_seconds": (0.1, 0.3, 0.5, 1, 2, 5),
-    "llm_seconds": (1, 3, 5, 10, 30, 60),
-    "embedding_api_seconds": (0.1, 0.3, 0.5, 1, 3, 5),
-    "rerank_api_seconds": (0.1, 0.3, 0.5, 1, 2),
-    "ocr_api_seconds": (0.5, 1, 2, 5, 10),
-    "agent_seconds": (0.5, 1, 2, 5, 10, 30),
-    "tool_seconds": (0.1, 0.3, 0.5, 1, 2, 5),
-    "intent_seconds": (0.01, 0.05, 0.1, 0.3, 1),
-    "reflection_score": (1, 2, 3, 4, 5),
+    "rag_retrieval_duration_seconds": (0.5, 1, 2, 5, 10, 30),
+    "rag_results_count": (1, 3, 5, 10, 20),
+    "rag_rerank_duration_seconds": (0.1, 0.3, 0.5, 1, 2, 5),
+    "rag_llm_duration_seconds": (1, 3, 5, 10, 30, 60),
+    "embedding_api_duration_seconds": (0.1, 0.3, 0.5, 1, 3, 5),
+    "rerank_api_duration_seconds": (0.1, 0.3, 0.5, 1, 2),
+    "ocr_api_duration_seconds": (0.5, 1, 2, 5, 10),
+    "agent_execution_duration_seconds": (0.5, 1, 2, 5, 10, 30),
+    "agent_tool_call_duration_seconds": (0.1, 0.3, 0.5, 1, 2, 5),
+    "intent_classify_duration_seconds": (0.01, 0.05, 0.1, 0.3, 1),
+    "agent_reflection_scores": (1, 2, 3, 4, 5),
 }
 #: Counters and gauges, with their labels.
-COUNTERS = {"api_errors": ("service",), "agent_retries": (), "agent_degrades": (), "intents": ("intent",), "agent_api_calls": ("service", "node"), "data_loss": ()}
+COUNTERS = {"api_error_total": ("service",), "agent_retry_total": (), "agent_degrade_total": (), "intent_classify_total": ("intent",), "agent_api_calls_total": ("service", "node"), "rag_data_loss_total": ()}
 GAUGES = {"model_memory_bytes": ("model_name",)}
 
 
