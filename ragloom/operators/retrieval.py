@@ -335,35 +335,3 @@ def citations(results: DataFrame) -> DataFrame:
 def lost_data(queries: DataFrame, results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Queries without results although their tenant has chunks."""
     return queries.join(results.select("query_id").distinct(), "query_id", "left_anti").join(chunks.select("user_id").distinct(), "user_id", "left_semi").select("query_id", "user_id")
-
-
-def clustered_search(queries: DataFrame, vectors: DataFrame, cells: int = 64, probes: int = 44, k: int = CANDIDATES, seed: int = 7) -> DataFrame:
-    """Approximate vector search: k-means cells over the vectors; a query looks into its nearest ``probes`` cells.
-
-    Queries go in blocks as in ``vector_search``: a task multiplies each cell's vectors with the queries that probe it.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
-    centers = np.array(model.clusterCenters())
-    centers /= np.linalg.norm(centers, axis=1, keepdims=True) + 1e-12
-    placed = model.transform(points).select("vec_id", "embedding", F.col("prediction").alias("cell"))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
-
-    def find(block: list) -> DataFrame:
-        ids, mat = np.array([r.query_id for r in block]), _unit([r.qvec for r in block])
-        near = np.zeros((len(ids), len(centers)), bool)
-        np.put_along_axis(near, np.argsort(-(mat @ centers.T), axis=1, kind="stable")[:, :probes], True, 1)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for cell, rows in pdf.groupby("cell"):
-                    asking = np.flatnonzero(near[:, cell])
-                    if len(asking):
-                        yield _best(mat[asking] @ _unit(rows["embedding"].to_numpy()).T, rows["vec_id"].to_numpy(), ids[asking], k)
-
-        return placed.mapInPandas(best, schema)
-
-    return top_k(_in_blocks(queries.select("query_id", "qvec"), schema, find), k, "query_id", [F.desc("score"), F.asc("vec_id")])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import queries as Q
 from ragloom.operators import agent, metrics
 from ragloom.operators import retrieval as R
+from ragloom.operators.ivf import IvfIndex
 from ragloom.plans.fixtures import WS
 from ragloom.registry import query
 from ragloom.session import scratch_path, table
@@ -77,9 +78,28 @@ def ret1_flt1_tenant_vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.vector_search(q, own, tenant=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest by an inverted-file index that is fitted, filled and searched."""
+    vectors = table(spark, sf, "embeddings")
+    index = IvfIndex(spark, scratch_path(spark, "ivf"))
+    index.fit(vectors)
+    index.insert(vectors)
+    return index.search(hundredth_vectors(spark, sf), k=10)
+
+
+@query(f"WITH {VHITS} SELECT query_id, vec_id, round(score, 6) AS score FROM vh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def ret2_clustered_search(spark: SparkSession, sf: str) -> DataFrame:
-    return R.clustered_search(hundredth_vectors(spark, sf), table(spark, sf, "embeddings"), k=10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return clustered(spark, sf).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id AS query_id, true AS recalled, true AS few FROM embeddings WHERE vec_id % 100 = 0")
+def ret2_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether at least nine of the ten nearest were found, and no more than a fifth of the vectors read in full."""
+    got = clustered(spark, sf)
+    exact = R.vector_search(hundredth_vectors(spark, sf), table(spark, sf, "embeddings"), k=10).select("query_id", "vec_id")
+    n = table(spark, sf, "embeddings").agg(F.count("embedding").alias("n"))
+    met = exact.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("vectors_read") >= 0.9 * F.count(F.lit(1))).alias("recalled"), F.max("vectors_read").alias("read"))
+    return met.join(F.broadcast(n)).select("query_id", "recalled", (5 * F.col("read") <= F.col("n")).alias("few"))
 
 
 @query(f"WITH {OWNED}, qq AS (SELECT vec_id AS query_id, user_id, embedding AS qvec FROM ov WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, {SIM} AS score FROM qq JOIN ov USING (user_id) WHERE vec_id % 10 <> 3) SELECT query_id, vec_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id::VARCHAR) <= 40")
