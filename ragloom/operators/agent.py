@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.operators.clients import LanguageModel, ask
-from ragloom.session import scratch_path
+from ragloom.session import kept
 
 TRIES = 4
 HYBRID, FULLTEXT = "hybrid_search", "fulltext_search"
@@ -174,13 +174,6 @@ def execute(steps: DataFrame, tools: dict[str, Search], scope: DataFrame) -> tup
     return chunks.select("run_id", "place", "chunk_id", "content"), all_calls.select("run_id", "step", "tool", F.coalesce("result_count", F.lit(0)).cast("long").alias("result_count"))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: a round's work is done once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reflect(rows: DataFrame) -> DataFrame:
     """rows(run_id, retry, answer, verdict) with again, result, relevance, groundedness, consistency and the new retry."""
     v = F.from_json(json_in("verdict"), "struct<pass:boolean,reason:string,scores:struct<relevance:int,groundedness:int,consistency:int>>")

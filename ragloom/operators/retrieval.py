@@ -119,21 +119,29 @@ def bm25(queries: DataFrame, posting: DataFrame, k: int | None = CANDIDATES, lea
     stats = marks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_all"), F.avg("dl_index").alias("avg_index"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = (rows if tenant else rows.drop("user_id")).join(asked.join(df, "term"), ["term", *(["user_id"] if tenant else [])]).join(F.broadcast(stats))
+    scored = bm25_sums(hits, least, digits)
+    return scored if k is None else top_k(scored, k, "query_id", [F.desc("score"), F.asc("chunk_id")])
+
+
+def bm25_part(dl: Column, avg: Column) -> Column:
+    """What a posting (qtf, tf, df, n_docs) adds to its chunk's score."""
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = lambda dl, avg: F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col(dl) / F.col(avg)))
+    return F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl / avg))
+
+
+def bm25_sums(hits: DataFrame, least: float | None = 1.0, digits: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score of hits(query_id, chunk_id, need, term, qtf, tf, dl, dl_index, df, n_docs, avg_all, avg_index)."""
     long = F.length("term") > 1
+    in_index, in_all = bm25_part(F.col("dl_index"), F.col("avg_index")), bm25_part(F.col("dl"), F.col("avg_all"))
     scored = hits.groupBy("query_id", "chunk_id", "need").agg(
-        F.sum(F.when(long, part("dl_index", "avg_index"))).alias("s_index"), F.sum(F.when(long, F.col("qtf"))).alias("m_index"),
-        F.sum(part("dl", "avg_all")).alias("s_all"), F.sum("qtf").alias("m_all"),
+        F.sum(F.when(long, in_index)).alias("s_index"), F.sum(F.when(long, F.col("qtf"))).alias("m_index"), F.sum(in_all).alias("s_all"), F.sum("qtf").alias("m_all"),
     )
     clause = lambda s, m: F.when(F.col(m) >= F.col("need"), F.col(s))
     index, every = clause("s_index", "m_index"), clause("s_all", "m_all")
     scored = scored.filter(index.isNotNull() | every.isNotNull()).select("query_id", "chunk_id", (F.coalesce(index, F.lit(0.0)) + F.coalesce(every, F.lit(0.0))).alias("score"))
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    return scored if k is None else top_k(scored, k, "query_id", [F.desc("score"), F.asc("chunk_id")])
+    return scored if least is None else scored.filter(F.col("score") >= least)
 
 
 def cover_density(positions: Column, terms: Column, n_terms: Column) -> Column:

@@ -107,7 +107,6 @@ def snk1_snk2_snk5_vector_table(spark: SparkSession, sf: str) -> DataFrame:
     """The stored vector index, partitioned by tenant: created, filled, rid of some documents, searched."""
     own = owned_vectors(spark, sf)
     store = VectorTable(spark, scratch_path(spark, "vectors"))
-    store.create()
     store.insert(own.select(F.col("vec_id").cast("string").alias("chunk_id"), "user_id", F.col("vec_id").cast("string").alias("document_id"), F.lit("").alias("content_hash"), "embedding", F.lit("").alias("snippet")))
     store.delete_documents(own.filter("vec_id % 10 = 3").select(F.col("vec_id").cast("string").alias("document_id")))
     q = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "user_id")
@@ -154,7 +153,6 @@ def snk3_snk4_snk5_snk12_text_table(spark: SparkSession, sf: str) -> DataFrame:
     """The stored text index: created, filled in two steps, some chunks written again, rid of some documents, searched."""
     docs = whole_documents(spark, sf)
     store = TextTable(spark, scratch_path(spark, "postings"))
-    store.create()
     store.insert(docs.filter("chunk_id % 2 = 0"))
     store.backfill(docs)
     store.insert(docs.filter("chunk_id % 50 = 0"))

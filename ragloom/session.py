@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     atexit.register(remove)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its work is done once, and lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,8 +17,9 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of one tier that merge, and rows of the smallest tier.
@@ -45,10 +46,10 @@ class LogTable:
         return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(place) if s.getPath().getName().endswith(".json")) if fs.exists(place) else []
 
     def state(self, version: int | None = None) -> dict:
-        """{version, batch (the last one applied), runs (oldest first: name, rows, merged)}."""
+        """{version, batch (the last one applied), runs (oldest first: name, rows), note}."""
         found = self.versions() if version is None else [version]
         if not found:
-            return {"version": -1, "batch": -1, "runs": []}
+            return {"version": -1, "batch": -1, "runs": [], "note": {}}
         fs, place = self._place(f"_log/{found[-1]:012d}.json")
         jvm = self.spark._jvm
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(place)))
@@ -82,10 +83,8 @@ class LogTable:
     def _runs(self, runs: list[dict]) -> DataFrame:
         """All rows and tombstones of these runs, with ``_run`` (the larger, the newer)."""
         schema = f"{self.schema}, _gone boolean"
-        out = self.spark.createDataFrame([], schema).withColumn("_run", F.lit(0))
-        for i, run in enumerate(runs):
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{run['name']}").withColumn("_run", F.lit(i)))
-        return out
+        each = [self.spark.read.schema(schema).parquet(f"{self.path}/{run['name']}").withColumn("_run", F.lit(i)) for i, run in enumerate(runs)]
+        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], f"{schema}, _run int")
 
     def _last(self, rows: DataFrame) -> DataFrame:
         latest = F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc("_run")))
@@ -108,10 +107,10 @@ class LogTable:
     # --- writing ---
 
     def _write(self, rows: DataFrame) -> dict | None:
-        name = f"r-{uuid.uuid4().hex}"
-        rows.select(*self.columns, "_gone").repartition(self.by).write.partitionBy(self.by).parquet(f"{self.path}/{name}")
-        n = self.spark.read.schema(f"{self.schema}, _gone boolean").parquet(f"{self.path}/{name}").count()  # from the files' footers
-        return {"name": name, "rows": n} if n else None
+        name, seen = f"r-{uuid.uuid4().hex}", Observation()
+        counted = rows.select(*self.columns, "_gone").repartition(self.by).observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.partitionBy(self.by).parquet(f"{self.path}/{name}")
+        return {"name": name, "rows": seen.get["n"]} if seen.get["n"] else None
 
     @staticmethod
     def _tier(run: dict) -> int:
@@ -120,7 +119,7 @@ class LogTable:
             tier, n = tier + 1, n // FAN
         return tier
 
-    def _add(self, rows: DataFrame, batch: int | None) -> None:
+    def _add(self, rows: DataFrame, batch: int | None, note: dict | None) -> None:
         if batch is not None and batch <= self.state()["batch"]:
             return
         run = self._write(rows)
@@ -128,23 +127,25 @@ class LogTable:
         def change(state: dict) -> dict | None:
             if batch is not None and batch <= state["batch"]:
                 return None
-            return {"runs": state["runs"] + ([run] if run else []), "batch": state["batch"] if batch is None else batch}
+            return state | {"runs": state["runs"] + ([run] if run else []), "batch": state["batch"] if batch is None else batch} | ({"note": note} if note else {})
 
         self._commit(change)
         while self._merge_tier():
             pass
 
-    def upsert(self, rows: DataFrame, batch: int | None = None) -> None:
-        """Rows replace those of the same key; keys are unique in ``rows``. A ``batch`` that was applied already is left out."""
-        self._add(rows.withColumn("_gone", F.lit(False)), batch)
+    def upsert(self, rows: DataFrame, batch: int | None = None, note: dict | None = None) -> None:
+        """Rows replace those of the same key; keys are unique in ``rows``. A ``batch`` that was applied already is left out.
 
-    def delete(self, keys: DataFrame, batch: int | None = None) -> None:
+        ``note`` is kept with the version and those after it (``state()["note"]``)."""
+        self._add(rows.withColumn("_gone", F.lit(False)), batch, note)
+
+    def delete(self, keys: DataFrame, batch: int | None = None, note: dict | None = None) -> None:
         """Rows of these keys go."""
         kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)
         gone = keys.select(*self.key).distinct()
         if self.by not in self.key:
             gone = self.read().select(*self.key, self.by).join(gone, self.key, "left_semi")
-        self._add(gone.select(*self.key, *({self.by} - set(self.key)), *(F.lit(None).cast(kinds[c]).alias(c) for c in self.columns if c not in (*self.key, self.by)), F.lit(True).alias("_gone")), batch)
+        self._add(gone.select(*self.key, *({self.by} - set(self.key)), *(F.lit(None).cast(kinds[c]).alias(c) for c in self.columns if c not in (*self.key, self.by)), F.lit(True).alias("_gone")), batch, note)
 
     def _replace(self, old: list[dict], whole: bool) -> None:
         """Neighbouring runs become one; without their tombstones if they begin the table."""

@@ -1,73 +1,47 @@
-"""Index tables on any file system that Spark writes: vectors by tenant, postings by bucket of their term.
+"""Index tables on any file system that Spark writes: vectors by tenant, block-max postings by bucket of their term.
 
-A table is a folder of versions; the newest whole one counts (Spark marks it by ``_SUCCESS``). Inserts append a part to
-the newest version, deletions and overwrites write a new version and drop the older ones. One writer at a time.
+Both are tables of runs (``LogTable``): inserts and deletions write in proportion to themselves, readers keep their version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import snippet
 from ragloom.operators import retrieval as R
+from ragloom.session import kept
+from ragloom.sinks.logtable import LogTable
 
 #: Characters of a text that the vector table keeps beside a vector.
 SNIPPET = 500
-BUCKETS = 64
+#: Folders that terms and chunks are dealt to; more for larger tables.
+BUCKETS = 8
+#: Chunks of a tenant that share a range: a block holds one term's postings in one range.
+RANGE_CHUNKS = 128
+#: Ranges of each query that are scored before the others are judged.
+SEEDS = 4
 VECTOR = "chunk_id string, document_id string, content_hash string, embedding array<float>, snippet string, user_id string"
-POSTING = "chunk_id string, document_id string, user_id string, dl int, dl_index int, term string, tf long, bucket int"
-
-
-class Versioned:
-    """A parquet table whose rows can be replaced."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, by: str):
-        self.spark, self.path, self.schema, self.by = spark, path.rstrip("/"), schema, by
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(place):
-            return []
-        whole = lambda s: fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(place) if s.getPath().getName()[:1] == "v" and whole(s))
-
-    def create(self) -> None:
-        """An empty table, if there is none."""
-        if not self._versions():
-            self.replace(self.spark.createDataFrame([], self.schema))
-
-    def read(self) -> DataFrame:
-        found = self._versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}")
-
-    def append(self, rows: DataFrame) -> None:
-        self.create()
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").partitionBy(self.by).parquet(f"{self.path}/v{self._versions()[-1]}")
-
-    def replace(self, rows: DataFrame) -> None:
-        """A new version; readers of the old one should have ended."""
-        old = self._versions()
-        rows.write.partitionBy(self.by).parquet(f"{self.path}/v{old[-1] + 1 if old else 0}")
-        jvm = self.spark._jvm
-        for v in old:
-            place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-            place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-class VectorTable(Versioned):
+BLOCK = "term string, rng long, user_id string, bucket int, best_tf long, least_dl int, least_dl_index int, rows array<struct<chunk_id:string,tf:long,dl:int,dl_index:int>>"
+CHUNK = "chunk_id string, document_id string, user_id string, rng long, dl int, dl_index int, terms array<string>, bucket int"
+TERM = "term string, df long, bucket int"
+STALE = "chunk_id string, rng long, bucket int"
+
+
+class VectorTable:
     """The vector index: one row for each child chunk, partitioned by tenant."""
 
     def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, VECTOR, "user_id")
+        self.table = LogTable(spark, path, VECTOR, ["chunk_id"], "user_id")
+
+    def read(self, where: Column | None = None) -> DataFrame:
+        return self.table.read(where)
 
     def insert(self, rows: DataFrame) -> None:
-        """rows(chunk_id, user_id, document_id, content_hash, embedding, snippet)."""
-        self.append(rows.withColumn("snippet", F.left(snippet(F.col("snippet")), F.lit(SNIPPET))))
+        """rows(chunk_id, user_id, document_id, content_hash, embedding, snippet); a chunk that is there already is replaced."""
+        self.table.upsert(rows.withColumn("snippet", F.left(snippet(F.col("snippet")), F.lit(SNIPPET))))
 
     def search(self, queries: DataFrame, k: int = R.CANDIDATES) -> DataFrame:
         """query_id, chunk_id, score[, ...]; queries(query_id, user_id, qvec) see their own tenant's vectors."""
@@ -75,7 +49,7 @@ class VectorTable(Versioned):
         return R.vector_search(queries, rows, k, tenant=True).withColumnRenamed("vec_id", "chunk_id").join(self.read().select("chunk_id", "document_id", "content_hash", "snippet"), "chunk_id")
 
     def delete_documents(self, gone: DataFrame) -> None:
-        self.replace(self.read().join(gone, "document_id", "left_anti"))
+        self.table.delete(self.read().join(gone.select("document_id"), "document_id", "left_semi").select("chunk_id"))
 
     def vectors(self, ids: DataFrame, dim: int) -> DataFrame:
         """chunk_id, embedding in every row of ids(chunk_id); zeros where there is none."""
@@ -87,44 +61,145 @@ class VectorTable(Versioned):
         return self.read().join(hashes, "content_hash", "left_semi").groupBy("content_hash").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
 
 
-class TextTable(Versioned):
-    """The text index: postings in buckets of their terms; a chunk's row with an empty term holds its lengths."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, POSTING, "bucket")
-
-    @staticmethod
-    def rows(chunks: DataFrame) -> DataFrame:
-        bucket = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
-        named = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"))
-        made = R.postings(chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")))
-        return made.join(named, "chunk_id").withColumn("bucket", bucket).repartition("bucket").select("chunk_id", "document_id", "user_id", "dl", "dl_index", "term", "tf", "bucket")
+class TextTable:
+    """The text index: blocks of postings with bounds, kept frequencies and lengths.
+
+    A tenant's chunks are dealt to ranges of about ``RANGE_CHUNKS`` as they are inserted; a block is a term's postings in
+    one range, with the largest tf and the least lengths, whose product bounds every score in it under any average. Terms'
+    frequencies and the corpus' sums are kept and changed with each insertion. A replaced or deleted chunk's postings
+    stay in their blocks and are named in ``stale`` until ``rewrite``. One writer at a time; chunk ids are strings.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, range_chunks: int = RANGE_CHUNKS, buckets: int = BUCKETS):
+        self.spark, self.range_chunks, self.buckets = spark, range_chunks, buckets
+        make = lambda name, schema, key, by: LogTable(spark, f"{path.rstrip('/')}/{name}", schema, key, by)
+        self.blocks, self.chunks = make("blocks", BLOCK, ["term", "rng"], "bucket"), make("chunks", CHUNK, ["chunk_id"], "bucket")
+        self.terms, self.stale = make("terms", TERM, ["term"], "bucket"), make("stale", STALE, ["chunk_id", "rng"], "bucket")
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def total(self) -> dict:
+        """n_docs, sum_all and sum_index (words of all chunks) and the number of insertions, kept with the chunks' version."""
+        return {"n_docs": 0, "sum_all": 0, "sum_index": 0, "inserts": 0} | self.chunks.state().get("note", {})
+
+    def _changed(self, added: DataFrame | None, gone: DataFrame | None) -> dict:
+        """Brings terms' frequencies up to date with chunks that came and went (rows of ``chunks``); the new sums."""
+        signed = [df.withColumn("by", F.lit(by)) for df, by in ((added, 1), (gone, -1)) if df is not None]
+        both = reduce(DataFrame.unionByName, signed)
+        by = both.select("by", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("by").alias("by"))
+        self.terms.upsert(by.join(self.terms.read().drop("bucket"), "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("by")).alias("df"), self._bucket("term")))
+        sums = both.agg(F.sum("by").alias("n_docs"), F.sum(F.col("dl") * F.col("by")).alias("sum_all"), F.sum(F.col("dl_index") * F.col("by")).alias("sum_index")).first().asDict()
+        old = self.total()
+        return {c: old[c] + (sums[c] or 0) for c in sums} | {"inserts": old["inserts"] + 1}
+
+    def _forget(self, old: DataFrame) -> DataFrame | None:
+        """These chunks' postings are stale; the chunks as they were, if there are any."""
+        gone = kept(old.select(*self.chunks.columns), "gone")
+        if gone.isEmpty():
+            return None
+        self.stale.upsert(gone.select("chunk_id", "rng", "bucket"))
+        return gone
 
     def insert(self, chunks: DataFrame) -> None:
-        """chunks(chunk_id, document_id, user_id, content); a chunk that is there already is overwritten."""
-        new = self.rows(chunks)
-        old = self.read()
-        known = old.filter("bucket = -1").join(new.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        if known.isEmpty():
-            self.append(new)
-        else:
-            self.replace(old.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(new))
+        """chunks(chunk_id, document_id, user_id, content); a chunk that is there already is replaced."""
+        named = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "user_id", "content")
+        # a range is a share of one tenant's chunks
+        shares = named.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / self.range_chunks).alias("shares"))
+        owner = named.join(shares, "user_id").select("chunk_id", F.xxhash64("user_id", F.lit(self.total()["inserts"]), F.pmod(F.xxhash64("chunk_id"), F.col("shares"))).alias("rng"))
+        # postings(...) has a row with an empty term for every chunk: its lengths
+        rows = kept(R.postings(named).join(owner, "chunk_id"), "rows")
+        whole = rows.groupBy("chunk_id", "user_id", "rng", "dl", "dl_index").agg(F.collect_list(F.when(F.col("term") != "", F.col("term"))).alias("terms"))
+        fresh = kept(whole.join(named.select("chunk_id", "document_id"), "chunk_id").withColumn("bucket", self._bucket("chunk_id")).select(*self.chunks.columns), "fresh")
+        gone = self._forget(self.chunks.read().join(fresh.select("chunk_id"), "chunk_id", "left_semi")) if self.chunks.versions() else None
+        blocks = rows.filter("term <> ''").groupBy("term", "rng", "user_id").agg(
+            F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index")).alias("rows")
+        )
+        self.blocks.upsert(blocks.withColumn("bucket", self._bucket("term")))
+        self.chunks.upsert(fresh, note=self._changed(fresh, gone))
 
     def backfill(self, chunks: DataFrame) -> None:
         """Chunks that the index lacks."""
-        there = self.read().filter("bucket = -1").select("chunk_id")
+        there = self.chunks.read().select("chunk_id")
         self.insert(chunks.join(there, chunks["chunk_id"].cast("string") == there["chunk_id"], "left_anti"))
 
-    def postings(self, asked: DataFrame | None = None) -> DataFrame:
-        """Stored postings; with asked(term) only those terms', whose buckets alone are read."""
-        rows = self.read()
-        if asked is not None:
-            wanted = asked.select("term").distinct().select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-            rows = rows.join(wanted, ["bucket", "term"], "left_semi").unionByName(rows.filter("bucket = -1"))
-        return rows.select("chunk_id", "user_id", "dl", "dl_index", "term", "tf")
+    def delete_documents(self, gone: DataFrame) -> None:
+        old = self.chunks.read().join(gone.select(F.col("document_id").cast("string").alias("document_id")).distinct(), "document_id", "left_semi")
+        if (old := self._forget(old)) is not None:
+            self.chunks.delete(old.select("chunk_id"), note=self._changed(None, old))
+
+    def rewrite(self) -> None:
+        """Stale postings go from the blocks that hold them."""
+        stale = self.stale.read().drop("bucket")
+        hit = self.blocks.read().join(stale.select("rng").distinct(), "rng", "left_semi")
+        rows = hit.select("term", "rng", "user_id", "bucket", F.explode("rows").alias("p")).select("term", "rng", "user_id", "bucket", "p.*").join(stale, ["chunk_id", "rng"], "left_anti")
+        left = rows.groupBy("term", "rng", "user_id", "bucket").agg(F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index")).alias("rows"))
+        now = kept(left.select(*self.blocks.columns), "blocks")
+        empty = hit.select("term", "rng").join(now.select("term", "rng"), ["term", "rng"], "left_anti")
+        self.blocks.delete(empty)
+        self.blocks.upsert(now)
+        self.stale.delete(stale)
+
+    def postings(self) -> DataFrame:
+        """All live postings: chunk_id, user_id, dl, dl_index, term, tf; a row with an empty term for every chunk."""
+        each = self.blocks.read().select("term", "rng", "user_id", F.explode("rows").alias("p")).select("term", "rng", "user_id", "p.*").join(self.stale.read().select("chunk_id", "rng"), ["chunk_id", "rng"], "left_anti")
+        marks = self.chunks.read().select("chunk_id", "user_id", "dl", "dl_index", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
+        return each.select("chunk_id", "user_id", "dl", "dl_index", "term", "tf").unionByName(marks)
+
+    def asked_blocks(self, queries: DataFrame, tenant: bool) -> DataFrame:
+        """The blocks of the queries' terms (not their postings), with what scoring needs: need, qtf, df and the corpus' sums."""
+        asked = R.asked_terms(queries if tenant else queries.drop("user_id"))
+        where, total = self._where(asked), self.total()
+        n = max(1, total["n_docs"])
+        heads = self.blocks.read(where).drop("rows", *([] if tenant else ["user_id"]))
+        known = asked.join(self.terms.read(where).select("term", "df"), "term")
+        stats = {"n_docs": F.lit(total["n_docs"]), "avg_all": F.lit(total["sum_all"] / n), "avg_index": F.lit(total["sum_index"] / n)}
+        return heads.join(known, ["term", *(["user_id"] if tenant else [])]).withColumns(stats)
+
+    def _where(self, asked: DataFrame) -> Column | None:
+        """The folders of these terms, where there are many."""
+        if self.buckets <= 2 * BUCKETS:
+            return None
+        return F.col("bucket").isin([r.bucket for r in asked.select(self._bucket("term")).distinct().collect()])
+
+    def score_bounds(self, blocks: DataFrame) -> DataFrame:
+        """query_id, rng, bound, n_blocks: no chunk of the range scores more; ranges without enough of the words are left out."""
+        top = blocks.withColumn("tf", F.col("best_tf"))
+        sure = F.when(F.length("term") > 1, R.bm25_part(F.col("least_dl_index"), F.col("avg_index"))).otherwise(0.0) + R.bm25_part(F.col("least_dl"), F.col("avg_all"))
+        summed = top.groupBy("query_id", "rng").agg(F.sum(sure).alias("bound"), F.sum("qtf").alias("m"), F.max("need").alias("need"), F.count(F.lit(1)).alias("n_blocks"))
+        return summed.filter("m >= need").select("query_id", "rng", "bound", "n_blocks")
+
+    def _scored(self, some: DataFrame, blocks: DataFrame, digits: int | None) -> DataFrame:
+        """Exact scores of the chunks in the query's ranges some(query_id, rng)."""
+        own = blocks.join(some.select("query_id", "rng"), ["query_id", "rng"]).drop("user_id", "best_tf", "least_dl", "least_dl_index")
+        rows = own.join(self.blocks.read(self._where(own)).select("term", "rng", "rows"), ["term", "rng"]).withColumn("p", F.explode("rows")).select("*", "p.*").drop("rows", "p")
+        return R.bm25_sums(rows.join(self.stale.read().select("chunk_id", "rng"), ["chunk_id", "rng"], "left_anti"), digits=digits)
+
+    def ranges(self, queries: DataFrame, k: int, tenant: bool, digits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(the first ranges' scores, the other ranges that can reach the k best, the queries' blocks)."""
+        blocks = kept(self.asked_blocks(queries, tenant), "heads")
+        bounds = self.score_bounds(blocks)
+        first = R.top_k(bounds, SEEDS, "query_id", [F.desc("bound"), F.asc("rng")])
+        seen = kept(self._scored(first, blocks, digits), "seen")
+        kth = R.top_k(seen, k, "query_id", [F.desc("score"), F.asc("chunk_id")]).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        least = F.when(F.col("n") >= k, F.col("least")).otherwise(0.0)
+        slack = 1e-6 if digits is None else 10.0**-digits  # sums in another order, and rounding
+        rest = bounds.join(first.select("query_id", "rng"), ["query_id", "rng"], "left_anti").join(kth, "query_id", "left").filter(F.col("bound") + slack >= F.coalesce(least, F.lit(0.0)))
+        return seen, rest, blocks
 
     def search(self, queries: DataFrame, k: int = R.CANDIDATES, tenant: bool = True, digits: int | None = None) -> DataFrame:
-        return R.bm25(queries, self.postings(R.asked_terms(queries)), k, tenant=tenant, digits=digits)
-
-    def delete_documents(self, gone: DataFrame) -> None:
-        self.replace(self.read().join(gone.select(F.col("document_id").cast("string")), "document_id", "left_anti"))
+        """query_id, chunk_id, score: the same as ``retrieval.bm25`` over all live postings."""
+        seen, rest, blocks = self.ranges(queries, k, tenant, digits)
+        return R.top_k(seen.unionByName(self._scored(rest, blocks, digits)), k, "query_id", [F.desc("score"), F.asc("chunk_id")])
+
+    def blocks_read(self, queries: DataFrame, k: int = R.CANDIDATES, tenant: bool = True) -> tuple[int, int]:
+        """How many blocks a search reads, and how many its queries' terms have."""
+        _, rest, blocks = self.ranges(queries, k, tenant, None)
+        bounds = self.score_bounds(blocks)
+        first = R.top_k(bounds, SEEDS, "query_id", [F.desc("bound"), F.asc("rng")])
+        count = lambda df: df.agg(F.sum("n_blocks").alias("n")).first().n or 0
+        return count(first) + count(rest), blocks.count()
+
+    def expire(self, versions: int = 1, seconds: float = 0.0) -> None:
+        for table in (self.blocks, self.chunks, self.terms, self.stale):
+            table.expire(versions, seconds)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.sinks.logtable import LogTable
+
 
 #: Windows' lengths that one time range of ``rate_limit`` spans.
 SPANS = 16
@@ -265,24 +265,12 @@ def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
 
 
 class UpsertSink:
-    """``apply`` for ``ingest``: each batch makes a new version of a table; a batch that comes again is left out."""
-
-    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
+    """``apply`` for ``ingest``: each batch is a run of a keyed table, so it writes in proportion to itself; a batch that
+    comes again is left out."""
 
-    def current(self) -> tuple[int, DataFrame | None]:
-        """(last batch id, its table)."""
-        try:
-            last = self.spark.read.json(f"{self.path}/done").agg(F.max(F.struct("batch", "name")).alias("m")).first().m
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return -1, None
-        return last.batch, self.spark.read.parquet(f"{self.path}/{last.name}")
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], by: str):
+        self.table = LogTable(spark, path, schema, key, by)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        last, table = self.current()
-        if batch > last:
-            name = f"v{batch}-{uuid.uuid4().hex}"
-            self.merge(table, rows).write.parquet(f"{self.path}/{name}")
-            self.spark.createDataFrame([(batch, name)], "batch long, name string").coalesce(1).write.mode("append").json(f"{self.path}/done")
+        """Of a key's rows in one batch any one counts; send unique keys."""
+        self.table.upsert(rows.dropDuplicates(self.table.key), batch)

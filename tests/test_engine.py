@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ragloom.operators import agent, clients, metrics
 from ragloom.operators import retrieval as R
+from ragloom.session import kept
 from ragloom.sinks.stores import TextTable, VectorTable
 from ragloom.streaming import operators as S
 
@@ -81,7 +82,6 @@ def test_search_decomposes(spark):
 def test_stores(spark, tmp_path):
     chunks = chunk_table(spark)
     text = TextTable(spark, f"file://{tmp_path}/text")
-    text.create()
     text.insert(chunks.filter("chunk_id <> 'c3'"))
     text.backfill(chunks)
     asked = spark.createDataFrame([(1, "u", "spark flink"), (2, "v", "spark")], "query_id int, user_id string, text string")
@@ -92,6 +92,12 @@ def test_stores(spark, tmp_path):
     assert (1, "c2") not in hits() and text.postings().filter("term = ''").count() == 4
     text.delete_documents(spark.createDataFrame([("d2",)], "document_id string"))
     assert text.postings().filter("term = ''").count() == 3
+    left = {c: t for c, d, _, t in CHUNKS if d != "d2"} | {"c2": "replaced by words"}
+    now = chunks.filter("document_id <> 'd2'").drop("content").join(spark.createDataFrame(list(left.items()), "chunk_id string, content string"), "chunk_id")
+    want = {(r.query_id, r.chunk_id): round(r.score, 9) for r in R.bm25(asked, R.postings(now)).collect()}
+    assert hits() == want
+    text.rewrite()
+    assert hits() == want and text.stale.read().count() == 0
     vectors = VectorTable(spark, f"file://{tmp_path}/vectors")
     rows = clients.embed(chunks, {}, 4, column="content").withColumn("snippet", F.repeat(F.col("content"), 30))
     vectors.insert(rows)
@@ -104,6 +110,26 @@ def test_stores(spark, tmp_path):
     assert vectors.vector_of_hash(spark.createDataFrame([("hc3",), ("none",)], "content_hash string")).count() == 1
 
 
+def test_block_max_postings(spark, tmp_path):
+    """Same rows as the plain search, with and without tenants, from few of the blocks."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(f"c{i}", f"d{i // 3}", f"u{i % 2}", " ".join(rng.choices(vocab, weights, k=rng.randint(5, 120)) + (["rare"] * 5 if i % 97 == 0 else []))) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, user_id string, content string")
+    index = TextTable(spark, f"file://{tmp_path}/text", range_chunks=32)
+    index.insert(chunks.filter("chunk_id < 'c5'"))
+    index.insert(chunks.filter("chunk_id >= 'c4'"))
+    asked = spark.createDataFrame([(1, "u0", "rare"), (2, "u1", "w0 w5 rare w17 w40"), (3, "u1", "nowhere"), (4, "u0", " ".join(vocab[:30]))], "query_id int, user_id string, text string")
+    hits = lambda found: {(r.query_id, r.chunk_id, r.score) for r in found.collect()}
+    plain = kept(R.postings(chunks), "plain")
+    for tenant in (True, False):
+        assert hits(index.search(asked, 10, tenant, digits=9)) == hits(R.bm25(asked, plain, 10, tenant=tenant, digits=9))
+    read, all_ = index.blocks_read(asked.filter("query_id = 1"), 3, tenant=False)
+    assert 0 < read < all_
+    assert index.postings().count() == plain.count()
+
+
 def test_last_result(spark, tmp_path):
     kept = metrics.LastResult(spark, f"file://{tmp_path}/eval")
     assert kept.load() is None
@@ -163,12 +189,13 @@ def test_streams(spark, tmp_path):
     changes = run(S.status_changes_stream(read(), "user_id", "status", "event_id"), "changes")
     assert sorted((r.user_id, r.status) for r in changes) == sorted((u, s) for u in range(3) for s in ("pending", "parsing", "ready"))
     assert len(run(S.processing_lock_stream(read(), "user_id", 300), "locks")) >= 3
-    sink = S.UpsertSink(spark, f"file://{tmp_path}/table", lambda old, new: new if old is None else old.unionByName(new))
+    sink = S.UpsertSink(spark, f"file://{tmp_path}/table", "event_id long, user_id long, ts timestamp, status string", ["event_id"], "user_id")
     S.ingest(read(), sink, f"{tmp_path}/ingest").awaitTermination()
-    last, table = sink.current()
-    assert table.count() == 60
-    sink(events, last)  # the same batch once more
-    assert sink.current()[1].count() == 60
+    assert sink.table.read().count() == 60
+    sink(events.withColumn("status", F.lit("again")), 0)  # the same batch once more
+    assert sink.table.read().filter("status = 'again'").count() == 0
+    sink(events.filter("event_id < 3").withColumn("status", F.lit("new")), 1)
+    assert sink.table.read().count() == 60 and sink.table.read().filter("status = 'new'").count() == 3
     lock = S.JobLock(spark, f"file://{tmp_path}/lock")
     assert lock.acquire() and not lock.acquire()
     lock.release()
