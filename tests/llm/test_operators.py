@@ -187,17 +187,22 @@ def test_packer_limits():
 def plain_packing(items, length, segments, loss):
     """Dot products over every open example, one placement at a time. items: (key, tokens, prompt), all kinds different."""
     caps = np.array([length, segments, loss], float)
-    open_ = [[k, 0, n, p] for k, n, p in items]
+    open_ = [[k, start, size, p] for k, n, p in items for start, size in packing.pieces(n, p, length, loss)]
     bear = lambda x: max(0, x[1] + x[2] - max(x[1], x[3]))
     demand = np.array([sum(x[2] for x in open_), len(open_), sum(map(bear, open_))]) / caps
     weight = demand / demand.sum() / caps**2
     out = []
     while open_:
         bins, room = [], [length, segments, loss]
+        due = loss - min(loss, -(-length * sum(map(bear, open_)) // sum(x[2] for x in open_)))
         while room[0] and room[1] and open_:
             fits = [x for x in open_ if x[2] <= room[0] and bear(x) <= room[2]]
-            if fits:
-                x = max(fits, key=lambda x: weight[0] * room[0] * x[2] + weight[1] * room[1] + weight[2] * room[2] * bear(x))
+            x = max(fits, key=lambda x: weight[0] * room[0] * x[2] + weight[1] * room[1] + weight[2] * room[2] * bear(x)) if fits else None
+            only = [x for x in open_ if bear(x) == x[2]]
+            if x and not bear(x) and room[2] > due and only:
+                x = max(only, key=lambda x: min(x[2], room[0], room[2] - due))
+                take = min(x[2], room[0], room[2] - due)
+            elif x:
                 take = x[2]
             else:
                 x = max(open_, key=lambda x: min(x[2], room[0], x[2] - bear(x) + room[2]))
@@ -219,7 +224,7 @@ def test_packer_choices():
     same = 0
     for seed in range(20):
         rng = random.Random(seed)
-        items = [(i, n, rng.randint(0, n)) for i, n in enumerate(rng.sample(range(5, 400), 60))]
+        items = [(i, n, rng.randint(0, n)) for i, n in enumerate(rng.sample(range(5, 256), 60))]
         p = packing.Packer(length=256, segments=8, loss=180)
         for key, n, prompt in items:
             p.add(key, n, prompt)
@@ -231,6 +236,39 @@ def test_packer_choices():
     assert same >= 15
 
 
+@pytest.mark.parametrize(("sizes", "most"), [([200_000], 52), ([50_000] * 20, 250), ([3] * 100_000, 80), ([5000] * 300, 378), ([4097, 3, 9000], 8)])
+def test_packer_fills(sizes, most):
+    """Little is left over: long examples spread their prompts, tiny ones have one."""
+    p = packing.Packer(loss=packing.LOSS)
+    for i, n in enumerate(sizes):
+        p.add(i, n, -(-n // 4))
+        if p.tokens >= packing.POOL:
+            p.pack(False)
+    p.pack(True)
+    assert sum(x[2] for s in p.done for x in s) == sum(sizes) and len(p.done) <= most
+    at = {}
+    for key, start, n in sorted(x for s in p.done for x in s):
+        assert start == at.get(key, 0)
+        at[key] = start + n
+
+
+def test_packer_waits_for_prompts():
+    """What a limit keeps from filling a sequence waits for examples that can fill it, and not for ever."""
+    p = packing.Packer(length=64, segments=64, loss=40, held=2000)
+    for i in range(20):
+        p.add(i, 50, 0)  # nothing but loss
+    p.pack(False)
+    assert not p.done and p.tokens == 1000
+    for i in range(20, 50):
+        p.add(i, 40, 40)
+    p.pack(False)
+    assert p.done and all(sum(x[2] for x in s) == 64 for s in p.done)
+    for i in range(50, 120):
+        p.add(i, 50, 0)
+    p.pack(False)
+    assert p.tokens < 2000
+
+
 @pytest.mark.parametrize("size", [1, 3, 9])
 def test_packer_tiny_examples(size):
     p = packing.Packer(loss=packing.LOSS)
