@@ -35,10 +35,10 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-WEAK_ID = re.compile(rb"""(?<![A-Za-z0-9])(?:client|account|access|user|tenant|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""", re.I)
+WEAK_ID = re.compile(rb"""(?<![A-Za-z0-9])(?:client|account|access|user|tenant|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I)
 WEAK_ID_NAMES = tuple(a + b + c for a in (b"client", b"account", b"access", b"user", b"tenant", b"key") for b in (b"", b"_", b"-") for c in (b"id", b"name"))
 WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(rb"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x00-\x20"'<>]+""")
+ENDPOINT = re.compile(rb"""(?<![A-Za-z0-9+.-])[0-9+.-]*([A-Za-z][A-Za-z0-9+.-]+://[^\x00-\x20"'<>]+)""")
 #: Code points to either side of a weak token in which its complement must lie.
 REACH = 300
 _HEXES = np.zeros(256, bool)
@@ -80,18 +80,18 @@ def _linked(raw: bytes, base: list[tuple[int, int, int]], reach: int) -> list[tu
     if not ids:
         return []
     ids.sort(key=lambda x: x[:2])
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(raw)]
+    ends = [m.span(1) for m in ENDPOINT.finditer(raw)]
     id_at, end_at = [x[0] for x in ids], [x[0] for x in ends]
     id_to, end_to = (list(accumulate((x[1] for x in xs), max)) for xs in (ids, ends))
     leads = None if raw.isascii() else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     taken = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, _ in ids] + ends)
-    taken_at = [s for s, _ in taken]
-    longest = max((e - s for s, e in taken), default=0)
+    taken_at, taken_to = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     gaps = [m.start() for m in re.finditer(rb"\n[\x20\t\r]*\n", raw)]
     out: set[tuple[int, int, int]] = set()
     for m in WEAK_SECRET.finditer(raw):
         s, e = m.span()
-        if any(taken[i][1] > s for i in range(bisect_left(taken_at, s - longest), bisect_left(taken_at, e))) or not _mixed(m[0]):
+        before = bisect_left(taken_at, e)
+        if before and taken_to[before - 1] > s or not _mixed(m[0]):
             continue
         g = bisect_right(gaps, s)
         lo, hi = _scope(leads, s, e, reach)

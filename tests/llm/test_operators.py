@@ -787,3 +787,20 @@ def test_pipeline(spark, tmp_path):
     ids = [r.doc_id for r in docs.collect()]
     assert len(ids) == len(set(ids)) < 200
     assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, sf).collect()} == set(ids)
+
+
+def test_secrets_without_caps():
+    """Long identifiers and schemes are whole; many tokens behind one long value take time in proportion."""
+    name, scheme = "x" * 400, "a" + "b1+." * 20
+    weak = "Ab1/" * 5
+    text = f"user_id={name} {weak} {scheme}://host/path 9{scheme}://other"
+    found = secrets.scan_text(text.encode())
+    at = {k: [text[s:e] for kind, s, e in found if kind == k] for k in secrets.KINDS}
+    assert at["weak_id"][0].endswith(name) and at["endpoint"] == [f"{scheme}://host/path", f"{scheme}://other"] and at["weak_secret"] == [weak]
+    took = []
+    for n in (2000, 8000):
+        raw = (f"user_id={'y' * 100_000} " + "\n\n".join(f"token: abcdefgh{i} Ab1/{i:012d}Zz+" for i in range(n))).encode()
+        began = time.process_time()
+        secrets.scan_text(raw)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
