@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,41 +43,47 @@ def evaluate_hits(samples: DataFrame, hits: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("rank0") < 10, 1.0 / F.log2(F.col("rank0") + 2.0))).alias("gain"),
     )
     both = samples.join(good, "query_id", "left")
-    share = lambda c: F.when(F.col("n_relevant") > 0, F.coalesce(c, F.lit(0)) / F.col("n_relevant")).otherwise(F.lit(0.0))
+    share = lambda c: recall(c, F.col("n_relevant"))
     most = F.least(F.col("n_relevant"), F.lit(10)).cast("int")
     ideal = F.aggregate(F.sequence(F.lit(1), most), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     ndcg = F.when(most > 0, F.coalesce("gain", F.lit(0.0)) / ideal).otherwise(F.lit(0.0))
     return both.select("query_id", share(F.col("h5")).alias("recall_5"), share(F.col("h10")).alias("recall_10"), F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0)).alias("mrr"), ndcg.alias("ndcg_10"))
 
 
-def sweep(lists: DataFrame, samples: DataFrame, ks: tuple[int, ...] = (10, 30, 60, 100), vector_weights: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+def sweep(lists: DataFrame, samples: DataFrame, judge: Callable[[DataFrame], DataFrame], ks: tuple[int, ...] = (10, 30, 60, 100), vector_weights: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
     """k, vector_weight, recall_at_5, recall_at_10 for every pair of parameters, in one job.
 
-    lists(query_id, chunk_id, engine, rank0, norm) as ``retrieval.contributions`` makes them; samples(query_id, relevant).
+    lists(query_id, chunk_id, engine, rank0, norm) as ``retrieval.contributions`` makes them; samples(query_id,
+    n_relevant); ``judge`` adds ``hit`` to rows(query_id, chunk_id): is the chunk relevant? Only the best ten are judged.
     """
     grid = F.broadcast(lists.sparkSession.createDataFrame([(k, w) for k in ks for w in vector_weights], "k int, vector_weight double"))
     weight = F.when(F.col("engine") == "v", F.col("vector_weight")).otherwise(1 - F.col("vector_weight"))
     place = lambda e: F.min(F.when(F.col("engine") == e, F.col("rank0")))
     fused = lists.join(grid).groupBy("k", "vector_weight", "query_id", "chunk_id").agg(F.sum(weight * F.col("norm") / (F.col("k") + F.col("rank0") + 1)).alias("score"), place("v").alias("v"), place("t").alias("t"))
     order = Window.partitionBy("k", "vector_weight", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("v"), F.asc_nulls_last("t"), F.asc("chunk_id"))
-    top = fused.withColumn("rank0", F.row_number().over(order) - 1).filter("rank0 < 10")
-    got = top.groupBy("k", "vector_weight", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank0", "chunk_id"))), lambda x: x["chunk_id"]).alias("got"))
-    each = samples.join(grid).join(got, ["k", "vector_weight", "query_id"], "left").withColumn("got", F.coalesce("got", F.array().cast(dict(samples.dtypes)["relevant"])))
-    mean = lambda k: F.avg(recall_at(F.col("got"), F.col("relevant"), k)).alias(f"recall_at_{k}")
+    top = judge(fused.withColumn("rank0", F.row_number().over(order) - 1).filter("rank0 < 10"))
+    got = top.groupBy("k", "vector_weight", "query_id").agg(F.count_if(F.col("hit") & (F.col("rank0") < 5)).alias("h5"), F.count_if("hit").alias("h10"))
+    each = samples.join(grid).join(got, ["k", "vector_weight", "query_id"], "left")
+    mean = lambda k: F.avg(recall(F.col(f"h{k}"), F.col("n_relevant"))).alias(f"recall_at_{k}")
     return each.groupBy("k", "vector_weight").agg(mean(5), mean(10))
 
 
-def compare_engines(samples: DataFrame, first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
+def recall(hits: Column, relevant: Column) -> Column:
+    """Hits out of relevant ones; 0 where there is none."""
+    return F.when(relevant > 0, F.coalesce(hits, F.lit(0)) / relevant).otherwise(F.lit(0.0))
+
+
+def compare_engines(samples: DataFrame, judge: Callable[[DataFrame], DataFrame], first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
     """primary_recall, fallback_recall and degradation (a percentage, N/A without primary recall): mean recall at k.
 
-    samples(query_id, relevant); hits (query_id, chunk_id, score) of both engines.
+    samples(query_id, n_relevant); hits (query_id, chunk_id, score) of both engines; ``judge`` as in ``sweep``.
     """
     rows = samples
     for name, hits in (("a", first), ("b", second)):
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-        top = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).groupBy("query_id").agg(F.collect_list("chunk_id").alias(name))
-        rows = rows.join(top, "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(samples.dtypes)["relevant"])))
-    means = rows.agg(*(F.coalesce(F.avg(recall_at(F.col(c), F.col("relevant"), k)), F.lit(0.0)).alias(c) for c in ("a", "b")))
+        top = judge(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)).groupBy("query_id").agg(F.count_if("hit").alias(name))
+        rows = rows.join(top, "query_id", "left")
+    means = rows.agg(*(F.coalesce(F.avg(recall(F.col(c), F.col("n_relevant"))), F.lit(0.0)).alias(c) for c in ("a", "b")))
     lost = F.format_string("%.1f%%", F.round((1 - F.col("b") / F.col("a")) * 100, 6))
     return means.select(F.round("a", 6).alias("primary_recall"), F.round("b", 6).alias("fallback_recall"), F.when(F.col("a") > 0, lost).otherwise("N/A").alias("degradation"))
 

@@ -88,6 +88,12 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.repartition("chunk_id").groupBy("chunk_id", "user_id", "dl", "dl_index", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def placed_postings(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """``postings`` with ``places``, where each word of two or more characters stands among those of its chunk."""
+    at = chunks.select("chunk_id", F.posexplode(index_terms(F.col(text))).alias("pos", "term")).repartition("chunk_id").groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    return postings(chunks, text).join(at, ["chunk_id", "term"], "left")
+
+
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """chunk_id, user_id, term, tf, dl (words of the chunk), dl_index (those of two or more characters); a row with an
     empty term for every chunk. Rows lie partitioned by chunk, as scoring wants them."""
@@ -144,44 +150,53 @@ def bm25_sums(hits: DataFrame, least: float | None = 1.0, digits: int | None = N
     return scored if least is None else scored.filter(F.col("score") >= least)
 
 
-def cover_density(positions: Column, terms: Column, n_terms: Column) -> Column:
+def cover_density(at: Column, need: Column) -> Column:
     """Sum over the minimal covers of 0.1 / (1 + positions in the cover that hold no query term).
 
-    ``positions`` (ascending) are the places of query terms in a chunk, ``terms`` which of the query's terms each is.
+    ``at`` (ascending structs of pos and name) are the places of query terms in a chunk and which of the query's terms
+    each is, from 0; a fold keeps each term's last place: a cover ends where the earliest of these moves on.
     """
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("before"), F.lit(0).alias("i"), F.array_repeat(F.lit(-1), need).alias("last"))
 
-    @F.pandas_udf("double")
-    def rank(pos: pd.Series, term: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for p, t, need in zip(pos, term, n, strict=True):
-            last: dict[int, int] = {}
-            total, before = 0.0, -1
-            for end, name in enumerate(t):
-                last[name] = end
-                if len(last) == need and (begin := min(last.values())) > before:
-                    total += 0.1 / (1 + (p[end] - p[begin]) - (end - begin))
-                    before = begin
-            out.append(total)
-        return pd.Series(out, dtype=float)
+    def step(a: Column, x: Column) -> Column:
+        moved = F.transform(a["last"], lambda v, j: F.when(j == x["name"], a["i"]).otherwise(v))
 
-    return rank(positions, terms, n_terms)
+        def cover(last: Column) -> Column:
+            begin = F.array_min(last)
+            new = begin > a["before"]
+            gain = 0.1 / (1 + (x["pos"] - F.get(at, begin)["pos"]) - (a["i"] - begin))
+            return F.struct((a["total"] + F.when(new, gain).otherwise(0.0)).alias("total"), F.when(new, begin).otherwise(a["before"]).alias("before"), (a["i"] + 1).alias("i"), last.alias("last"))
 
+        return F.transform(F.array(moved), cover)[0]  # the moved places are made once
 
-def cover_rank(queries: DataFrame, chunks: DataFrame, k: int | None = CANDIDATES, digits: int | None = None) -> DataFrame:
-    """Fallback text search: every word of the query must occur in the chunk's index words; rank by cover density.
+    return F.aggregate(at, start, step, lambda a: a["total"])
 
-    Only the places of asked words leave the scan; a chunk's meet in one row. queries(query_id, user_id, text).
-    """
-    words = queries.select("query_id", "user_id", F.array_distinct(query_terms(F.col("text"))).alias("w"))
-    asked = words.select("query_id", "user_id", F.size("w").alias("need"), F.posexplode("w").alias("name", "term"))
-    placed = chunks.select("chunk_id", "user_id", F.posexplode(index_terms(F.col("content"))).alias("pos", "term"))
-    met = placed.join(asked, ["term", "user_id"]).groupBy("query_id", "chunk_id", "need").agg(F.countDistinct("name").alias("met"), F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("at"))
-    full = met.filter("met = need").select("query_id", "chunk_id", cover_density(F.col("at.pos"), F.col("at.name"), F.col("need")).alias("score"))
+
+def asked_places(queries: DataFrame, tenant: bool) -> DataFrame:
+    """query_id[, user_id], need, name, term: the distinct words of each query, numbered."""
+    own = ["user_id"] * tenant
+    words = queries.select("query_id", *own, F.array_distinct(query_terms(F.col("text"))).alias("w"))
+    return words.select("query_id", *own, F.size("w").alias("need"), F.posexplode("w").alias("name", "term"))
+
+
+def covered(met: DataFrame, k: int | None, digits: int | None) -> DataFrame:
+    """query_id, chunk_id, score of met(query_id, chunk_id, need, name, pos): chunks with all of a query's words."""
+    rows = met.groupBy("query_id", "chunk_id", "need").agg(F.countDistinct("name").alias("met"), F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("at"))
+    full = rows.filter("met = need").select("query_id", "chunk_id", cover_density(F.col("at"), F.col("need")).alias("score"))
     if digits is not None:
         full = full.withColumn("score", F.round("score", digits))
     return full if k is None else top_k(full, k, "query_id", [F.desc("score"), F.asc("chunk_id")])
 
 
+def cover_rank(queries: DataFrame, chunks: DataFrame, k: int | None = CANDIDATES, digits: int | None = None, tenant: bool = True) -> DataFrame:
+    """Fallback text search: every word of the query must occur in the chunk's index words; rank by cover density.
+
+    Only the places of asked words leave the scan; a chunk's meet in one row. queries(query_id[, user_id], text).
+    """
+    placed = chunks.select("chunk_id", *["user_id"] * tenant, F.posexplode(index_terms(F.col("content"))).alias("pos", "term"))
+    return covered(placed.join(asked_places(queries, tenant), ["term", *["user_id"] * tenant]), k, digits)
+
+
 def ranked(hits: DataFrame, tie: str = "chunk_id") -> DataFrame:
     """Adds rank0, the place in each query's list from 0."""
     return hits.withColumn("rank0", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))) - 1)

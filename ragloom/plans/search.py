@@ -182,11 +182,10 @@ SHORT = "(SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 =
 
 @query(f"WITH {cover_sql(SHORT, False)} SELECT query_id, chunk_id, round(score, 6) AS score FROM cv")
 def ret5_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text whole and, as a second query, its first three words; every tenant asks."""
+    """Each text whole and, as a second query, its first three words, over all tenants."""
     whole = hundredth_texts(spark, sf)
     short = whole.select((-1 - F.col("query_id")).alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
-    tenants = table(spark, sf, "documents").select(F.col("source").alias("user_id")).distinct()
-    return R.cover_rank(whole.unionByName(short).join(F.broadcast(tenants)), whole_documents(spark, sf), digits=9).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return R.cover_rank(whole.unionByName(short), whole_documents(spark, sf), digits=9, tenant=False).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 PLACED = """hv AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS r, max(score) OVER (PARTITION BY query_id) AS m FROM {v}),
@@ -282,20 +281,30 @@ mt AS (SELECT query_id, count(*) FILTER (rel AND rank0 < 5) / any_value(n) AS re
  coalesce(sum(1 / log2(rank0 + 2)) FILTER (rel AND rank0 < 10), 0) / (SELECT sum(1 / log2(i + 2)) FROM range(10) t(i) WHERE i < any_value(n)) AS ndcg_10 FROM rl JOIN nr USING (query_id) GROUP BY 1)"""
 
 
-def relevant_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, relevant: the other vectors of the query's label. One list per label, whatever the number of queries."""
-    e = table(spark, sf, "embeddings")
-    lists = e.groupBy("label").agg(F.collect_list("vec_id").alias("ids"))
-    return hundredth_vectors(spark, sf).select("query_id", "label").join(lists, "label").select("query_id", F.filter("ids", lambda x: x != F.col("query_id")).alias("relevant"))
+def relevant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, n_relevant: how many other vectors have the query's label."""
+    counts = table(spark, sf, "embeddings").groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    return hundredth_vectors(spark, sf).select("query_id", "label").join(counts, "label").select("query_id", "n_relevant")
+
+
+def label_judge(spark: SparkSession, sf: str):
+    """Whether a chunk's vector has the label of the query's, and is another one; a query -1 - n is judged as n."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("_got"))
+    q = hundredth_vectors(spark, sf).select(F.col("query_id").alias("_of"), F.col("label").alias("_wanted"))
+
+    def judge(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("_of", F.when(F.col("query_id") < 0, -1 - F.col("query_id")).otherwise(F.col("query_id")))
+        both = named.join(e, "chunk_id", "left").join(q, "_of", "left")
+        return both.withColumn("hit", F.coalesce((F.col("_got") == F.col("_wanted")) & (F.col("chunk_id") != F.col("_of")), F.lit(False))).drop("_of", "_got", "_wanted")
+
+    return judge
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     q, e = hundredth_vectors(spark, sf), table(spark, sf, "embeddings")
     hits = R.vector_search(q, e).filter("vec_id <> query_id").withColumn("score", F.round("score", 12))
     rank = R.ranked(hits, "vec_id").join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", F.col("label").alias("wanted")), "query_id")
-    counts = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
-    samples = q.select("query_id", "label").join(counts, "label").select("query_id", "n_relevant")
-    return metrics.evaluate_hits(samples, rank.select("query_id", "rank0", (F.col("label") == F.col("wanted")).alias("hit")))
+    return metrics.evaluate_hits(relevant_counts(spark, sf), rank.select("query_id", "rank0", (F.col("label") == F.col("wanted")).alias("hit")))
 
 
 @query(f"WITH {EVAL} SELECT query_id, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr, round(ndcg_10, 6) AS ndcg_10 FROM mt")
@@ -320,7 +329,7 @@ c AS (SELECT p.k, p.vw, p.query_id, count(*) FILTER (rank0 < 5) AS h5, count(*)
 SELECT g.k::INT AS k, g.vw AS vector_weight, round(avg(coalesce(h5, 0) / n), 6) AS recall_at_5, round(avg(coalesce(h10, 0) / n), 6) AS recall_at_10 FROM rn, g LEFT JOIN c ON c.k = g.k AND c.vw = g.vw AND c.query_id = rn.query_id GROUP BY 1, 2""")
 def eva5_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Twelve parameter pairs in one job: fused scores for all, then metrics per pair."""
-    return metrics.sweep(R.contributions(vector_hits(spark, sf), text_hits(spark, sf)), relevant_ids(spark, sf)).withColumns({c: F.round(c, 6) for c in ("recall_at_5", "recall_at_10")})
+    return metrics.sweep(R.contributions(vector_hits(spark, sf), text_hits(spark, sf)), relevant_counts(spark, sf), label_judge(spark, sf)).withColumns({c: F.round(c, 6) for c in ("recall_at_5", "recall_at_10")})
 
 
 @query(f"""WITH {LABELLED}, {bm_sql(SHORT, False)}, {cover_sql(SHORT, False)}, sm AS (SELECT query_id AS id, query_id, n FROM rn UNION ALL SELECT -1 - query_id, query_id, n FROM rn),
@@ -332,13 +341,12 @@ def eva6_engines(spark: SparkSession, sf: str) -> DataFrame:
     whole = hundredth_texts(spark, sf)
     short = whole.select((-1 - F.col("query_id")).alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
     asked = whole.unionByName(short)
-    tenants = table(spark, sf, "documents").select(F.col("source").alias("user_id")).distinct()
     docs = whole_documents(spark, sf)
-    rel = relevant_ids(spark, sf)
+    rel = relevant_counts(spark, sf)
     samples = rel.unionByName(rel.withColumn("query_id", -1 - F.col("query_id")))
     first = R.bm25(asked, R.matching_postings(docs, R.asked_terms(asked)), 10, tenant=False, digits=9)
-    second = R.cover_rank(asked.join(F.broadcast(tenants)), docs, 10, digits=9)
-    return metrics.compare_engines(samples, first, second)
+    second = R.cover_rank(asked, docs, 10, digits=9, tenant=False)
+    return metrics.compare_engines(samples, label_judge(spark, sf), first, second)
 
 
 #: Queries made of every turn of every conversation, so that each rule meets many texts.

@@ -24,7 +24,7 @@ RANGE_CHUNKS = 128
 #: Ranges of each query that are scored before the others are judged.
 SEEDS = 4
 VECTOR = "chunk_id string, document_id string, content_hash string, embedding array<float>, snippet string, user_id string"
-BLOCK = "term string, rng long, user_id string, bucket int, best_tf long, least_dl int, least_dl_index int, rows array<struct<chunk_id:string,tf:long,dl:int,dl_index:int>>"
+BLOCK = "term string, rng long, user_id string, bucket int, best_tf long, least_dl int, least_dl_index int, rows array<struct<chunk_id:string,tf:long,dl:int,dl_index:int,places:array<int>>>"
 CHUNK = "chunk_id string, document_id string, user_id string, rng long, dl int, dl_index int, terms array<string>, bucket int"
 TERM = "term string, df long, bucket int"
 STALE = "chunk_id string, rng long, bucket int"
@@ -107,13 +107,13 @@ class TextTable:
         # a range is a share of one tenant's chunks
         shares = named.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / self.range_chunks).alias("shares"))
         owner = named.join(shares, "user_id").select("chunk_id", F.xxhash64("user_id", F.lit(self.total()["inserts"]), F.pmod(F.xxhash64("chunk_id"), F.col("shares"))).alias("rng"))
-        # postings(...) has a row with an empty term for every chunk: its lengths
-        rows = kept(R.postings(named).join(owner, "chunk_id"), "rows")
+        # placed_postings has a row with an empty term for every chunk: its lengths
+        rows = kept(R.placed_postings(named).join(owner, "chunk_id"), "rows")
         whole = rows.groupBy("chunk_id", "user_id", "rng", "dl", "dl_index").agg(F.collect_list(F.when(F.col("term") != "", F.col("term"))).alias("terms"))
         fresh = kept(whole.join(named.select("chunk_id", "document_id"), "chunk_id").withColumn("bucket", self._bucket("chunk_id")).select(*self.chunks.columns), "fresh")
         gone = self._forget(self.chunks.read().join(fresh.select("chunk_id"), "chunk_id", "left_semi")) if self.chunks.versions() else None
         blocks = rows.filter("term <> ''").groupBy("term", "rng", "user_id").agg(
-            F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index")).alias("rows")
+            F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index", "places")).alias("rows")
         )
         self.blocks.upsert(blocks.withColumn("bucket", self._bucket("term")))
         self.chunks.upsert(fresh, note=self._changed(fresh, gone))
@@ -133,7 +133,7 @@ class TextTable:
         stale = self.stale.read().drop("bucket")
         hit = self.blocks.read().join(stale.select("rng").distinct(), "rng", "left_semi")
         rows = hit.select("term", "rng", "user_id", "bucket", F.explode("rows").alias("p")).select("term", "rng", "user_id", "bucket", "p.*").join(stale, ["chunk_id", "rng"], "left_anti")
-        left = rows.groupBy("term", "rng", "user_id", "bucket").agg(F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index")).alias("rows"))
+        left = rows.groupBy("term", "rng", "user_id", "bucket").agg(F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index", "places")).alias("rows"))
         now = kept(left.select(*self.blocks.columns), "blocks")
         empty = hit.select("term", "rng").join(now.select("term", "rng"), ["term", "rng"], "left_anti")
         self.blocks.delete(empty)
@@ -192,6 +192,18 @@ class TextTable:
         seen, rest, blocks = self.ranges(queries, k, tenant, digits)
         return R.top_k(seen.unionByName(self._scored(rest, blocks, digits)), k, "query_id", [F.desc("score"), F.asc("chunk_id")])
 
+    def cover_search(self, queries: DataFrame, k: int = R.CANDIDATES, tenant: bool = True, digits: int | None = None) -> DataFrame:
+        """query_id, chunk_id, score: the same as ``retrieval.cover_rank``, from the stored places.
+
+        Only ranges that hold all of a query's words are read."""
+        asked = R.asked_places(queries, tenant)
+        own = ["user_id"] * tenant
+        heads = self.blocks.read(self._where(asked)).select("term", "rng", *own).join(asked, ["term", *own])
+        full = heads.groupBy("query_id", "rng", "need").agg(F.count(F.lit(1)).alias("met")).filter("met = need").select("query_id", "rng")
+        blocks = self.blocks.read(self._where(asked)).select("term", "rng", "rows").join(heads.select("query_id", "rng", "term", "need", "name"), ["term", "rng"]).join(full, ["query_id", "rng"])
+        rows = blocks.withColumn("p", F.explode("rows")).select("query_id", "rng", "need", "name", "p.chunk_id", F.explode("p.places").alias("pos"))
+        return R.covered(rows.join(self.stale.read().select("chunk_id", "rng"), ["chunk_id", "rng"], "left_anti"), k, digits)
+
     def blocks_read(self, queries: DataFrame, k: int = R.CANDIDATES, tenant: bool = True) -> tuple[int, int]:
         """How many blocks a search reads, and how many its queries' terms have."""
         _, rest, blocks = self.ranges(queries, k, tenant, None)

@@ -125,11 +125,33 @@ def test_block_max_postings(spark, tmp_path):
     plain = kept(R.postings(chunks), "plain")
     for tenant in (True, False):
         assert hits(index.search(asked, 10, tenant, digits=9)) == hits(R.bm25(asked, plain, 10, tenant=tenant, digits=9))
+    pairs = spark.createDataFrame([(1, "u0", "w0 w1"), (2, "u1", "w5 rare w2"), (3, "u1", "w3 nowhere"), (4, "u0", "w7")], "query_id int, user_id string, text string")
+    for tenant in (True, False):
+        found = hits(R.cover_rank(pairs, chunks, 10, 9, tenant))
+        assert hits(index.cover_search(pairs, 10, tenant, 9)) == found and len(found) > 20
     read, all_ = index.blocks_read(asked.filter("query_id = 1"), 3, tenant=False)
     assert 0 < read < all_
     assert index.postings().count() == plain.count()
 
 
+def test_cover_density(spark):
+    """Against the plain definition: covers that hold no smaller one."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        need = rng.randint(1, 4)
+        pos = sorted(rng.sample(range(40), rng.randint(1, 14)))
+        rows.append((i, need, [(p, rng.randrange(need)) for p in pos]))
+    want = {}
+    for i, need, at in rows:
+        holds = lambda a, b: len({n for _, n in at[a : b + 1]}) == need  # noqa: B023, E731
+        covers = [(a, b) for a in range(len(at)) for b in range(a, len(at)) if holds(a, b)]
+        least = [(a, b) for a, b in covers if not any((c, d) != (a, b) and c >= a and d <= b for c, d in covers)]
+        want[i] = sum(0.1 / (1 + at[b][0] - at[a][0] - (b - a)) for a, b in least)
+    got = spark.createDataFrame(rows, "i int, need int, at array<struct<pos:int,name:int>>").select("i", R.cover_density(F.col("at"), F.col("need")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == pytest.approx(want)
+
+
 def test_last_result(spark, tmp_path):
     kept = metrics.LastResult(spark, f"file://{tmp_path}/eval")
     assert kept.load() is None
