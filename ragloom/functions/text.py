@@ -268,3 +268,29 @@ def least_matches(words: Column) -> Column:
     joined = 2 * words - 1
     percent = F.when(joined <= 2, 100).when(joined <= 4, 75).otherwise(60)
     return F.greatest(F.lit(1), F.floor(percent * words / 100)).cast("int")
+
+
+def last_section(sections: list[str], chunks: list[str]) -> list[int]:
+    """For each chunk the number (from 1) of the last section that it contains, 0 if there is none.
+
+    One automaton holds all sections, and each chunk is read once, so time is linear in a document's length.
+    """
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, s in enumerate(sections, 1):
+        machine.add_word(s, i)  # of equal sections the last counts
+    if not sections:
+        return [0] * len(chunks)
+    machine.make_automaton()
+    return [max((i for _, i in machine.iter(c)), default=0) for c in chunks]
+
+
+def last_contained(chunks: Column | str, sections: Column | str) -> Column:
+    """``last_section`` of every document; the chunks' and sections' arrays stand in its row."""
+
+    @F.pandas_udf("array<int>")
+    def found(sections: pd.Series, chunks: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or s is None else last_section(list(s), list(c)) for s, c in zip(sections, chunks, strict=True)])
+
+    return found(sections, chunks)

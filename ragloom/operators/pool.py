@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.session import kept
+
 from ragloom.functions.text import parent_link
 
 
@@ -171,20 +173,31 @@ def promote(documents: DataFrame, chunks: DataFrame, pool: DataFrame) -> DataFra
     return documents.join(ready, "document_id", "left").withColumn("processing_status", F.when(F.col("_ready"), "ready").otherwise(F.col("processing_status"))).drop("_ready")
 
 
-def pages(ids: DataFrame, key: str, size: int, ranges: int = 64) -> DataFrame:
-    """``ids`` with the page that each falls on, in order of the numeric ``key``: places inside ranges of ids, and the ranges' counts.
+#: Rows of a range in which places are counted.
+RANGE_ROWS = 1 << 20
+
+
+def placed(rows: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with ``place``, from 0 in order of the unique ``key``: a two-level scan over as many ranges as the rows need.
 
-    Only the ranges' borders reach the driver; however these fall, the places are exact.
+    Rows are dealt to ranges of the key, sorted and stored with their places there. Ranges' counts are summed in groups of
+    ranges and the groups' counts after, so no task sees more than a range's rows, or a group's ranges.
     """
-    cuts = sorted(set(ids.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    part = F.lit(0)
-    for n, cut in enumerate(cuts, 1):
-        part = F.when(F.col(key) >= cut, n).otherwise(part)
-    rows = ids.withColumn("_p", part)
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return rows.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("page", F.floor((F.col("_before") + F.col("_i")) / size).cast("int")).drop("_p", "_i", "_before")
+    ranges = max(1, -(-rows.count() // range_rows))
+    group = 1 << 10
+    dealt = rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    dealt = kept(dealt.withColumns({"_part": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"), "placed")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_grp", F.floor(F.col("_part") / group))
+    within = F.sum("_n").over(Window.partitionBy("_grp").orderBy("_part")) - F.col("_n")
+    totals = counts.groupBy("_grp").agg(F.sum("_n").alias("_all"))
+    before = totals.select("_grp", (F.sum("_all").over(Window.orderBy("_grp")) - F.col("_all")).alias("_before"))
+    starts = counts.withColumn("_within", within).join(before, "_grp").select("_part", (F.col("_within") + F.col("_before")).alias("_start"))
+    return dealt.join(starts, "_part").withColumn("place", F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
+
+
+def pages(ids: DataFrame, key: str, size: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``ids`` with the page that each falls on, in order of ``key``."""
+    return placed(ids, key, range_rows).withColumn("page", F.floor(F.col("place") / size).cast("int")).drop("place")
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:

@@ -45,28 +45,39 @@ def _in_blocks(queries: DataFrame, schema: str, search) -> DataFrame:
     return out.unionByName(search(block)) if block else out
 
 
+#: Tenants of a block of queries that are pushed to the scan as a list.
+FEW_TENANTS = 1000
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, tenant: bool = False) -> DataFrame:
     """query_id, vec_id, score: exact cosine top-k; queries(query_id, qvec[, user_id]), vectors(vec_id, embedding[, user_id]).
 
     A block of queries is one matrix that every task multiplies its batches with, keeping its own best k per query; only
-    those meet in the final ranking. With ``tenant`` a query sees vectors of its own user_id only.
+    those meet in the final ranking. With ``tenant`` a query sees vectors of its own user_id only: a block's tenants are
+    pushed to the scan (a table partitioned by tenant reads their folders alone), and a task multiplies each tenant's
+    vectors with that tenant's queries, so work is in proportion to pairs of one tenant. A null tenant sees nothing.
     """
     own = ["user_id"] * tenant
     schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
 
     def search(block: list) -> DataFrame:
         ids, mat = np.array([r.query_id for r in block]), _unit([r.qvec for r in block])
-        owner = np.array([r.user_id for r in block], object) if tenant else None
+        of: dict[object, list[int]] = {}
+        for i, r in enumerate(block if tenant else ()):
+            of.setdefault(r.user_id, []).append(i)
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    sims = mat @ _unit(pdf["embedding"].to_numpy()).T
-                    if owner is not None:
-                        sims = np.where(owner[:, None] == pdf["user_id"].to_numpy(object)[None, :], sims, -np.inf)
-                    yield _best(sims, pdf["vec_id"].to_numpy(), ids, k)
-
-        return vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", *own).mapInPandas(best, schema)
+                for name, rows in pdf.groupby("user_id") if tenant else [(None, pdf)]:
+                    q = of.get(name, []) if tenant else slice(None)
+                    if len(rows) and (not tenant or q):
+                        yield _best(mat[q] @ _unit(rows["embedding"].to_numpy()).T, rows["vec_id"].to_numpy(), ids[q], k)
+
+        some = vectors.filter(F.col("embedding").isNotNull())
+        if tenant:
+            names = [u for u in of if u is not None]
+            some = some.filter(F.col("user_id").isin(names) if len(names) <= FEW_TENANTS else F.col("user_id").isNotNull())
+        return some.select("vec_id", "embedding", *own).mapInPandas(best, schema)
 
     hits = _in_blocks(queries.select("query_id", "qvec", *own), schema, search)
     return top_k(hits, k, "query_id", [F.desc("score"), F.asc("vec_id")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.functions.text import last_contained
 from ragloom.operators import clients
 from ragloom.operators import pool as pools
 from ragloom.operators import retrieval as R
@@ -28,9 +29,9 @@ def one_or_none(found: DataFrame) -> DataFrame:
     return two.withColumn("_one", checked).filter("_one").drop("_one")
 
 
-@query(f"WITH {DOCS} SELECT doc_id, user_id FROM d WHERE doc_id = 7 AND user_id = 'src0' AND NOT is_deleted LIMIT 2")
+@query(f"WITH {DOCS} SELECT doc_id, user_id FROM d WHERE doc_id = 7 AND user_id = 'src7' AND NOT is_deleted LIMIT 2")
 def flt3_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    found = documents(spark, sf).filter("doc_id = 7 and user_id = 'src0' and not is_deleted").select("doc_id", "user_id")
+    found = documents(spark, sf).filter("doc_id = 7 and user_id = 'src7' and not is_deleted").select("doc_id", "user_id")
     return one_or_none(found)
 
 
@@ -182,9 +183,8 @@ def src10_upload_routes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, i, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda j: contains(chunk, s[j]))), 0)::INT AS page FROM c""")
 def join11_page_of_chunk(spark: SparkSession, sf: str) -> DataFrame:
     """For every chunk the last section that it contains gives its page; inside one row, so nothing is shuffled."""
-    rows = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("s"), F.posexplode(F.split("text", "\\. ")).alias("i", "chunk"))
-    pages = F.transform("s", lambda x, j: F.when(F.contains("chunk", x), j + 1))
-    return rows.select("doc_id", "i", F.coalesce(F.array_max(pages), F.lit(0)).cast("int").alias("page"))
+    rows = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("s"), F.split("text", "\\. ").alias("chunks"))
+    return rows.select("doc_id", F.posexplode(last_contained("chunks", "s")).alias("i", "page"))
 
 
 @query("SELECT d.doc_id, round(list_sum(list_transform(coalesce(e.embedding, list_transform(range(64), lambda i: 0::FLOAT)), lambda x: x::DOUBLE)), 5) AS total FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")

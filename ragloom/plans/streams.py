@@ -29,8 +29,9 @@ def str3_processing_lock(spark: SparkSession, sf: str) -> DataFrame:
     return S.processing_lock(table(spark, sf, "events"), "event_type")
 
 
-@query("""SELECT epoch(time_bucket(INTERVAL 5 MINUTE, ts))::BIGINT AS start_s, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(quantile_cont(value, 0.95), 6) AS p95,
-count(*) FILTER (event_type = 'error') > 0.05 * count(*) AS error_alert, quantile_cont(value, 0.95) > 40 AS slow_alert FROM events GROUP BY 1""")
+@query("""WITH m AS (SELECT date_trunc('minute', ts) AS m, quantile_disc(value, 0.95) AS p FROM events GROUP BY 1), s AS (SELECT time_bucket(INTERVAL 5 MINUTE, m) AS w, min(p) > 40 AS slow_alert FROM m GROUP BY 1)
+SELECT epoch(w)::BIGINT AS start_s, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(quantile_disc(value, 0.95), 6) AS p95, count(*) FILTER (event_type = 'error') > 0.05 * count(*) AS error_alert, any_value(slow_alert) AS slow_alert
+FROM events JOIN s ON w = time_bucket(INTERVAL 5 MINUTE, ts) GROUP BY w""")
 def str8_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return S.alerts(table(spark, sf, "events"), slow=40.0).withColumn("p95", F.round("p95", 6))
 

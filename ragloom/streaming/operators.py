@@ -209,14 +209,23 @@ def status_changes_stream(rows: DataFrame, key: str, status: str, order: str, en
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {status} {kind[status]}", f"last {kind[status]}, seen long", "append", "NoTimeout")
 
 
+#: Size of the quantile sketches: ranks are right to about 0.7 %, and exact up to this many values.
+SKETCH = 400
+
+
 def alerts(events: DataFrame, minutes: int = 5, share: float = 0.05, slow: float = 2.0, late: str | None = None) -> DataFrame:
-    """start_s, n, errors, p95, error_alert, slow_alert for windows of ``minutes``: too many errors, a slow 95th percentile.
+    """start_s, n, errors, p95, error_alert, slow_alert for windows of ``minutes``: too many errors, or a 95th percentile that
+    was too slow all the time, in each of the window's minutes that saw events.
 
-    events(ts, event_type, value); with ``late`` a watermark closes windows of a stream.
+    events(ts, event_type, value). Each minute keeps a quantile sketch of bounded size; longer windows merge the minutes'
+    sketches. With ``late`` a watermark closes windows of a stream.
     """
     events = events.withWatermark("ts", late) if late else events
-    w = events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile("value", F.lit(0.95)).alias("p95"))
-    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "n", "errors", "p95", (F.col("errors") > share * F.col("n")).alias("error_alert"), (F.col("p95") > slow).alias("slow_alert"))
+    high = lambda sketch: F.kll_sketch_get_quantile_double(sketch, F.lit(0.95))
+    minute = events.groupBy(F.window("ts", "1 minute").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("value").alias("seen"), F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(SKETCH)).alias("sketch"))
+    minute = minute.withColumn("p95", F.when(F.col("seen") > 0, high("sketch")))
+    w = minute.groupBy(F.window(F.window_time("m"), f"{minutes} minutes").alias("w")).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("seen").alias("seen"), F.min("p95").alias("least"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_s"), "n", "errors", F.when(F.col("seen") > 0, high("sketch")).alias("p95"), (F.col("errors") > share * F.col("n")).alias("error_alert"), (F.col("least") > slow).alias("slow_alert"))
 
 
 def hourly_alerts(events: DataFrame, kinds: dict[str, int], late: str | None = None) -> DataFrame:

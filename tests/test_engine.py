@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,53 @@ def test_streams(spark, tmp_path):
     assert lock.acquire()
 
 
+def test_alerts(spark, tmp_path):
+    """Ranks of the sketches' quantiles, the sustained rule, and a stream that says what the batch says."""
+    rng = random.Random(4)
+    rows = [(i, float(rng.expovariate(1)), "error" if rng.random() < 0.04 else "ok", i * 30_000 // 20_000) for i in range(20_000)]
+    rows += [(90_000 + i, 5.0, "error" if i % 7 == 0 else "ok", 6000 + i * 5) for i in range(60)] + [(99_999, None, "ok", 9000), (99_998, 0.1, "ok", 60_000)]
+    events = spark.createDataFrame(rows, "event_id long, value double, event_type string, s long").select("event_id", "value", "event_type", F.timestamp_seconds("s").alias("ts"))
+    got = {r.start_s: r for r in S.alerts(events, minutes=100).collect()}
+    values = sorted(r[1] for r in rows[:20_000] if r[3] < 6000)
+    rank = sum(v <= got[0].p95 for v in values) / len(values)
+    assert abs(rank - 0.95) < 0.01 and not got[0].error_alert and not got[60_000].slow_alert
+    five = {r.start_s: r for r in S.alerts(events).collect()}
+    lone = S.alerts(events.filter("event_id between 90000 and 90059")).collect()
+    assert all(r.slow_alert and r.error_alert and r.p95 == 5.0 for r in lone)
+    events.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    read = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/in")
+    S.alerts(read, late="10 minutes").writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    streamed = {r.start_s: r for r in spark.table("alerts").collect()}
+    assert len(streamed) >= len(five) - 2 and all(five[k].n == r.n and five[k].errors == r.errors and five[k].slow_alert == r.slow_alert for k, r in streamed.items())
+
+
+def test_places(spark):
+    from ragloom.operators import pool
+
+    ids = random.Random(1).sample(range(-(10**9), 10**9), 3000)
+    for range_rows in (50, 10**6):
+        got = {r.id: r.place for r in pool.placed(spark.createDataFrame([(i,) for i in ids], "id long"), "id", range_rows).collect()}
+        assert got == {x: n for n, x in enumerate(sorted(ids))}
+    assert pool.placed(spark.createDataFrame([], "id long"), "id").collect() == []
+
+
+def test_last_section():
+    from ragloom.functions.text import last_section
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("ab ", k=n))
+    for _ in range(200):
+        sections, chunks = [text(rng.randint(1, 5)) for _ in range(rng.randint(0, 12))], [text(rng.randint(0, 30)) for _ in range(5)]
+        assert last_section(sections, chunks) == [max((i for i, s in enumerate(sections, 1) if s in c), default=0) for c in chunks]
+    took = []
+    for n in (2500, 10_000):
+        sections = [f"section {i} of a long document, with words {i * i}" for i in range(n)]
+        began = time.process_time()
+        assert last_section(sections, sections) == list(range(1, n + 1))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.1
+
+
 def test_agent_json():
     assert agent.extract_json('x ```json\n{"a": 1}``` y') == '{"a": 1}' and agent.extract_json('say {"a": {"b": [1]}} end') == '{"a": {"b": [1]}}' and agent.extract_json("none") is None
 
