@@ -129,23 +129,52 @@ def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 3600, spans:
     return placed.mapInPandas(lambda it: _ranked(it, span, limit), f"user_id {kind}, event_id {event}, allowed boolean")
 
 
-def rate_limit_stream(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:
-    """The same as a stream: state per user is the open window and its count."""
-
-    def run(key, batches, state):
-        opened, n = state.get if state.exists else (-1, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, event in zip(rows["ts"], rows["event_id"], strict=True):
-            us = ts.value // 1000
-            if opened < 0 or us >= opened + seconds * 1_000_000:
-                opened, n = us, 0
-            n += 1
-            out.append((key[0], event, n <= limit))
-        state.update((opened, n))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "opened long, n long", "append", "NoTimeout")
+def _window_state(limit: int, span: int):
+    """A processor whose state is a key's open window; a timer at its end clears it, so keys that fall silent leave nothing."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class OpenWindow(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "opened long, n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            opened, n = self.open.get() if self.open.exists() else (None, 0)
+            batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+            allowed, before = [], opened
+            for us in batch["us"].tolist():
+                if opened is None or us >= opened + span:
+                    opened, n = us, 0
+                n += 1
+                allowed.append(n <= limit)
+            if opened != before:
+                if before is not None:
+                    self.handle.deleteTimer((before + span) // 1000)
+                self.handle.registerTimer((opened + span) // 1000)
+            self.open.update((opened, n))
+            yield pd.DataFrame({"user_id": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(), "allowed": allowed})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.open.clear()
+            yield pd.DataFrame({"user_id": [], "event_id": [], "allowed": []})
+
+        def close(self) -> None:
+            pass
+
+    return OpenWindow()
+
+
+def rate_limit_stream(events: DataFrame, limit: int = 100, seconds: int = 3600, late: str = "0 seconds") -> DataFrame:
+    """The same as a stream: a user's state is the open window and its count, and goes when the watermark passes its end.
+
+    Rows that come more than ``late`` behind the newest are left out. The session needs a state store with timers
+    (spark.sql.streaming.stateStore.providerClass set to Spark's RocksDB provider).
+    """
+    kind, event = (dict(events.dtypes)[c] for c in ("user_id", "event_id"))
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=_window_state(limit, seconds * 1_000_000), outputStructType=f"user_id {kind}, event_id {event}, allowed boolean", outputMode="Append", timeMode="EventTime"
+    )
 
 
 def processing_lock(events: DataFrame, key: str = "user_id", seconds: int = 300) -> DataFrame:
@@ -157,9 +186,10 @@ def processing_lock(events: DataFrame, key: str = "user_id", seconds: int = 300)
     return got.select(F.col("user_id").alias(key), "event_id", F.col("allowed").alias("got"))
 
 
-def processing_lock_stream(events: DataFrame, key: str = "user_id", seconds: int = 300) -> DataFrame:
-    """First writers of a key within the time to live, by watermark."""
-    return events.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+def processing_lock_stream(events: DataFrame, key: str = "user_id", seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """The same as a stream; a lock that has run out is given again, and its state goes."""
+    got = rate_limit_stream(events.select(F.col(key).alias("user_id"), "event_id", "ts"), 1, seconds, late)
+    return got.select(F.col("user_id").alias(key), "event_id", F.col("allowed").alias("got"))
 
 
 class JobLock:
