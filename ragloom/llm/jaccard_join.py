@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import as_blocks, block_count, discard, enter, fresh, input_bytes, release, stored, to_blocks
 from .components import components
-from .sketches import LISTS, Repeated, merged, partition_sketch, width_bits
+from .sketches import GROUP, LISTS, Repeated, merged, partition_sketch, width_bits
 from .words import Words, text_bytes
 
 WORDS = 5
@@ -95,12 +95,12 @@ def _sets(docs: pa.Table, found: pa.Table, k: int, width: int, percent: int) ->
     return pa.table({"doc_id": docs["doc_id"], "n": pa.array(n, pa.int64()), "class": pa.array(names, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
 
-def shingle_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def shingle_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, blocks: int | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, n and, for documents that may have a partner, class, tokens and bits (a parity bitmap); stored in the shared folder."""
-    blocks, bits = block_count(docs), width_bits(input_bytes(docs))
+    blocks, bits = blocks or block_count(docs), width_bits(input_bytes(docs))
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
-    sketch = rows.groupBy("block").applyInArrow(lambda t: partition_sketch(t["block"][0].as_py(), _occurrences(t, k)[0], bits), LISTS)
-    found = to_blocks(merged(sketch, blocks, bits), blocks)
+    sketch = rows.groupBy("block").applyInArrow(lambda t: partition_sketch(t["block"][0].as_py(), _occurrences(t, k)[0], bits, group), LISTS)
+    found = to_blocks(merged(sketch, blocks, bits, group), blocks)
     sets = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _sets(a, b, k, bits, percent), "doc_id long, n long, class binary, tokens array<long>, bits array<long>")
     return stored(sets, "sets")
 

@@ -1,16 +1,14 @@
 """Sharded count-min sketches over blocks of documents.
 
 A full-width sketch per task would grow with the corpus, so every block sends, for each sketch row, only the cells it
-touched, as delta-coded sorted lists cut at the borders of ``1 << RANGE_BITS`` ranges. Merging has two levels, so that
-messages grow with the input and not with its square:
-
-1. One group per range and ``GROUP`` blocks joins these blocks' lists and deals the joined list to the range's shards.
-2. One group per shard adds the joined lists up in a dense array of its own slice of the row (a count stops at two)
-   and sends each first-level group the cells whose merged count is two or more.
-3. The first-level group sends each of its blocks those of the block's own cells.
+touched, as delta-coded sorted lists cut at the borders of ``1 << RANGE_BITS`` ranges. A group of at most ``GROUP`` blocks
+merges its lists of one range (a count stops at two). If there are more groups, the merged list is cut into finer
+ranges and goes to a group of groups, and so on until one group is left for each range; which cells count two or more
+goes back the same way, to each member those of its own cells. A level's rows are as many for each member, so rows of
+all exchanges grow with the input, not with its square.
 
 Counts are never too small, so no repeated item is missed; a cell shared by two different items only makes a candidate
-too many. Width grows with the input; no task holds more than one slice or ``GROUP`` lists, nothing is broadcast.
+too many. Width grows with the input; no task holds more than ``GROUP`` lists, nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -19,18 +17,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import mix
 
 ROWS = 2
 RANGE_BITS = 6
 GROUP = 128
-#: log2 of the cells of one shard, at most.
-SLICE_BITS = 24
-LISTS = "range int, grp int, block int, cells binary, twice binary"
-JOINED = "shard long, range int, grp int, cells binary, twice binary"
-FOUND = "range int, grp int, shard long, cells binary"
-SKETCH = "range int, block int, cells binary"
+LISTS = "range long, grp int, member int, cells binary, twice binary"
+FOUND = "range long, grp int, member int, cells binary"
 
 
 def table_of(schema: str, rows: list[tuple]) -> pa.Table:
@@ -85,85 +80,102 @@ def range_cuts(sorted_numbers: np.ndarray, bits: int, parts_bits: int) -> list[i
     return [*np.searchsorted(sorted_numbers, borders).tolist(), len(sorted_numbers)]
 
 
-def fine_bits(bits: int) -> int:
-    """log2 of the shards of one range."""
-    return max(0, bits - RANGE_BITS - SLICE_BITS)
+def level_parts(blocks: int, group: int = GROUP, level: int = 0) -> int:
+    """Partitions of a level: no more than it has groups, nor than there are blocks."""
+    groups = blocks
+    for _ in range(level + 1):
+        groups = -(-groups // group)
+    return max(8, min(blocks, (ROWS << RANGE_BITS * (level + 1)) * groups))
 
 
-def partition_sketch(block: int, h: np.ndarray, bits: int) -> pa.Table:
-    """A block's lists; an item that stands in ``h`` twice counts as repeated."""
-    out = []
-    for row in range(ROWS):
-        c = np.sort(cells(h, row, bits))
-        new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        c, twice = c[new], np.diff(new, append=len(c)) > 1
-        cuts = range_cuts(c, bits, RANGE_BITS)
-        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                low = np.uint64(r << (bits - RANGE_BITS))
-                out.append(((row << RANGE_BITS) + r, block // GROUP, block, pack(c[a:b] - low), np.packbits(twice[a:b]).tobytes()))
-    return table_of(LISTS, out)
-
-
-def _join(table: pa.Table, bits: int) -> pa.Table:
-    """A first-level group's cells, each once, dealt to the shards of its range."""
-    lists = [unpack(x.as_py()) for x in table["cells"]]
-    again = [c[flags(x.as_py(), len(c))] for c, x in zip(lists, table["twice"], strict=True)]
-    c = np.sort(np.concatenate(lists))
-    new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    c, twice = c[new], np.diff(new, append=len(c)) > 1
-    twice[np.searchsorted(c, np.concatenate(again))] = True
-    fine, width = fine_bits(bits), bits - RANGE_BITS
-    cuts = range_cuts(c, width, fine)
-    r, grp, out = table["range"][0].as_py(), table["grp"][0].as_py(), []
-    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+def exchanged_rows(blocks: int, group: int = GROUP, rows: int = ROWS) -> int:
+    """The most rows that all levels' exchanges up can have; as many come back."""
+    members, ranges, total = blocks, rows << RANGE_BITS, 0
+    while True:
+        total += members * ranges
+        if members <= group:
+            return total
+        members, ranges = -(-members // group), ranges << RANGE_BITS
+
+
+def _unique(c: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of ``c`` once each, in order, and which of them stand twice or are among ``twice``."""
+    c = np.sort(c)
+    new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    c, again = c[new], np.diff(new, append=len(c)) > 1
+    again[np.searchsorted(c, twice)] = True
+    return c, again
+
+
+def _cut(member: int, prefix: int, width: int, group: int, c: np.ndarray, twice: np.ndarray) -> list[tuple]:
+    """Rows of cells of ``width`` bits, dealt to the ranges below ``prefix``."""
+    cuts, out = range_cuts(c, width, RANGE_BITS), []
+    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
-            out.append(((r << fine) + s, r, grp, pack(c[a:b] - np.uint64(s << (width - fine))), np.packbits(twice[a:b]).tobytes()))
-    return table_of(JOINED, out)
-
-
-def _add(table: pa.Table, bits: int) -> pa.Table:
-    """A shard's cells whose merged count is two or more, for each first-level group that has them."""
-    count = np.zeros(1 << (bits - RANGE_BITS - fine_bits(bits)), np.uint8)
-    lists = [unpack(x.as_py()).astype(np.int64) for x in table["cells"]]
-    for c, x in zip(lists, table["twice"], strict=True):
-        count[c] = np.minimum(count[c] + 1 + flags(x.as_py(), len(c)), 2)
-    rows = zip(table["range"].to_pylist(), table["grp"].to_pylist(), table["shard"].to_pylist(), lists, strict=True)
-    return table_of(FOUND, [(r, g, s, pack(c[count[c] >= 2])) for r, g, s, c in rows])
-
-
-def _tell(lists: pa.Table, found: pa.Table, bits: int) -> pa.Table:
-    """Each block's own cells among a first-level group's repeated ones."""
-    out = []
-    if lists.num_rows and found.num_rows:
-        fine = fine_bits(bits)
-        width, mask = bits - RANGE_BITS - fine, (1 << fine) - 1
-        parts = sorted(zip(found["shard"].to_pylist(), (x.as_py() for x in found["cells"]), strict=True))
-        known = np.concatenate([unpack(raw) + np.uint64((s & mask) << width) for s, raw in parts])
-        r = lists["range"][0].as_py()
-        for block, raw in zip(lists["block"].to_pylist(), lists["cells"], strict=True):
-            c = unpack(raw.as_py())
+            out.append(((prefix << RANGE_BITS) + r, member // group, member, pack(c[a:b] - np.uint64(r << (width - RANGE_BITS))), np.packbits(twice[a:b]).tobytes()))
+    return out
+
+
+def partition_sketch(block: int, h: np.ndarray, bits: int, group: int = GROUP) -> pa.Table:
+    """A block's lists; an item that stands in ``h`` twice counts as repeated."""
+    none = np.zeros(0, np.uint64)
+    return table_of(LISTS, [x for row in range(ROWS) for x in _cut(block, row, bits, group, *_unique(cells(h, row, bits), none))])
+
+
+class _Lists:
+    """Lists of several members, and their cells merged."""
+
+    def __init__(self, table: pa.Table):
+        self.rows = [table[n].to_pylist() for n in ("range", "grp", "member")]
+        self.lists = [unpack(x.as_py()) for x in table["cells"]]
+        again = [c[flags(x.as_py(), len(c))] for c, x in zip(self.lists, table["twice"], strict=True)]
+        self.cells, self.twice = _unique(np.concatenate(self.lists), np.concatenate(again))
+
+    def tell(self, known: np.ndarray) -> pa.Table:
+        """Each member's own cells among the sorted ``known`` ones."""
+        out = []
+        for r, g, m, c in zip(*self.rows, self.lists, strict=True):
             at = np.searchsorted(known, c)
             hit = at < len(known)
             hit[hit] = known[at[hit]] == c[hit]
             if hit.any():
-                out.append((r, block, pack(c[hit])))
-    return table_of(SKETCH, out)
+                out.append((r, g, m, pack(c[hit])))
+        return table_of(FOUND, out)
+
+
+def _top(table: pa.Table) -> pa.Table:
+    m = _Lists(table)
+    return m.tell(m.cells[m.twice])
 
 
-def level_parts(blocks: int) -> int:
-    """Partitions of the first level: no more than it has groups."""
-    return max(8, min(blocks, (ROWS << RANGE_BITS) * -(-blocks // GROUP)))
+def _up(table: pa.Table, width: int, group: int) -> pa.Table:
+    m = _Lists(table)
+    return table_of(LISTS, _cut(m.rows[1][0], m.rows[0][0], width, group, m.cells, m.twice))
 
 
-def merged(lists: DataFrame, blocks: int, bits: int) -> DataFrame:
+def _down(sent: pa.Table, found: pa.Table, width: int) -> pa.Table:
+    """A group's members are told what the group was, range by finer range."""
+    if not sent.num_rows or not found.num_rows:
+        return table_of(FOUND, [])
+    mask = (1 << RANGE_BITS) - 1
+    parts = sorted(zip(found["sub"].to_pylist(), (x.as_py() for x in found["cells"]), strict=True))
+    return _Lists(sent).tell(np.concatenate([unpack(raw) + np.uint64((s & mask) << (width - RANGE_BITS)) for s, raw in parts]))
+
+
+def merged(lists: DataFrame, blocks: int, bits: int, group: int = GROUP) -> DataFrame:
     """range, block and the block's cells whose merged count is two or more."""
-    parts = level_parts(blocks)
+    return _merged(lists, blocks, blocks, bits, group, 0).select("range", F.col("member").alias("block"), "cells")
+
+
+def _merged(lists: DataFrame, members: int, blocks: int, bits: int, group: int, level: int) -> DataFrame:
+    parts, groups = level_parts(blocks, group, level), -(-members // group)
     lists = lists.repartition(parts, "range", "grp")
-    joined = lists.groupBy("range", "grp").applyInArrow(lambda t: _join(t, bits), JOINED)
-    found = joined.repartition(max(8, blocks // 4), "shard").groupBy("shard").applyInArrow(lambda t: _add(t, bits), FOUND)
-    found = found.repartition(parts, "range", "grp").groupBy("range", "grp")
-    return lists.groupBy("range", "grp").cogroup(found).applyInArrow(lambda a, b: _tell(a, b, bits), SKETCH)
+    if groups == 1:
+        return lists.groupBy("range", "grp").applyInArrow(_top, FOUND)
+    width = bits - RANGE_BITS * (level + 1)
+    found = _merged(lists.groupBy("range", "grp").applyInArrow(lambda t: _up(t, width, group), LISTS), groups, blocks, bits, group, level + 1)
+    found = found.select(F.shiftright("range", RANGE_BITS).alias("range"), F.col("member").alias("grp"), F.col("range").alias("sub"), "cells").repartition(parts, "range", "grp")
+    return lists.groupBy("range", "grp").cogroup(found.groupBy("range", "grp")).applyInArrow(lambda a, b: _down(a, b, width), FOUND)
 
 
 #: Bits of the table a block looks its own cells up in; a clash only makes a candidate too many.

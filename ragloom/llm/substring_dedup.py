@@ -3,8 +3,8 @@
 1. Each block of documents sketches the windows that start in it; the partition sketches are merged range by range, and
    every block learns which of its cells may be repeated (``sketches``).
 2. Only windows whose estimate is two or more are grouped exactly, by 96 bits of two independent hashes: a block sends
-   each distinct one with the smallest doc_id it has there. Groups of blocks are joined first, then shards; what comes
-   back is one bit for each window sent: whether a document with a smaller id has it elsewhere.
+   each distinct one with the smallest doc_id it has there. Groups of blocks are joined first, then groups of groups;
+   what comes back is one bit for each window sent: whether a document with a smaller id has it elsewhere.
 3. A block marks every word covered by a window that starts in a document with a smaller doc_id and writes the rest.
 
 Texts are shuffled to their blocks once; the three steps read that same exchange. Hot windows travel once per block,
@@ -31,10 +31,8 @@ from .sketches import GROUP, LISTS, RANGE_BITS, Repeated, flags, level_parts, me
 from .words import Words, text_bytes
 
 WINDOW = 13
-SENT = "range int, grp int, block int, h1 binary, h2 binary, least binary"
-JOINED = "shard long, range int, grp int, h1 binary, h2 binary, least binary"
-SMALLER = "range int, grp int, shard long, n int, bits binary"
-TOLD = "range int, block int, bits binary"
+SENT = "range long, grp int, member int, h1 binary, h2 binary, least binary"
+TOLD = "range long, grp int, member int, n int, bits binary"
 _NONE = -(2**63)
 
 
@@ -45,9 +43,9 @@ def _block(table: pa.Table) -> tuple[Words, np.ndarray]:
     return Words(data, offsets), ids
 
 
-def _sketch(table: pa.Table, window: int, bits: int) -> pa.Table:
+def _sketch(table: pa.Table, window: int, bits: int, group: int) -> pa.Table:
     words, _ = _block(table)
-    return partition_sketch(table["block"][0].as_py(), words.windows(window)[0], bits)
+    return partition_sketch(table["block"][0].as_py(), words.windows(window)[0], bits, group)
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,21 +87,27 @@ def _ids(raw: bytes) -> np.ndarray:
     return ((x >> np.uint64(1)) ^ (np.uint64(0) - (x & np.uint64(1)))).view(np.int64)
 
 
-def _send(docs: pa.Table, found: pa.Table, window: int, bits: int) -> pa.Table:
-    out = []
-    if docs.num_rows:
-        c = _Candidates(docs, found, window, bits)
-        block = docs["block"][0].as_py()
-        for r, (a, b) in enumerate(zip(c.cuts[:-1], c.cuts[1:], strict=True)):
-            if a < b:
-                out.append((r, block // GROUP, block, *_blobs(c.h1[a:b], c.h2[a:b], c.least[a:b], r << (64 - RANGE_BITS))))
-    return table_of(SENT, out)
+def _cut(member: int, prefix: int, width: int, group: int, h1: np.ndarray, h2: np.ndarray, least: np.ndarray) -> list[tuple]:
+    """Rows of windows whose h1 has ``width`` bits, dealt to the ranges below ``prefix``."""
+    cuts, out = range_cuts(h1, width, RANGE_BITS), []
+    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            out.append(((prefix << RANGE_BITS) + r, member // group, member, *_blobs(h1[a:b], h2[a:b], least[a:b], r << (width - RANGE_BITS))))
+    return out
+
+
+def _send(docs: pa.Table, found: pa.Table, window: int, bits: int, group: int) -> pa.Table:
+    if not docs.num_rows:
+        return table_of(SENT, [])
+    c = _Candidates(docs, found, window, bits)
+    return table_of(SENT, _cut(docs["block"][0].as_py(), 0, 64, group, c.h1, c.h2, c.least))
 
 
 class _Joined:
     """Windows of several lists: for each element its list and distinct window, for each of these hashes and least id."""
 
     def __init__(self, table: pa.Table):
+        self.rows = [table[n].to_pylist() for n in ("range", "grp", "member")]
         parts = [unpack(x.as_py()) for x in table["h1"]]
         self.sizes = [len(x) for x in parts]
         h1 = np.concatenate(parts)
@@ -116,44 +120,46 @@ class _Joined:
         self.least = np.minimum.reduceat(self.own[order], first)
 
 
-def fine_bits(blocks: int) -> int:
-    """log2 of the shards of one range: a shard gets as many windows as two to four blocks send."""
-    return max(0, (blocks // GROUP).bit_length() - 1)
+    def tell(self, tell: np.ndarray) -> pa.Table:
+        """For each member one bit per window sent."""
+        out, at = [], 0
+        for r, g, m, n in zip(*self.rows, self.sizes, strict=True):
+            out.append((r, g, m, n, np.packbits(tell[at : at + n]).tobytes()))
+            at += n
+        return table_of(TOLD, out)
 
 
-def _join(table: pa.Table, fine: int) -> pa.Table:
+def _top(table: pa.Table) -> pa.Table:
+    """Does another member have the window with a smaller doc_id?"""
     j = _Joined(table)
-    r, grp, out = table["range"][0].as_py(), table["grp"][0].as_py(), []
-    width = 64 - RANGE_BITS
-    cuts = range_cuts(j.h1, width, fine)
-    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b:
-            out.append(((r << fine) + s, r, grp, *_blobs(j.h1[a:b], j.h2[a:b], j.least[a:b], s << (width - fine))))
-    return table_of(JOINED, out)
+    return j.tell(j.least[j.run] < j.own)
 
 
-def _smaller(table: pa.Table) -> pa.Table:
-    """For each first-level group one bit per window sent: does another group have it with a smaller doc_id?"""
+def _up(table: pa.Table, width: int, group: int) -> pa.Table:
     j = _Joined(table)
-    tell, at, out = j.least[j.run] < j.own, 0, []
-    for r, g, s, n in zip(table["range"].to_pylist(), table["grp"].to_pylist(), table["shard"].to_pylist(), j.sizes, strict=True):
-        out.append((r, g, s, n, np.packbits(tell[at : at + n]).tobytes()))
-        at += n
-    return table_of(SMALLER, out)
-
-
-def _tell(sent: pa.Table, smaller: pa.Table) -> pa.Table:
-    """For each block one bit per window sent: does any other block have it with a smaller doc_id?"""
-    out = []
-    if sent.num_rows:
-        j = _Joined(sent)
-        parts = sorted(zip(smaller["shard"].to_pylist(), smaller["n"].to_pylist(), (x.as_py() for x in smaller["bits"]), strict=True))
-        elsewhere = np.concatenate([flags(raw, n) for _, n, raw in parts])
-        tell, at = elsewhere[j.run] | (j.least[j.run] < j.own), 0
-        for r, block, n in zip(sent["range"].to_pylist(), sent["block"].to_pylist(), j.sizes, strict=True):
-            out.append((r, block, np.packbits(tell[at : at + n]).tobytes()))
-            at += n
-    return table_of(TOLD, out)
+    return table_of(SENT, _cut(j.rows[1][0], j.rows[0][0], width, group, j.h1, j.h2, j.least))
+
+
+def _down(sent: pa.Table, told: pa.Table) -> pa.Table:
+    """The same for a group's members, where ``told`` says it of the group among other groups, range by finer range."""
+    if not sent.num_rows:
+        return table_of(TOLD, [])
+    j = _Joined(sent)
+    parts = sorted(zip(told["sub"].to_pylist(), told["n"].to_pylist(), (x.as_py() for x in told["bits"]), strict=True))
+    elsewhere = np.concatenate([flags(raw, n) for _, n, raw in parts])
+    return j.tell(elsewhere[j.run] | (j.least[j.run] < j.own))
+
+
+def smaller_elsewhere(sent: DataFrame, members: int, blocks: int, group: int, level: int = 0) -> DataFrame:
+    """``TOLD`` of what each member sent: does any other member have the window with a smaller doc_id?"""
+    parts, groups = level_parts(blocks, group, level), -(-members // group)
+    sent = sent.repartition(parts, "range", "grp")
+    if groups == 1:
+        return sent.groupBy("range", "grp").applyInArrow(_top, TOLD)
+    width = 64 - RANGE_BITS * (level + 1)
+    told = smaller_elsewhere(sent.groupBy("range", "grp").applyInArrow(lambda t: _up(t, width, group), SENT), groups, blocks, group, level + 1)
+    told = told.select(F.shiftright("range", RANGE_BITS).alias("range"), F.col("member").alias("grp"), F.col("range").alias("sub"), "n", "bits").repartition(parts, "range", "grp")
+    return sent.groupBy("range", "grp").cogroup(told.groupBy("range", "grp")).applyInArrow(_down, TOLD)
 
 
 def _strip(docs: pa.Table, other: pa.Table, window: int, bits: int, texts: bool) -> pa.Table:
@@ -184,18 +190,14 @@ def _strip(docs: pa.Table, other: pa.Table, window: int, bits: int, texts: bool)
     return pa.table(out)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, blocks: int | None = None, group: int = GROUP) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text."""
-    blocks, bits = block_count(docs), width_bits(input_bytes(docs))
-    parts, fine = level_parts(blocks), fine_bits(blocks)
+    blocks, bits = blocks or block_count(docs), width_bits(input_bytes(docs))
     rows = as_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks, F.xxhash64("doc_id", F.length("text")))
-    sketch = rows.groupBy("block").applyInArrow(lambda t: _sketch(t, window, bits), LISTS)
-    found = to_blocks(merged(sketch, blocks, bits), blocks)
-    sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, window, bits), SENT).repartition(parts, "range", "grp")
-    joined = sent.groupBy("range", "grp").applyInArrow(lambda t: _join(t, fine), JOINED)
-    smaller = joined.repartition(max(8, blocks // 4), "shard").groupBy("shard").applyInArrow(_smaller, SMALLER)
-    smaller = smaller.repartition(parts, "range", "grp").groupBy("range", "grp")
-    told = to_blocks(sent.groupBy("range", "grp").cogroup(smaller).applyInArrow(_tell, TOLD), blocks)
+    sketch = rows.groupBy("block").applyInArrow(lambda t: _sketch(t, window, bits, group), LISTS)
+    found = to_blocks(merged(sketch, blocks, bits, group), blocks)
+    sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, window, bits, group), SENT)
+    told = to_blocks(smaller_elsewhere(sent, blocks, blocks, group).select("range", F.col("member").alias("block"), "bits"), blocks)
     nothing = F.lit(None).cast("binary")
     other = found.withColumn("bits", nothing).unionByName(told.withColumn("cells", nothing))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts

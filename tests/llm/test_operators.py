@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ragloom.llm import exact_dedup, grammar_ids, jaccard_join, kneser_ney, packing, secrets, spotsigs, substring_dedup, tokens, toxicity, unigram
+from ragloom.llm import exact_dedup, grammar_ids, jaccard_join, kneser_ney, packing, secrets, sketches, spotsigs, substring_dedup, tokens, toxicity, unigram
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = ["_keep", "keep", "_digest", "digest", "id", "_id", "key", "_key", "other", "grp", "prompt", "cid", "root"]
@@ -65,6 +65,22 @@ def test_substring_dedup(spark, texts):
     assert sum(x[2] for x in want) > 1000
 
 
+def test_levels_of_merging(spark, texts):
+    """Blocks in two groups, whose lists are merged on a second level: nothing changes."""
+    docs = make(spark, texts)
+    whole = sorted(tuple(r) for r in substring_dedup.substring_dedup(docs).collect())
+    assert sorted(tuple(r) for r in substring_dedup.substring_dedup(docs, blocks=5, group=4).collect()) == whole
+    kept = lambda sets: {(r.doc_id, r.n): r["class"] is not None for r in sets.collect()}
+    assert kept(jaccard_join.shingle_sets(docs, blocks=5, group=4)) == kept(jaccard_join.shingle_sets(docs))
+
+
+def test_exchanged_rows_are_linear():
+    """Rows of all exchanges of the sketch, from 0.1 GB to 100 TB and more, grow with the blocks and the number of levels."""
+    for blocks in (25, 122, 7_153, 240_000, 24_000_000, 10**9):
+        levels = 1 + sum(blocks > sketches.GROUP**n for n in range(1, 6))
+        assert sketches.exchanged_rows(blocks) <= levels * blocks * (sketches.ROWS << sketches.RANGE_BITS) * 1.1
+
+
 def thue_morse(n):
     bits = [bin(i).count("1") % 2 for i in range(n)]
     return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
