@@ -351,12 +351,12 @@ def eva6_engines(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Queries made of every turn of every conversation, so that each rule meets many texts.
 TEMPLATES = ["请问 {t} 吗", "请教一下{t}和别的方案的区别 呢", "{t}", '"{t}" 在哪里', "帮我看看 '{t}' 哈", "ABCDEFGH-1234 {t}", "{t}对比{t}和缓存的关系", "说说{t}与缓存之间", "向量检索以及{t}的关系 嘛", "它的{t}怎么样", "这个和那个", "versus {t}"]
-ASKED = f"(SELECT conv_id * 100 + turn AS id, replace(([{', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in TEMPLATES)}])[(conv_id + turn) % {len(TEMPLATES)} + 1], '{{t}}', left(text, 24)) AS query FROM conversations)"
+ASKED = f"(SELECT conv_id * 100 + turn AS id, replace(([{', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in TEMPLATES)}])[(conv_id + turn) % {len(TEMPLATES)} + 1], '{{t}}', text) AS query FROM conversations)"
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     pick = F.element_at(F.array(*map(F.lit, TEMPLATES)), ((F.col("conv_id") + F.col("turn")) % len(TEMPLATES) + 1).cast("int"))
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.replace(pick, F.lit("{t}"), F.left("text", F.lit(24))).alias("query"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.replace(pick, F.lit("{t}"), F.col("text")).alias("query"))
 
 
 def stripped(x: str) -> str:
@@ -409,14 +409,14 @@ def qry3_model_class(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversations_asked(spark: SparkSession, sf: str) -> DataFrame:
     """Per conversation the last turn, made a question that refers back, and the turns before it."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.concat(F.left("text", F.lit(12)), F.when(F.col("turn") % 2 == 0, "的索引").otherwise("")).alias("content"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.concat("text", F.when(F.col("turn") % 2 == 0, "的索引").otherwise("")).alias("content"))
     rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
     opening = F.element_at(F.array(*map(F.lit, ["它", "这个", "这", "plain ", "上面"])), (F.col("conv_id") % 5 + 1).cast("int"))
     before = F.transform(F.slice("t", F.lit(1), F.size("t") - 1), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return rows.select("conv_id", F.concat(opening, F.element_at("t", -1)["content"]).alias("query"), before.alias("history"))
 
 
-ASKED_BACK = """c AS (SELECT conv_id, turn, role, left(text, 12) || CASE WHEN turn % 2 = 0 THEN '的索引' ELSE '' END AS content FROM conversations),
+ASKED_BACK = """c AS (SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 0 THEN '的索引' ELSE '' END AS content FROM conversations),
 z AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY 1), qy AS (SELECT c.conv_id, (['它', '这个', '这', 'plain ', '上面'])[c.conv_id % 5 + 1] || content AS query FROM c JOIN z ON z.conv_id = c.conv_id AND turn = last),
 h AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS back FROM c JOIN z ON z.conv_id = c.conv_id AND turn < last),
 u AS (SELECT conv_id, count(*) AS n, arg_max(content, turn) FILTER (role = 'user' AND back <= 4) AS near, arg_max(content, turn) FILTER (role = 'user') AS far FROM h GROUP BY 1),
