@@ -147,25 +147,56 @@ def txt9_sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "i", F.col("c.at").alias("char_start"), F.md5("c.content").alias("content_md5"))
 
 
-@query()
+SECTIONS = f"""s AS (SELECT doc_id, unnest(range(len(p)))::INT AS pos, unnest(p) AS content FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {stripped('x')} <> '') AS p FROM documents)),
+h AS (SELECT *, (length(content) < 60)::INT AS is_heading FROM s), g AS (SELECT *, sum(is_heading) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM h),
+k AS (SELECT doc_id, grp, any_value(CASE WHEN is_heading = 1 THEN content END) AS heading, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM g GROUP BY 1, 2)"""
+
+
+def child_sql(source: str) -> str:
+    """``kid`` (doc_id, grp, ord, sub, content, spot): child chunks, in order, of the texts ``source`` (doc_id, grp, content)."""
+    joins = "length(sn.cur) + length(sp.piece) + 1 <= 400"
+    fits = "length(t.cur) + length(x.p) + 1 <= 400"
+    emits = "length(t.cur) >= 20"
+    base = f"CASE WHEN {emits} THEN t.off + length(t.cur) - 64 ELSE t.off END"
+    return rf"""pg AS (SELECT doc_id, grp, list_filter(list_transform(string_split(content, chr(10)), lambda x: {stripped('x')}), lambda x: x <> '') AS w FROM {source}),
+pp AS (SELECT doc_id, grp, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS p FROM pg),
+lq AS (SELECT doc_id, grp, i AS pn, list_filter(string_split(regexp_replace(p, '([。！？.!?]){WS}*', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS w FROM pp WHERE length(p) > 400),
+sp AS (SELECT doc_id, grp, pn, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS piece FROM lq),
+sn AS (SELECT doc_id, grp, pn, 0::BIGINT AS i, '' AS cur, 0::BIGINT AS off, NULL::VARCHAR AS done, 0::BIGINT AS spot FROM lq
+ UNION ALL SELECT sn.doc_id, sn.grp, sn.pn, sp.i, CASE WHEN {joins} THEN sn.cur || sp.piece ELSE sp.piece END, CASE WHEN {joins} OR sn.cur = '' THEN sn.off ELSE sn.off + length(sn.cur) - 64 END, CASE WHEN {joins} OR sn.cur = '' THEN NULL ELSE sn.cur END, sn.off
+ FROM sn JOIN sp ON sp.doc_id = sn.doc_id AND sp.grp = sn.grp AND sp.pn = sn.pn AND sp.i = sn.i + 1),
+sb AS (SELECT doc_id, grp, pn, i AS ord, {stripped('done')} AS content, spot FROM sn WHERE done IS NOT NULL
+ UNION ALL SELECT sn.doc_id, sn.grp, sn.pn, sn.i + 1, {stripped('sn.cur')}, sn.off FROM sn JOIN lq ON lq.doc_id = sn.doc_id AND lq.grp = sn.grp AND lq.pn = sn.pn AND len(lq.w) = sn.i WHERE length({stripped('sn.cur')}) >= 20),
+la AS (SELECT doc_id, grp, pn, arg_max(spot + length(content), ord) AS ending FROM sb GROUP BY 1, 2, 3),
+x AS (SELECT pp.*, length(p) > 400 AS long, ending FROM pp LEFT JOIN la ON la.doc_id = pp.doc_id AND la.grp = pp.grp AND la.pn = pp.i),
+t AS (SELECT doc_id, grp, 0::BIGINT AS i, '' AS cur, 0::BIGINT AS off, NULL::VARCHAR AS done, 0::BIGINT AS spot, 0::BIGINT AS base FROM pg
+ UNION ALL SELECT t.doc_id, t.grp, x.i, CASE WHEN x.long THEN right(x.p, 64) WHEN NOT {fits} THEN x.p WHEN t.cur = '' THEN x.p ELSE {stripped("t.cur || chr(10) || x.p")} END,
+  CASE WHEN x.long THEN coalesce(x.ending, 0) + {base} WHEN {fits} THEN t.off ELSE {base} END, CASE WHEN (x.long OR NOT {fits}) AND {emits} THEN t.cur END, t.off, {base}
+ FROM t JOIN x ON x.doc_id = t.doc_id AND x.grp = t.grp AND x.i = t.i + 1),
+kid AS (SELECT doc_id, grp, 2 * i AS ord, 0 AS sub, done AS content, spot FROM t WHERE done IS NOT NULL
+ UNION ALL SELECT t.doc_id, t.grp, 2 * t.i + 1, sb.ord, sb.content, sb.spot + t.base FROM t JOIN sb ON sb.doc_id = t.doc_id AND sb.grp = t.grp AND sb.pn = t.i
+ UNION ALL SELECT t.doc_id, t.grp, 2 * t.i + 2, 0, t.cur, t.off FROM t JOIN pg ON pg.doc_id = t.doc_id AND pg.grp = t.grp AND len(pg.w) = t.i WHERE {emits})"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, 0 AS grp, text AS content FROM documents), {child_sql('d')}
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord, sub) - 1)::INT AS i, spot::INT AS char_start, length(content)::INT AS n, md5(content) AS content_md5 FROM kid""")
 def txt7_txt8_child_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy paragraph and sentence packing; tested against a plain model of the rules."""
+    """Greedy paragraph and sentence packing."""
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(T.child_chunks(F.col("text"), "\n")).alias("i", "c"))
     return rows.select("doc_id", "i", F.col("c.at").alias("char_start"), F.length("c.content").alias("n"), F.md5("c.content").alias("content_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SECTIONS}, gs AS (SELECT doc_id, grp, heading, content, sum(length(content) + 2) OVER (PARTITION BY doc_id ORDER BY grp) - length(content) - 2 AS off FROM k WHERE {stripped('content')} <> ''), {child_sql('gs')},
+al AS (SELECT doc_id, grp, -1 AS ord, 0 AS sub, 'parent' AS chunk_type, content, off AS spot, heading FROM gs WHERE length(content) >= 20
+ UNION ALL SELECT kid.doc_id, kid.grp, ord, sub, 'child', kid.content, spot + off, heading FROM kid JOIN gs USING (doc_id, grp)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, ord, sub) - 1 AS i FROM al), pl AS (SELECT *, min(i) OVER (PARTITION BY doc_id, grp) AS place FROM nu)
+SELECT doc_id, i::INT AS i, chunk_type, CASE WHEN chunk_type = 'child' AND place <> i THEN place END::INT AS parent_index, spot::INT AS char_start, (spot + length(content))::INT AS char_end, md5(content) AS content_md5, md5(heading) AS heading_md5 FROM pl""")
 def txt10_txt14_chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents and children of every document, with the children's links; tested against a plain model of the rules."""
+    """Parents and children of every document, with the children's links."""
     rows = sectioned(spark, sf).select("doc_id", F.posexplode(T.chunk_sections(F.col("sections"), "\n")).alias("i", "c"))
     return rows.select("doc_id", "i", "c.chunk_type", T.parent_link(F.col("i"), F.col("c.parent_index")).alias("parent_index"), "c.char_start", "c.char_end", F.md5("c.content").alias("content_md5"), F.md5("c.heading").alias("heading_md5"))
 
 
-SECTIONS = f"""s AS (SELECT doc_id, unnest(range(len(p)))::INT AS pos, unnest(p) AS content FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {stripped('x')} <> '') AS p FROM documents)),
-h AS (SELECT *, (length(content) < 60)::INT AS is_heading FROM s), g AS (SELECT *, sum(is_heading) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM h),
-k AS (SELECT doc_id, grp, any_value(CASE WHEN is_heading = 1 THEN content END) AS heading, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM g GROUP BY 1, 2)"""
-
-
 @query(f"WITH {SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS i, heading, md5(content) AS content_md5 FROM k")
 def txt5_win6_heading_groups(spark: SparkSession, sf: str) -> DataFrame:
     """A heading (here: a short line) opens a group and is its first member; what leads has no heading."""
