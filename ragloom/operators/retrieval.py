@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import queries as Q
 from ragloom.functions.text import index_terms, least_matches, query_terms
 from ragloom.operators.clients import Embedder, Reranker, embed, first_of
+from ragloom.session import kept
 
 #: Queries that one pass over the vectors may hold; larger sets go in blocks of this size.
 QUERY_BLOCK = 4096
@@ -328,8 +329,8 @@ def search(queries: DataFrame, chunks: DataFrame, pool: DataFrame, vectors: Data
     caller's weights hold and there is neither history nor decomposition. A collection_id narrows the chunks.
     """
     history = F.col("history") if "history" in queries.columns and weights is None else None
-    # the analysis is a large expression over few rows: kept, so that later plans do not repeat it
-    a = queries.withColumn("a", Q.analyse(F.col("text"), history)).persist()
+    # the analysis is a large expression over few rows: stored, so that later plans do not repeat it and know their size
+    a = kept(queries.withColumn("a", Q.analyse(F.col("text"), history)), "analysis")
     subs = F.array(F.col("a.rewritten")) if weights is not None else F.col("a.sub_queries")
     pair = (F.col("a.vector_weight"), F.col("a.text_weight")) if weights is None else tuple(F.lit(float(w)) for w in weights)
     given = ["qvec"] if "qvec" in queries.columns else []
@@ -338,8 +339,8 @@ def search(queries: DataFrame, chunks: DataFrame, pool: DataFrame, vectors: Data
     base = base.join(vector, "sub", "left")
     own = F.when(F.col("sub") == F.col("rewritten"), F.col("qvec")) if given else F.lit(None).cast("array<float>")
     single = base.select(F.struct("query_id", "part").alias("key"), "user_id", F.col("sub").alias("text"), F.coalesce(own, F.col("made")).alias("qvec"), "vector_weight", "text_weight")
-    # one id per sub-query for the engines; the rows are few and read by every engine, so they are kept
-    single = single.withColumn("query_id", F.concat_ws(":", F.col("key.query_id").cast("string"), F.col("key.part").cast("string"))).persist()
+    # one id per sub-query for the engines, which all read these few rows
+    single = kept(single.withColumn("query_id", F.concat_ws(":", F.col("key.query_id").cast("string"), F.col("key.part").cast("string"))), "sub-queries")
     fused = single_search(single.drop("key"), chunks.select("chunk_id", "user_id", "content"), vectors, posting, k, text_engine, digits)
     narrow = ["collection_id"] if "collection_id" in queries.columns else []
     names = single.select("query_id", F.col("key.query_id").alias("whole"), "user_id")
@@ -347,6 +348,7 @@ def search(queries: DataFrame, chunks: DataFrame, pool: DataFrame, vectors: Data
     if narrow:
         inside = chunks.select("chunk_id", F.col("collection_id").alias("_c"))
         summed = summed.join(queries.select("query_id", "collection_id"), "query_id").join(inside, "chunk_id").filter(F.col("collection_id").isNull() | (F.col("collection_id") == F.col("_c"))).drop("_c", "collection_id")
+    summed = kept(summed, "candidates")  # at most 2 * k for each sub-query: Spark broadcasts them as far as they are small
     best = top_k(hydrate(summed, chunks, pool), candidates, "query_id", fused_order()).drop("vector_rank", "text_rank")
     rewritten = a.select("query_id", *given, F.col("a.rewritten").alias("sub")).join(vector, "sub", "left")
     asked = rewritten.select("query_id", F.col("sub").alias("text"), (F.coalesce(F.col("qvec"), F.col("made")) if given else F.col("made")).alias("qvec"))

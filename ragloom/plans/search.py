@@ -216,7 +216,11 @@ def ret6_failover(spark: SparkSession, sf: str) -> DataFrame:
     return R.single_search(q, whole_documents(spark, sf), owned_vectors(spark, sf), text_engine=False, digits=9).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
-def search_sql(vector: str, text: str) -> str:
+SHOWN = "SELECT query_id, chunk_id, round(score, 6) AS score, rerank_source, md5(content) AS content_md5, md5(coalesce(parent, '')) AS parent_md5 FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"
+
+
+def search_sql(vector: str, text: str, rest: str = SHOWN) -> str:
+    """The whole path up to the scored candidates ``y``, and what is made of them."""
     return f"""WITH {TENANT_V}, {bm_sql('aq', True)}, {PLACED.format(v='tv', t='th')}, w AS (SELECT query_id, qvec, user_id, ({vector})::DOUBLE AS vw, ({text})::DOUBLE AS tw FROM aq),
 f AS (SELECT query_id, chunk_id, sum(s) AS score, min(vr) AS vr, min(tr) AS tr FROM (SELECT query_id, chunk_id, vw * norm / (60 + r + 1) AS s, r AS vr, NULL AS tr FROM nv JOIN w USING (query_id)
  UNION ALL SELECT query_id, chunk_id, tw * norm / (60 + r + 1), NULL, r FROM nt JOIN w USING (query_id)) GROUP BY 1, 2),
@@ -225,7 +229,7 @@ dh AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS h, coalesce(text, ''
 y AS (SELECT b.query_id, b.chunk_id, pc.content, pp.content AS parent, CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 AND e.embedding IS NOT NULL THEN {DOT.format('qvec', 'embedding')} / (sqrt({DOT.format('qvec', 'qvec')}) * sqrt({DOT.format('embedding', 'embedding')})) ELSE b.score END AS score,
  CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 AND e.embedding IS NOT NULL THEN 'vector' ELSE 'fusion' END AS rerank_source
  FROM b JOIN dh c ON c.doc_id = b.chunk_id JOIN pl2 pc ON pc.h = c.h LEFT JOIN ov e ON e.vec_id = b.chunk_id LEFT JOIN dh p ON b.chunk_id % 10 <> 0 AND p.doc_id = b.chunk_id - b.chunk_id % 10 AND p.source = b.user_id LEFT JOIN pl2 pp ON pp.h = p.h)
-SELECT query_id, chunk_id, round(score, 6) AS score, rerank_source, md5(content) AS content_md5, md5(coalesce(parent, '')) AS parent_md5 FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"""
+{rest}"""
 
 
 def found(spark: SparkSession, sf: str, weights: tuple[float, float] | None = None) -> DataFrame:
@@ -236,7 +240,10 @@ def shown(results: DataFrame) -> DataFrame:
     return results.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rerank_source", F.md5("content").alias("content_md5"), F.md5(F.coalesce("parent_content", F.lit(""))).alias("parent_md5"))
 
 
-@query(search_sql(f"CASE WHEN {KEYWORD} THEN 0.3 ELSE 0.7 END", f"CASE WHEN {KEYWORD} THEN 0.7 ELSE 0.3 END"))
+BY_KIND = (f"CASE WHEN {KEYWORD} THEN 0.3 ELSE 0.7 END", f"CASE WHEN {KEYWORD} THEN 0.7 ELSE 0.3 END")
+
+
+@query(search_sql(*BY_KIND))
 def ret8_ret9_ret10_ret11_srt5_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole path in each tenant: analysis, two searches, fusion, hydration to 40, local rerank to 10."""
     return shown(found(spark, sf))
@@ -248,7 +255,9 @@ def ret12_callers_weights(spark: SparkSession, sf: str) -> DataFrame:
     return shown(found(spark, sf, (0.5, 0.5)))
 
 
-@query()
+@query(search_sql(*BY_KIND, """, rk AS (SELECT query_id, coalesce(nullif(parent, ''), content) AS t, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM y QUALIFY i <= 10),
+cu AS (SELECT *, sum(length(t)) OVER (PARTITION BY query_id ORDER BY i) AS s FROM rk)
+SELECT query_id, count(*)::INT AS n_used, md5(string_agg('[' || i || '] ' || t, chr(10) || chr(10) ORDER BY i)) AS context_md5 FROM cu WHERE s <= 8000 GROUP BY 1"""))
 def ret13_search_context(spark: SparkSession, sf: str) -> DataFrame:
     """What a model would be shown of the search's results."""
     return R.pack_context(found(spark, sf)).select("query_id", "n_used", F.md5("context").alias("context_md5"))
