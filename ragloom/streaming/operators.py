@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -193,14 +194,18 @@ def processing_lock_stream(events: DataFrame, key: str = "user_id", seconds: int
 
 
 class JobLock:
-    """One job at a time, by a marker file that only one writer can create: for backfills started by several drivers."""
+    """One job at a time, by a marker file that only one writer can create: for backfills started by several drivers.
 
-    def __init__(self, spark: SparkSession, path: str):
+    A marker that its holder has not renewed for ``seconds`` is taken for a dead driver's and goes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 300.0):
         jvm = spark._jvm
         self.place = jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.seconds = seconds
 
-    def acquire(self) -> bool:
+    def _create(self) -> bool:
         try:
             self.fs.create(self.place, False).close()
             return True
@@ -209,6 +214,20 @@ class JobLock:
                 raise
             return False
 
+    def acquire(self) -> bool:
+        if self._create():
+            return True
+        if not self.fs.exists(self.place):  # it went meanwhile
+            return self._create()
+        if time.time() - self.fs.getFileStatus(self.place).getModificationTime() / 1000 <= self.seconds:
+            return False
+        self.fs.delete(self.place, False)
+        return self._create()  # of several that found it dead one succeeds
+
+    def renew(self) -> None:
+        """For jobs that last longer than ``seconds``."""
+        self.fs.setTimes(self.place, int(time.time() * 1000), -1)
+
     def release(self) -> None:
         self.fs.delete(self.place, False)
 

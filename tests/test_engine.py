@@ -221,6 +221,12 @@ def test_streams(spark, tmp_path):
     assert lock.acquire() and not lock.acquire()
     lock.release()
     assert lock.acquire()
+    other = S.JobLock(spark, f"file://{tmp_path}/lock", seconds=0.5)
+    time.sleep(1)
+    lock.renew()
+    assert not other.acquire()
+    time.sleep(1)
+    assert other.acquire()  # its holder is taken for dead
 
 
 def test_windows_as_streams(spark, tmp_path):
