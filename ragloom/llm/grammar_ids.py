@@ -8,7 +8,7 @@ equals replacing them one after the other. A pair that was not frequent cannot b
 at the places whose pair was frequent before and at those beside a replacement. Pairs never cross a document's end.
 
 A shard file holds the rules, every rule's expansion length (for random access), the compressed sequence and an index
-of the documents: their ids and numbers of ids. Shards are kept as binary cells of a table, one per row, so any store
+of the documents: their ids, which of these are null, and numbers of ids. Shards are kept as binary cells of a table, one per row, so any store
 that Spark can write will do.
 
 Defined cases: null text is empty (its end id alone remains); an empty table gives an empty result; rows with equal
@@ -36,10 +36,10 @@ END = 1
 SHARD_TOKENS = 1 << 20
 #: Occurrences from which a rule is worth its entry.
 FREQUENT = 12
-MAGIC = b"RPG2"
+MAGIC = b"RPG3"
 #: Magic, vocabulary, rules, symbols, documents, bytes of a symbol, ids.
 HEAD = struct.Struct("<4sIIIIIQ")
-#: Stands for a null doc_id in a file's index.
+#: Stands for a null doc_id in a file's index; a bit for each document tells it from the number.
 NONE = -(2**63)
 _BITS = 21
 
@@ -136,7 +136,8 @@ def write_shard(doc_ids: list, ids: list[bytes], end: int, vocabulary: int) -> b
         sizes.append(sizes[a] + sizes[b])
     width = 2 if not len(seq) or int(seq.max()) < 65536 else 4
     head = HEAD.pack(MAGIC, vocabulary, len(rules), len(seq), len(doc_ids), width, len(flat))
-    index = np.array([NONE if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([len(x) // 4 for x in ids], "<u4").tobytes()
+    nulls = np.packbits(np.array([d is None for d in doc_ids], bool)).tobytes()
+    index = np.array([NONE if d is None else d for d in doc_ids], "<i8").tobytes() + nulls + np.array([len(x) // 4 for x in ids], "<u4").tobytes()
     return b"".join([head, index, rules.astype("<u4").tobytes(), np.array(sizes[vocabulary:], "<u4").tobytes(), seq.astype(f"<u{width}").tobytes()])
 
 
@@ -155,7 +156,9 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.counts = part("<i8", n_docs), part("<u4", n_docs)
+        self.doc_ids = part("<i8", n_docs)
+        self.nulls = np.unpackbits(part("u1", -(-n_docs // 8)), count=n_docs).astype(bool)
+        self.counts = part("<u4", n_docs)
         self.rules, self.sizes = part("<u4", 2 * n_rules).reshape(-1, 2), part("<u4", n_rules)
         self.seq = part(f"<u{width}", n_seq)
         self._starts: np.ndarray | None = None
@@ -267,7 +270,7 @@ def decode_shards(shards: DataFrame) -> DataFrame:
                 ends, n = np.cumsum(counts), len(counts)
                 crcs = [zlib.crc32(ids[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 same = lambda x: pa.array([x] * n, pa.int64())  # noqa: B023, E731
-                docs = pa.array(shard.doc_ids.astype(np.int64), pa.int64(), mask=shard.doc_ids == NONE)
+                docs = pa.array(shard.doc_ids.astype(np.int64), pa.int64(), mask=shard.nulls)
                 yield pa.RecordBatch.from_arrays([same(batch.column(0)[row].as_py()), same(batch.column(1)[row].as_py()), docs, pa.array(ends - counts), pa.array(counts), pa.array(crcs, pa.int64())], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = shards.select("part", "number", "file").mapInArrow(read, "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long")

@@ -148,16 +148,21 @@ class Table:
             slot[live] = np.where(self.first[slot[live]] >= 0, (slot[live] + 1) & int(self.mask), slot[live])
         self.count += len(one)
 
+    def crowded(self, more: int) -> bool:
+        return self.count + more > 2 * (int(self.mask) + 1) // 3
+
+    def make_room(self, need: int) -> None:
+        """Drops pieces not met again, all if need be: then there is room for ``need`` pieces, among which may be dropped ones."""
+        keep = np.flatnonzero(self.met & (self.first >= 0))
+        if len(keep) + need > (int(self.mask) + 1) // 2:
+            keep = keep[:0]
+        old, size = (self.one[keep], self.two[keep]), self.size[keep].astype(np.int64)
+        flat = self.ids[np.repeat(self.first[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.clear(need)
+        self._store(*old, flat, size)
+
     def learn(self, one: np.ndarray, two: np.ndarray, found: list[bytes]) -> None:
-        """Keeps these pieces' ids (little-endian unsigned 32-bit); makes room if need be."""
-        if self.count + len(one) > 2 * (int(self.mask) + 1) // 3:
-            keep = np.flatnonzero(self.met & (self.first >= 0))
-            if len(keep) + len(one) > (int(self.mask) + 1) // 2:
-                keep = keep[:0]
-            old, size = (self.one[keep], self.two[keep]), self.size[keep].astype(np.int64)
-            flat = self.ids[np.repeat(self.first[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            self.clear(len(one))
-            self._store(*old, flat, size)
+        """Keeps these pieces' ids (little-endian unsigned 32-bit), for which there is room."""
         size = np.array([len(x) // 4 for x in found], np.int64)
         self._store(one, two, np.frombuffer(b"".join(found), "<u4"), size)
 
@@ -194,6 +199,17 @@ class Encoder:
             i = j
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum(np.concatenate(counts))
 
+    @staticmethod
+    def _missing(one: np.ndarray, two: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that are not in the table, and one place of each."""
+        missing = np.flatnonzero(slot < 0)
+        key, new = np.unique(one[missing], return_index=True)
+        new = missing[new]
+        again = missing[two[missing] != two[new[np.searchsorted(key, one[missing])]]]
+        if len(again):  # first hashes that two pieces share
+            new = missing[np.unique(np.stack([one[missing], two[missing]], 1), axis=0, return_index=True)[1]]
+        return missing, new
+
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, full, low = pieces(data, offsets)
         one, two = (_hashed(low, start, end, seed) for seed in _SEEDS)
@@ -201,19 +217,17 @@ class Encoder:
         if len(odd):  # these count as they are written, and apart from pieces
             one[odd], two[odd] = (~_hashed(data, start[odd], end[odd], seed) for seed in _SEEDS)
         slot = self.table.find(one, two)
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            key, new = np.unique(one[missing], return_index=True)
-            new = missing[new]
-            again = missing[two[missing] != two[new[np.searchsorted(key, one[missing])]]]
-            if len(again):  # first hashes that two pieces share
-                pair = np.unique(np.stack([one[missing], two[missing]], 1), axis=0, return_index=True)[1]
-                new = missing[pair]
+        missing, new = self._missing(one, two, slot)
+        if self.table.crowded(len(new)):  # what is dropped may be of this slice, so that it is looked for again
+            self.table.make_room(len(new) + len(np.unique(slot[slot >= 0])))
+            slot = self.table.find(one, two)
+            missing, new = self._missing(one, two, slot)
+        if len(new):
             found = []
             for p in new.tolist():
                 found.append(self._chunk(data[start[p] : end[p]].tobytes()) if full[p] else self._piece(low[start[p] : end[p]].tobytes()))
             self.table.learn(one[new], two[new], found)
-            slot = self.table.find(one, two)  # places may have changed
+            slot[missing] = self.table.find(one[missing], two[missing])
         self.table.met[slot] = True
         if len(missing):
             self.table.met[slot[missing]] = False

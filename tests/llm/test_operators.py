@@ -303,6 +303,25 @@ def test_token_cache_equals_library():
         assert enc.ids(t.encode()) == np.array(enc.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_token_table_makes_room():
+    """More pieces than the table holds: none of a slice's own is lost when others go."""
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    enc.table = tokens.Table(8)
+    rng = np.random.default_rng(1)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (2000, 4))]
+    for n in (100, 150, 20, 160, 600, 30, 100) * 4:
+        t = " ".join(rng.choice(words, n))
+        assert enc.ids(t.encode()) == np.array(enc.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_smallest_doc_id_is_not_null(spark):
+    rows = [(None, "a"), (grammar_ids.NONE, "b c"), (grammar_ids.NONE + 1, "d")]
+    got = grammar_ids.decode_shards(grammar_ids.encode_shards(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, grammar_ids.NONE, grammar_ids.NONE + 1]
+
+
 @pytest.mark.parametrize("vocabulary", [300, 70_000])
 def test_grammar_round_trip(vocabulary):
     rng = np.random.default_rng(3)
