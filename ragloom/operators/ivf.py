@@ -29,8 +29,8 @@ ROUNDS = 8
 MOST_CELLS = 4096
 #: Dimensions that one byte of a code stands for, and its centres.
 WIDTH, CENTRES = 2, 256
-#: Rows whose estimates are made at a time.
-SLICE = 2048
+#: Estimates (of a query and a row) that are made at a time.
+SLICE = 1 << 20
 #: Standard deviations of the estimate that are allowed for.
 Z = 4.0
 ROW = "vec_id long, cell int, code binary, res float, err float, embedding array<float>"
@@ -134,10 +134,10 @@ class IvfIndex:
         into (``near``), as far as they can reach both ``least`` and the k-th best lower bound that the task has seen."""
 
         def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = np.full((len(ids), k), -np.inf)
+            best, step = np.full((len(ids), k), -np.inf), max(64, SLICE // len(ids))
             for batch in batches:
-                for at in range(0, len(batch), SLICE):
-                    rows = batch.iloc[at : at + SLICE]
+                for at in range(0, len(batch), step):
+                    rows = batch.iloc[at : at + step]
                     cell = rows["cell"].to_numpy()
                     code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
                     scores = mat @ model.decode(cell, code).T

@@ -23,6 +23,27 @@ def test_query_sets(spark):
     assert max(len(t.split()) for t in whole.values()) > 5
 
 
+def test_vector_search_is_bounded(spark, monkeypatch):
+    """A task makes few products at a time and gathers few hits; the rows are brute force's, equal scores by id."""
+    monkeypatch.setattr(R, "GATHERED", 200)
+    rng = np.random.default_rng(8)
+    mat, vectors = R._unit(rng.normal(size=(90, 8))), R._unit(np.repeat(rng.normal(size=(700, 8)), 3, 0))
+    vid = rng.permutation(len(vectors))
+    sims = np.round(mat @ vectors.T, 9)
+    monkeypatch.setattr(R, "PRODUCTS", 90 * 100)
+    best, most = R._Best(mat, 7), 0
+    for at in range(0, len(vectors), 350):
+        best.see(np.arange(90), vectors[at : at + 350], vid[at : at + 350])
+        most = max(most, best.n)
+    got = list(best.hits(np.arange(90)))
+    assert most <= 2 * 7 * 90 and max(len(x) for x in got) <= 200
+    rows = [(q, v) for x in got for q, v in zip(x["query_id"].tolist(), x["vec_id"].tolist(), strict=True)]
+    assert len(rows) == 7 * 90
+    for q in range(90):
+        want = sims[q][np.lexsort((vid, -sims[q]))][:7]
+        assert sorted((sims[q][np.flatnonzero(vid == v)[0]] for p, v in rows if p == q), reverse=True) == want.tolist()
+
+
 def test_clustered_recall(spark, tmp_path):
     """recall@10 against the exact search at three sizes of table, and the share of vectors read in full."""
     for sf in (SF, "/root/testdata/sf0.1"):
