@@ -76,3 +76,21 @@ def test_clustered_data(spark, tmp_path):
     assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.95 * len(want)
     assert max(r.codes_read for r in got) < 1000 and max(r.vectors_read for r in got) < 400
     assert index.search(asked.limit(0)).collect() == []
+
+
+def test_search_shuffles_what_was_asked(spark, tmp_path):
+    """Marks of all chunks are not shuffled, words are counted in their row, and hits' texts are taken from the candidates' alone."""
+    texts = ["b a b . b", "", "a", "c C c d", None]
+    chunks = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "chunk_id long, user_id string, content string")
+    asked = R.asked_terms(spark.createDataFrame([(1, "B c")], "query_id long, text string"))
+    got = R.matching_postings(chunks, asked)
+    assert "Exchange" not in got.filter("term = ''")._jdf.queryExecution().executedPlan().toString()
+    every = R.postings(chunks).filter("term in ('', 'b', 'c')").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
+    rows = [(0, "u", 0, "h0", 1, None), (1, "u", 1, "h1", 1, 0), (2, "u", 2, "h0", 1, 7)]
+    spark.createDataFrame(rows, "chunk_id long, user_id string, document_id long, content_hash string, page_number int, parent_chunk_id long").write.parquet(f"file://{tmp_path}/c")
+    spark.createDataFrame([("h0", "x"), ("h1", "y"), ("h2", "z")], "content_hash string, content string").write.parquet(f"file://{tmp_path}/p")
+    hits = spark.createDataFrame([(5, "u", i, 1.0) for i in (0, 1, 2, 9)], "query_id long, user_id string, chunk_id long, score double")
+    out = R.hydrate(hits, spark.read.parquet(f"file://{tmp_path}/c"), spark.read.parquet(f"file://{tmp_path}/p"))
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+    assert sorted((r.chunk_id, r.content, r.parent_content) for r in out.collect()) == [(0, "x", None), (1, "y", "x"), (2, "x", None)]
