@@ -29,10 +29,12 @@ TRIES = 20
 
 
 class LogTable:
-    """``schema`` with unique ``key`` columns; ``by`` is the column that folders are partitioned by."""
+    """``schema`` with unique ``key`` columns; ``by`` is the column that folders are partitioned by, if any.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], by: str):
-        self.spark, self.path, self.schema, self.key, self.by = spark, path.rstrip("/"), schema, key, by
+    Without ``deal`` rows are written by the tasks that made them, not dealt by ``by`` first: for large rows that many tasks make."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], by: str | None, deal: bool = True):
+        self.spark, self.path, self.schema, self.key, self.by, self.deal = spark, path.rstrip("/"), schema, key, by, deal and by is not None
         self.columns = spark.createDataFrame([], schema).columns
 
     # --- versions ---
@@ -90,26 +92,32 @@ class LogTable:
         latest = F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc("_run")))
         return rows.withColumn("_n", latest).filter("_n = 1").drop("_n", "_run")
 
-    def _merged(self, runs: list[dict], where: Column | None = None) -> DataFrame:
+    def _merged(self, runs: list[dict], where: Column | None = None, *some: DataFrame) -> DataFrame:
         """Each key's last row or tombstone."""
         cut = lambda df: df if where is None else df.filter(where)
+        own = lambda df: reduce(lambda a, keys: a.join(keys, keys.columns, "left_semi"), some, df)
         if len(runs) < 2:
-            return cut(self._runs(runs).drop("_run"))
-        newer = self._runs(runs[1:])
-        old = cut(self._runs(runs[:1]).drop("_run")).join(newer.select(*self.key).distinct(), self.key, "left_anti")
+            return own(cut(self._runs(runs).drop("_run")))
+        newer = own(self._runs(runs[1:]))
+        old = own(cut(self._runs(runs[:1]).drop("_run"))).join(newer.select(*self.key).distinct(), self.key, "left_anti")
         # a key may have moved to another partition, so the newer runs are cut only after each key's last row is known
         return old.unionByName(cut(self._last(newer)))
 
-    def read(self, where: Column | None = None, version: int | None = None) -> DataFrame:
-        """The table's rows, of the last version or an older one that has not expired; ``where`` on ``by`` prunes folders."""
-        return self._merged(self.state(version)["runs"], where).filter(~F.col("_gone")).select(*self.columns)
+    def read(self, where: Column | None = None, version: int | None = None, some: list[DataFrame] | None = None) -> DataFrame:
+        """The table's rows, of the last version or an older one that has not expired; ``where`` on ``by`` prunes folders.
+
+        ``some`` are tables of key columns: rows that lack there go before runs meet, so no others are shuffled if these are small."""
+        if any(set(keys.columns) - set(self.key) for keys in some or ()):
+            raise ValueError(f"keys are {self.key}")
+        return self._merged(self.state(version)["runs"], where, *(some or ())).filter(~F.col("_gone")).select(*self.columns)
 
     # --- writing ---
 
     def _write(self, rows: DataFrame) -> dict | None:
         name, seen = f"r-{uuid.uuid4().hex}", Observation()
-        counted = rows.select(*self.columns, "_gone").repartition(self.by).observe(seen, F.count(F.lit(1)).alias("n"))
-        counted.write.partitionBy(self.by).parquet(f"{self.path}/{name}")
+        made = rows.select(*self.columns, "_gone")
+        counted = (made.repartition(self.by) if self.deal else made).observe(seen, F.count(F.lit(1)).alias("n"))
+        (counted.write.partitionBy(self.by) if self.by else counted.write).parquet(f"{self.path}/{name}")
         return {"name": name, "rows": seen.get["n"]} if seen.get["n"] else None
 
     @staticmethod
@@ -143,9 +151,10 @@ class LogTable:
         """Rows of these keys go."""
         kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)
         gone = keys.select(*self.key).distinct()
-        if self.by not in self.key:
+        folder = {self.by} - {None, *self.key}
+        if folder:
             gone = self.read().select(*self.key, self.by).join(gone, self.key, "left_semi")
-        self._add(gone.select(*self.key, *({self.by} - set(self.key)), *(F.lit(None).cast(kinds[c]).alias(c) for c in self.columns if c not in (*self.key, self.by)), F.lit(True).alias("_gone")), batch, note)
+        self._add(gone.select(*self.key, *folder, *(F.lit(None).cast(kinds[c]).alias(c) for c in self.columns if c not in {*self.key, *folder}), F.lit(True).alias("_gone")), batch, note)
 
     def _replace(self, old: list[dict], whole: bool) -> None:
         """Neighbouring runs become one; without their tombstones if they begin the table."""

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import snippet
+from ragloom.functions.text import query_terms, snippet
 from ragloom.operators import retrieval as R
 from ragloom.session import kept
 from ragloom.sinks.logtable import LogTable
@@ -19,13 +22,16 @@ from ragloom.sinks.logtable import LogTable
 SNIPPET = 500
 #: Folders that terms and chunks are dealt to; more for larger tables.
 BUCKETS = 8
-#: Chunks of a tenant that share a range: a block holds one term's postings in one range.
+#: Chunks of a tenant that share a range, and bytes of their texts: a block holds one term's postings in one range.
 RANGE_CHUNKS = 128
+RANGE_BYTES = 4 << 20
+#: Bytes of texts that one task makes blocks of.
+TASK_BYTES = 32 << 20
 #: Ranges of each query that are scored before the others are judged.
 SEEDS = 4
 VECTOR = "chunk_id string, document_id string, content_hash string, embedding array<float>, snippet string, user_id string"
-BLOCK = "term string, rng long, user_id string, bucket int, best_tf long, least_dl int, least_dl_index int, rows array<struct<chunk_id:string,tf:long,dl:int,dl_index:int,places:array<int>>>"
-CHUNK = "chunk_id string, document_id string, user_id string, rng long, dl int, dl_index int, terms array<string>, bucket int"
+BLOCK = "term string, rng long, user_id string, bucket int, best_tf long, least_dl int, least_dl_index int, rows array<struct<chunk_id:string,tf:long,dl:int,dl_index:int>>, places array<array<int>>"
+CHUNK = "chunk_id string, document_id string, user_id string, rng long, dl int, dl_index int, terms array<string>"
 TERM = "term string, df long, bucket int"
 STALE = "chunk_id string, rng long, bucket int"
 
@@ -61,19 +67,48 @@ class VectorTable:
         return self.read().join(hashes, "content_hash", "left_semi").groupBy("content_hash").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
 
 
+def _range_blocks(chunks: pa.Table) -> pa.Table:
+    """The blocks of one range's chunks (rng, user_id, chunk_id, w): for each word its postings, and places of words of two or more characters."""
+    w, n = chunks["w"].combine_chunks(), chunks.num_rows
+    dl = w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    words = w.flatten().dictionary_encode()
+    code, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), dl)
+    long = pc.greater(pc.utf8_length(words.dictionary), 1).to_numpy(zero_copy_only=False)[code]
+    seen = np.concatenate([[0], np.cumsum(long)])
+    pos = seen[:-1] - seen[np.cumsum(dl) - dl][doc]
+    dl_index = np.bincount(doc[long], minlength=n).astype(np.int32)
+    order = np.argsort(code * n + doc, kind="stable")
+    key = (code * n + doc)[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # a posting's first word
+    term, of = np.divmod(key[first], n)
+    tf = np.diff(first, append=len(key))
+    begin = np.flatnonzero(np.diff(term, prepend=-1))  # a block's first posting
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    each = ends(np.diff(begin, append=len(term)))
+    least = lambda x: np.minimum.reduceat(x[of], begin) if len(begin) else x[:0]
+    rows = pa.StructArray.from_arrays([chunks["chunk_id"].combine_chunks().take(pa.array(of)), pa.array(tf, pa.int64()), pa.array(dl[of]), pa.array(dl_index[of])], ["chunk_id", "tf", "dl", "dl_index"])
+    places = pa.ListArray.from_arrays(ends(np.where(long[order][first], tf, 0)), pa.array(pos[order][long[order]], pa.int32()))
+    same = lambda name: chunks[name].combine_chunks().take(pa.array(np.zeros(len(begin), np.int64)))
+    return pa.table({
+        "term": words.dictionary.take(pa.array(term[begin])), "rng": same("rng"), "user_id": same("user_id"), "best_tf": pa.array(np.maximum.reduceat(tf, begin) if len(begin) else tf, pa.int64()),
+        "least_dl": pa.array(least(dl)), "least_dl_index": pa.array(least(dl_index)), "rows": pa.ListArray.from_arrays(each, rows), "places": pa.ListArray.from_arrays(each, places),
+    })
+
+
 class TextTable:
     """The text index: blocks of postings with bounds, kept frequencies and lengths.
 
     A tenant's chunks are dealt to ranges of about ``RANGE_CHUNKS`` as they are inserted; a block is a term's postings in
-    one range, with the largest tf and the least lengths, whose product bounds every score in it under any average. Terms'
+    one range, with the largest tf and the least lengths, whose product bounds every score in it under any average. A
+    range's texts meet in one group, so an insertion shuffles each text once and writes its blocks from there. Terms'
     frequencies and the corpus' sums are kept and changed with each insertion. A replaced or deleted chunk's postings
     stay in their blocks and are named in ``stale`` until ``rewrite``. One writer at a time; chunk ids are strings.
     """
 
     def __init__(self, spark: SparkSession, path: str, range_chunks: int = RANGE_CHUNKS, buckets: int = BUCKETS):
         self.spark, self.range_chunks, self.buckets = spark, range_chunks, buckets
-        make = lambda name, schema, key, by: LogTable(spark, f"{path.rstrip('/')}/{name}", schema, key, by)
-        self.blocks, self.chunks = make("blocks", BLOCK, ["term", "rng"], "bucket"), make("chunks", CHUNK, ["chunk_id"], "bucket")
+        make = lambda name, schema, key, by, deal=True: LogTable(spark, f"{path.rstrip('/')}/{name}", schema, key, by, deal)
+        self.blocks, self.chunks = make("blocks", BLOCK, ["term", "rng"], "bucket", False), make("chunks", CHUNK, ["chunk_id"], None)
         self.terms, self.stale = make("terms", TERM, ["term"], "bucket"), make("stale", STALE, ["chunk_id", "rng"], "bucket")
 
     def _bucket(self, column: str) -> Column:
@@ -93,47 +128,62 @@ class TextTable:
         old = self.total()
         return {c: old[c] + (sums[c] or 0) for c in sums} | {"inserts": old["inserts"] + 1}
 
-    def _forget(self, old: DataFrame) -> DataFrame | None:
-        """These chunks' postings are stale; the chunks as they were, if there are any."""
-        gone = kept(old.select(*self.chunks.columns), "gone")
-        if gone.isEmpty():
+    def _forget(self, ids: DataFrame) -> DataFrame | None:
+        """The postings of chunks ids(chunk_id) are stale; the chunks as they were, if there are any."""
+        there = kept(self.chunks.read().select("chunk_id").join(ids, "chunk_id", "left_semi"), "there")
+        if there.isEmpty():
             return None
-        self.stale.upsert(gone.select("chunk_id", "rng", "bucket"))
+        gone = kept(self.chunks.read(some=[there]), "gone")
+        self.stale.upsert(gone.select("chunk_id", "rng", self._bucket("chunk_id")))
         return gone
 
+    def _placed(self, named: DataFrame) -> tuple[DataFrame, int]:
+        """The chunks with their range, and their bytes. A range is a share of one tenant's chunks."""
+        sizes = named.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content").cast("long")).alias("size"))
+        sizes = kept(sizes.withColumn("shares", F.ceil(F.greatest(F.col("n") / self.range_chunks, F.col("size") / RANGE_BYTES))), "tenants")
+        # tenants of one range need no row here, so there are at most as many rows as ranges
+        large = kept(sizes.filter("shares > 1").select(F.col("user_id").alias("owner"), "shares"), "large")
+        share = F.pmod(F.xxhash64("chunk_id"), F.coalesce("shares", F.lit(1)))
+        rng = F.xxhash64("user_id", F.lit(self.total()["inserts"]), share)
+        placed = named.join(large, F.col("user_id").eqNullSafe(F.col("owner")), "left").withColumn("rng", rng).drop("owner", "shares")
+        return placed, sizes.agg(F.sum("size").alias("n")).first().n or 0
+
+    def _named(self, chunks: DataFrame) -> DataFrame:
+        ids = (F.col(c).cast("string").alias(c) for c in ("chunk_id", "document_id", "user_id"))
+        return chunks.select(*ids, "content").filter("chunk_id is not null and content is not null")
+
     def insert(self, chunks: DataFrame) -> None:
         """chunks(chunk_id, document_id, user_id, content); a chunk that is there already is replaced."""
-        named = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "user_id", "content")
-        # a range is a share of one tenant's chunks
-        shares = named.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / self.range_chunks).alias("shares"))
-        owner = named.join(shares, "user_id").select("chunk_id", F.xxhash64("user_id", F.lit(self.total()["inserts"]), F.pmod(F.xxhash64("chunk_id"), F.col("shares"))).alias("rng"))
-        # placed_postings has a row with an empty term for every chunk: its lengths
-        rows = kept(R.placed_postings(named).join(owner, "chunk_id"), "rows")
-        whole = rows.groupBy("chunk_id", "user_id", "rng", "dl", "dl_index").agg(F.collect_list(F.when(F.col("term") != "", F.col("term"))).alias("terms"))
-        fresh = kept(whole.join(named.select("chunk_id", "document_id"), "chunk_id").withColumn("bucket", self._bucket("chunk_id")).select(*self.chunks.columns), "fresh")
-        gone = self._forget(self.chunks.read().join(fresh.select("chunk_id"), "chunk_id", "left_semi")) if self.chunks.versions() else None
-        blocks = rows.filter("term <> ''").groupBy("term", "rng", "user_id").agg(
-            F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index", "places")).alias("rows")
-        )
+        placed, size = self._placed(self._named(chunks))
+        tasks = max(-(-size // TASK_BYTES), min(self.spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)), 1)
+        w, long = F.col("w"), F.filter("w", lambda t: F.length(t) > 1)
+        fresh = placed.withColumn("w", query_terms(F.col("content"))).select("chunk_id", "document_id", "user_id", "rng", F.size(w).alias("dl"), F.size(long).alias("dl_index"), F.array_distinct(w).alias("terms"))
+        fresh = kept(fresh, "fresh")
+        gone = self._forget(fresh.select("chunk_id")) if self.chunks.versions() else None
+        # sorted as texts: words are made when their range's turn comes
+        dealt = placed.repartition(tasks, "rng").sortWithinPartitions("rng").select("rng", "user_id", "chunk_id", query_terms(F.col("content")).alias("w"))
+        blocks = dealt.groupBy("rng").applyInArrow(_range_blocks, ", ".join(x for x in BLOCK.split(", ") if x != "bucket int"))
         self.blocks.upsert(blocks.withColumn("bucket", self._bucket("term")))
         self.chunks.upsert(fresh, note=self._changed(fresh, gone))
 
     def backfill(self, chunks: DataFrame) -> None:
         """Chunks that the index lacks."""
-        there = self.chunks.read().select("chunk_id")
-        self.insert(chunks.join(there, chunks["chunk_id"].cast("string") == there["chunk_id"], "left_anti"))
+        self.insert(kept(self._named(chunks).join(self.chunks.read().select("chunk_id"), "chunk_id", "left_anti"), "lacking"))
 
     def delete_documents(self, gone: DataFrame) -> None:
-        old = self.chunks.read().join(gone.select(F.col("document_id").cast("string").alias("document_id")).distinct(), "document_id", "left_semi")
-        if (old := self._forget(old)) is not None:
+        documents = gone.select(F.col("document_id").cast("string").alias("document_id")).distinct()
+        old = self._forget(self.chunks.read().select("chunk_id", "document_id").join(documents, "document_id", "left_semi").select("chunk_id"))
+        if old is not None:
             self.chunks.delete(old.select("chunk_id"), note=self._changed(None, old))
 
     def rewrite(self) -> None:
         """Stale postings go from the blocks that hold them."""
         stale = self.stale.read().drop("bucket")
-        hit = self.blocks.read().join(stale.select("rng").distinct(), "rng", "left_semi")
-        rows = hit.select("term", "rng", "user_id", "bucket", F.explode("rows").alias("p")).select("term", "rng", "user_id", "bucket", "p.*").join(stale, ["chunk_id", "rng"], "left_anti")
-        left = rows.groupBy("term", "rng", "user_id", "bucket").agg(F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), F.collect_list(F.struct("chunk_id", "tf", "dl", "dl_index", "places")).alias("rows"))
+        hit = self.blocks.read(some=[stale.select("rng").distinct()])
+        rows = hit.select("term", "rng", "user_id", "bucket", F.explode(F.arrays_zip("rows", "places")).alias("p")).select("term", "rng", "user_id", "bucket", "p.rows.*", "p.places").join(stale, ["chunk_id", "rng"], "left_anti")
+        both = F.collect_list(F.struct(F.struct("chunk_id", "tf", "dl", "dl_index").alias("row"), "places")).alias("both")
+        left = rows.groupBy("term", "rng", "user_id", "bucket").agg(F.max("tf").alias("best_tf"), F.min("dl").alias("least_dl"), F.min("dl_index").alias("least_dl_index"), both)
+        left = left.withColumns({"rows": F.col("both.row"), "places": F.col("both.places")})
         now = kept(left.select(*self.blocks.columns), "blocks")
         empty = hit.select("term", "rng").join(now.select("term", "rng"), ["term", "rng"], "left_anti")
         self.blocks.delete(empty)
@@ -149,13 +199,17 @@ class TextTable:
     def asked_blocks(self, queries: DataFrame, tenant: bool) -> DataFrame:
         """The blocks of the queries' terms (not their postings), with what scoring needs: need, qtf, df and the corpus' sums."""
         asked = R.asked_terms(queries if tenant else queries.drop("user_id"))
-        where, total = self._where(asked), self.total()
+        where, total, words = self._where(asked), self.total(), self._words(asked)
         n = max(1, total["n_docs"])
-        heads = self.blocks.read(where).drop("rows", *([] if tenant else ["user_id"]))
-        known = asked.join(self.terms.read(where).select("term", "df"), "term")
+        heads = self.blocks.read(where, some=[words]).drop("rows", "places", *([] if tenant else ["user_id"]))
+        known = asked.join(self.terms.read(where, some=[words]).select("term", "df"), "term")
         stats = {"n_docs": F.lit(total["n_docs"]), "avg_all": F.lit(total["sum_all"] / n), "avg_index": F.lit(total["sum_index"] / n)}
         return heads.join(known, ["term", *(["user_id"] if tenant else [])]).withColumns(stats)
 
+    def _words(self, asked: DataFrame) -> DataFrame:
+        """These terms as a table of their own, whose size Spark knows: few are broadcast, and no other block is shuffled."""
+        return kept(asked.select("term").distinct(), "words")
+
     def _where(self, asked: DataFrame) -> Column | None:
         """The folders of these terms, where there are many."""
         if self.buckets <= 2 * BUCKETS:
@@ -171,8 +225,10 @@ class TextTable:
 
     def _scored(self, some: DataFrame, blocks: DataFrame, digits: int | None) -> DataFrame:
         """Exact scores of the chunks in the query's ranges some(query_id, rng)."""
-        own = blocks.join(some.select("query_id", "rng"), ["query_id", "rng"]).drop("user_id", "best_tf", "least_dl", "least_dl_index")
-        rows = own.join(self.blocks.read(self._where(own)).select("term", "rng", "rows"), ["term", "rng"]).withColumn("p", F.explode("rows")).select("*", "p.*").drop("rows", "p")
+        own = kept(blocks.join(some.select("query_id", "rng"), ["query_id", "rng"]).drop("user_id", "best_tf", "least_dl", "least_dl_index"), "own")
+        # by their terms first: these are few, whatever the number of ranges
+        read = self.blocks.read(self._where(own), some=[self._words(own), kept(own.select("term", "rng").distinct(), "pairs")])
+        rows = own.join(read.select("term", "rng", "rows"), ["term", "rng"]).withColumn("p", F.explode("rows")).select("*", "p.*").drop("rows", "p")
         return R.bm25_sums(rows.join(self.stale.read().select("chunk_id", "rng"), ["chunk_id", "rng"], "left_anti"), digits=digits)
 
     def ranges(self, queries: DataFrame, k: int, tenant: bool, digits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,10 +254,12 @@ class TextTable:
         Only ranges that hold all of a query's words are read."""
         asked = R.asked_places(queries, tenant)
         own = ["user_id"] * tenant
-        heads = self.blocks.read(self._where(asked)).select("term", "rng", *own).join(asked, ["term", *own])
+        words = self._words(asked)
+        heads = self.blocks.read(self._where(asked), some=[words]).select("term", "rng", *own).join(asked, ["term", *own])
         full = heads.groupBy("query_id", "rng", "need").agg(F.count(F.lit(1)).alias("met")).filter("met = need").select("query_id", "rng")
-        blocks = self.blocks.read(self._where(asked)).select("term", "rng", "rows").join(heads.select("query_id", "rng", "term", "need", "name"), ["term", "rng"]).join(full, ["query_id", "rng"])
-        rows = blocks.withColumn("p", F.explode("rows")).select("query_id", "rng", "need", "name", "p.chunk_id", F.explode("p.places").alias("pos"))
+        placed = F.explode(F.arrays_zip("rows.chunk_id", "places")).alias("p")
+        blocks = self.blocks.read(self._where(asked), some=[words]).select("term", "rng", "rows", "places").join(heads.select("query_id", "rng", "term", "need", "name"), ["term", "rng"]).join(full, ["query_id", "rng"])
+        rows = blocks.select("query_id", "rng", "need", "name", placed).select("query_id", "rng", "need", "name", "p.chunk_id", F.explode("p.places").alias("pos"))
         return R.covered(rows.join(self.stale.read().select("chunk_id", "rng"), ["chunk_id", "rng"], "left_anti"), k, digits)
 
     def blocks_read(self, queries: DataFrame, k: int = R.CANDIDATES, tenant: bool = True) -> tuple[int, int]:

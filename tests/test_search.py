@@ -8,6 +8,7 @@ from ragloom.operators import retrieval as R
 from ragloom.operators.ivf import IvfIndex
 from ragloom.plans import search
 from ragloom.session import table
+from ragloom.sinks.stores import TextTable
 
 SF = os.environ.get("RAGLOOM_TEST_SF", "/root/testdata/sf0.001")
 
@@ -94,3 +95,29 @@ def test_search_shuffles_what_was_asked(spark, tmp_path):
     out = R.hydrate(hits, spark.read.parquet(f"file://{tmp_path}/c"), spark.read.parquet(f"file://{tmp_path}/p"))
     assert not [f for f in out.inputFiles() if str(tmp_path) in f]
     assert sorted((r.chunk_id, r.content, r.parent_content) for r in out.collect()) == [(0, "x", None), (1, "y", "x"), (2, "x", None)]
+
+
+def test_text_table_moves_texts_once(spark, tmp_path):
+    """An insertion shuffles chunks and terms, no row for a word; a chunk without a tenant is found; a search shuffles the asked blocks alone."""
+    rows = [(f"c{i}", f"d{i}", None if i == 7 else f"u{i % 2}", " ".join(f"w{(i + 1) * j % 97} {j % 10}" for j in range(400)) + " seven" * (i == 7)) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, user_id string, content string")
+    store = spark._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    index = TextTable(spark, f"file://{tmp_path}/text", range_chunks=20)
+    before = shuffled()
+    index.insert(chunks.filter("chunk_id < 'c4'"))
+    index.insert(chunks.filter("chunk_id >= 'c4'"))
+    made = shuffled() - before
+    words = 60 * 800
+    assert made < words / 10, made
+    asked = spark.createDataFrame([(1, None, "w5 seven")], "query_id int, user_id string, text string")
+    before = shuffled()
+    got = {(r.chunk_id, r.score) for r in index.search(asked, 10, tenant=False, digits=9).collect()}
+    assert shuffled() - before < index.blocks.read().count() / 2
+    assert got == {(r.chunk_id, r.score) for r in R.bm25(asked, R.postings(chunks), 10, tenant=False, digits=9).collect()} and "c7" in dict(got)
