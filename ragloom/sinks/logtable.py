@@ -130,8 +130,9 @@ class LogTable:
     def _add(self, rows: DataFrame, batch: int | None, note: dict | None) -> None:
         if batch is not None and batch <= self.state()["batch"]:
             return
-        run = self._write(rows)
+        self._list(self._write(rows), batch, note)
 
+    def _list(self, run: dict | None, batch: int | None, note: dict | None) -> None:
         def change(state: dict) -> dict | None:
             if batch is not None and batch <= state["batch"]:
                 return None
@@ -147,6 +148,15 @@ class LogTable:
         ``note`` is kept with the version and those after it (``state()["note"]``)."""
         self._add(rows.withColumn("_gone", F.lit(False)), batch, note)
 
+    def prepare(self, rows: DataFrame) -> tuple[dict | None, DataFrame]:
+        """A run of these rows that no version lists before ``append``, and the rows as they were written."""
+        run = self._write(rows.withColumn("_gone", F.lit(False)))
+        return run, self._runs([run] if run else []).select(*self.columns)
+
+    def append(self, run: dict | None, note: dict | None = None) -> None:
+        """What ``prepare`` wrote, as ``upsert`` adds it."""
+        self._list(run, None, note)
+
     def delete(self, keys: DataFrame, batch: int | None = None, note: dict | None = None) -> None:
         """Rows of these keys go."""
         kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)

@@ -25,6 +25,8 @@ BUCKETS = 8
 #: Chunks of a tenant that share a range, and bytes of their texts: a block holds one term's postings in one range.
 RANGE_CHUNKS = 128
 RANGE_BYTES = 4 << 20
+#: Most ids of changed chunks that are broadcast; more are joined with all chunks and their terms.
+FEW = 1 << 19
 #: Bytes of texts that one task makes blocks of.
 TASK_BYTES = 32 << 20
 #: Ranges of each query that are scored before the others are judged.
@@ -131,9 +133,10 @@ class TextTable:
     def _forget(self, ids: DataFrame) -> DataFrame | None:
         """The postings of chunks ids(chunk_id) are stale; the chunks as they were, if there are any."""
         there = kept(self.chunks.read().select("chunk_id").join(ids, "chunk_id", "left_semi"), "there")
-        if there.isEmpty():
+        n = there.count()
+        if not n:
             return None
-        gone = kept(self.chunks.read(some=[there]), "gone")
+        gone = kept(self.chunks.read(some=[F.broadcast(there) if n <= FEW else there]), "gone")
         self.stale.upsert(gone.select("chunk_id", "rng", self._bucket("chunk_id")))
         return gone
 
@@ -158,13 +161,13 @@ class TextTable:
         tasks = max(-(-size // TASK_BYTES), min(self.spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)), 1)
         w, long = F.col("w"), F.filter("w", lambda t: F.length(t) > 1)
         fresh = placed.withColumn("w", query_terms(F.col("content"))).select("chunk_id", "document_id", "user_id", "rng", F.size(w).alias("dl"), F.size(long).alias("dl_index"), F.array_distinct(w).alias("terms"))
-        fresh = kept(fresh, "fresh")
+        run, fresh = self.chunks.prepare(fresh)
         gone = self._forget(fresh.select("chunk_id")) if self.chunks.versions() else None
         # sorted as texts: words are made when their range's turn comes
         dealt = placed.repartition(tasks, "rng").sortWithinPartitions("rng").select("rng", "user_id", "chunk_id", query_terms(F.col("content")).alias("w"))
         blocks = dealt.groupBy("rng").applyInArrow(_range_blocks, ", ".join(x for x in BLOCK.split(", ") if x != "bucket int"))
         self.blocks.upsert(blocks.withColumn("bucket", self._bucket("term")))
-        self.chunks.upsert(fresh, note=self._changed(fresh, gone))
+        self.chunks.append(run, note=self._changed(fresh, gone))
 
     def backfill(self, chunks: DataFrame) -> None:
         """Chunks that the index lacks."""
